@@ -63,3 +63,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; bytes methods touch ASCII only."""
     return text.encode().lower().split() if text else []
+
+
+def small_batches(batches, rows: int = 1000):
+    """The same Arrow batches in slices of so many rows, which bounds what a worker holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
