@@ -1,9 +1,13 @@
 """Queries of this subpackage and, where SQL can express them, the SQL with the same result."""
 
+from .bpe import op7_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .packing import op8_packing
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_bpe": op7_bpe,
+    "op8_packing": op8_packing,
 }
 
 ORACLES = {
