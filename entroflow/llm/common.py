@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Entries that a worker's memo of words or fragments holds before it starts afresh.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ its sequence. Offsets are running sums within a sequence, which holds a bounded
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,22 @@ CLASSES = 256
 BUCKET_ROWS = 10_000
 
 
+STOPS = re.compile(rb"(?<=[a-z])([,.])(?=\s)")
+
+
+def chunks(text: str | None) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes alone, in order.
+
+    It drops white space and lower-cases, so ASCII white space separates them and A-Z may go before; a comma or full
+    stop between a letter and white space is a piece of its own. A text that may hold an added token, whose case
+    counts, is only split.
+    """
+    if not text:
+        return []
+    raw = text.encode()
+    return raw.split() if b"<|" in raw else STOPS.sub(rb" \1", raw.lower()).split()
+
+
 class ChunkEncoder:
     """Ids of whole texts as bytes, little-endian unsigned 32-bit integers."""
 
@@ -65,7 +82,7 @@ class ChunkEncoder:
             self.memo[c] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        rows = [t.encode().split() if t else [] for t in texts]
+        rows = [chunks(t) for t in texts]
         for _ in range(2):  # once more if the memo was cleared meanwhile
             missing = {c for r in rows for c in r if c not in self.memo}
             if missing:
