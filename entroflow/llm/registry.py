@@ -2,12 +2,16 @@
 
 from .bpe import op7_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language import op1_language
 from .packing import op8_packing
+from .quality import op10_quality
 
 QUERIES = {
+    "op1_language": op1_language,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
