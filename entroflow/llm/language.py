@@ -131,7 +131,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> dict[str
     # One row a language.
     chosen = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
     counts: dict[str, Counter] = {}
-    for r in chosen.select("lang", F.substring("text", 1, SAMPLE_TEXT).alias("text")).toLocalIterator():
+    for r in chosen.select("lang", F.substring("text", 1, SAMPLE_TEXT).alias("text")).collect():
         counts.setdefault(r.lang, Counter()).update(LETTERS.findall(r.text.lower()))
     out = {}
     for lang, c in counts.items():

@@ -3,6 +3,7 @@
 from .bpe import op7_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language import op1_language
+from .lm_score import op9_lm_score
 from .packing import op8_packing
 from .quality import op10_quality
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
+    "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
 }
 
