@@ -7,7 +7,8 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words or fragments holds before it starts afresh.
 MEMO_ENTRIES = 500_000
@@ -70,3 +71,23 @@ def small_batches(batches, rows: int = 1000):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+#: 64-bit words of a row filter; it is broadcast, and so many rows are its most.
+FILTER_WORDS = 1 << 16
+
+
+def _bit(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among keys (a table with that column): all that are, and few others.
+
+    The filter is one bit a key in at most FILTER_WORDS broadcast rows, whatever the size of keys; it spares the
+    shuffle of rows that a join on the key would drop.
+    """
+    word, bit = _bit(key)
+    masks = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    return rows.withColumn("_word", word).join(F.broadcast(masks), "_word").where(F.col("_mask").bitwiseAND(bit) != 0).drop("_word", "_mask")

@@ -13,10 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-
-#: 64-bit words of the hit filter; it is broadcast, and so many rows are its most.
-FILTER_WORDS = 1 << 16
+from .common import likely_in, materialize, table
 
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -47,16 +44,6 @@ def compact(runs: DataFrame) -> DataFrame:
     return materialize(merged, "dedup-level")
 
 
-def _bit(key: Column) -> tuple[Column, Column]:
-    h = F.xxhash64(key)
-    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))")
-
-
-def hit_filter(hits: DataFrame) -> DataFrame:
-    word, bit = _bit(F.col("key"))
-    return hits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
-
-
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """Group rows of (doc_id, text) by equal text, white space aside, and name the row that stays.
 
@@ -75,8 +62,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     level = compact(flush(rows))
     hits = level.where("group_size > 1").select("key", "keep_id", "group_size")
 
-    word, bit = _bit(F.col("key"))
-    probes = rows.withColumn("word", word).join(F.broadcast(hit_filter(hits)), "word").where(F.col("mask").bitwiseAND(bit) != 0)
+    probes = likely_in(rows, "key", hits)
     keepers = materialize(
         probes.alias("p").join(hits.alias("h"), F.expr("p.key = h.key AND p.doc_id <=> h.keep_id"))
         .select("h.key", "keep_id", "group_size", F.col("norm").alias("keep_norm"), "code_points")

@@ -4,11 +4,13 @@ from .bpe import op7_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language import op1_language
 from .lm_score import op9_lm_score
+from .minhash import op2_minhash
 from .packing import op8_packing
 from .quality import op10_quality
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_minhash": op2_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
