@@ -32,7 +32,7 @@ END_ID = 2
 #: Length classes of a sequence; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 256
 #: Pieces that a rank bucket of a class holds on average, at most.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 500
 
 
 STOPS = re.compile(rb"(?<=[a-z])([,.])(?=\s)")
@@ -227,7 +227,7 @@ def assign(pieces: DataFrame, sequence: int = SEQUENCE, classes: int = CLASSES)
     for r in rows:
         demand[r["class"] - 1] = r["count"]
     intervals = rank_intervals(solve(demand, classes), classes)
-    buckets = max(1, int(demand.max()) // BUCKET_ROWS * 2)
+    buckets = 1 + int(demand.max()) // BUCKET_ROWS
 
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
