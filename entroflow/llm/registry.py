@@ -7,11 +7,13 @@ from .lm_score import op9_lm_score
 from .minhash import op2_minhash
 from .packing import op8_packing
 from .quality import op10_quality
+from .vector_dedup import op5_vectors
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_vectors": op5_vectors,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_lm_score": op9_lm_score,
