@@ -8,12 +8,14 @@ from .minhash import op2_minhash
 from .packing import op8_packing
 from .quality import op10_quality
 from .vector_dedup import op5_vectors
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_vectors": op5_vectors,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_lm_score": op9_lm_score,
@@ -22,4 +24,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op6_warc": OP6_SQL,
 }
