@@ -2,6 +2,7 @@
 
 from .bpe import op7_bpe
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .html_text import op3_html_text
 from .language import op1_language
 from .lm_score import op9_lm_score
 from .minhash import op2_minhash
@@ -13,6 +14,7 @@ from .warc import OP6_SQL, op6_warc
 QUERIES = {
     "op1_language": op1_language,
     "op2_minhash": op2_minhash,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_vectors": op5_vectors,
     "op6_warc": op6_warc,
