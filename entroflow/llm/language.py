@@ -164,6 +164,18 @@ def predict_language(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """The rows of docs whose text is in a learned language, not `und`, with all their columns; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = parser(texts)
+        for b in small_batches(batches):
+            yield b.filter(pa.array([p.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_language(docs, train(docs))
