@@ -7,9 +7,9 @@ not GROUPS ** 2 * 2 * SUB. A pair of similarity s meets unless all groups of a c
 
 Documents with equal sets are one class from the start, so exact copies cost one row. A table's bucket links each
 member with its smallest and its largest one: as many candidates as members. The verified links give components. Where
-a bucket then still holds several components, all its pairs across components are compared by their minimum hashes in
-blocks of bounded size, and the likely ones are verified too. So no pair that shares a bucket is lost for the size of
-the bucket, and no bucket has to fit into a task.
+a bucket then still holds several components, its documents outside a large component visit the members of that component
+block by block, with their full sets, and likely pairs of small buckets are verified one by one. So no pair that shares
+a bucket is lost for the size of the bucket, no bucket has to fit into a task, and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ SHINGLE = 2
 SIMILARITY = 80
 GROUPS = 10
 SUB = 3
-#: Members of a bucket that are compared at once.
+#: Members of a block whose sets a task holds at once.
 BLOCK = 512
+#: Members of a component that makes a group, and of a bucket whose likely pairs are verified one by one, at most.
+LARGE, SMALL = 16, 64
 #: Agreement of minimum hashes below which a pair isn't verified: over four standard errors under the threshold.
 LIKELY = 0.55
 
@@ -126,50 +128,144 @@ def verify(pairs: DataFrame, docs: DataFrame, similarity: int = SIMILARITY, widt
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def across_components(members: DataFrame, likely: float = LIKELY) -> DataFrame:
+def pairs_in_small_buckets(members: DataFrame, likely: float = LIKELY) -> DataFrame:
     """Pairs (a, b), a < b, of one bucket but two components whose minimum hashes agree often enough.
 
-    members: key, id, component, hashes, size (the bucket's members). A bucket over BLOCK members is dealt into blocks
-    by hash and each pair of blocks is compared apart.
+    members: key, id, component, hashes of buckets of at most SMALL members.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "hashes")
-    )
 
-    def compare(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, ids, part = (group.column(c).to_numpy() for c in ("own", "id", "component"))
-        low = np.frombuffer(b"".join(group.column("hashes").to_pylist()), np.uint32).reshape(len(ids), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for x in left:
-            y = right[(ids[right] > ids[x]) if i == j else slice(None)]
-            y = y[part[y] != part[x]]
-            if len(y):
-                y = y[(low[y] == low[x]).mean(axis=1) >= likely]
-            if len(y):
-                yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, part = group["id"].to_numpy(), group["component"].to_numpy()
+        low = np.frombuffer(b"".join(group["hashes"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        x, y = np.nonzero((ids[:, None] < ids[None, :]) & (part[:, None] != part[None, :]))
+        near = (low[x] == low[y]).mean(axis=1) >= likely
+        yield pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["key"]):
+            yield from compare(group)
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal values in the columns `by` of sorted batches, each as one table."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        k = [t[c].to_numpy() for c in by]
+        edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in k], axis=0)) + 1).tolist(), t.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            own = tuple(c[lo] for c in k)
+            if held and own != last:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(t.slice(lo, hi - lo))
+            last = own
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingle hashes as bytes) of the documents that ids names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            sets = [shingle_hashes(t, width).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    texts = likely_in(docs.select(F.col("doc_id").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles"))
+
+
+class Block:
+    """Shingle sets of a bounded number of documents, by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner, flat = owner[order], flat[order]
+        self.keys, self.begin = np.unique(flat, return_index=True)
+        self.begin = np.append(self.begin, len(flat))
+
+    def similar(self, s: np.ndarray, similarity: int) -> np.ndarray:
+        """Documents whose set is at least `similarity` per cent alike to s."""
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        at = at[self.keys[at] == s]
+        n = self.begin[at + 1] - self.begin[at]
+        where = np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owner[where], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= similarity * (self.sizes + len(s) - common))
+
+
+def links_in_groups(members: DataFrame, askers: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Verified links (a, b) between askers and the members of their group, one for each component that an asker meets in a block.
+
+    members: group, id, component; askers: group, id, component. A group's members are dealt into blocks of about
+    BLOCK, each asker visits every block of its groups, and blocks stream their askers: a task holds one block.
+    """
+    blocks = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    held = members.join(blocks, "group").select("group", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "id", "component")
+    asking = askers.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        now, block, ids, part, sets_, loose = None, None, [], [], [], []
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            k = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in k], axis=0)) + 1
-            edges = [0, *cut.tolist()]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi - lo > 1:
-                    for a, c in compare(t.slice(lo, hi - lo)):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
-            held = t.slice(edges[-1])
-        if held is not None and held.num_rows > 1:
-            for a, c in compare(held):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+            a, c = [], []
+            for g, k, asks, i, p, raw in zip(*(col.to_pylist() for col in b.columns)):
+                if (g, k) != now:
+                    now, block, ids, part, sets_ = (g, k), None, [], [], []
+                s = np.frombuffer(raw, np.uint64)
+                if not asks:
+                    ids.append(i)
+                    part.append(p)
+                    sets_.append(s)
+                elif ids:
+                    if block is None:
+                        block, part = Block(sets_), np.array(part)
+                    met = set()
+                    for y in block.similar(s, similarity):
+                        if part[y] != p and part[y] not in met:
+                            met.add(part[y])
+                            a.append(min(i, ids[y]))
+                            c.append(max(i, ids[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    rows = held.unionByName(asking).join(sets, "id").select("group", "block", "asks", "id", "component", "shingles")
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "asks").mapInArrow(run, "a long, b long")
+
+
+def further_links(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, docs: DataFrame, similarity: int, width: int) -> DataFrame:
+    """Links across components within buckets, which the stars don't decide.
+
+    A large component (LARGE members) is one group: whoever shares a bucket with it asks all its members and the other
+    askers. A bucket over SMALL members without a large component is a group of its own. In the other buckets, of at
+    most SMALL members, likely pairs are verified one by one. Buckets of up to three members are decided by their stars.
+    """
+    placed = materialize(members.where("size > 3").select("key", "id", "size").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "minhash-placed")
+    large = materialize(labels.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n")).where(f"n >= {LARGE}").select("component"), "minhash-large")
+    mixed = placed.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "size")
+    big = materialize(placed.join(large, "component", "left_semi").select("key", F.col("component").alias("group")).distinct(), "minhash-large-buckets")
+    mixed = materialize(mixed.join(big.select("key").distinct().withColumn("big", F.lit(True)), "key", "left"), "minhash-mixed")
+
+    near_big = mixed.where("big").select("key").join(big, "key")
+    strangers = placed.select("key", "id", "component").join(near_big, "key").where("component <> group").select("group", "id", "component").distinct()
+    everyone = large.join(labels, "component").select(F.col("component").alias("group"), "id", "component")
+    roots = large.select(F.col("component").alias("group"), F.col("component").alias("id"), "component")
+    crowd = placed.join(mixed.where(f"big IS NULL AND size > {SMALL}").select("key"), "key").select(F.col("key").alias("group"), "id", "component")
+    askers = materialize(strangers.unionByName(crowd), "minhash-askers")
+    held = materialize(everyone.unionByName(roots).join(askers.select("group").distinct(), "group", "left_semi").unionByName(askers), "minhash-held")
+    few = placed.join(mixed.where(f"big IS NULL AND size <= {SMALL}").select("key"), "key").join(classes.select("id", "hashes"), "id")
+    found = verify(pairs_in_small_buckets(few.select("key", "id", "component", "hashes")).join(tried, ["a", "b"], "left_anti"), docs, similarity, width)
+    if askers.isEmpty():
+        return found
+    sets = materialize(full_sets(docs, held.select("id").distinct(), width), "minhash-sets")
+    return found.unionByName(links_in_groups(held, askers, sets, similarity))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -196,12 +292,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     links = materialize(verify(tried, docs, similarity, width), "minhash-links")
     labels = components(links)
 
-    # Buckets of up to three members are compared in full by then.
-    large = members.where("size > 3").select("key", "id", "size")
-    placed = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    apart = across_components(placed.join(mixed, "key").join(classes.select("id", "hashes"), "id"))
-    more = materialize(verify(apart.join(tried, ["a", "b"], "left_anti"), docs, similarity, width), "minhash-links")
+    more = materialize(further_links(members, labels, classes, tried, docs, similarity, width), "minhash-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
