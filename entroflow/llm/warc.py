@@ -185,7 +185,9 @@ def read_archives(files: DataFrame, path: str, payloads: bool = True) -> DataFra
                     if rows:
                         yield _batch(rows)
 
-    return files.repartition("file").select("file", "records").mapInArrow(run, READ)
+    # As many tasks as a shuffle has: the few small rows that name files would be put into one task.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "file").select("file", "records").mapInArrow(run, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
