@@ -160,3 +160,82 @@ def step_means(df: DataFrame, keys: Sequence[str], boundary_us: int, days: float
 def percent_of(x: Column, whole: Column) -> Column:
     """x in per cent of whole, null unless whole is positive."""
     return F.when(whole > 0, x / whole * 100)
+
+
+def entity_stats(df: DataFrame, keys: Sequence[str], most: float = 100.0) -> DataFrame:
+    """Of rows (us, te_bits, pct_h, sig95): means and peaks over windows of at most `most` per cent, the peak's first time, and counts."""
+    ok = F.col("pct_h") <= most
+    v = lambda c: F.when(ok, F.col(c))
+    return df.groupBy(*keys).agg(
+        F.avg(v("pct_h")).alias("mean_pct"), F.max(v("pct_h")).alias("peak_pct"), F.avg(v("te_bits")).alias("mean_bits"), F.max(v("te_bits")).alias("peak_bits"),
+        F.max_by(F.when(ok, F.col("us")), F.when(ok, F.struct(F.col("pct_h"), -F.col("us")))).alias("peak_us"), F.count_if(ok & F.col("sig95")).alias("n_sig"), F.count_if(ok).alias("n"), F.count_if(F.col("pct_h") > most).alias("n_over"),
+    )
+
+
+def before_after(df: DataFrame, keys: Sequence[str], boundary_us: int) -> DataFrame:
+    """Of rows (us, te_bits, sig95): mean, significant windows and peak before and from a boundary on, and the last significant time."""
+    before = F.col("us") < boundary_us
+    v = lambda c: F.when(c, F.col("te_bits"))
+    return df.groupBy(*keys).agg(
+        F.avg(v(before)).alias("mean_before"), F.avg(v(~before)).alias("mean_after"), F.count_if(before & F.col("sig95")).alias("sig_before"), F.count_if(~before & F.col("sig95")).alias("sig_after"),
+        F.max(v(before)).alias("peak_before"), F.max(v(~before)).alias("peak_after"), F.max(F.when(F.col("sig95"), F.col("us"))).alias("last_sig_us"),
+    )
+
+
+def history_sensitivity(te: DataFrame, window_points: int, keys: Sequence[str] = ("target", "entity"), order: str = "window_idx", dims: int = 2) -> DataFrame:
+    """By key and history length: descriptors of te_bits, and against length 1 the ratio of means, rank correlation and top-decile overlap.
+
+    joint_dim is the number of estimated dimensions, n_min = 3 * 2 ** joint_dim the points it asks for.
+    """
+    own = [*keys, "history"]
+    s = te.groupBy(*own).agg(F.avg("te_bits").alias("mean"), half("te_bits").alias("median"), F.stddev_pop("te_bits").alias("std"), F.max("te_bits").alias("max"))
+    one = te.where("history = 1").select(*keys, order, F.col("te_bits").alias("first"))
+    both = te.join(one, [*keys, order])
+    base = s.where("history = 1").select(*keys, F.col("mean").alias("_m"))
+    dim = F.col("history") + F.lit(dims)
+    out = s.join(base, list(keys)).join(spearman(both, "te_bits", "first", own), own).join(top_jaccard(both, "te_bits", "first", 0.9, own), own)
+    out = out.withColumns({"ratio": F.col("mean") / F.nullif(F.col("_m"), F.lit(0.0)), "joint_dim": dim.cast("long"), "n_min": (3 * F.pow(F.lit(2.0), dim)).cast("long")})
+    return out.withColumn("undersampled", F.col("n_min") > window_points).drop("_m")
+
+
+def scale_recovery(df: DataFrame, scaled: str, z: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The factor between two columns: the median of their ratio, and the spread of it over rows."""
+    r = F.col(scaled) / F.col(z)
+    return df.where(F.col(z) != 0).groupBy(*keys).agg(half(r).alias("factor"), F.stddev_pop(r).alias("spread"))
+
+
+def mean_coverage(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """One row: the mean over keys of the share of rows that have a value."""
+    return df.groupBy(*keys).agg((F.count(value) / F.count(F.lit(1))).alias("c")).agg(F.avg("c").alias("coverage"))
+
+
+def mismatched_rows(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """One row: how many values of `on` stand in only one of the tables."""
+    left, right = a.select(on, F.lit(True).alias("_a")), b.select(on, F.lit(True).alias("_b"))
+    return left.join(right, on, "full").agg(F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("mismatches"))
+
+
+def circle_fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Centre and radius of the algebraic least-squares circle, in closed form from sums about the mean."""
+    m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    d = (df.join(m, list(keys)) if keys else df.join(F.broadcast(m))).withColumns({"_u": F.col(x) - F.col("_mx"), "_v": F.col(y) - F.col("_my")})
+    u, v = F.col("_u"), F.col("_v")
+    s = d.groupBy(*keys, "_mx", "_my").agg(F.avg(u * u).alias("uu"), F.avg(v * v).alias("vv"), F.avg(u * v).alias("uv"), F.avg(u * (u * u + v * v)).alias("a"), F.avg(v * (u * u + v * v)).alias("b"))
+    det = F.nullif(2 * (F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")), F.lit(0.0))
+    cu, cv = (F.col("a") * F.col("vv") - F.col("b") * F.col("uv")) / det, (F.col("b") * F.col("uu") - F.col("a") * F.col("uv")) / det
+    return s.select(*keys, (F.col("_mx") + cu).alias("cx"), (F.col("_my") + cv).alias("cy"), F.sqrt(cu * cu + cv * cv + F.col("uu") + F.col("vv")).alias("radius"))
+
+
+def block_length(df: DataFrame, keys: Sequence[str], value: str = "value", order: str = "idx", most: int = 200) -> DataFrame:
+    """First lag at which the autocorrelation of each key's series is below 1/e, else a tenth of its length; from 2 to a third of it.
+
+    Lags up to `most` are examined, each row meeting that many others at most.
+    """
+    n = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    c = df.join(n, list(keys)).select(*keys, F.col(order).alias("_i"), (F.col(value) - F.col("_m")).alias("_c"), "_n")
+    ahead = c.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"), "_i", "_c").withColumn("_i", F.col("_i") - F.col("lag")).withColumnRenamed("_c", "_d")
+    acf = c.join(ahead, [*keys, "_i"]).groupBy(*keys, "_n", "lag").agg(F.sum(F.col("_c") * F.col("_d")).alias("_s"))
+    zero = acf.where("lag = 0").select(*keys, F.col("_s").alias("_z"))
+    low = acf.join(zero, list(keys)).groupBy(*keys, "_n", "_z").agg(F.min(F.when((F.col("lag") > 0) & (F.col("_s") / F.nullif(F.col("_z"), F.lit(0.0)) < F.exp(F.lit(-1.0))), F.col("lag"))).alias("_l"))
+    size = F.greatest(F.lit(2), F.least(F.coalesce("_l", F.floor(F.col("_n") / 10)), F.floor(F.col("_n") / 3)))
+    return low.select(*keys, F.when(F.col("_z") > 0, size).otherwise(2).cast("long").alias("block"))
