@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import MEMO_ENTRIES, small_batches, table
+from .common import MEMO_ENTRIES, small_batches, table, worker_cache
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary's publisher gives it.
@@ -137,14 +137,8 @@ class ForcedBoundaryCodec:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, ForcedBoundaryCodec] = {}
-
-
 def codec(path: str) -> ForcedBoundaryCodec:
-    """One codec a worker; a worker serves many tasks."""
-    if path not in _CODECS:
-        _CODECS[path] = ForcedBoundaryCodec(path)
-    return _CODECS[path]
+    return worker_cache(("bpe", path), lambda: ForcedBoundaryCodec(path))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words or fragments holds before it starts afresh.
 MEMO_ENTRIES = 500_000
+#: The same for hashes of words, which are quick to compute again.
+HASH_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +43,26 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(key, make):
+    """What make() returns, kept by a worker while it serves tasks of the same key.
+
+    A worker serves many operators one after another; it keeps one such object at a time, so that their sizes don't
+    add up.
+    """
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 class WordHashes(dict):
     """Memo from a word's bytes to its 64-bit hash as a signed integer."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= HASH_ENTRIES:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         self[word] = h = h - (1 << 64) if h >> 63 else h

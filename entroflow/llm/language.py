@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, small_batches, table
+from .common import MEMO_ENTRIES, small_batches, table, worker_cache
 from .quality import held_out
 
 SAMPLE = 300
@@ -108,16 +108,8 @@ class Parser(dict):
         return self.languages[best], float(1 / np.exp(-SHARPNESS * (entropy / entropy[best] - 1)).sum())
 
 
-_PARSERS: dict[int, Parser] = {}
-
-
 def parser(texts: dict[str, str]) -> Parser:
-    """One parser a worker for the same training text."""
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = Parser(texts)
-    return _PARSERS[key]
+    return worker_cache(("languages", tuple(sorted(texts.items()))), lambda: Parser(texts))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> dict[str, str]:

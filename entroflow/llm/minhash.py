@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, likely_in, materialize, mix, small_batches, table, words
+from .common import WordHashes, likely_in, materialize, mix, small_batches, table, worker_cache, words
 from .graph import components
 
 SHINGLE = 2
@@ -36,7 +36,6 @@ LARGE, SMALL = 16, 64
 #: Agreement of minimum hashes below which a pair isn't verified: over four standard errors under the threshold.
 LIKELY = 0.55
 
-_HASHES = WordHashes()
 _rng = np.random.default_rng(20)
 XOR = _rng.integers(0, 1 << 63, 2 * GROUPS * SUB, np.uint64) * np.uint64(2)
 TIMES = _rng.integers(0, 1 << 63, 2 * GROUPS * SUB, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +54,7 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     w = words(text)
     if not w:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, w), np.int64, len(w)).view(np.uint64)
+    h = np.fromiter(map(worker_cache("words", WordHashes).__getitem__, w), np.int64, len(w)).view(np.uint64)
     size = min(width, len(w))
     out = np.zeros(len(h) - size + 1, np.uint64)
     for i in range(size):

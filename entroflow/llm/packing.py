@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import MEMO_ENTRIES, materialize, small_batches, table
+from .common import MEMO_ENTRIES, materialize, small_batches, table, worker_cache
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE = 4096
@@ -92,13 +92,8 @@ class ChunkEncoder:
             yield b"".join(map(get, r))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return worker_cache(("chunks", path), lambda: ChunkEncoder(path))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
