@@ -3,9 +3,9 @@
 Flush: every task is a memtable and writes its digests as one sorted run, a Parquet file whose footer holds a
 Bloom filter of the digests. Compaction: the runs merge by digest to one entry that keeps the best row's id and the
 group's size; this aggregates within tasks before it shuffles, so a hot group costs a row a task. Hits: entries with
-more than one row feed a filter of fixed size that is broadcast; only texts that pass it are shuffled and compared,
-as whole strings, with the text of the row that stays. Texts of equal digest that differ are grouped by the text
-itself.
+more than one row feed a filter of fixed size that is broadcast; only texts that pass it are compared, byte by byte: a
+group's texts are equal if the smallest and the largest are, which tasks work out on their own rows before they shuffle.
+Groups whose texts differ under one digest are told apart by the text itself.
 """
 
 from __future__ import annotations
@@ -59,34 +59,21 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         "digest", F.unhex(F.sha2("norm", 256))
     )
     rows = rows.withColumn("key", F.col("digest") if digest_bytes == 32 else F.substring("digest", 1, digest_bytes))
-    level = compact(flush(rows))
+    runs = flush(rows)
+    level = compact(runs)
     hits = level.where("group_size > 1").select("key", "keep_id", "group_size")
+    compared = likely_in(rows.select("key", "norm"), "key", hits).groupBy("key").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    mixed = materialize(compared.where("low <> high").select("key"), "dedup-mixed-keys")
 
-    probes = likely_in(rows, "key", hits)
-    keepers = materialize(
-        probes.alias("p").join(hits.alias("h"), F.expr("p.key = h.key AND p.doc_id <=> h.keep_id"))
-        .select("h.key", "keep_id", "group_size", F.col("norm").alias("keep_norm"), "code_points")
-        .groupBy("key", "keep_id", "group_size")
-        .agg(F.max_by("keep_norm", "code_points").alias("keep_norm")),
-        "dedup-keepers",
-    )
-    verified = materialize(
-        probes.join(keepers, "key").select(
-            "doc_id", "keep_id", "group_size", "digest", "key", "code_points", F.when(F.col("norm") != F.col("keep_norm"), F.col("norm")).alias("clash")
-        ),
-        "dedup-verified",
-    )
     single = level.where("group_size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", "digest")
-    same = verified.where("clash IS NULL")
-    clashes = verified.where("clash IS NOT NULL")
-    if clashes.isEmpty():
-        found = single.unionByName(same.select(single.columns))
+    several = likely_in(runs.select("key", "doc_id", "digest"), "key", hits).join(hits, "key")
+    if mixed.isEmpty():
+        found = single.unionByName(several.drop("key"))
     else:
-        fewer = clashes.groupBy("key").agg(F.count(F.lit(1)).alias("n_clash"))
-        same = same.join(fewer, "key", "left").withColumn("group_size", F.col("group_size") - F.coalesce("n_clash", F.lit(0)))
-        own = clashes.groupBy("key", "clash").agg(F.max_by("doc_id", _rank()).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = clashes.select("doc_id", "digest", "key", "clash").join(own, ["key", "clash"])
-        found = single.unionByName(same.select(single.columns)).unionByName(apart.select(single.columns))
+        clashes = likely_in(rows, "key", mixed).join(mixed, "key")
+        own = clashes.groupBy("key", "norm").agg(F.max_by("doc_id", _rank()).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        apart = clashes.select("doc_id", "digest", "key", "norm").join(own, ["key", "norm"]).select(single.columns)
+        found = single.unionByName(several.join(mixed, "key", "left_anti").drop("key")).unionByName(apart)
     return found.select(
         "doc_id", "keep_id", F.col("group_size").cast("long"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
