@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, likely_in, materialize, mix, small_batches, table, worker_cache, words
+from .common import WordHashes, arrow_rows, likely_in, materialize, mix, small_batches, table, worker_cache, words
 from .graph import components
 
 SHINGLE = 2
@@ -35,6 +35,8 @@ BLOCK = 512
 LARGE, SMALL = 16, 64
 #: Agreement of minimum hashes below which a pair isn't verified: over four standard errors under the threshold.
 LIKELY = 0.55
+#: Rows of an Arrow batch of whole texts or sets.
+ARROW_ROWS = 500
 
 _rng = np.random.default_rng(20)
 XOR = _rng.integers(0, 1 << 63, 2 * GROUPS * SUB, np.uint64) * np.uint64(2)
@@ -275,25 +277,26 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     kept. Rows with a null doc_id link with nothing (component null, kept true). Other columns are ignored; an empty
     table gives an empty result.
     """
-    signed = materialize(signatures(docs, width), "minhash-signatures")
-    classes = materialize(
-        signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("same")
-        .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("hashes", "groups"), "doc_id").alias("s"))
-        .select("same", "id", "s.hashes", "s.groups"),
-        "minhash-classes",
-    )
-    rows = bucket_rows(classes)
-    buckets = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    members = materialize(rows.join(buckets, "key"), "minhash-members")
-    star = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b")
-    tried = materialize(star.where("a < b").distinct(), "minhash-candidates")
-    links = materialize(verify(tried, docs, similarity, width), "minhash-links")
-    labels = components(links)
-
-    more = materialize(further_links(members, labels, classes, tried, docs, similarity, width), "minhash-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        signed = materialize(signatures(docs, width), "minhash-signatures")
+        classes = materialize(
+            signed.where("same IS NOT NULL AND doc_id IS NOT NULL")
+            .groupBy("same")
+            .agg(F.min("doc_id").alias("id"), F.min_by(F.struct("hashes", "groups"), "doc_id").alias("s"))
+            .select("same", "id", "s.hashes", "s.groups"),
+            "minhash-classes",
+        )
+        rows = bucket_rows(classes)
+        buckets = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        members = materialize(rows.join(buckets, "key"), "minhash-members")
+        star = members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.a", "p.b")
+        tried = materialize(star.where("a < b").distinct(), "minhash-candidates")
+        links = materialize(verify(tried, docs, similarity, width), "minhash-links")
+        labels = components(links)
+
+        more = materialize(further_links(members, labels, classes, tried, docs, similarity, width), "minhash-links")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     named = classes.select("same", "id").join(labels, "id", "left").select("same", F.coalesce("component", "id").alias("component"))
     return (
