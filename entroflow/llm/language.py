@@ -17,14 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MEMO_ENTRIES, small_batches, table, worker_cache
 from .quality import held_out
 
 SAMPLE = 300
-SAMPLE_TEXT = 20_000
 CHARS = 40_000
 SHARPNESS = 8.0
 UNKNOWN = "und"
@@ -122,13 +121,25 @@ def train(docs: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> dict[str
     sizes = known.groupBy("lang").count().select("lang", (F.lit(1e6) * sample / F.col("count")).alias("share"))
     # One row a language.
     chosen = known.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share"))
-    counts: dict[str, Counter] = {}
-    for r in chosen.select("lang", F.substring("text", 1, SAMPLE_TEXT).alias("text")).collect():
-        counts.setdefault(r.lang, Counter()).update(LETTERS.findall(r.text.lower()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            counts: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            found = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # Words take two characters at least, so chars // 2 of them a language are enough.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    frequent: dict[str, list[str]] = {}
+    for r in counted.withColumn("place", place).where(F.col("place") <= chars // 2 + 1).orderBy("lang", "place").collect():
+        frequent.setdefault(r.lang, []).append(r.word)
     out = {}
-    for lang, c in counts.items():
+    for lang, ranked in frequent.items():
         words, n = [], 0
-        for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0])):
+        for w in ranked:
             if n >= chars:
                 break
             words.append(w)
