@@ -65,8 +65,6 @@ class ChunkEncoder:
         self.memo: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.memo) + len(chunks) > MEMO_ENTRIES:
-            self.memo.clear()
         joined = [c for c in chunks if b"\0" not in c]
         groups = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
         texts = [" \0 ".join(c.decode() for c in g) for g in groups]
@@ -83,10 +81,13 @@ class ChunkEncoder:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         rows = [chunks(t) for t in texts]
-        for _ in range(2):  # once more if the memo was cleared meanwhile
-            missing = {c for r in rows for c in r if c not in self.memo}
-            if missing:
-                self._learn(missing)
+        seen = set().union(*rows)
+        missing = seen.difference(self.memo)
+        if len(self.memo) + len(missing) > MEMO_ENTRIES:
+            self.memo.clear()
+            missing = seen
+        if missing:
+            self._learn(missing)
         get = self.memo.__getitem__
         for r in rows:
             yield b"".join(map(get, r))
