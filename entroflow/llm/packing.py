@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import MEMO_ENTRIES, materialize, small_batches, table, worker_cache
+from .common import materialize, small_batches, table, worker_cache
 
 WORD_BPE = "word_bpe_49k.json"
 SEQUENCE = 4096
@@ -33,6 +33,8 @@ END_ID = 2
 CLASSES = 256
 #: Pieces that a rank bucket of a class holds on average, at most.
 BUCKET_ROWS = 500
+#: Chunks that a worker's memo holds before it starts afresh, some 200 MB; rare chunks recur, and encoding one is slow.
+MEMO_CHUNKS = 1_000_000
 
 
 STOPS = re.compile(rb"(?<=[a-z])([,.])(?=\s)")
@@ -83,7 +85,7 @@ class ChunkEncoder:
         rows = [chunks(t) for t in texts]
         seen = set().union(*rows)
         missing = seen.difference(self.memo)
-        if len(self.memo) + len(missing) > MEMO_ENTRIES:
+        if len(self.memo) + len(missing) > MEMO_CHUNKS:
             self.memo.clear()
             missing = seen
         if missing:
