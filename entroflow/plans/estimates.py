@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import knn
 
@@ -32,7 +33,7 @@ def estimate(df: DataFrame, keys: Sequence[str], measures: dict[str, tuple[Calla
     return df.select(*keys, *names).groupBy(*keys).applyInPandas(run, f"{kinds}n long, {', '.join(f'{m} double' for m in measures)}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ksg_entropy(values: pd.Series) -> pd.Series:
     """Entropy in bits of an array column."""
     return values.map(lambda v: knn.window_entropy(np.asarray(v, float)))
