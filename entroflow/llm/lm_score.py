@@ -3,8 +3,13 @@
 Training documents give unigram and bigram counts. A count c is stored as its level 1 + floor(log_BASE c): the n-gram
 enters the filter once for each level up to its own, so probing level after level until one is absent returns the
 level, and the mean count of that level is the estimate. The filter has no false negatives; its size follows the number
-of training tokens up to MAX_BITS, so what is broadcast is bounded (64 MB). Partial counts leave the tasks aggregated
-and are dealt by the filter's segment; a partition adds up its n-grams and sets the bits of its segments.
+of its entries (n-gram, level) without a maximum. Partial counts leave the tasks aggregated and are dealt by the
+filter's segment; a partition adds up its n-grams, sizes its segments by their entries and sets their bits. There are as
+many segments as keep each bounded, and they are a table in the shared folder.
+
+A filter of at most MOST_BYTES is broadcast. A larger one stays a table: chunks of documents ask for their distinct
+n-grams by segment, a partition answers the questions to its segments one after another, and the levels return to their
+chunks. Scores are the same either way.
 
 A token's probability is t * count(v, w) / count(v) + (1 - t) * P(w), P(w) = (count(w) + 1) / (N + V + 1), with the trust
 t = TRUST * count(v) / (count(v) + MU) and counts read from the filter; v is the token before w, or the start of the text.
@@ -15,7 +20,8 @@ with the tasks, and the others are joined by word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,17 +30,23 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix, small_batches, table, worker_cache, words
+from .common import WordHashes, arrow_rows, materialize, mix, small_batches, table, worker_cache, words
 
 BASE = 1.5
 TRUST, MU = 0.3, 10.0
-MAX_BITS = 1 << 29
-BITS_A_TOKEN = 8
+#: The largest filter that is broadcast.
+MOST_BYTES = 1 << 26
+BITS_AN_ENTRY = 10
+#: Segments of the filter, at least.
 SEGMENTS = 1024
 PROBES = 4
 LEVELS = 64
-#: Training tokens whose n-grams a task adds up at once, on average.
+#: Training tokens whose n-grams a segment holds, and a task adds up at once, on average.
 PART_KEYS = 500_000
+#: Characters of text after which a chunk of documents ends.
+CHUNK_CHARS = 2_000_000
+#: Rows of an Arrow batch where rows are chunks.
+CHUNKS_A_BATCH = 4
 HEAD = 2_000_000
 
 #: Stand-ins for the end and the start of a text; no word is empty or holds a blank.
@@ -96,43 +108,61 @@ def bigram(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(unigram(before) * np.uint64(0x9E3779B97F4A7C15) + tokens.view(np.uint64))
 
 
-def positions(keys: np.ndarray, levels: np.ndarray, segment_bits: int) -> list[np.ndarray]:
-    """The bits of (key, level) within the key's segment, for each of the PROBES; segment_bits is a power of two."""
+def positions(keys: np.ndarray, levels: np.ndarray, width: np.ndarray | int) -> list[np.ndarray]:
+    """The bits of (key, level) within the key's segment of `width` < 2^32 bits, for each of the PROBES."""
     first = mix(keys + levels.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     second = mix(first) | np.uint64(1)
-    return [((first + second * np.uint64(i)) & np.uint64(segment_bits - 1)).view(np.int64) for i in range(PROBES)]
+    half, width = np.uint64(32), np.asarray(width, np.uint64)
+    return [((((first + second * np.uint64(i)) >> half) * width) >> half).view(np.int64) for i in range(PROBES)]
 
 
-def segment(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(54)).astype(np.int64)
+def segment(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key, its leading bits; segments is a power of two."""
+    return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
 @dataclass
 class LogFrequencyFilter:
+    """All segments' bits one after another; a segment begins at the byte `begin` and has `width` bits."""
+
     bits: np.ndarray
-    segment_bits: int
+    begin: np.ndarray
+    width: np.ndarray
+
+    @staticmethod
+    def of(fields: dict[int, bytes], segments: int) -> LogFrequencyFilter:
+        """The filter of segments' bits by number; a segment without entries has one byte of zeros."""
+        parts = [fields.get(s, bytes(1)) for s in range(segments)]
+        size = np.array([len(p) for p in parts], np.int64)
+        return LogFrequencyFilter(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size * 8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing from 1 upwards; 0 if absent."""
-        found = np.zeros(len(keys), np.int64)
-        left, base = np.arange(len(keys)), segment(keys) * self.segment_bits
-        for q in range(1, LEVELS + 1):
-            if not len(left):
-                break
-            there = np.ones(len(left), np.uint8)
-            for at in positions(keys, np.array([q]), self.segment_bits):
-                at += base
-                there &= self.bits[at >> 3] >> (at & 7).astype(np.uint8)
-            there = there.view(bool)
-            left, keys, base = left[there], keys[there], base[there]
-            found[left] = q
-        return found
+        at = segment(keys, len(self.width))
+        return probe(self.bits, keys, self.begin[at] * 8, self.width[at])
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         unique, inverse = np.unique(keys, return_inverse=True)
         return MEANS[self.levels(unique)][inverse]
 
 
+def probe(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The level of each key in bits, where its segment begins at the bit `base` and has `width` bits."""
+    found = np.zeros(len(keys), np.int64)
+    left = np.arange(len(keys))
+    for q in range(1, LEVELS + 1):
+        if not len(left):
+            break
+        there = np.ones(len(left), np.uint8)
+        for at in positions(keys, np.array([q]), width):
+            at += base
+            there &= bits[at >> 3] >> (at & 7).astype(np.uint8)
+        there = there.view(bool)
+        left, keys, base, width = left[there], keys[there], base[there], width[there]
+        found[left] = q
+    return found
+
+
 def count_unigrams(docs: DataFrame) -> DataFrame:
     """Exact counts of the tokens of `text`: token (its 64-bit hash) and count."""
 
@@ -145,19 +175,30 @@ def count_unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
 
-def filter_bits(n_tokens: int) -> int:
-    """Size of the filter: BITS_A_TOKEN, as a power of two, from SEGMENTS * 64 to MAX_BITS."""
-    return min(MAX_BITS, max(SEGMENTS * 64, 1 << int(np.ceil(np.log2(max(n_tokens, 1) * BITS_A_TOKEN)))))
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile a query's shuffle files go when it ends; its result is a table, and nothing reads them again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
-def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
-    """Count unigrams (contexts and starts included) and bigrams of docs and set their levels' bits.
+def segments_for(n_tokens: int) -> int:
+    """A power of two from SEGMENTS on that keeps segments within PART_KEYS tokens on average."""
+    return max(SEGMENTS, 1 << (max(n_tokens - 1, 0) // PART_KEYS).bit_length())
+
 
-    A task ships its partial counts packed, one row a segment and part of it; a segment's parts, as many as keep each
-    within PART_KEYS tokens, arrive in order and are added up one after another.
+def filter_table(docs: DataFrame, n_tokens: int) -> DataFrame:
+    """Rows (segment, bits) of the filter of docs: count unigrams (contexts and starts included) and bigrams and set their levels' bits.
+
+    A task ships its partial counts packed, one row a segment; a segment is added up as a whole, and its size is
+    BITS_AN_ENTRY for each of its entries. A segment without entries has no row.
     """
-    segment_bits = filter_bits(n_tokens) // SEGMENTS
-    parts = 1 + n_tokens // (SEGMENTS * PART_KEYS)
+    segments = segments_for(n_tokens)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4000):
@@ -165,105 +206,182 @@ def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
             before = contexts(tokens, sizes)
             starts = np.full(len(sizes), WordHashes().__missing__(START), np.int64)
             keys, n = np.unique(np.concatenate([unigram(tokens), unigram(starts), bigram(before, tokens)]), return_counts=True)
-            # Keys are sorted, and so are their segments; parts are the next bits.
-            name = segment(keys) * parts + ((keys >> np.uint64(32)) & np.uint64((1 << 22) - 1)).astype(np.int64) * parts // (1 << 22)
+            # Keys are sorted, and so are their segments.
+            name = segment(keys, segments)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
             n = np.minimum(n, (1 << 32) - 1).astype("<u4")
             packed = [(name[lo], keys[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:]) if hi > lo]
             where, k, c = zip(*packed) if packed else ((), (), ())
-            where = np.array(where, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((where // parts).astype(np.int32)), pa.array((where % parts).astype(np.int32)), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["segment", "part", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["segment", "keys", "counts"])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at, field, keys, counts = None, None, None, [], []
-
-        def add() -> None:
-            if keys:
-                k, inverse = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
-                n = np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4"))
-                t = level_of(n)
-                flags = np.zeros(segment_bits, bool)
-                for where in positions(np.repeat(k, t), np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) + 1, segment_bits):
-                    flags[where] = True
-                field[:] |= np.packbits(flags, bitorder="little")
-            keys.clear()
-            counts.clear()
+        now, keys, counts = None, [], []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([field.tobytes()], pa.binary())], ["segment", "bits"])
+            k, inverse = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+            t = level_of(np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4")))
+            entries = int(t.sum())
+            flags = np.zeros(-(-entries * BITS_AN_ENTRY // 8) * 8, bool)
+            for where in positions(np.repeat(k, t), np.arange(entries) - np.repeat(np.cumsum(t) - t, t) + 1, len(flags)):
+                flags[where] = True
+            keys.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
         for b in batches:
-            for s, p, k, c in zip(*(column.to_pylist() for column in b.columns)):
-                if (s, p) != (now, at):
-                    add()
-                    if s != now:
-                        if field is not None:
-                            yield done()
-                        field = np.zeros(segment_bits // 8, np.uint8)
-                    now, at = s, p
+            for s, k, c in zip(*(column.to_pylist() for column in b.columns)):
+                if s != now:
+                    if keys:
+                        yield done()
+                    now = s
                 keys.append(k)
                 counts.append(c)
-        add()
-        if field is not None:
+        if keys:
             yield done()
 
-    counted = docs.select("text").mapInArrow(partial, "segment int, part int, keys binary, counts binary")
-    dealt = counted.repartition("segment").sortWithinPartitions("segment", "part")
-    width = segment_bits // 8
-    filled = np.zeros(width * SEGMENTS, np.uint8)
-    for r in dealt.mapInArrow(bits, "segment int, bits binary").collect():
-        filled[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return LogFrequencyFilter(filled, segment_bits)
+    counted = docs.select("text").mapInArrow(partial, "segment int, keys binary, counts binary")
+    dealt = counted.repartition("segment").sortWithinPartitions("segment")
+    with freed_shuffles(docs.sparkSession):
+        return materialize(dealt.mapInArrow(bits, "segment int, bits binary"), "lm-filter")
+
+
+def collected(fields: DataFrame, n_tokens: int) -> LogFrequencyFilter:
+    return LogFrequencyFilter.of({r.segment: r.bits for r in fields.collect()}, segments_for(n_tokens))
+
 
+def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
+    """The filter of docs in one piece."""
+    return collected(filter_table(docs, n_tokens), n_tokens)
+
+
+def asked(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The distinct n-grams, in order, whose levels the scores of documents take."""
+    return np.unique(np.concatenate([unigram(np.array([WordHashes().__missing__(START)])), unigram(tokens), bigram(contexts(tokens, sizes), tokens)]))
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, held_out, text) packed as (chunk, doc_ids, held, texts), a bounded number and size in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(b: pa.RecordBatch) -> pa.RecordBatch:
+            ends = pa.array([0, b.num_rows], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in b.columns], ["doc_ids", "held", "texts"])
+
+        for b in small_batches(batches, 4000):
+            before, at = np.cumsum([len(t or "") for t in b.column(2).to_pylist()]), 0
+            while at < b.num_rows:
+                end = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + CHUNK_CHARS, "right")))
+                yield pack(b.slice(at, end - at))
+                at = end
+
+    packed = rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_ids array<long>, held array<boolean>, texts array<string>")
+    return materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks").select("chunk", "doc_ids", "held", "texts")
+
+
+def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFrame:
+    """By chunk the levels of its distinct n-grams as an array of (segment, levels) in order of the segments, a byte an n-gram."""
 
-def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, texts in zip(b.column(0).to_pylist(), b.column(1)):
+                keys = asked(*token_hashes(texts.as_py()))
+                name = segment(keys, segments)
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, chunk)), pa.array([keys[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:])], pa.binary())], ["segment", "chunk", "data"]
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, field = None, None
+        for b in batches:
+            chunks, where, levels = [], [], []
+            for s, chunk, data in zip(*(column.to_pylist() for column in b.columns)):
+                if chunk < 0:
+                    now, field = s, np.frombuffer(data, np.uint8)
+                    continue
+                keys = np.frombuffer(data, np.uint64)
+                found = probe(field, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(field) * 8)) if s == now else np.zeros(len(keys))
+                chunks.append(chunk)
+                where.append(s)
+                levels.append(found.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(where, pa.int32()), pa.array(levels, pa.binary())], ["chunk", "segment", "levels"])
+
+    questions = chunks.select("chunk", "texts").mapInArrow(ask, "segment int, chunk long, data binary")
+    # A segment's bits come before its questions.
+    both = questions.unionByName(fields.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")))
+    answers = both.repartition("segment").sortWithinPartitions("segment", "chunk").mapInArrow(answer, "chunk long, segment int, levels binary")
+    return answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("answers"))
+
+
+def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Learn from the rows of (doc_id, text) that aren't held out and score every row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is its end
     token alone. Rows map one to one, so repeated rows are scored, and learned from, as often as they occur; a null
-    doc_id isn't held out. Other columns are ignored. Without training rows all counts are zero.
+    doc_id isn't held out. Other columns are ignored. Without training rows all counts are zero. A filter of more than
+    most_bytes is probed by segment instead of being broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     training = rows.where("NOT held_out")
-    counts = materialize(count_unigrams(training), "lm-unigrams")
+    with freed_shuffles(spark):
+        counts = materialize(count_unigrams(training), "lm-unigrams")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n), int(total.v)
     denominator = n + v + 1
     frequent = counts.where(F.col("count") * head >= n).toArrow()
     frequent = frequent.sort_by("token")
-    model = build_filter(training, n)
-    shared: Broadcast = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["count"].to_numpy(), model.bits))
-    segment_bits = model.segment_bits
+    fields = filter_table(training, n)
+    segments = segments_for(n)
+    broadcast = fields.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= most_bytes
+    model = collected(fields, n) if broadcast else None
+    shared: Broadcast = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["count"].to_numpy(), model))
+
+    def scores(doc_ids: pa.Array, held: pa.Array, tokens: np.ndarray, sizes: np.ndarray, counts_of: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+        head_token, head_count, _ = shared.value
+        start = counts_of(unigram(np.array([WordHashes().__missing__(START)])))
+        begin = np.cumsum(sizes) - sizes
+        here, pair = counts_of(unigram(tokens)), counts_of(bigram(contexts(tokens, sizes), tokens))
+        ahead = preceding(here, sizes, start)
+        trust = TRUST * ahead / (ahead + MU)
+        p = trust * np.minimum(pair / np.maximum(ahead, 1), 1) + (1 - trust) * np.minimum((here + 1) / denominator, 1)
+        score = np.add.reduceat(np.log10(p), begin)
+
+        at = np.minimum(np.searchsorted(head_token, tokens), max(len(head_token) - 1, 0))
+        known = head_token[at] == tokens if len(head_token) else np.zeros(len(tokens), bool)
+        c = np.where(known, head_count[at] if len(head_token) else 0, 0)
+        base = np.add.reduceat(np.where(known, np.log10((c + 1) / denominator), 0.0), begin)
+        n_head = np.add.reduceat(known.astype(np.int64), begin)
+        row = np.repeat(np.arange(len(sizes)), sizes)[~known]
+        rare = pa.array(tokens[~known])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [doc_ids, held, pa.array(sizes), pa.array(n_head), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
+            ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_token, head_count, field = shared.value
-        lm = LogFrequencyFilter(field, segment_bits)
-        start = lm.counts(unigram(np.array([WordHashes().__missing__(START)])))
+        lm = shared.value[2]
         for b in small_batches(batches):
-            tokens, sizes = token_hashes(b.column(2).to_pylist())
-            begin = np.cumsum(sizes) - sizes
-            here, pair = lm.counts(unigram(tokens)), lm.counts(bigram(contexts(tokens, sizes), tokens))
-            ahead = preceding(here, sizes, start)
-            trust = TRUST * ahead / (ahead + MU)
-            p = trust * np.minimum(pair / np.maximum(ahead, 1), 1) + (1 - trust) * np.minimum((here + 1) / denominator, 1)
-            score = np.add.reduceat(np.log10(p), begin)
-
-            at = np.minimum(np.searchsorted(head_token, tokens), max(len(head_token) - 1, 0))
-            known = head_token[at] == tokens if len(head_token) else np.zeros(len(tokens), bool)
-            c = np.where(known, head_count[at] if len(head_token) else 0, 0)
-            base = np.add.reduceat(np.where(known, np.log10((c + 1) / denominator), 0.0), begin)
-            n_head = np.add.reduceat(known.astype(np.int64), begin)
-            row = np.repeat(np.arange(len(sizes)), sizes)[~known]
-            rare = pa.array(tokens[~known])
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes), pa.array(n_head), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
-                ["doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
-            )
+            yield scores(b.column(0), b.column(1), *token_hashes(b.column(2).to_pylist()), lm.counts)
+
+    def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_ids, held, texts, answers in zip(*b.columns):
+                tokens, sizes = token_hashes(texts.as_py())
+                keys = asked(tokens, sizes)
+                means = MEANS[np.frombuffer(b"".join(a["levels"] for a in answers.as_py()), np.uint8)]
+                yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, k)])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
-    scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    chunks = None if broadcast else chunked(rows)
+    with nullcontext() if broadcast else arrow_rows(spark, CHUNKS_A_BATCH), freed_shuffles(spark):
+        if broadcast:
+            scored = rows.mapInArrow(run, schema)
+        else:
+            answered = chunks.join(dealt_levels(chunks, fields, segments), "chunk")
+            scored = answered.select("doc_ids", "held", "texts", "answers").mapInArrow(run_answered, schema)
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").count().withColumnRenamed("count", "times")
     rest = (
         rare.join(counts, "token", "left")

@@ -76,3 +76,25 @@ def test_model_beats_the_base_on_held_out_text(spark):
     rows = [r for r in lm.score_documents(df).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.05 * sum(r.n_tokens for r in rows)
     assert all(r.score < 0 for r in rows)
+
+
+def test_filter_grows_with_its_entries():
+    assert [lm.segments_for(n) for n in (0, 1, 10**8, 10**9, 10**10)] == [1024, 1024, 1024, 2048, 32768]
+
+
+def test_filter_fits_distinct_text(spark):
+    """Each bigram of this text is new: at 8 bits a token one absent bigram in six would be found."""
+    docs = spark.createDataFrame([(" ".join(f"w{i}x{j}" for j in range(200)),) for i in range(1200)], "text string")
+    f = lm.build_filter(docs, 1200 * 201)
+    assert (f.levels(lm.mix(np.arange(20_000, dtype=np.uint64))) > 0).mean() < 0.02
+
+
+def test_dealt_filter_gives_the_broadcast_ones_scores(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 3000)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).collect()] + [(None, None), (-1, ""), (-2, "unheard of words"), (-2, "unheard of words"), (-3, "word " * 3000)]
+    df = spark.createDataFrame([(i, t, 0, 0.0) for i, t in rows], SCHEMA)
+    for d in (df, df.where("doc_id = 0"), df.where("false")):
+        one, other = (sorted(map(tuple, lm.score_documents(d, most_bytes=m).collect()), key=str) for m in (1 << 26, -1))
+        # Spark adds up the rare words of a base score in any order; the rest is the same to the bit.
+        assert [r[:5] + r[6:] for r in one] == [r[:5] + r[6:] for r in other] and len(one) == d.count()
+        assert [r[5] for r in one] == pytest.approx([r[5] for r in other], rel=1e-12)
