@@ -1,7 +1,8 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. Words score positive, less so or negative in links and in elements that are
-boilerplate by tag or by class, id or role; tags score negative. The weights are smoothed log-odds of standing inside
+A page is a sequence of words and tags. Words score positive, less so or negative in links; tags score negative. An element
+that is boilerplate by tag or by class, id or role scores negative once as a whole, whatever it holds, so that the
+region goes on past boilerplate in the middle of an article. The weights are smoothed log-odds of standing inside
 the article, counted on labelled pages (LABELLED). One linear scan finds the contiguous region whose scores sum to most;
 its text blocks, without those of boilerplate elements inside it, are the main text.
 """
@@ -106,11 +107,15 @@ def events(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         yield name, "", noise > 0, links > 0
 
 
-def kind(tag: str, noise: bool, link: bool) -> str:
-    """The feature whose weight a word or tag takes."""
-    if tag:
-        return ("noise " if noise else "") + tag.lstrip("/")
-    return "noise word" if noise else "link word" if link else "word"
+def features(sequence: list[tuple[str, str, bool, bool]]) -> Iterator[tuple[str, int]]:
+    """For each event the feature whose weight it takes, and how often: a run of boilerplate once, at its first event."""
+    before = False
+    for tag, text, noise, link in sequence:
+        if noise:
+            yield "boilerplate", 0 if before else 1
+        else:
+            yield (tag.lstrip("/"), 1) if tag else ("link word" if link else "word", len(text.split()))
+        before = noise
 
 
 _WORDS = "the rain came over the hills and the river rose by noon while farmers moved their herds to higher ground before night fell again".split()
@@ -126,12 +131,14 @@ LABELLED: list[list[tuple[str, bool]]] = [
     [("<body><header><a href='/'>Site</a><form><input><button>Search</button></form></header><div class='cookie-notice'>" + _prose(25) + "</div><main>", False), (f"<h1>{_prose(6)}</h1><p>{_prose(80)}</p><h2>{_prose(5)}</h2><p>{_prose(70, 3)} <a href='/x'>{_prose(3)}</a> {_prose(20)}</p><ul><li>{_prose(9)}</li><li>{_prose(8)}</li></ul>", True), ("</main><aside class='sidebar'><h3>Related</h3><ul>" + "".join(f"<li><a href='/{i}'>{_prose(7, i)}</a></li>" for i in range(8)) + "</ul></aside><footer>" + _prose(12) + "</footer></body>", False)],
     [("<body><div id='nav'><a href='/1'>One</a> | <a href='/2'>Two</a> | <a href='/3'>Three</a></div><div class='post'>", False), (f"<h1>{_prose(7)}</h1><div><p>{_prose(50)}</p><blockquote><p>{_prose(30, 6)}</p></blockquote><p>{_prose(45, 2)}</p></div>", True), ("</div><section class='comments'><h3>Comments</h3>" + "".join(f"<div class='comment'><p>{_prose(30, i)}</p></div>" for i in range(6)) + "<form><textarea></textarea></form></section><div id='footer'><p>" + _prose(15) + "</p></div></body>", False)],
     [("<body><table><tr><td><a href='/1'>One</a></td><td><a href='/2'>Two</a></td></tr></table><div>", False), (f"<h2>{_prose(6)}</h2>{_prose(90)}<br><br>{_prose(70, 5)}<p>{_prose(30)}", True), ("</div><div><a href='/t'>Terms</a> <a href='/p'>Privacy</a> <a href='/c'>Contact us</a></div></body>", False)],
+    [("<body><nav><a href='/1'>One</a> <a href='/2'>Two</a></nav><article>", False), (f"<h1>{_prose(7)}</h1><p>{_prose(30)}</p><aside><h3>Related</h3><ul><li><a href='/r'>{_prose(60, 3)}</a></li></ul></aside><p>{_prose(60, 2)} <a href='/x'>{_prose(4)}</a> {_prose(9)}</p><p>{_prose(20)}</p>", True), ("</article><footer>" + _prose(10) + "</footer></body>", False)],
+    [("<body><header><a href='/'>Site</a></header><main>", False), (f"<h1>{_prose(5)}</h1><p>{_prose(25)}</p><div class='newsletter'><p>{_prose(50, 4)}</p><form><input><button>Subscribe</button></form></div><p>{_prose(45, 5)} <a href='/y'>{_prose(3, 2)}</a> {_prose(8)}</p><div class='ad'>{_prose(70)}</div><p>{_prose(30)}</p>", True), ("</main><div class='related'><p>" + _prose(40) + "</p></div><footer>" + _prose(10) + "</footer></body>", False)],
 ]
 
 
 @lru_cache(maxsize=1)
 def weights() -> dict[str, float]:
-    """Weight of each feature by log-odds on LABELLED; words outside links and boilerplate weigh at least 1, tags at most -0.25."""
+    """Weight of each feature by log-odds on LABELLED; words outside links weigh at least 1, tags and boilerplate at most -0.25."""
     inside: dict[str, float] = {}
     outside: dict[str, float] = {}
     for parts in LABELLED:
@@ -140,17 +147,15 @@ def weights() -> dict[str, float]:
             page += part
             marks += [good] * len(part)
         at = 0
-        for tag, text, noise, link in events(page):
-            f = kind(tag, noise, link)
-            if tag:
-                at = max(at, page.lower().find("<" + tag, at))
-                n = 1
-            else:
-                at, n = page.find(text, at), len(text.split())
+        sequence = list(events(page))
+        for (tag, text, _, _), (f, n) in zip(sequence, features(sequence)):
+            at = max(at, page.lower().find("<" + tag, at)) if tag else page.find(text, at)
             into = inside if marks[min(at, len(marks) - 1)] else outside
             into[f] = into.get(f, 0) + n
+            # Shares are of all words and tags, those of boilerplate elements too.
+            into["all"] = into.get("all", 0) + (1 if tag else len(text.split()))
             at += len(text) or 1
-    total_in, total_out = sum(inside.values()), sum(outside.values())
+    total_in, total_out = inside.pop("all"), outside.pop("all")
     out = {}
     for f in {*inside, *outside}:
         odds = float(np.log((inside.get(f, 0) + 0.5) / (total_in + 1)) - np.log((outside.get(f, 0) + 0.5) / (total_out + 1)))
@@ -165,10 +170,9 @@ def main_text(page: str | None) -> str:
     weight = weights()
     sequence = list(events(page))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (tag, text, noise, link) in enumerate(sequence):
-        n = 1 if tag else len(text.split())
+    for i, (f, n) in enumerate(features(sequence)):
         if n:
-            total += n * weight.get(kind(tag, noise, link), -1.0 if tag else 0.0)
+            total += n * weight.get(f, -1.0)
             if total <= 0:
                 total, begin = 0.0, i + 1
             elif total > best:

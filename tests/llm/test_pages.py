@@ -104,3 +104,11 @@ def test_pages_of_the_table(spark, sf_dir):
     df = spark.createDataFrame([(1, "u", None, "t"), (None, None, "x", "t"), (1, "u", None, "t"), (2, "u", "<p>" + "long " * 200_000, "t")], SCHEMA)
     assert sorted(r.n_chars for r in html_text.extract_text(df).collect()) == [0, 0, 1, 999_999]
     assert html_text.extract_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("box", ["<aside>{}</aside>", "<div class='newsletter'><h3>{}</h3><form><input></form></div>", "<ul class='related'><li><a href='/'>{}</a></li></ul>"])
+@pytest.mark.parametrize("n", [60, 6000])
+def test_boilerplate_inside_an_article_costs_no_side(box, n):
+    title, lead, body = "A title of six plain words", ("lead " * 40).strip(), ("body " * 50).strip()
+    page = f"<body><nav><a href='/'>Home</a></nav><article><h1>{title}</h1><p>{lead}</p>{box.format('buy this ' * n)}<p>{body}</p></article><footer>all rights kept</footer></body>"
+    assert html_text.main_text(page) == f"{title}\n\n{lead}\n\n{body}"
