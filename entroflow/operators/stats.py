@@ -229,13 +229,33 @@ def circle_fit(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataF
 def block_length(df: DataFrame, keys: Sequence[str], value: str = "value", order: str = "idx", most: int = 200) -> DataFrame:
     """First lag at which the autocorrelation of each key's series is below 1/e, else a tenth of its length; from 2 to a third of it.
 
-    Lags up to `most` are examined, each row meeting that many others at most.
+    All lags count. Those up to `most` are examined first, each row meeting that many others, and further ones in ranges
+    that double, for series that aren't below 1/e by then.
     """
-    n = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    c = df.join(n, list(keys)).select(*keys, F.col(order).alias("_i"), (F.col(value) - F.col("_m")).alias("_c"), "_n")
-    ahead = c.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"), "_i", "_c").withColumn("_i", F.col("_i") - F.col("lag")).withColumnRenamed("_c", "_d")
-    acf = c.join(ahead, [*keys, "_i"]).groupBy(*keys, "_n", "lag").agg(F.sum(F.col("_c") * F.col("_d")).alias("_s"))
-    zero = acf.where("lag = 0").select(*keys, F.col("_s").alias("_z"))
-    low = acf.join(zero, list(keys)).groupBy(*keys, "_n", "_z").agg(F.min(F.when((F.col("lag") > 0) & (F.col("_s") / F.nullif(F.col("_z"), F.lit(0.0)) < F.exp(F.lit(-1.0))), F.col("lag"))).alias("_l"))
+    at = F.col(order)
+    n = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"), (F.max(at) - F.min(at)).alias("_span"))
+    c = df.join(n, list(keys)).select(*keys, at.alias("_i"), (F.col(value) - F.col("_m")).alias("_c"), "_n", "_span")
+
+    def sums(rows: DataFrame, low: int, high: int) -> DataFrame:
+        ahead = rows.select(*keys, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), "_i", "_c").withColumn("_i", F.col("_i") - F.col("lag")).withColumnRenamed("_c", "_d")
+        return rows.join(ahead, [*keys, "_i"]).groupBy(*keys, "_n", "_span", "lag").agg(F.sum(F.col("_c") * F.col("_d")).alias("_s"))
+
+    def first_below(acf: DataFrame, zero: DataFrame) -> DataFrame:
+        below = F.when((F.col("lag") > 0) & (F.col("_s") / F.nullif(F.col("_z"), F.lit(0.0)) < F.exp(F.lit(-1.0))), F.col("lag"))
+        return acf.join(zero, list(keys)).groupBy(*keys, "_n", "_span", "_z").agg(F.min(below).alias("_l"))
+
+    acf, high = sums(c, 0, most), most
+    low = first_below(acf, acf.where("lag = 0").select(*keys, F.col("_s").alias("_z"))).persist()
+    settled = []
+    while True:
+        waits = F.coalesce(F.col("_l").isNull() & (F.col("_z") > 0) & (F.col("_span") > high), F.lit(False))
+        left = low.where(waits)
+        if left.isEmpty():
+            break
+        settled.append(low.where(~waits))
+        found = first_below(sums(c.join(left.select(*keys), list(keys)), high + 1, 2 * high), left.select(*keys, "_z"))
+        low, high = left.drop("_l").join(found.select(*keys, "_l"), list(keys), "left").persist(), 2 * high
+    for other in settled:
+        low = low.unionByName(other)
     size = F.greatest(F.lit(2), F.least(F.coalesce("_l", F.floor(F.col("_n") / 10)), F.floor(F.col("_n") / 3)))
     return low.select(*keys, F.when(F.col("_z") > 0, size).otherwise(2).cast("long").alias("block"))

@@ -138,3 +138,17 @@ def test_streams(spark, tmp_path):
     q = resample.running_moments(stream, "k", "v").writeStream.outputMode("update").foreachBatch(lambda d, i: seen.extend(d.collect())).option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert seen[-1].n == 12 and seen[-1]["mean"] == pytest.approx(5.5) and seen[-1]["std"] == pytest.approx(np.std(np.arange(12)))
+
+
+def test_block_length_looks_at_all_lags(spark):
+    import numpy as np
+
+    from entroflow.functions import surrogates
+    from entroflow.operators import stats
+
+    i = np.arange(1800)
+    series = {"slow": np.sin(i / 450), "slower": i / 7.0, "fast": np.sin(i / 3), "short": i[:50] * 1.0, "middle": np.sin(i / 190), "flat": np.zeros(300)}
+    df = spark.createDataFrame([(k, int(j), float(v)) for k, x in series.items() for j, v in enumerate(x)], "series string, idx long, value double")
+    got = {r.series: r.block for r in stats.block_length(df, ["series"]).collect()}
+    assert got == {k: surrogates.block_size(x) for k, x in series.items()}
+    assert got["slow"] > 200 and got["slower"] > 200 and got["middle"] > 200
