@@ -1,7 +1,6 @@
 """Exact deduplication with a log-structured merge index of text digests, in DataFrame operations only.
 
-Flush: every task is a memtable and writes its digests as one sorted run, a Parquet file whose footer holds a
-Bloom filter of the digests. Compaction: the runs merge by digest to one entry that keeps the best row's id and the
+Flush: every task is a memtable and writes its digests as one sorted run, a Parquet file. Compaction: the runs merge by digest to one entry that keeps the best row's id and the
 group's size; this aggregates within tasks before it shuffles, so a hot group costs a row a task. Hits: entries with
 more than one row feed a filter of fixed size that is broadcast; only texts that pass it are compared, byte by byte: a
 group's texts are equal if the smallest and the largest are, which tasks work out on their own rows before they shuffle.
@@ -31,9 +30,9 @@ def _rank() -> Column:
 
 
 def flush(rows: DataFrame) -> DataFrame:
-    """Write sorted runs of (key, digest, doc_id, code_points), one a task, each with a Bloom filter on the key."""
+    """Write sorted runs of (key, digest, doc_id, code_points), one a task."""
     run = rows.select("key", "digest", "doc_id", "code_points").sortWithinPartitions("key")
-    return materialize(run, "dedup-runs", **{"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+    return materialize(run, "dedup-runs")
 
 
 def compact(runs: DataFrame) -> DataFrame:

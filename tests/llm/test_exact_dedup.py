@@ -49,3 +49,12 @@ def test_sql(spark, sf_dir):
 def test_native_plan(spark, sf_dir):
     plan = op4_exact_dedup(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_runs_carry_no_filter_that_nothing_reads(spark, monkeypatch):
+    from entroflow.llm import exact_dedup as module
+
+    made = {}
+    monkeypatch.setattr(module, "materialize", lambda df, label, **options: made.update({label: options}) or df)
+    exact_dedup(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")).count()
+    assert made["dedup-runs"] == {} and "dedup-level" in made
