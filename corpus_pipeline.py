@@ -1,9 +1,13 @@
-"""A training corpus from `documents`: good rows in a known language, without exact and near copies, packed into sequences.
+"""A training corpus from `documents`: good rows that hold text, without exact and near copies, packed into sequences.
 
 Each stage works on all rows that the one before kept, and is written as Parquet to the shared folder and read again, so
 a lost executor costs the running stage at most. Stages hold the rows' columns as they are; the last returns pieces.
 A document is identified by doc_id; null texts are empty, and are judged, in turn, by their (zero) quality features, as
 of no language, and as copies of each other.
+
+The language stage drops rows without a verdict of op1, i.e. texts without a letter (all rows if no language was
+learned). Any other text has the learned language that fits it best, so a text in another language, or junk with letters,
+stays: the stage doesn't reject by entropy.
 """
 
 from __future__ import annotations

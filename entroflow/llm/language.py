@@ -168,7 +168,10 @@ def predict_language(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """The rows of docs whose text is in a learned language, not `und`, with all their columns; no shuffle."""
+    """The rows of docs whose text has a verdict, not `und`, with all their columns; no shuffle.
+
+    A text without a letter has none. Any other is given the learned language that fits best, however badly, and stays.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

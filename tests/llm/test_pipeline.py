@@ -41,3 +41,9 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf_dir):
             assert out.columns == frame.columns, name
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir).collect()
+
+
+def test_language_stage_drops_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "zzqx wvvk junk qqq"), (2, "日本語の文章"), (3, "12 34 !?"), (4, ""), (5, None)], "doc_id long, text string")
+    texts = {"en": "the cat and the dog went home", "de": "der hund und die katze gingen heim"}
+    assert sorted(r.doc_id for r in language.keep_known(docs, texts).collect()) == [1, 2]
