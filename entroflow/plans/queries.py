@@ -480,9 +480,13 @@ def significance_of_replicates(spark, sf_dir):
     return rounded(s, "te_bits", "surr_mean", "surr_std", "surr_p95", "surr_p99", "lower_ci", "upper_ci", "p_value")
 
 
+#: Surrogates of the significance queries, the engine's default.
+SURROGATES = 100
+
+
 def _significant(spark, sf_dir, kind):
     w, e = wide(spark, sf_dir), [catalog.Entity("view", (("click", 1),)), catalog.Entity("purchase", (("click", 1), ("view", 0)))]
-    return rolling.significance(rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, 20, kind))
+    return rolling.significance(rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, SURROGATES, kind))
 
 
 @query()

@@ -129,3 +129,11 @@ def test_exclusive_or(spark):
     assert discrete.entropy(d, ["x"]).first()[0] == pytest.approx(1)
     assert discrete.mutual_information(d, ["x"], ["y"]).first()[0] == pytest.approx(0)
     assert discrete.conditional_mutual_information(d, ["x"], ["y"], ["z"]).first()[0] == pytest.approx(1)
+
+
+def test_significance_rests_on_a_hundred_surrogates(spark, sf_dir):
+    from entroflow.plans import queries
+
+    p = [r.p_value for r in queries.shuffle_significance(spark, sf_dir).select("p_value").collect() if r.p_value is not None]
+    steps = {round(x * 100, 6) % 5 for x in p}
+    assert p and len(steps) > 1
