@@ -8,7 +8,7 @@ from .lm_score import op9_lm_score
 from .minhash import op2_minhash
 from .packing import op8_packing
 from .quality import op10_quality
-from .vector_dedup import op5_vectors
+from .vector_dedup import OP5_SQL, op5_vectors
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -26,5 +26,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_vectors": OP5_SQL,
     "op6_warc": OP6_SQL,
 }

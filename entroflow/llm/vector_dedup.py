@@ -1,20 +1,24 @@
 """Near-duplicate vectors by a robust-pruned flat graph on overlapping cluster shards.
 
-Shards: the vectors of a label are dealt to centres fitted by a few Lloyd steps on a bounded sample (SAMPLE vectors), as
-many as its rows ask for. A vector belongs to the shard of its nearest centre (its home) and to that of every centre
-less than OVERLAP further by chord. Two vectors of cosine 0.98 are a chord of 0.2 apart, of which a centre sees about
-0.2 / sqrt(dimensions), so a vector's neighbours are in its home shard but for rare ones; audit_recall counts them.
-Shards over BLOCK members are dealt into blocks by hash and each ordered pair of blocks is one unit of work, which
-bounds every unit; a unit holds the queries of one block and the graph of another.
-
-Graph: in a unit the graph's vectors are dealt once more into overlapping sub-shards around a few pivots, in each of
-which robust pruning picks the neighbours of a vector among those nearest to it (a candidate is dropped if a kept one is
-ALPHA times closer to it than the vector is); the adjacency lists are united. Search: greedy search from the medoids of
-the sub-shards keeps a beam; once it stands still, every vector within the radius is expanded until no new one turns up.
-Each found link is verified by its cosine in double precision. Recall is audited against brute force (audit_recall).
-
-A unit returns, for each of its queries, the number of links and, for connectivity, a link to the smallest vector of
-the query's group in the unit: as many rows as vectors, however dense a group is.
+Shards: the vectors of a label and length are dealt to centres, level after level until a shard holds at most SHARD vectors
+or no longer shrinks. The centres of a shard are fitted by a few Lloyd steps on a bounded sample of it (SAMPLE vectors), by a
+task of its own. A vector belongs to the shard of its nearest centre (its home) and to that of every centre less than
+OVERLAP further by chord. Two vectors of cosine 0.98 are a chord of 0.2 apart, of which a centre sees about
+0.2 / sqrt(dimensions), so a vector's neighbours are in its home shard but for rare ones, which the audit counts. A shard
+that doesn't shrink is dealt into blocks of about BLOCK by hash.
+
+Build: in each block the vectors are dealt once more into overlapping sub-shards around a few pivots, in each of which
+robust pruning picks the neighbours of a vector among those nearest to it (a candidate is dropped if a kept one is ALPHA
+times closer to it than the vector is). Union: the adjacency lists of a vector, from all shards that it belongs to, are
+united to one flat graph, a table of (vector, neighbours).
+
+Search: the vectors whose home a block's shard is walk the united graph over the vectors of that block, from the medoids of
+its sub-shards. Greedy search keeps a beam; once it stands still, every vector within the radius is expanded until no new
+one turns up. Each found link is verified by its cosine in double precision. A unit returns the number of links of
+each vector that asked, and a spanning forest of the links it found: fewer rows than vectors, however dense a group is,
+and the same components as all the links have.
+
+Audit: a bounded set of vectors (AUDIT of them, by hash) is compared with all rows by brute force.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -32,20 +37,29 @@ from .graph import components
 COSINE = 0.98
 SAMPLE = 4000
 SHARD = 4000
+#: Centres of one level, at most.
+FANOUT = 256
+#: Rows that a task deals to their centres at once, on average.
+PART = 50_000
+#: A shard that keeps more than this share of the one it comes from is not divided further.
+STUCK = 0.8
 OVERLAP = 0.12
-BLOCK = 8000
+BLOCK = 4000
 SUB_SHARD = 400
 DEGREE = 24
 BEAM = 48
 ALPHA = 1.2
+#: Vectors that the audit compares with all rows, and the recall under which a result is an error.
+AUDIT = 200
+LEAST_RECALL = 0.9
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding as doubles) of rows that can link: no null in id, label, vector or components, finite, not zero."""
+def usable() -> Column:
+    """Whether a row can link: no null in id, label, vector or components, all finite, not zero."""
     v = F.col("embedding")
     real = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     some = F.exists(v, lambda x: x != 0)
-    return vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").where(real & some).select("vec_id", "label", v.cast("array<double>").alias("embedding"))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & real & some, F.lit(False))
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -85,36 +99,36 @@ def robust_prune(x: np.ndarray, i: int, candidates: np.ndarray, degree: int = DE
     return kept
 
 
-class FlatGraph:
-    """A robust-pruned graph over the rows of x, united from overlapping sub-shards."""
-
-    def __init__(self, x: np.ndarray, ids: np.ndarray, sub_shard: int = SUB_SHARD):
-        self.x = x
-        k = max(1, int(np.ceil(2 * len(x) / sub_shard)))
-        pivots = x[np.argsort(ids * 2654435761 % (1 << 32), kind="stable")[:k]]
-        near = x @ pivots.T
-        two = np.argsort(-near, axis=1, kind="stable")[:, :2]
-        links: list[set[int]] = [set() for _ in range(len(x))]
-        self.medoids = []
-        for c in range(k):
-            own = np.flatnonzero((two == c).any(axis=1))
-            for at in range(0, len(own), 4 * sub_shard):
-                self._link(own[at : at + 4 * sub_shard], links)
-        self.links = [np.fromiter(s, np.int64, len(s)) for s in links]
-
-    def _link(self, own: np.ndarray, links: list[set[int]]) -> None:
-        """Prune within one sub-shard and add its medoid to the places where searches begin."""
-        x = self.x
-        if len(own):
+def adjacency(x: np.ndarray, order: np.ndarray, sub_shard: int = SUB_SHARD) -> tuple[list[set[int]], list[int]]:
+    """Robust-pruned neighbours of each row of x, united over overlapping sub-shards, and the sub-shards' medoids.
+
+    order: numbers whose hash picks the pivots.
+    """
+    k = max(1, int(np.ceil(2 * len(x) / sub_shard)))
+    pivots = x[np.argsort(order * 2654435761 % (1 << 32), kind="stable")[:k]]
+    two = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :2]
+    links: list[set[int]] = [set() for _ in range(len(x))]
+    medoids = []
+    for c in range(k):
+        near = np.flatnonzero((two == c).any(axis=1))
+        for at in range(0, len(near), 4 * sub_shard):
+            own = near[at : at + 4 * sub_shard]
             similar = x[own] @ x[own].T
-            self.medoids.append(int(own[np.argmax(similar.sum(axis=1))]))
+            medoids.append(int(own[np.argmax(similar.sum(axis=1))]))
             most = min(len(own), 3 * DEGREE + 1)
             nearest = np.argpartition(-similar, most - 1, axis=1)[:, :most]
             for row, i in enumerate(own):
-                others = nearest[row][nearest[row] != row]
-                for j in robust_prune(x, int(i), own[others]):
+                for j in robust_prune(x, int(i), own[nearest[row][nearest[row] != row]]):
                     links[i].add(j)
                     links[j].add(int(i))
+    return links, medoids
+
+
+class FlatGraph:
+    """Search over rows of x by their neighbours' positions."""
+
+    def __init__(self, x: np.ndarray, links: list[np.ndarray], medoids: np.ndarray):
+        self.x, self.links, self.medoids = x, links, medoids
 
     def within(self, q: np.ndarray, cosine: float, beam: int = BEAM) -> np.ndarray:
         """Rows whose cosine with q is at least `cosine`, found by range-expanding greedy search."""
@@ -141,130 +155,217 @@ class FlatGraph:
         return pool[score >= cosine]
 
 
-def members(rows: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Rows (vec_id, label, embedding) with their shard and whether it is their home, a row for each shard they belong to."""
-    by_label = rows.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.max("count"), F.lit(0)).alias("most")).first()
-    n, k = by_label.n, min(max(1, -(-by_label.most // shard)), sample // 4)
-    share = min(1.0, sample / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    drawn = drawn["embedding"].combine_chunks()
-    x: dict[int, list] = {}
-    for v in drawn.to_pylist():
-        x.setdefault(len(v), []).append(v)
-    centres = {d: fit_centres(unit_rows(pa.array(v)), k) for d, v in x.items()}
+PLACED = "node long, label long, embedding array<double>, copies long, shard string, home boolean"
+
+
+def divided(placed: DataFrame, sizes: DataFrame, sample: int, shard: int) -> DataFrame:
+    """The rows of the shards in sizes (label, shard, n) dealt to centres of their own."""
+    key = ["label", "shard"]
+    rows = placed.join(sizes, key)
+    drawn = rows.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < F.lit(float(sample << 20)) / F.col("n")).select(*key, "n", "node", "embedding")
+
+    def fit(group: pa.Table) -> pa.Table:
+        g = group.sort_by("node")
+        x = unit_rows(g["embedding"].combine_chunks())
+        centres = fit_centres(x, max(2, min(FANOUT, len(x) // 4, -(-g["n"][0].as_py() // shard))))
+        return pa.table({"label": [g["label"][0].as_py()], "shard": [g["shard"][0].as_py()], "centres": pa.array([centres.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    centres = materialize(drawn.groupBy(*key).applyInArrow(fit, "label long, shard string, centres array<array<double>>"), "vectors-centres")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    spread = centres.join(sizes, key).select(*key, "centres", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+    def deal(rows: pa.Table, found: pa.Table) -> pa.Table:
+        # A shard whose sample is empty stays whole.
+        if not rows.num_rows or not found.num_rows:
+            return rows.select([c.split()[0] for c in PLACED.split(", ")])
+        c = np.array(found["centres"][0].as_py(), float)
+        chord = np.sqrt(np.maximum(2 - 2 * unit_rows(rows["embedding"].combine_chunks()) @ c.T, 0))
+        row, at = np.nonzero(chord <= chord.min(axis=1, keepdims=True) + OVERLAP)
+        name = rows["shard"][0].as_py()
+        out = rows.take(pa.array(row)).select([c.split()[0] for c in PLACED.split(", ")])
+        home = out["home"].to_numpy() & (at == chord.argmin(axis=1)[row])
+        return out.set_column(4, "shard", pa.array([f"{name}.{i}" for i in at], pa.string())).set_column(5, "home", pa.array(home))
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("n")
+    return dealt.groupBy(*key, "part").cogroup(spread.groupBy(*key, "part")).applyInArrow(deal, PLACED)
+
+
+def members(classes: DataFrame, shard: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Classes (node, label, embedding, copies) with their shard and whether it is their home, a row for each shard they belong to."""
+    shard = shard or SHARD
+    placed = materialize(classes.withColumns({"shard": F.size("embedding").cast("string"), "home": F.lit(True)}), "vectors-members")
+    done, before = None, None
+    while True:
+        sizes = placed.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("n"))
+        if before is None:
+            divisible = F.col("n") > shard
+        else:
+            parent = before.select("label", F.col("shard").alias("parent"), F.col("n").alias("whole"))
+            sizes = sizes.withColumn("parent", F.regexp_replace("shard", r"\.\d+$", "")).join(parent, ["label", "parent"], "left")
+            # A shard that stayed whole has no parent among those divided.
+            divisible = (F.col("n") > shard) & F.coalesce(F.col("n") <= STUCK * F.col("whole"), F.lit(False))
+        sizes = materialize(sizes.select("label", "shard", "n", divisible.alias("divide")), "vectors-sizes")
+        large = sizes.where("divide").select("label", "shard", "n")
+        if large.isEmpty():
+            return placed if done is None else done.unionByName(placed)
+        rest = placed.join(sizes.where("NOT divide").select("label", "shard"), ["label", "shard"]).select(placed.columns)
+        done = rest if done is None else done.unionByName(rest)
+        placed, before = materialize(divided(placed, large, sample, shard), "vectors-members"), large
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = np.array([len(v) for v in b.column(2).to_pylist()], np.int64)
-            for d in np.unique(sizes):
-                part = b.filter(pa.array(sizes == d))
-                c = centres.get(int(d))
-                if c is None:
-                    row, at, home = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), np.ones(part.num_rows, bool)
-                else:
-                    chord = np.sqrt(np.maximum(2 - 2 * unit_rows(part.column(2)) @ c.T, 0))
-                    row, at = np.nonzero(chord <= chord.min(axis=1, keepdims=True) + OVERLAP)
-                    home = at == chord.argmin(axis=1)[row]
-                name = pa.array([f"{d}:{i}" for i in at], pa.string())
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*taken.columns, name, pa.array(home)], ["vec_id", "label", "embedding", "shard", "home"])
-
-    return rows.mapInArrow(run, "vec_id long, label long, embedding array<double>, shard string, home boolean")
-
-
-def unit_links(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, asks: np.ndarray, holds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the rows that ask: id, number of verified links to rows that hold, and the smallest id among these and itself.
-
-    copies: rows that a row stands for.
-    """
-    held = np.flatnonzero(holds)
-    graph = FlatGraph(x[held], ids[held])
-    out_id, out_n, out_low = [], [], []
-    for i in np.flatnonzero(asks):
-        found = held[graph.within(x[i], cosine - 1e-9)]
-        found = found[(x[found] * x[i]).sum(axis=1) >= cosine]
-        found = found[ids[found] != ids[i]]
-        out_id.append(ids[i])
-        out_n.append(copies[found].sum())
-        out_low.append(min(ids[i], ids[found].min()) if len(found) else ids[i])
-    return np.array(out_id, np.int64), np.array(out_n, np.int64), np.array(out_low, np.int64)
 
+BUILT = "node long, label long, embedding array<double>, copies long, shard string, home boolean, block int, medoid boolean, links array<long>"
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Link rows (vec_id, embedding, label) of equal labels whose vectors' cosine is at least `cosine`.
 
-    Returns vec_id, n_links, component_id, kept, one row per vector. Vectors that are null, zero or hold a null or
-    non-finite component, and rows without a label or id, link with nothing; vectors of different lengths link with
-    nothing either. Rows equal in label and vector are one class, searched once, and link with each other. vec_id
-    identifies a vector. Other columns are ignored; an empty table gives an empty result.
-    """
-    rows = usable(vectors)
-    classes = materialize(
-        rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")).select("vec_id", F.col("label").cast("long").alias("label"), "embedding", "copies"), "vectors-classes"
-    )
-    placed = members(classes.select("vec_id", "label", "embedding")).join(classes.select("vec_id", "copies"), "vec_id")
-    placed = materialize(placed, "vectors-members")
+def built(placed: DataFrame) -> DataFrame:
+    """placed with each vector's block, whether it is a medoid, and its neighbours (nodes) within the block."""
     sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # A row asks in its home shard against every block, and is held for the queries of every block.
-    dealt = placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+
+    def run(group: pa.Table) -> pa.Table:
+        g = group.sort_by("node")
+        nodes = g["node"].to_numpy()
+        links, medoids = adjacency(unit_rows(g["embedding"].combine_chunks()), nodes)
+        medoid = np.zeros(len(nodes), bool)
+        medoid[medoids] = True
+        named = pa.array([nodes[sorted(s)] for s in links], pa.list_(pa.int64()))
+        return g.select([c.split()[0] for c in BUILT.split(", ")[:7]]).append_column("medoid", pa.array(medoid)).append_column("links", named)
+
+    return materialize(dealt.groupBy("label", "shard", "block").applyInArrow(run, BUILT), "vectors-graph")
+
+
+def united(graph: DataFrame) -> DataFrame:
+    """graph with the neighbours of each vector from all blocks that hold it."""
+    several = graph.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("all")).where("n > 1").select("node", "all")
+    return graph.join(several, "node", "left").withColumn("links", F.coalesce("all", "links")).drop("all")
+
+
+def unit_links(nodes: np.ndarray, x: np.ndarray, copies: np.ndarray, links: list, medoids: np.ndarray, asks: np.ndarray, holds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that ask, their numbers of verified links to rows that hold, a spanning forest of these links as pairs of nodes).
+
+    nodes are in order; copies: rows that a row stands for; links: neighbours by node, those beyond the unit are left out.
+    """
+    held = np.flatnonzero(holds)
+    own = nodes[held]
+
+    def inside(found: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(own, found), len(own) - 1)
+        return at[own[at] == found]
+
+    graph = FlatGraph(x[held], [inside(np.asarray(links[i], np.int64)) for i in held], inside(nodes[medoids & holds]))
+    asking = np.flatnonzero(asks)
+    n, root, forest = np.zeros(len(asking), np.int64), np.arange(len(nodes)), []
+    for at, i in enumerate(asking):
+        found = held[graph.within(x[i], cosine - 1e-9)]
+        found = found[((x[found] * x[i]).sum(axis=1) >= cosine) & (found != i)]
+        n[at] = copies[found].sum()
+        others, first = np.unique(root[found], return_index=True)
+        new = others != root[i]
+        if new.any():
+            forest += [(nodes[i], nodes[j]) for j in found[first[new]]]
+            root[np.isin(root, others[new])] = root[i]
+    return asking, n, np.array(forest, np.int64).reshape(-1, 2)
+
+
+def searched(graph: DataFrame, cosine: float) -> DataFrame:
+    """Rows (node, n) for each search of a vector in a block, and rows (a, b) of the links' forests."""
+    blocks = graph.groupBy("label", "shard").agg((F.max("block") + 1).alias("blocks"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    roles = dealt.select(
-        "label", "shard", "vec_id", "embedding", "copies", "home",
-        F.explode(F.array_union(F.transform(every, lambda o: F.struct(F.col("block").alias("i"), o.alias("j"))), F.transform(every, lambda o: F.struct(o.alias("i"), F.col("block").alias("j"))))).alias("u"), "block",
-    ).select("label", "shard", "u.i", "u.j", "vec_id", "embedding", "copies", (F.col("home") & (F.col("block") == F.col("u.i"))).alias("asks"), (F.col("block") == F.col("u.j")).alias("holds"))
+    # A block's vectors ask in every block of their home shard, their own among them; a block is held for the askers of every block.
+    asks = F.transform(every, lambda o: F.struct(F.col("block").alias("i"), o.alias("j"), F.col("home").alias("asks"), (o == F.col("block")).alias("holds")))
+    holds = F.transform(F.filter(every, lambda o: o != F.col("block")), lambda o: F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("holds")))
+    roles = graph.join(blocks, ["label", "shard"]).withColumn("u", F.explode(F.concat(asks, holds))).where("u.asks OR u.holds")
+    roles = roles.select("label", "shard", "u.i", "u.j", "node", "embedding", "copies", "u.asks", "u.holds", "medoid", F.when(F.col("u.holds"), F.col("links")).otherwise(F.array().cast("array<bigint>")).alias("links"))
 
     def run(group: pa.Table) -> pa.Table:
-        g = group.sort_by("vec_id")
-        ids, copies = g["vec_id"].to_numpy(), g["copies"].to_numpy()
-        asks, holds = g["asks"].to_numpy(), g["holds"].to_numpy()
+        g = group.sort_by("node")
+        nodes, asks, holds = (g[c].to_numpy() for c in ("node", "asks", "holds"))
+        node = n = np.zeros(0, np.int64)
+        forest = np.zeros((0, 2), np.int64)
         if asks.any() and holds.any():
-            i, n, low = unit_links(ids, unit_rows(g["embedding"].combine_chunks()), copies, asks, holds, cosine)
-        else:
-            i = n = low = np.zeros(0, np.int64)
-        return pa.table({"vec_id": i, "n": n, "low": low})
-
-    found = materialize(roles.groupBy("label", "shard", "i", "j").applyInArrow(run, "vec_id long, n long, low long"), "vectors-links")
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
-    degree = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    by_class = (
-        classes.join(degree, "vec_id", "left").join(labels.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("component"))
-    )
-    linked = rows.withColumn("label", F.col("label").cast("long")).join(by_class, ["label", "embedding"]).select("vec_id", "n", "component")
-    return (
-        vectors.select("vec_id")
-        .join(linked, "vec_id", "left")
-        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    )
-
-
-def audit_recall(vectors: DataFrame, result: DataFrame, every: int = 100, cosine: float = COSINE) -> tuple[int, int]:
-    """Links of the rows whose vec_id is divisible by `every`: those that result counts, and those that brute force finds.
-
-    The queries are broadcast (a stated set, to be chosen small) and compared with all rows.
+            at, n, forest = unit_links(nodes, unit_rows(g["embedding"].combine_chunks()), g["copies"].to_numpy(), g["links"].to_pylist(), g["medoid"].to_numpy(), asks, holds, cosine)
+            node = nodes[at]
+        empty, blank = pa.nulls(len(forest), pa.int64()), pa.nulls(len(node), pa.int64())
+        return pa.table({"node": pa.concat_arrays([pa.array(node), empty]), "n": pa.concat_arrays([pa.array(n), empty]), "a": pa.concat_arrays([blank, pa.array(forest[:, 0])]), "b": pa.concat_arrays([blank, pa.array(forest[:, 1])])})
+
+    return roles.groupBy("label", "shard", "i", "j").applyInArrow(run, "node long, n long, a long, b long")
+
+
+def audit(classes: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> tuple[int, int, int]:
+    """Brute force on a bounded set of queries: links that classes count, links that there are, and links that join two components.
+
+    classes: vec_id, label, embedding, copies, n, component. The queries are the `queries` classes of smallest hash, in a
+    closure; every class is compared with them once.
     """
-    rows = usable(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0).toArrow()
-    q = {}
-    for i, label, v in zip(asked["vec_id"].to_pylist(), asked["label"].to_pylist(), asked["embedding"].to_pylist()):
-        q.setdefault((label, len(v)), []).append((i, v))
-    ready = {k: (np.array([i for i, _ in v]), unit_rows(pa.array([x for _, x in v]))) for k, v in q.items()}
+    asked = classes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "label", "embedding", "component", "copies", "n").collect()
+    ready: dict[tuple, tuple] = {}
+    for r in asked:
+        ready.setdefault((r.label, len(r.embedding)), []).append(r)
+    ready = {k: (unit_rows(pa.array([r.embedding for r in v])), np.array([r.component for r in v])) for k, v in ready.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: dict[int, int] = {}
-            for i, label, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids, x = ready.get((label, len(v)), (None, None))
-                if ids is not None:
-                    for j in ids[((x * unit_rows(pa.array([v]))).sum(axis=1) >= cosine) & (ids != i)]:
-                        n[int(j)] = n.get(int(j), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["vec_id", "n"])
+            links = torn = 0
+            sizes = pa.compute.list_value_length(b.column(1)).to_numpy()
+            for label, d in ready:
+                part = b.filter(pa.array((b.column(0).to_numpy() == label) & (sizes == d)))
+                if part.num_rows:
+                    x, component = ready[label, d]
+                    near = unit_rows(part.column(1)) @ x.T >= cosine
+                    links += int((near * part.column(2).to_numpy()[:, None]).sum())
+                    torn += int((near & (part.column(3).to_numpy()[:, None] != component[None, :])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([links]), pa.array([torn])], ["links", "torn"])
+
+    r = classes.select("label", "embedding", "copies", "component").mapInArrow(run, "links long, torn long").agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("torn"), F.lit(0))).first()
+    # A query meets itself once among all rows.
+    return sum(r.n for r in asked), r[0] - len(asked), r[1]
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> DataFrame:
+    """Link rows (vec_id, embedding, label) of equal labels whose vectors' cosine is at least `cosine`.
 
-    truth = rows.mapInArrow(run, "vec_id long, n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = result.where(F.col("vec_id") % every == 0).agg(F.coalesce(F.sum("n_links"), F.lit(0))).first()[0]
-    return int(found), int(truth)
+    Returns vec_id, n_links, component_id, kept, one row per row. Vectors that are null, zero or hold a null or
+    non-finite component, and rows without a label or id, link with nothing; vectors of different lengths link with
+    nothing either. Rows equal in label and vector are one class, searched once, and link with each other, so a repeated
+    row counts as a link of the other; a row that repeats a vec_id with another vector is a vector of its own. Other
+    columns are ignored; an empty table gives an empty result. A recall under LEAST_RECALL in the audit, of `queries`
+    vectors, is an error.
+    """
+    keyed = vectors.select("vec_id", "label", "embedding")
+    rows = keyed.where(usable()).select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    classes = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "vec_id", "label", "embedding", "copies"), "vectors-classes")
+    graph = built(members(classes.drop("vec_id")))
+    found = materialize(searched(united(graph), cosine), "vectors-links")
+    degree = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    named = classes.select("node", "vec_id").join(components(found.where("a IS NOT NULL").select("a", "b")).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = named.groupBy("root").agg(F.min("vec_id").alias("component"))
+    labels = named.join(lowest, "root").select("node", "component")
+    by_class = classes.join(degree, "node", "left").join(labels, "node").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+    by_class = materialize(by_class, "vectors-by-class")
+    counted, there, torn = audit(by_class, cosine, queries) if queries else (0, 0, 0)
+    if counted < LEAST_RECALL * there:
+        raise RuntimeError(f"the audit found {counted} of {there} links; {torn} links join two components")
+    linked = rows.join(by_class.select("label", "embedding", "n", "component"), ["label", "embedding"]).select("vec_id", "n", "component")
+    alone = keyed.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
+    out = linked.unionByName(alone).select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id
+"""

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -24,8 +25,6 @@ def check(spark, rows):
     df = spark.createDataFrame([(i, e, label, "clash") for i, e, label in rows], SCHEMA)
     got = v.near_vectors(df)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute(rows)
-    found, truth = v.audit_recall(df, got, every=1)
-    assert found == truth
 
 
 def cloud(n, dims=16, centres=12, noise=0.02, seed=0):
@@ -51,16 +50,58 @@ def test_clusters(spark):
 def test_units_and_shards(spark, monkeypatch):
     monkeypatch.setattr(v, "BLOCK", 60)
     monkeypatch.setattr(v, "OVERLAP", 0.5)
-    monkeypatch.setattr(v, "members", lambda rows, f=v.members: f(rows, shard=100))
+    monkeypatch.setattr(v, "SHARD", 100)
+    monkeypatch.setattr(v, "PART", 50)
     check(spark, cloud(500, seed=1))
 
 
+def test_several_levels_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(v, "SHARD", 12)
+    monkeypatch.setattr(v, "FANOUT", 2)
+    df = spark.createDataFrame([(i, label, e, 1) for i, e, label in cloud(300, seed=4)], "node long, label long, embedding array<double>, copies long")
+    placed = v.members(df).collect()
+    assert max(r.shard.count(".") for r in placed) >= 2
+    assert sorted(r.node for r in placed if r.home) == list(range(300))
+
+
+@pytest.mark.parametrize("order,block", [("down", 4000), ("mixed", 12)])
+def test_chains_are_one_component(spark, monkeypatch, order, block):
+    monkeypatch.setattr(v, "BLOCK", block)
+    ids = {"up": list(range(1, 40)), "down": list(range(39, 0, -1)), "mixed": [i * 17 % 39 + 1 for i in range(39)]}[order]
+    check(spark, [(i, [float(np.cos(n / 6)), float(np.sin(n / 6))], 0) for n, i in enumerate(ids)])
+
+
+def test_repeated_rows_stay_as_many(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (3, [1.0, 0.0], None), (3, [1.0, 0.0], None), (None, [1.0, 0.0], 0)]
+    got = v.near_vectors(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
+
+
+def test_audit_notices_lost_links(spark):
+    x = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0]]
+    schema = "node long, vec_id long, label long, embedding array<double>, copies long, n long, component long"
+    right = [(0, 0, 0, x[0], 2, 2, 0), (1, 1, 0, x[1], 1, 2, 0), (2, 2, 0, x[2], 1, 0, 2)]
+    assert v.audit(spark.createDataFrame(right, schema)) == (4, 5 - 1, 0)
+    wrong = [(0, 0, 0, x[0], 2, 1, 0), (1, 1, 0, x[1], 1, 0, 1), (2, 2, 0, x[2], 1, 0, 2)]
+    assert v.audit(spark.createDataFrame(wrong, schema)) == (1, 4, 2)
+
+
+def test_whole_table_and_sql(spark, sf_dir):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    want = brute(rows)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in v.op5_vectors(spark, sf_dir).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf_dir}/embeddings.parquet')")
+    assert {i: (n, c, k) for i, n, c, k in con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({v.OP5_SQL})").fetchall()} == want
+
+
 def test_graph_search_reaches_the_range():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32))
     x[:900] = x[0] + 0.02 * rng.normal(size=(900, 32)) * np.linalg.norm(x[0])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = v.FlatGraph(x, np.arange(3000))
+    links, medoids = v.adjacency(x, np.arange(3000))
+    g = v.FlatGraph(x, [np.array(sorted(s)) for s in links], np.array(medoids))
     hits = total = 0
     for i in range(0, 3000, 50):
         truth = set(np.flatnonzero(x @ x[i] >= 0.98))
