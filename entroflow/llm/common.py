@@ -29,6 +29,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="entroflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -113,6 +115,23 @@ def _bit(key: str) -> tuple[Column, Column]:
     return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
 
 
+def filter_of(keys: DataFrame, key: str) -> DataFrame:
+    """The words (_word, _mask) of a row filter that holds these keys: one bit a key, at most FILTER_WORDS rows."""
+    word, bit = _bit(key)
+    return keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+
+
+def united_filter(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+
+
+def passed(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """rows with `passed`: whether their key may be among those of a filter, which is broadcast."""
+    word, bit = _bit(key)
+    found = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return found.withColumn("passed", F.coalesce(F.col("_mask").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_mask")
+
+
 def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows whose key may be among keys (a table with that column): all that are, and few others.
 
@@ -120,5 +139,4 @@ def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     shuffle of rows that a join on the key would drop.
     """
     word, bit = _bit(key)
-    masks = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_mask"))
-    return rows.withColumn("_word", word).join(F.broadcast(masks), "_word").where(F.col("_mask").bitwiseAND(bit) != 0).drop("_word", "_mask")
+    return rows.withColumn("_word", word).join(F.broadcast(filter_of(keys, key)), "_word").where(F.col("_mask").bitwiseAND(bit) != 0).drop("_word", "_mask")

@@ -3,7 +3,8 @@ import hashlib
 import duckdb
 import pytest
 
-from entroflow.llm.exact_dedup import OP4_SQL, exact_dedup, op4_exact_dedup
+from entroflow.llm import exact_dedup
+from entroflow.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 
 SCHEMA = "doc_id long, text string, keep_id string, n_chars long"
 
@@ -36,7 +37,7 @@ CASES = [
 @pytest.mark.parametrize("digest_bytes", [32, 1])
 def test_brute_force(spark, docs, digest_bytes):
     df = spark.createDataFrame([(i, t, "clash", 0) for i, t in docs], SCHEMA)
-    assert rows(exact_dedup(df, digest_bytes)) == brute(docs)
+    assert rows(exact_dedup.exact_dedup(df, digest_bytes)) == brute(docs)
 
 
 def test_sql(spark, sf_dir):
@@ -51,10 +52,12 @@ def test_native_plan(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_runs_carry_no_filter_that_nothing_reads(spark, monkeypatch):
-    from entroflow.llm import exact_dedup as module
-
-    made = {}
-    monkeypatch.setattr(module, "materialize", lambda df, label, **options: made.update({label: options}) or df)
-    exact_dedup(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")).count()
-    assert made["dedup-runs"] == {} and "dedup-level" in made
+def test_compaction_looks_up_the_filter_and_merges_the_rest(spark):
+    schema = "key binary, keep_id long, code_points int, digest binary, group_size long"
+    older = spark.createDataFrame([(b"a", 5, 9, b"a", 2), (b"b", None, 4, b"b", 1), (b"c", 3, 4, b"c", 1)], schema)
+    newer = spark.createDataFrame([(b"a", 4, 9, b"a", 3), (b"b", 8, 4, b"b", 1), (b"d", 1, 1, b"d", 7)], schema)
+    a, b = (exact_dedup.Level(x, exact_dedup.filter_of(x, "key")) for x in (older, newer))
+    assert {bytes(r.key): r.passed for r in exact_dedup.passed(newer, "key", a.filter).collect()} == {b"a": True, b"b": True, b"d": False}
+    level = exact_dedup.compact(a, b)
+    assert sorted((bytes(r.key), r.keep_id, r.code_points, r.group_size) for r in level.entries.collect()) == [(b"a", 4, 9, 5), (b"b", 8, 4, 2), (b"c", 3, 4, 1), (b"d", 1, 1, 7)]
+    assert all(r.passed for r in exact_dedup.passed(older.unionByName(newer), "key", level.filter).collect())
