@@ -12,27 +12,57 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, lang, "s", 0.0) for i, t, lang in rows], SCHEMA)
 
 
-def test_automaton_accepts_exactly_the_substrings():
-    text = "abracadabra abba"
-    a = language.SuffixAutomaton(text)
-    for i in range(len(text)):
-        for j in range(i + 1, len(text) + 1):
-            assert a.phrases(text[i:j]) == 1
-    assert a.phrases("abx") == 2 and a.phrases("xx") == 2 and a.phrases("") == 0
+def longest_matches(q, data):
+    """Phrases of q by looking for substrings."""
+    n = at = 0
+    while at < len(q):
+        end = at + 1
+        while end < len(q) and q[at : end + 1] in data:
+            end += 1
+        at, n = end, n + 1
+    return n
 
 
-def test_phrases_are_longest_matches():
+def by_stretch(q, data):
+    return sum(longest_matches(q[at : at + language.STRETCH], data) for at in range(0, len(q), language.STRETCH))
+
+
+def test_parses_are_longest_matches():
     rng = np.random.default_rng(0)
-    text = "".join(rng.choice(list("abc"), 200))
-    a = language.SuffixAutomaton(text)
-    for _ in range(200):
-        q, n, at = "".join(rng.choice(list("abcd"), 30)), 0, 0
-        while at < len(q):
-            end = at + 1
-            while end < len(q) and q[at : end + 1] in text:
-                end += 1
-            at, n = end, n + 1
-        assert a.phrases(q) == n
+    texts = {k: bytes(rng.choice(list(b"abc"), 200 + i).tolist()) for i, k in enumerate("xyz")} | {"one": b"abracadabra abba"}
+    asked = [bytes(rng.choice(list(b"abcd"), n).tolist()) for n in [*range(40), 1023, 1024, 1025, 5000]]
+    p = language.Parser(texts)
+    assert p.phrases(asked).tolist() == [[by_stretch(q, texts[k]) for k in p.languages] for q in asked]
+    assert p.phrases([]).shape == (0, 4)
+
+
+def test_phrases_run_over_words():
+    assert language.Parser({"en": b"the cat sat on the mat"}).phrases([b"cat sat on the", b"", b"?"]).tolist() == [[1], [0], [1]]
+
+
+def test_predictions_same_as_by_substrings(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = language.train(docs, sample=6)
+    want = {}
+    for r in docs.collect():
+        if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 6000:
+            q = language.parsed_bytes(r.text)
+            cost = {k: by_stretch(q, t) * np.log2(len(t)) for k, t in texts.items()}
+            want[r.doc_id] = min(sorted(cost), key=cost.get)
+    got = {r.doc_id: r.lang_pred for r in language.predict_language(docs, texts).collect()}
+    assert len(want) > 100 and {i: got[i] for i in want} == want
+
+
+def test_training_text_is_whole_rows(spark):
+    rows = [(i, f"Row {i} " + "αβγ δ. " * 5000, "xx") for i in range(60)] + [(100 + i, f"uno {i}", "yy") for i in range(3)] + [(200, "½ ² 3", "zz"), (201, None, "zz")]
+    texts = language.train(frame(spark, rows), sample=5)
+    assert sorted(texts) == ["xx", "yy"] and texts["xx"].count(language.BETWEEN) == 5
+    whole = {language.parsed_bytes(t) for _, t, _ in rows if t}
+    assert all(part in whole for t in texts.values() for part in t.split(language.BETWEEN)[:-1])
+
+
+def test_equal_entropies_go_to_the_first_name():
+    assert language.Parser({"b": b"abc", "a": b"abc"}).predict(["xyz"]) == (["a"], [0.5])
 
 
 def test_languages_held_out(spark):
@@ -47,7 +77,7 @@ def test_languages_held_out(spark):
 
 def test_language_edge_cases(spark):
     rows = [(i, f"alpha beta gamma {i}", "xx") for i in range(40)] + [(100 + i, f"uno dos tres {i}", "yy") for i in range(40)]
-    docs = frame(spark, [*rows, (300, None, "xx"), (301, "", None), (302, "12 !! 34", "yy"), (None, "uno dos", None), (303, "dos tres " * 50_000, None), (303, "dos tres", None)])
+    docs = frame(spark, [*rows, (300, None, "xx"), (301, "", None), (302, "12 !! 34 ½ ² ①", "yy"), (None, "uno dos", None), (303, "dos tres " * 50_000, None), (303, "dos tres", None)])
     texts = language.train(docs)
     got = {(r.doc_id, i): r for i, r in enumerate(language.predict_language(docs, texts).collect())}
     said = {k[0]: r.lang_pred for k, r in got.items()}

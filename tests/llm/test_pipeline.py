@@ -14,7 +14,7 @@ def brute(spark, sf_dir):
     good = [r for r in docs.collect() if ranking.score(np.array([quality.features(r.text)]))[0] >= quality.CUT]
     texts = language.train(spark.createDataFrame(good, SCHEMA))
     p = language.Parser(texts)
-    good = [r for r in good if p.predict(r.text)[0] != "und"]
+    good = [r for r in good if p.predict([r.text])[0] != ["und"]]
     best = {}
     for r in good:
         key = "".join(r.text.split())
@@ -45,5 +45,5 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf_dir):
 
 def test_language_stage_drops_only_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "zzqx wvvk junk qqq"), (2, "日本語の文章"), (3, "12 34 !?"), (4, ""), (5, None)], "doc_id long, text string")
-    texts = {"en": "the cat and the dog went home", "de": "der hund und die katze gingen heim"}
+    texts = {"en": b"the cat and the dog went home", "de": b"der hund und die katze gingen heim"}
     assert sorted(r.doc_id for r in language.keep_known(docs, texts).collect()) == [1, 2]
