@@ -7,9 +7,12 @@ not GROUPS ** 2 * 2 * SUB. A pair of similarity s meets unless all groups of a c
 
 Documents with equal sets are one class from the start, so exact copies cost one row. A table's bucket links each
 member with its smallest and its largest one: as many candidates as members. The verified links give components. Where
-a bucket then still holds several components, its documents outside a large component visit the members of that component
-block by block, with their full sets, and likely pairs of small buckets are verified one by one. So no pair that shares
-a bucket is lost for the size of the bucket, no bucket has to fit into a task, and no group emits all its pairs.
+a bucket then still holds several components, the documents outside a large component are compared with its members, and
+those of other buckets with each other, first by their minimum hashes: a pair goes on if these agree in a share of LIKELY, which
+lies over five standard errors under the threshold, whatever the size of the bucket or group. Groups are dealt into
+blocks on both sides, so a task holds two blocks at most, and only askers with a likely partner in a block visit it
+with their full sets. So no bucket has to fit into a task, and no group emits all its pairs. Links found by hashes of
+shingles are confirmed on the shingles themselves, from the whole texts, as are the stars.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ SUB = 3
 BLOCK = 512
 #: Members of a component that makes a group, and of a bucket whose likely pairs are verified one by one, at most.
 LARGE, SMALL = 16, 64
-#: Agreement of minimum hashes below which a pair isn't verified: over four standard errors under the threshold.
+#: Agreement of the 72 minimum hashes below which a pair isn't verified: 5.3 standard errors under the threshold of 0.8.
 LIKELY = 0.55
 #: Rows of an Arrow batch of whole texts or sets.
 ARROW_ROWS = 500
@@ -94,7 +97,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 same.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 hashes.append(signature.tobytes() if len(s) else None)
                 groups.append(keys)
-            n = pa.array([len(s) for s in sets], pa.int64())
+            n = pa.array([len(shingles(t, width)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), n, pa.array(same, pa.binary()), pa.array(hashes, pa.binary()), pa.array(groups, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "same", "hashes", "groups"]
             )
@@ -204,23 +207,59 @@ class Block:
         return np.flatnonzero(100 * common >= similarity * (self.sizes + len(s) - common))
 
 
-def links_in_groups(members: DataFrame, askers: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Verified links (a, b) between askers and the members of their group, one for each component that an asker meets in a block.
+def dealt(members: DataFrame, askers: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Units (group, block, part): each block of about BLOCK members with each part of about BLOCK askers of its group.
 
-    members: group, id, component; askers: group, id, component. A group's members are dealt into blocks of about
-    BLOCK, each asker visits every block of its groups, and blocks stream their askers: a task holds one block.
+    Columns group, block, part, asks, id, component, hashes.
     """
-    blocks = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = members.join(blocks, "group").select("group", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "id", "component")
-    asking = askers.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "component")
+
+    def numbered(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        sizes = rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"{name}s"))
+        return rows.join(sizes, "group").withColumn(name, F.pmod(F.xxhash64("id"), f"{name}s").cast("int")).drop(f"{name}s"), sizes
+
+    held, blocks = numbered(members, "block")
+    asking, parts = numbered(askers, "part")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = held.join(parts, "group").select("group", "block", every("parts").alias("part"), F.lit(False).alias("asks"), "id", "component")
+    asked = asking.join(blocks, "group").select("group", every("blocks").alias("block"), "part", F.lit(True).alias("asks"), "id", "component")
+    return rows.unionByName(asked).join(hashes, "id").select("group", "block", "part", "asks", "id", "component", "hashes")
+
+
+UNIT = ["group", "block", "part"]
+
+
+def likely_visits(units: DataFrame, likely: float = LIKELY) -> DataFrame:
+    """(group, block, part, asks, id, component) of the askers with a likely partner in a block, and of the partners."""
+
+    def compare(unit: pa.Table) -> pa.RecordBatch:
+        asks, part = unit["asks"].to_numpy(), unit["component"].to_numpy()
+        low = np.frombuffer(b"".join(unit["hashes"].to_pylist()), np.uint32).reshape(unit.num_rows, -1)
+        asking, held = np.flatnonzero(asks), np.flatnonzero(~asks)
+        stay = np.zeros(unit.num_rows, bool)
+        for i in asking:
+            near = held[((low[held] == low[i]).mean(axis=1) >= likely) & (part[held] != part[i])]
+            stay[near] = True
+            stay[i] = len(near) > 0
+        return unit.select([*UNIT, "asks", "id", "component"]).filter(pa.array(stay)).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in groups(batches, UNIT):
+            yield from compare(unit).to_batches()
+
+    schema = "group long, block int, part int, asks boolean, id long, component long"
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, schema)
+
+
+def links_in_groups(visits: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) by sets of hashes between the askers and the members of a unit, one for each component that an asker meets in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, block, ids, part, sets_, loose = None, None, [], [], [], []
+        now, block, ids, part, sets_ = None, None, [], [], []
         for b in batches:
             a, c = [], []
-            for g, k, asks, i, p, raw in zip(*(col.to_pylist() for col in b.columns)):
-                if (g, k) != now:
-                    now, block, ids, part, sets_ = (g, k), None, [], [], []
+            for *unit, asks, i, p, raw in zip(*(col.to_pylist() for col in b.columns)):
+                if unit != now:
+                    now, block, ids, part, sets_ = unit, None, [], [], []
                 s = np.frombuffer(raw, np.uint64)
                 if not asks:
                     ids.append(i)
@@ -237,8 +276,8 @@ def links_in_groups(members: DataFrame, askers: DataFrame, sets: DataFrame, simi
                             c.append(max(i, ids[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    rows = held.unionByName(asking).join(sets, "id").select("group", "block", "asks", "id", "component", "shingles")
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "asks").mapInArrow(run, "a long, b long")
+    rows = visits.join(sets, "id").select(*UNIT, "asks", "id", "component", "shingles")
+    return rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "asks").mapInArrow(run, "a long, b long").distinct()
 
 
 def further_links(members: DataFrame, labels: DataFrame, classes: DataFrame, tried: DataFrame, docs: DataFrame, similarity: int, width: int) -> DataFrame:
@@ -265,8 +304,9 @@ def further_links(members: DataFrame, labels: DataFrame, classes: DataFrame, tri
     found = verify(pairs_in_small_buckets(few.select("key", "id", "component", "hashes")).join(tried, ["a", "b"], "left_anti"), docs, similarity, width)
     if askers.isEmpty():
         return found
-    sets = materialize(full_sets(docs, held.select("id").distinct(), width), "minhash-sets")
-    return found.unionByName(links_in_groups(held, askers, sets, similarity))
+    visits = materialize(likely_visits(dealt(held, askers, classes.select("id", "hashes"))), "minhash-visits")
+    sets = materialize(full_sets(docs, visits.select("id").distinct(), width), "minhash-sets")
+    return found.unionByName(verify(links_in_groups(visits, sets, similarity), docs, similarity, width))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE) -> DataFrame:
