@@ -2,7 +2,11 @@
 
 A file begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself compressed, and goes on with
 one frame a record, so a record is read alone from its offset with the dictionary at hand. The dictionary is built from
-a bounded sample of the records to be archived: SAMPLE pages, those whose hash of page_id is small.
+a bounded sample of the records to be archived: about SAMPLE pages of at most SAMPLE_BYTES, those whose hash of page_id is small.
+
+Pages with equal payloads are found by digest: only (page_id, digest) is shuffled. The digests that occur more than once
+are broadcast if they are MOST_SHARED at most, so that no payload moves; beyond that, the pages that a filter of fixed size
+passes are joined with them by digest.
 
 Each task writes its rows as one file, first under a name of its own attempt, then renamed; a task that is run again
 writes a file of its own and only the files that the finished tasks report are read.
@@ -21,11 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import likely_in, materialize, scratch_path, small_batches, table
+from .common import filter_of, materialize, passed, scratch_path, small_batches, table
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE = 1000
+SAMPLE = 500
+SAMPLE_BYTES = 64 * 1024
+#: Shared digests that are broadcast, at most: 40 bytes each.
+MOST_SHARED = 200_000
 LEAST_SHARED = 1000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -116,23 +123,29 @@ def decompressed_frames(f, codec, chunk: int = 1 << 20) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def with_references(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+def with_references(pages: DataFrame, least: int = LEAST_SHARED, most_shared: int = MOST_SHARED) -> DataFrame:
     """page_id, url, html and refers_to: of pages with equal payloads of at least `least` bytes, the largest page_id of them, for the others."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    size, key = F.octet_length("html"), F.sha2("html", 256)
-    shared = materialize(
-        rows.where(size >= least).select("page_id", key.alias("key")).groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top IS NOT NULL").select("key", "top"), "warc-shared"
-    )
-    keyed = rows.withColumn("key", F.when(size >= least, key))
-    hits = likely_in(keyed.where("key IS NOT NULL"), "key", shared).select("page_id", "key").join(shared, "key").where("page_id <> top").select("page_id", "top").distinct()
-    return rows.join(hits, "page_id", "left").withColumnRenamed("top", "refers_to")
+    keyed = rows.withColumn("key", F.when(F.octet_length("html") >= least, F.unhex(F.sha2("html", 256))))
+    counted = keyed.where("key IS NOT NULL").select("page_id", "key").groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(counted.where("n > 1 AND top IS NOT NULL").select("key", "top"), "warc-shared")
+    other = F.when(F.col("page_id") != F.col("top"), F.col("top")).alias("refers_to")
+    if shared.count() <= most_shared:
+        return keyed.join(F.broadcast(shared), "key", "left").select("page_id", "url", "html", other)
+    near = passed(keyed, "key", filter_of(shared, "key"))
+    hits = near.where("passed").join(shared, "key", "left").select("page_id", "url", "html", other)
+    return near.where("NOT passed").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(hits)
 
 
 def write_archives(pages: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
-    """Write rows (page_id, url, html, refers_to) under path; returns (file, records), one row a file."""
-    n = pages.count()
+    """Write rows (page_id, url, html, refers_to) under path; returns (file, records), one row a file.
+
+    The dictionary sees about `sample` pages, and never more than four times as many where many rows repeat an id.
+    """
+    short = pages.where(F.octet_length("html") <= SAMPLE_BYTES)
+    n = short.count()
     share = int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    drawn = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < share).select("page_id", "url", "html").collect()
+    drawn = short.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < share).select("page_id", "url", "html").limit(4 * sample).collect()
     dictionary = train_dictionary([record(r.page_id, r.url, (r.html or "").encode(), None) for r in drawn])
     leading = dictionary_frame(dictionary)
 
@@ -201,8 +214,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     Null html is an empty payload. Of equal payloads of at least LEAST_SHARED bytes the one with the largest page_id is
     the response and the others revisit it; rows that repeat that page_id are responses too, and a row with a null
-    page_id always is one. Rows that repeat a page_id with other html take their own payload's verdict only if ids are
-    unique, which the table promises. Other columns are ignored; no rows give no files.
+    page_id always is one. Rows that repeat a page_id take their own payload's verdict. Other columns are ignored; no rows give no files.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
     return read_archives(write_archives(with_references(pages), path), path)

@@ -39,6 +39,14 @@ def test_archives(spark):
     assert got(warc.archive_pages(df.where("false"))) == []
 
 
+def test_more_shared_payloads_than_are_broadcast(spark):
+    rows = [(i, f"payload {i % 9} " * 200) for i in range(40)] + [(100, "short"), (101, None), (None, "payload 1 " * 200), (39, "payload 2 " * 200)]
+    df = spark.createDataFrame([(i, "http://e", h, "clash") for i, h in rows], SCHEMA)
+    by_key = warc.with_references(df, most_shared=0).select("page_id", "refers_to").collect()
+    assert sorted(by_key, key=str) == sorted(warc.with_references(df).select("page_id", "refers_to").collect(), key=str)
+    assert got(warc.archive_pages(df)) == brute(rows)
+
+
 def test_file_layout(spark, tmp_path):
     df = spark.createDataFrame([(i, "http://e", f"<p>page {i} with some common text around it</p>", "") for i in range(300)], SCHEMA)
     files = warc.write_archives(warc.with_references(df.coalesce(1)), f"file://{tmp_path}/w").collect()
