@@ -5,7 +5,8 @@ enters the filter once for each level up to its own, so probing level after leve
 level, and the mean count of that level is the estimate. The filter has no false negatives; its size follows the number
 of its entries (n-gram, level) without a maximum. Partial counts leave the tasks aggregated and are dealt by the
 filter's segment; a partition adds up its n-grams, sizes its segments by their entries and sets their bits. There are as
-many segments as keep each bounded, and they are a table in the shared folder.
+many segments as keep each bounded, and they are a table in the shared folder. What is shuffled names an n-gram by its segment and 32 bits of its hash in it: with PART_KEYS
+n-grams a segment, one in 10,000 shares its name with another, far fewer than a filter finds by mistake.
 
 A filter of at most MOST_BYTES is broadcast. A larger one stays a table: chunks of documents ask for their distinct
 n-grams by segment, a partition answers the questions to its segments one after another, and the levels return to their
@@ -121,6 +122,22 @@ def segment(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
+def short_keys(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Keys cut to their segment and the 32 bits that follow, which name an n-gram from here on."""
+    drop = np.uint64(64 - (segments.bit_length() - 1) - 32)
+    return keys >> drop << drop
+
+
+def packed_key(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The 32 bits of a short key that its segment leaves open."""
+    return (keys >> np.uint64(64 - (segments.bit_length() - 1) - 32)).astype("<u4")
+
+
+def unpacked_key(data: bytes, name: int, segments: int) -> np.ndarray:
+    low = np.uint64(64 - (segments.bit_length() - 1) - 32)
+    return (np.uint64(name) << np.uint64(65 - segments.bit_length())) | (np.frombuffer(data, "<u4").astype(np.uint64) << low)
+
+
 @dataclass
 class LogFrequencyFilter:
     """All segments' bits one after another; a segment begins at the byte `begin` and has `width` bits."""
@@ -138,6 +155,7 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, by probing from 1 upwards; 0 if absent."""
+        keys = short_keys(keys, len(self.width))
         at = segment(keys, len(self.width))
         return probe(self.bits, keys, self.begin[at] * 8, self.width[at])
 
@@ -205,12 +223,13 @@ def filter_table(docs: DataFrame, n_tokens: int) -> DataFrame:
             tokens, sizes = token_hashes(b.column(0).to_pylist())
             before = contexts(tokens, sizes)
             starts = np.full(len(sizes), WordHashes().__missing__(START), np.int64)
-            keys, n = np.unique(np.concatenate([unigram(tokens), unigram(starts), bigram(before, tokens)]), return_counts=True)
+            keys, n = np.unique(short_keys(np.concatenate([unigram(tokens), unigram(starts), bigram(before, tokens)]), segments), return_counts=True)
             # Keys are sorted, and so are their segments.
             name = segment(keys, segments)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
             n = np.minimum(n, (1 << 32) - 1).astype("<u4")
-            packed = [(name[lo], keys[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:]) if hi > lo]
+            low = packed_key(keys, segments)
+            packed = [(name[lo], low[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:]) if hi > lo]
             where, k, c = zip(*packed) if packed else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["segment", "keys", "counts"])
 
@@ -218,7 +237,7 @@ def filter_table(docs: DataFrame, n_tokens: int) -> DataFrame:
         now, keys, counts = None, [], []
 
         def done() -> pa.RecordBatch:
-            k, inverse = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+            k, inverse = np.unique(unpacked_key(b"".join(keys), now, segments), return_inverse=True)
             t = level_of(np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4")))
             entries = int(t.sum())
             flags = np.zeros(-(-entries * BITS_AN_ENTRY // 8) * 8, bool)
@@ -254,9 +273,9 @@ def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
     return collected(filter_table(docs, n_tokens), n_tokens)
 
 
-def asked(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The distinct n-grams, in order, whose levels the scores of documents take."""
-    return np.unique(np.concatenate([unigram(np.array([WordHashes().__missing__(START)])), unigram(tokens), bigram(contexts(tokens, sizes), tokens)]))
+def asked(tokens: np.ndarray, sizes: np.ndarray, segments: int) -> np.ndarray:
+    """The distinct n-grams (short keys), in order, whose levels the scores of documents take."""
+    return np.unique(short_keys(np.concatenate([unigram(np.array([WordHashes().__missing__(START)])), unigram(tokens), bigram(contexts(tokens, sizes), tokens)]), segments))
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -284,11 +303,11 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFra
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, texts in zip(b.column(0).to_pylist(), b.column(1)):
-                keys = asked(*token_hashes(texts.as_py()))
-                name = segment(keys, segments)
+                keys = asked(*token_hashes(texts.as_py()), segments)
+                name, low = segment(keys, segments), packed_key(keys, segments)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, chunk)), pa.array([keys[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:])], pa.binary())], ["segment", "chunk", "data"]
+                    [pa.array(name[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, chunk)), pa.array([low[lo:hi].tobytes() for lo, hi in zip(cut, cut[1:])], pa.binary())], ["segment", "chunk", "data"]
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +318,7 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFra
                 if chunk < 0:
                     now, field = s, np.frombuffer(data, np.uint8)
                     continue
-                keys = np.frombuffer(data, np.uint64)
+                keys = unpacked_key(data, s, segments)
                 found = probe(field, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(field) * 8)) if s == now else np.zeros(len(keys))
                 chunks.append(chunk)
                 where.append(s)
@@ -369,9 +388,9 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
         for b in batches:
             for doc_ids, held, texts, answers in zip(*b.columns):
                 tokens, sizes = token_hashes(texts.as_py())
-                keys = asked(tokens, sizes)
+                keys = asked(tokens, sizes, segments)
                 means = MEANS[np.frombuffer(b"".join(a["levels"] for a in answers.as_py()), np.uint8)]
-                yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, k)])
+                yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, short_keys(k, segments))])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
     chunks = None if broadcast else chunked(rows)
