@@ -1,8 +1,11 @@
 import hashlib
+import html
+import re
 import struct
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from entroflow.llm import html_text, warc
 
@@ -92,11 +95,32 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
-@pytest.mark.parametrize("n", range(len(html_text.LABELLED)))
-def test_labelled_pages(n):
-    parts = html_text.LABELLED[n]
-    inside = html_text.main_text("".join(p for p, good in parts if good))
-    assert html_text.main_text("".join(p for p, _ in parts)) == inside != ""
+@pytest.mark.parametrize("seed", [3, 77])
+def test_labelled_pages(seed):
+    """Pages that the weights are counted on, and others made by the same rules."""
+    right = 0
+    pages = html_text.labelled_pages(150, seed)
+    for parts in pages:
+        want = html_text.main_text("<article>" + "".join(p for p, good in parts if good) + "</article>")
+        right += html_text.main_text("".join(p for p, _ in parts)) == want != ""
+    assert right >= 0.9 * len(pages)
+
+
+FIRST, LAST = ("first " * 40).strip(), ("last " * 40).strip()
+LAYOUTS = [
+    ("<article><p>{}</p><div class='ad'>" + "buy now " * 30 + "</div><p>{}</p></article>", "\n\n"),
+    ("<div class='post'><p>{}</p><p class='side-effects'>{}</p></div><footer>rights</footer>", "\n\n"),
+    ("<div class='post'><p>{}</p><div id='related-work'><p>{}</p></div></div><footer>rights</footer>", "\n\n"),
+    ("<body><div class='page-header-wrapper'><nav><a href='/'>Home</a></nav><article><p>{}</p><p>{}</p></article></div></body>", "\n\n"),
+    ("<body class='has-sidebar'><div class='layout-sidebar'><div class='main-content'><p>{}</p><p>{}</p></div><div class='sidebar'><p>" + "other " * 30 + "</p></div></div></body>", "\n\n"),
+    ("<div id='content'><p>{}</p><ul><li>{}</li></ul></div><div class='comment-list'><p>" + "nice " * 200 + "</p></div>", "\n\n"),
+    ("<div class='siteHeader'><a href='/'>x</a> words of it</div><section class='story'><p>{}<br>{}</p></section><div class='cookieNotice'>we use cookies here</div>", " "),
+]
+
+
+@pytest.mark.parametrize("layout,between", LAYOUTS)
+def test_layouts(layout, between):
+    assert html_text.main_text(layout.format(FIRST, LAST)) == FIRST + between + LAST
 
 
 def test_weights_have_their_signs():
@@ -104,12 +128,20 @@ def test_weights_have_their_signs():
     assert w["word"] >= 1 and all(v < 0 for k, v in w.items() if not k.endswith("word"))
 
 
+def blocks_of_article(page):
+    """The text of <article> by plain replacement: the tables' pages hold no boilerplate in it."""
+    article = re.sub(r"<!--.*?-->", "", page.split("<article>")[1].split("</article>")[0], flags=re.S)
+    article = re.sub(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote)\b[^>]*>", "\0", re.sub(r"<br\b[^>]*>", " ", article))
+    texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in article.split("\0"))
+    return "\n\n".join(t for t in texts if t)
+
+
 def test_pages_of_the_table(spark, sf_dir):
-    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_text.op3_html_text(spark, sf_dir).collect():
-        article = html[r.page_id].split("<article>")[1].split("</article>")[0]
-        assert r.text == html_text.main_text(f"<article>{article}</article>") != "" and r.n_chars == len(r.text)
-    df = spark.createDataFrame([(1, "u", None, "t"), (None, None, "x", "t"), (1, "u", None, "t"), (2, "u", "<p>" + "long " * 200_000, "t")], SCHEMA)
+        assert r.text == blocks_of_article(pages[r.page_id]) != "" and r.n_chars == len(r.text)
+    rows = [(1, "u", None, "t"), (None, None, "x", "t"), (1, "u", None, "t"), (2, "u", "<p>" + "long " * 200_000, "t")]
+    df = spark.createDataFrame(rows, SCHEMA.replace("file string", "text string")).withColumn("n_chars", F.lit("clash"))
     assert sorted(r.n_chars for r in html_text.extract_text(df).collect()) == [0, 0, 1, 999_999]
     assert html_text.extract_text(df.where("false")).count() == 0
 
