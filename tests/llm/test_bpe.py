@@ -71,5 +71,5 @@ def test_word_chunks(monkeypatch):
     texts = random_texts(20_000, 2)
     want = library(enc.tokenizer, texts)
     for memo in (500_000, 5000):
-        monkeypatch.setattr(packing, "MEMO_ENTRIES", memo)
+        monkeypatch.setattr(packing, "MEMO_CHUNKS", memo)
         assert [i for at in range(0, len(texts), 700) for i in enc.encode_all(texts[at : at + 700])] == want

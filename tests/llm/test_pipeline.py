@@ -47,3 +47,14 @@ def test_language_stage_drops_only_texts_without_letters(spark):
     docs = spark.createDataFrame([(1, "zzqx wvvk junk qqq"), (2, "日本語の文章"), (3, "12 34 !?"), (4, ""), (5, None)], "doc_id long, text string")
     texts = {"en": b"the cat and the dog went home", "de": b"der hund und die katze gingen heim"}
     assert sorted(r.doc_id for r in language.keep_known(docs, texts).collect()) == [1, 2]
+
+
+def test_exact_stage_keeps_one_row_of_each_text(spark, sf_dir):
+    rows = [(3, "a b", "en"), (3, "a  b", "en"), (3, "other", "en"), (9, "othe r", "en"), (9, "o t h e r", "en"), (None, "x", "en"), (None, "x", "en"), (5, None, "en"), (6, " ", "en"), (7, "single", "en"), (8, "long " * 100_000, "en"), (8, "long " * 100_000, "en")]
+    docs = spark.createDataFrame([(*r, "clash", 1, True) for r in rows], "doc_id long, text string, lang string, kept string, length int, group boolean")
+    out = corpus_pipeline.without_copies(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text and r.text[:9]) for r in out.collect()), key=str)
+    assert got == sorted([(3, "a  b"), (9, "o t h e r"), (None, "x"), (6, " "), (7, "single"), (8, "long long")], key=str)
+    near = corpus_pipeline.without_near_copies(spark, out, sf_dir)
+    assert near.columns == docs.columns and near.count() == 6
