@@ -6,7 +6,7 @@ level, and the mean count of that level is the estimate. The filter has no false
 of its entries (n-gram, level) without a maximum. Partial counts leave the tasks aggregated and are dealt by the
 filter's segment; a partition adds up its n-grams, sizes its segments by their entries and sets their bits. There are as
 many segments as keep each bounded, and they are a table in the shared folder. What is shuffled names an n-gram by its segment and 32 bits of its hash in it: with PART_KEYS
-n-grams a segment, one in 10,000 shares its name with another, far fewer than a filter finds by mistake.
+n-grams a segment, one in 4,000 shares its name with another, far fewer than a filter finds by mistake.
 
 A filter of at most MOST_BYTES is broadcast. A larger one stays a table: chunks of documents ask for their distinct
 n-grams by segment, a partition answers the questions to its segments one after another, and the levels return to their
@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, materialize, mix, small_batches, table, worker_cache, words
+from .common import WordHashes, arrow_rows, materialize, mix, table, worker_cache, words
 
 BASE = 1.5
 TRUST, MU = 0.3, 10.0
@@ -43,9 +43,11 @@ SEGMENTS = 1024
 PROBES = 4
 LEVELS = 64
 #: Training tokens whose n-grams a segment holds, and a task adds up at once, on average.
-PART_KEYS = 500_000
-#: Characters of text after which a chunk of documents ends.
-CHUNK_CHARS = 2_000_000
+PART_KEYS = 1_000_000
+#: Characters of text after which a chunk of documents ends, and the rows that a task counts at once.
+CHUNK_CHARS, COUNT_CHARS = 1_000_000, 4_000_000
+#: Rows of an Arrow batch of documents.
+DOCS_A_BATCH = 2000
 #: Rows of an Arrow batch where rows are chunks.
 CHUNKS_A_BATCH = 4
 HEAD = 2_000_000
@@ -181,11 +183,21 @@ def probe(bits: np.ndarray, keys: np.ndarray, base: np.ndarray, width: np.ndarra
     return found
 
 
+def slices(batches: Iterator[pa.RecordBatch], chars: int, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The same batches, cut before the texts of a slice exceed so many characters; a longer text is a slice of its own."""
+    for b in batches:
+        before, at = np.cumsum([len(t or "") for t in b.column(column).to_pylist()]), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + chars, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def count_unigrams(docs: DataFrame) -> DataFrame:
     """Exact counts of the tokens of `text`: token (its 64-bit hash) and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
+        for b in slices(batches, COUNT_CHARS):
             tokens, _ = token_hashes(b.column(0).to_pylist())
             u, c = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["token", "count"])
@@ -219,7 +231,7 @@ def filter_table(docs: DataFrame, n_tokens: int) -> DataFrame:
     segments = segments_for(n_tokens)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 4000):
+        for b in slices(batches, COUNT_CHARS):
             tokens, sizes = token_hashes(b.column(0).to_pylist())
             before = contexts(tokens, sizes)
             starts = np.full(len(sizes), WordHashes().__missing__(START), np.int64)
@@ -286,12 +298,8 @@ def chunked(rows: DataFrame) -> DataFrame:
             ends = pa.array([0, b.num_rows], pa.int32())
             return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in b.columns], ["doc_ids", "held", "texts"])
 
-        for b in small_batches(batches, 4000):
-            before, at = np.cumsum([len(t or "") for t in b.column(2).to_pylist()]), 0
-            while at < b.num_rows:
-                end = max(at + 1, int(np.searchsorted(before, (before[at - 1] if at else 0) + CHUNK_CHARS, "right")))
-                yield pack(b.slice(at, end - at))
-                at = end
+        for b in slices(batches, CHUNK_CHARS, 2):
+            yield pack(b)
 
     packed = rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_ids array<long>, held array<boolean>, texts array<string>")
     return materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks").select("chunk", "doc_ids", "held", "texts")
@@ -343,14 +351,15 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     training = rows.where("NOT held_out")
-    with freed_shuffles(spark):
+    with freed_shuffles(spark), arrow_rows(spark, DOCS_A_BATCH):
         counts = materialize(count_unigrams(training), "lm-unigrams")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n), int(total.v)
     denominator = n + v + 1
     frequent = counts.where(F.col("count") * head >= n).toArrow()
     frequent = frequent.sort_by("token")
-    fields = filter_table(training, n)
+    with arrow_rows(spark, DOCS_A_BATCH):
+        fields = filter_table(training, n)
     segments = segments_for(n)
     broadcast = fields.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= most_bytes
     model = collected(fields, n) if broadcast else None
@@ -381,7 +390,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = shared.value[2]
-        for b in small_batches(batches):
+        for b in slices(batches, CHUNK_CHARS, 2):
             yield scores(b.column(0), b.column(1), *token_hashes(b.column(2).to_pylist()), lm.counts)
 
     def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +402,8 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
                 yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, short_keys(k, segments))])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
-    chunks = None if broadcast else chunked(rows)
+    with arrow_rows(spark, DOCS_A_BATCH):
+        chunks = None if broadcast else chunked(rows)
     with nullcontext() if broadcast else arrow_rows(spark, CHUNKS_A_BATCH), freed_shuffles(spark):
         if broadcast:
             scored = rows.mapInArrow(run, schema)

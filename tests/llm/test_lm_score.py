@@ -78,8 +78,31 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert all(r.score < 0 for r in rows)
 
 
+def test_mass_of_the_model_over_the_vocabulary(spark):
+    """The probabilities of all words after a context add up to about one: levels round counts, and absent pairs are found now and then.
+
+    Nothing follows the end of a text, so its context keeps the share of the single words alone.
+    """
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.4, 60)) for _ in range(300)]
+    tokens = [w for t in texts for w in (*words(t), b"")]
+    n, v = len(tokens), len(set(tokens))
+    f = lm.build_filter(spark.createDataFrame([(t,) for t in texts], "text string"), n)
+    h = lm.WordHashes()
+    every = np.array([h[w] for w in sorted(set(tokens))], np.int64)
+    word = np.minimum((f.counts(lm.unigram(every)) + 1) / (n + v + 1), 1)
+    mass = []
+    for w in sorted(set(tokens))[:60]:
+        ahead = f.counts(lm.unigram(np.array([h[w]], np.int64)))[0]
+        trust = lm.TRUST * ahead / (ahead + lm.MU)
+        pair = f.counts(lm.bigram(np.full(len(every), h[w]), every))
+        mass.append((trust * np.minimum(pair / ahead, 1) + (1 - trust) * word).sum())
+    assert 1 - lm.TRUST < min(mass) and max(mass) < 1.3 and 0.9 < np.mean(mass) < 1.15
+    print("mass", min(mass), np.mean(mass), max(mass))
+
+
 def test_filter_grows_with_its_entries():
-    assert [lm.segments_for(n) for n in (0, 1, 10**8, 10**9, 10**10)] == [1024, 1024, 1024, 2048, 32768]
+    assert [lm.segments_for(n) for n in (0, 1, 10**8, 10**9, 10**10)] == [1024, 1024, 1024, 1024, 16384]
 
 
 def test_filter_fits_distinct_text(spark):
