@@ -175,12 +175,35 @@ def align_datasets(datasets: Sequence[tuple[DataFrame, str]], hours: float = 6,
 
 
 def detect_frequency(df: DataFrame, ts: str, window_days: float = 30) -> DataFrame:
-    """One row: median step in hours, its label and the points of a window. Steps near 1, 4, 6 and 12 hours snap to them."""
+    """One row: median step in hours, its label and the points of a window. Steps near 1, 4, 6 and 12 hours snap to them.
+
+    Steps are taken within spans of 32 days, and between a span's first time and the last one of the span before.
+    """
     step = F.col("h")
-    h = df.select((micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(Window.orderBy(ts))).alias("d")).agg(F.percentile(F.col("d") / HOUR, F.lit(0.5)).alias("h"))
+    t = df.select(micros(F.col(ts)).alias("us")).where("us IS NOT NULL").withColumn("span", F.floor(F.col("us") / (32 * 24 * HOUR)))
+    inner = t.select((F.col("us") - F.lag("us").over(Window.partitionBy("span").orderBy("us"))).alias("d"))
+    # A row a span.
+    ends = t.groupBy("span").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    outer = ends.select((F.col("lo") - F.lag("hi").over(Window.orderBy("span"))).alias("d"))
+    h = inner.unionByName(outer).agg(F.percentile(F.col("d") / HOUR, F.lit(0.5)).alias("h"))
     label, points = F.concat(F.lit("inferred_"), F.format_string("%.1f", step), F.lit("H")), F.floor(F.lit(window_days * 24) / step)
     for snap in (1, 4, 6, 12):
         near = F.abs(step - snap) < 0.1
         label = F.when(near, F.lit(f"{snap}H")).otherwise(label)
         points = F.when(near, F.lit(int(window_days * (24 // snap)))).otherwise(points)
     return h.select(step.alias("median_hours"), label.alias("label"), points.cast("long").alias("window_points"))
+
+
+def to_length(df: DataFrame, n: int, keys: Sequence[str] = (), value: str = "value", order: str = "idx") -> DataFrame:
+    """keys, i, value: each series (order counts from 0) drawn out to n points, linear on the unit interval.
+
+    A point of the result comes from the two rows around it, so each row is sent to the points within a step of it.
+    """
+    sizes = df.groupBy(*keys).agg((F.max(order) + 1).alias("_n"))
+    rows = df.join(sizes, list(keys)) if keys else df.join(F.broadcast(sizes))
+    step = (F.col("_n") - 1) / F.lit(float(max(n - 1, 1)))
+    at = F.col(order)
+    low, high = F.ceil((at - 1) / step), F.floor((at + 1) / step)
+    every = F.when(F.col("_n") == 1, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(n - 1))))
+    weight = F.when(F.col("_n") == 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("i") * step - at)))
+    return rows.withColumn("i", F.explode(every)).groupBy(*keys, F.col("i").cast("long").alias("i")).agg(F.sum(weight * F.col(value)).alias("value"))

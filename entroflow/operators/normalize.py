@@ -61,14 +61,26 @@ def beta_calibration(df: DataFrame, target: str, inputs: Sequence[str], k: int =
     constant column, and an undefined or non-positive information.
     """
     names = [target, *inputs]
-    rows = df.select(*names).dropna()
-    for c in names:
-        rows = robust_zscore(rows, c, strict=True).drop(c).withColumnRenamed("z", c)
-    data = rows.limit(most + 1).toPandas()
+    data = df.select(*names).dropna().limit(most + 1).toPandas()
     if len(data) > most or len(data) < 5 * k:
         raise ValueError(f"calibration takes {5 * k} to {most} complete rows")
+    off = data - data.median()
+    mad, iqr = off.abs().median(), data.quantile(0.75) - data.quantile(0.25)
+    if ((mad <= NEARLY_ZERO) & (iqr == 0)).any():
+        raise ValueError("a series is constant")
+    data = (MAD_FACTOR * off / mad).where(mad > NEARLY_ZERO, off / (iqr / IQR_FACTOR), axis=1)
     h = knn.entropy(data[target].to_numpy(), k, base)
     info = max(0.0, knn.mutual_information(data[list(inputs)].to_numpy(), data[target].to_numpy(), k=k, base=base))
     if not info > 0:
         raise ValueError("the inputs tell nothing about the target")
     return {"target": target, "inputs": list(inputs), "jmi_bits": info, "entropy_bits": h, "scale": float(base ** (info - h)), "k": k}
+
+
+def circularity(df: DataFrame, degrees: str, keys: Sequence[str] = (), north: float = 45.0) -> DataFrame:
+    """Checks of an angle's encoding by key: rows, missing ones, the worst of |sin2 + cos2 - 1|, and directions within `north` of 0 with their spread."""
+    s, c = F.sin(F.radians(degrees)), F.cos(F.radians(degrees))
+    northerly = c > F.cos(F.radians(F.lit(north)))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(degrees).isNull()).alias("n_missing"), F.max(F.abs(s * s + c * c - 1)).alias("worst"),
+        F.count_if(northerly).alias("n_northerly"), F.stddev_pop(F.when(northerly, s)).alias("northerly_spread"),
+    )

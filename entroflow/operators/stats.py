@@ -259,3 +259,8 @@ def block_length(df: DataFrame, keys: Sequence[str], value: str = "value", order
         low = low.unionByName(other)
     size = F.greatest(F.lit(2), F.least(F.coalesce("_l", F.floor(F.col("_n") / 10)), F.floor(F.col("_n") / 3)))
     return low.select(*keys, F.when(F.col("_z") > 0, size).otherwise(2).cast("long").alias("block"))
+
+
+def sublimation_mm_day(latent_heat: Column) -> Column:
+    """Millimetres of water a day from a latent heat flux in W/m2 (2.838e6 J/kg)."""
+    return latent_heat / F.lit(2.838e6) * 86400

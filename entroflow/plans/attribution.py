@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import stats
@@ -155,3 +155,53 @@ def pick_winners(scores: DataFrame, delta_fraction: float = 0.5, most: int = 3,
 def statements(rows: Iterator) -> list[str]:
     """Lines of a report on collected winners."""
     return [f"{r['period']} #{r['slot']}: {r['entity']} ({r['score']:.3f} %)" for r in rows]
+
+
+def unified(combos: DataFrame, singles: DataFrame, entropy: DataFrame, on: str, before: int | None = None) -> DataFrame:
+    """Frames of combinations and single entities (entity, on, bits) as one, up to a cutoff, in per cent of the target's entropy h."""
+    both = combos.unionByName(singles)
+    rows = both if before is None else both.where(F.col(on) < before)
+    return rows.join(entropy, on).withColumn("pct_h", stats.percent_of(F.col("bits"), F.col("h")))
+
+
+def noise_floor(bits: Column, h: Column) -> Column:
+    """A floor in bits in per cent of the entropy."""
+    return stats.percent_of(bits, h)
+
+
+def attributed(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """A row a period and entity: score, baseline, excess within bursts, floor, whether the score reaches it, and the rank of the score."""
+    s = in_periods(df, periods).groupBy("period", "entity").agg(
+        F.avg("value").alias("score"), F.avg("baseline").alias("baseline"), F.sum(F.when(F.col("active"), F.col("excess")).otherwise(0.0)).alias("burst"), F.avg("floor_pct").alias("floor")
+    )
+    w = Window.partitionBy("period").orderBy(F.desc(F.round("score", 6)), "entity")
+    return s.withColumns({"over_floor": F.col("score") >= F.col("floor"), "raw_rank": F.row_number().over(w).cast("long")})
+
+
+def integrated(df: DataFrame, order: str, entity: str = "entity") -> DataFrame:
+    """By entity: excess summed over bursts, the peak and its first place."""
+    first = F.max_by(order, F.struct(F.col("value"), -F.col(order)))
+    return df.groupBy(entity).agg(F.sum(F.when(F.col("active"), F.col("excess"))).alias("integrated"), F.max("value").alias("peak"), first.alias("peak_at"))
+
+
+def panels(table: DataFrame, top: int = 4) -> DataFrame:
+    """(entity, panel): the top entities by mean are persistent; of the others, the top ones by variation are episodic."""
+    persistent = table.orderBy(F.desc("mean"), "entity").limit(top).select("entity")
+    episodic = table.join(F.broadcast(persistent), "entity", "left_anti").orderBy(F.desc("cv"), "entity").limit(top).select("entity")
+    return persistent.withColumn("panel", F.lit("persistent")).unionByName(episodic.withColumn("panel", F.lit("episodic")))
+
+
+def selection_index(df: DataFrame, value: str = "plotted_value") -> DataFrame:
+    """entity, mean, peak and place by mean, one row a drawn entity."""
+    s = df.groupBy("entity").agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.max(value), 6).alias("peak"))
+    # As many rows as entities are drawn.
+    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), "entity")).cast("long"))
+
+
+def fallback_curve(df: DataFrame, stored: DataFrame, n: int, order: str = "idx") -> DataFrame:
+    """entity, order, curve, source: the stored baseline of entities that have one, else the centred rolling median of n values."""
+    smooth = stats.rolling_median(df, ["entity"], n, "value", order)
+    there = stored.select("entity").distinct().withColumn("_has", F.lit(True))
+    rows = smooth.drop("value").withColumnRenamed("baseline", "_smooth").join(stored, ["entity", order], "left").join(F.broadcast(there), "entity", "left")
+    has = F.coalesce("_has", F.lit(False))
+    return rows.select("entity", order, F.when(has, F.col("baseline")).otherwise(F.col("_smooth")).alias("curve"), F.when(has, "baseline").otherwise("smoothed").alias("source"))

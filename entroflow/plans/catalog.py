@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,16 @@ def described(df: DataFrame, entity: str = "entity") -> DataFrame:
 
 def label_of(entity: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, r"\+"), lambda p: F.concat(F.regexp_extract(p, r"^(.*)__t\d+$", 1), F.lit(" (lag "), F.regexp_extract(p, r"__t(\d+)$", 1), F.lit(")"))), " + ")
+
+
+def first_seen(df: DataFrame, name: str, order: str) -> DataFrame:
+    """(name, place): the distinct names by where they occur first."""
+    one = df.groupBy(F.col(name).alias("name")).agg(F.min(order).alias("_first"))
+    # As many rows as there are names.
+    return one.withColumn("place", F.row_number().over(Window.orderBy("_first")).cast("long")).drop("_first")
+
+
+def with_lag_hours(df: DataFrame, step_hours: int, entity: str = "entity") -> DataFrame:
+    """df with the longest lag of its entity in hours."""
+    taus = F.transform(F.split(entity, r"\+"), lambda p: F.regexp_extract(p, r"__t(\d+)$", 1).cast("int"))
+    return df.withColumn("lag_hours", F.array_max(taus) * step_hours)

@@ -1,8 +1,12 @@
-"""Nearest-neighbour estimators by key: each key's sample is a bounded group that one task evaluates."""
+"""Nearest-neighbour estimators by key, for keys of any size, and the estimators as column functions.
+
+The rows of a key are dealt into blocks of about ROWS; a unit compares the rows of one block with those of another, so a task
+holds two blocks. What rows find in the blocks, their nearest distances or numbers of neighbours, is merged by row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,25 +16,155 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import knn
 
-MOST_ROWS = 5000
+ROWS = 2000
+LN2 = float(np.log(2))
+Spaces = Mapping[str, Sequence[str]]
 
 
-def estimate(df: DataFrame, keys: Sequence[str], measures: dict[str, tuple[Callable[..., float], Sequence[Sequence[str]]]]) -> DataFrame:
-    """keys, n and one column a measure: a function of numpy samples and the columns of each of its arguments.
+def digamma(m: Column) -> Column:
+    """Digamma of whole numbers from 1 on: the series at m + 8, less the eight steps back."""
+    x = m + F.lit(8.0)
+    s = F.log(x) - 1 / (2 * x)
+    for c, power in ((-1 / 12, 2), (1 / 120, 4), (-1 / 252, 6), (1 / 240, 8)):
+        s = s + F.lit(c) / F.pow(x, F.lit(float(power)))
+    for i in range(8):
+        s = s - 1 / (m + F.lit(float(i)))
+    return s
 
-    A key over MOST_ROWS rows is an error: the estimators compare all rows of a key with each other.
-    """
-    names = list(dict.fromkeys(c for _, args in measures.values() for a in args for c in a))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) > MOST_ROWS:
-            raise ValueError(f"a sample of {len(g)} rows; at most {MOST_ROWS}")
-        g = g.dropna(subset=names).sort_values(names)
-        value = [f(*[g[list(a)].to_numpy() if len(a) > 1 else g[a[0]].to_numpy() for a in args]) for f, args in measures.values()]
-        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), len(g), *value)], columns=[*keys, "n", *measures])
+def _compared(df: DataFrame, keys: Sequence[str], row: str, run: Callable[[pd.DataFrame, pd.DataFrame], dict], found: str) -> DataFrame:
+    """keys, row and what run gives for the rows of one block (asking) among those of another (held), for every pair of a key's blocks."""
+    blocks = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_blocks"))
+    dealt = (df.join(blocks, list(keys)) if keys else df.join(F.broadcast(blocks))).withColumn("_block", F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    asks = F.transform(every, lambda o: F.struct(F.col("_block").alias("_i"), o.alias("_j"), F.lit(True).alias("_asks")))
+    held = F.transform(every, lambda o: F.struct(o.alias("_i"), F.col("_block").alias("_j"), F.lit(False).alias("_asks")))
+    units = dealt.withColumn("_u", F.explode(F.concat(asks, held))).select(*df.columns, "_u._i", "_u._j", "_u._asks")
+
+    def unit(g: pd.DataFrame) -> pd.DataFrame:
+        asking, held = g[g["_asks"]], g[~g["_asks"]]
+        if not len(asking) or not len(held):
+            return pd.DataFrame(columns=names)
+        return pd.DataFrame({**{c: asking[c].to_numpy() for c in (*keys, row)}, **run(asking, held)})
+
+    names = [*keys, row, *(c.split()[0] for c in found.split(", "))]
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in (*keys, row))
+    return units.groupBy(*keys, "_i", "_j").applyInPandas(unit, kinds + found)
+
+
+def _distances(a: pd.DataFrame, b: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for c in names:
+        np.maximum(out, np.abs(a[c].to_numpy(float)[:, None] - b[c].to_numpy(float)[None, :]), out=out)
+    return out
+
+
+def kth_distances(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: int = 3) -> DataFrame:
+    """keys, row and for each space the Chebyshev distance to the k-th nearest other row of the key; null in a key of at most k rows."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
+        return {s: np.sort(np.partition(d, min(k, len(b) - 1), axis=1)[:, : k + 1], axis=1).tolist() for s, d in ((s, _distances(a, b, c)) for s, c in spaces.items())}
+
+    found = _compared(df, keys, row, run, ", ".join(f"{s} array<double>" for s in spaces))
+    return found.groupBy(*keys, row).agg(*[F.get(F.array_sort(F.flatten(F.collect_list(s))), F.lit(k)).alias(s) for s in spaces])
+
+
+def counts_within(df: DataFrame, keys: Sequence[str], row: str, eps: str, spaces: Spaces) -> DataFrame:
+    """keys, row and for each space the number of rows of the key, itself included, closer than the row's eps."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
+        most = a[eps].to_numpy(float)[:, None] - knn.ROUNDING
+        return {s: (_distances(a, b, c) <= most).sum(axis=1) for s, c in spaces.items()}
+
+    return _compared(df, keys, row, run, ", ".join(f"{s} long" for s in spaces)).groupBy(*keys, row).agg(*[F.sum(s).alias(s) for s in spaces])
+
+
+def entropies(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: int = 3) -> DataFrame:
+    """keys, n and the entropy in bits of each space; null where a key has at most k rows. Rows with a null count as absent."""
+    names = list(dict.fromkeys(c for s in spaces.values() for c in s))
+    e = kth_distances(df.select(*keys, row, *names).dropna(subset=names), keys, row, spaces, k)
+    n = F.count(F.lit(1))
+    psi = digamma(n.cast("double")) - digamma(F.lit(float(k)))
+    return e.groupBy(*keys).agg(n.alias("n"), *[((psi + len(c) * (F.lit(LN2) + F.avg(F.log(s)))) / LN2).alias(s) for s, c in spaces.items()])
+
+
+def information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), k: int = 3, name: str = "mi") -> DataFrame:
+    """keys and I(x; y), or I(x; y | z), in bits."""
+    names = [*x, *y, *z]
+    rows = df.select(*keys, row, *dict.fromkeys(names)).dropna(subset=names)
+    eps = kth_distances(rows, keys, row, {"_eps": names}, k)
+    spaces = {"_x": [*x, *z], "_y": [*y, *z]} | ({"_z": list(z)} if z else {})
+    c = counts_within(rows.join(eps, [*keys, row]), keys, row, "_eps", spaces)
+    mean = lambda s: F.avg(digamma(F.col(s).cast("double")))
+    other = mean("_z") if z else digamma(F.count(F.lit(1)).cast("double"))
+    return c.groupBy(*keys).agg(((digamma(F.lit(float(k))) + other - mean("_x") - mean("_y")) / LN2).alias(name))
+
+
+def corrections(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str], alpha: float, k: int = 3) -> DataFrame:
+    """keys and lnc: the mean correction, in bits, for local non-uniformity of the joint space `names`."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
+        d, own = _distances(a, b, names), b[list(names)].to_numpy(float)
+        itself = a[row].to_numpy()[:, None] == b[row].to_numpy()[None, :]
+        d[itself] = -1.0
+        near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        return {"near": [[(float(d[i, j]), own[j].tolist()) for j in js] for i, js in enumerate(near)]}
+
+    found = _compared(df.select(*keys, row, *names).dropna(subset=list(names)), keys, row, run, "near array<struct<d: double, x: array<double>>>")
+    nearest = found.groupBy(*keys, row).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).withColumn("near", F.transform("near", lambda p: p["x"]))
+
+    @F.pandas_udf(DoubleType())
+    def gain(near: pd.Series) -> pd.Series:
+        return pd.Series(knn.local_correction(np.array([[list(p) for p in v] for v in near], float), alpha) if len(near) else [], dtype=float)
+
+    return nearest.groupBy(*keys).agg((F.avg(gain("near")) / LN2).alias("lnc"))
+
+
+def divergence(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str], side: str, k: int = 3) -> DataFrame:
+    """keys and kl: the divergence in bits of the rows with side 0 from those with side 1."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
+        d, out = _distances(a, b, names), {}
+        for s in (0, 1):
+            own = d[:, (b[side] == s).to_numpy()]
+            out[f"d{s}"] = np.sort(own, axis=1)[:, : k + 1].tolist()
+        return out
+
+    rows = df.select(*keys, row, *names, side).dropna()
+    found = _compared(rows, keys, row, run, "d0 array<double>, d1 array<double>").join(rows.where(F.col(side) == 0).select(*keys, row), [*keys, row])
+    at = lambda c, i: F.get(F.array_sort(F.flatten(F.collect_list(c))), F.lit(i))
+    near = found.groupBy(*keys, row).agg(at("d0", k).alias("own"), at("d1", k - 1).alias("cross"))
+    n = rows.groupBy(*keys).agg(F.count_if(F.col(side) == 0).alias("n"), F.count_if(F.col(side) == 1).alias("m"))
+    mean = near.groupBy(*keys).agg((F.avg(F.log("cross")) - F.avg(F.log("own"))).alias("gap"))
+    return mean.join(n, list(keys)).select(*keys, ((F.log("m") - F.log(F.col("n") - 1) + len(names) * F.col("gap")) / LN2).alias("kl"))
+
+
+def given_groups(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, group: str, k: int = 3) -> DataFrame:
+    """keys and, for each space, its entropy given the discrete `group`: group entropies by share; a group of at most k rows counts with that of all."""
+    names = list(dict.fromkeys(c for s in spaces.values() for c in s))
+    rows = df.dropna(subset=[*names, group])
+    whole = entropies(rows, keys, row, spaces, k).select(*keys, F.col("n").alias("_n"), *[F.col(s).alias(f"_{s}") for s in spaces])
+    parts = entropies(rows, [*keys, group], row, spaces, k).join(whole, list(keys))
+    share = F.col("n") / F.col("_n")
+    return parts.groupBy(*keys).agg(*[F.sum(share * F.coalesce(s, f"_{s}")).alias(s) for s in spaces])
+
+
+def shuffle_test(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, k: int = 3) -> DataFrame:
+    """keys, mean, low, high of the information between permuted x and y (given z) over ns replicates.
+
+    A replicate permutes x within its key by the order of a hash, so results don't depend on how rows are dealt.
+    """
+    from pyspark.sql import Window
 
-    kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.select(*keys, *names).groupBy(*keys).applyInPandas(run, f"{kinds}n long, {', '.join(f'{m} double' for m in measures)}")
+    names = [*x, *y, *z]
+    rows = df.select(*keys, row, *names).dropna(subset=names).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
+    own = [*keys, "_rep"]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*own).orderBy(*by)).alias("_at")
+    drawn = rows.select(*own, *x, place(F.xxhash64(row, "_rep"), F.col(row)))
+    fixed = rows.select(*own, row, *y, *z, place(F.col(row)))
+    v = information(fixed.join(drawn, [*own, "_at"]), own, row, x, y, z, k)
+    sorted_ = F.array_sort(F.collect_list("mi"))
+    return v.groupBy(*keys).agg(F.avg("mi").alias("mean"), F.get(sorted_, F.lit(int((1 - ci) / 2 * ns))).alias("low"), F.get(sorted_, F.lit(int((1 + ci) / 2 * ns))).alias("high"))
 
 
 @F.pandas_udf(DoubleType())
@@ -42,7 +176,7 @@ def ksg_entropy(values: pd.Series) -> pd.Series:
 def te_bits(x: Column, y: Column, tau: int = 1, history: int = 1) -> Column:
     """Transfer entropy in bits between two array columns of equal length."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([max(knn.transfer_entropy([np.asarray(p, float)], np.asarray(q, float), [tau], history)[0], 0.0) for p, q in zip(a, b)])
 

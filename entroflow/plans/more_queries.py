@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import knn
 from ..operators import align, stats
 from . import catalog, estimates, knn_sql, rolling
 from .queries import GAPPY, HALF, S1, S6, Z6, _name, _te_oracle, binned, gappy, load, query, rounded, wide, zscored
 
 
 def sample(spark, sf_dir):
-    """Up to 40 vectors of a label with their first components as columns."""
-    e = load(spark, sf_dir, "embeddings").where("vec_id < 400").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(3)])
+    """All vectors, with their first components as columns."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i + 1}") for i in range(3)])
     return e.withColumn("side", F.col("vec_id") % 2)
 
 
-_V = "v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, vec_id % 2 AS side FROM embeddings WHERE vec_id < 400)"
+_V = "v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3, vec_id % 2 AS side FROM embeddings)"
 
 
 def _h(rows: str, dims: int, k: int = 3) -> str:
@@ -30,47 +29,50 @@ _ROWS1 = "SELECT CAST(label AS VARCHAR) AS entity, 0 AS window_idx, vec_id AS id
 @query(f"""WITH h3 AS ({_h(_ROWS3, 3)}), h1 AS ({_h(_ROWS1.format('x1'), 1)}), h2 AS ({_h(_ROWS1.format('x2'), 1)}), h4 AS ({_h(_ROWS1.format('x3'), 1)})
 SELECT CAST(h3.entity AS INTEGER) AS label, round(h3.h_raw, 6) AS h, round(h3.h_raw - h4.h_raw, 6) AS h_joint_less_last, round(h1.h_raw + h2.h_raw + h4.h_raw - h3.h_raw, 6) + 0e0 AS tc FROM h3 JOIN h1 USING (entity) JOIN h2 USING (entity) JOIN h4 USING (entity)""")
 def knn_entropy(spark, sf_dir):
-    x = ["x1", "x2", "x3"]
-    e = estimates.estimate(sample(spark, sf_dir), ["label"], {"h": (knn.entropy, [x]), "h_joint_less_last": (knn.conditional_entropy, [["x1", "x2"], ["x3"]]), "tc": (knn.total_correlation, [x])})
-    return rounded(e.select("label", "h", "h_joint_less_last", "tc"), "h", "h_joint_less_last", "tc")
+    e = estimates.entropies(sample(spark, sf_dir), ["label"], "vec_id", {"h": ["x1", "x2", "x3"], "a": ["x1"], "b": ["x2"], "c": ["x3"]})
+    return rounded(e.select("label", "h", (F.col("h") - F.col("c")).alias("h_joint_less_last"), F.expr("a + b + c - h").alias("tc")), "h", "h_joint_less_last", "tc")
 
 
 @query(f"""WITH {_V}, p AS (SELECT a.label, a.side AS sa, b.side AS sb, a.vec_id, greatest(abs(a.x1 - b.x1), abs(a.x2 - b.x2)) AS d FROM v a JOIN v b ON a.label = b.label WHERE a.side = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY label, sb, vec_id ORDER BY d) AS pos FROM p), n AS (SELECT label, count_if(side = 0) AS n, count_if(side = 1) AS m FROM v GROUP BY label)
 SELECT label, round((ln(any_value(m)) - ln(any_value(n) - 1) + 2 * (avg(CASE WHEN sb = 1 THEN ln(d) END) - avg(CASE WHEN sb = 0 THEN ln(d) END))) / ln(2), 6) AS kl FROM o JOIN n USING (label) WHERE (sb = 0 AND pos = 4) OR (sb = 1 AND pos = 3) GROUP BY label""")
 def kl_divergence(spark, sf_dir):
-    f = lambda x, side: knn.kl_divergence(x[side == 0], x[side == 1])
-    return rounded(estimates.estimate(sample(spark, sf_dir), ["label"], {"kl": (f, [["x1", "x2"], ["side"]])}).select("label", "kl"), "kl")
+    return rounded(estimates.divergence(sample(spark, sf_dir), ["label"], "vec_id", ["x1", "x2"], "side"), "kl")
 
 
 @query(f"""WITH a AS ({_h(_ROWS1.format('x1'), 1)}), g AS ({_h("SELECT label || ':' || side AS entity, 0 AS window_idx, vec_id AS idx, x1 FROM v", 1)}), n AS (WITH {_V} SELECT label, side, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS t FROM v GROUP BY label, side)
 SELECT n.label, round(abs(any_value(a.h_raw) - sum(n.n / n.t * g.h_raw)), 6) AS mixed FROM n JOIN a ON a.entity = CAST(n.label AS VARCHAR) JOIN g ON g.entity = n.label || ':' || n.side GROUP BY n.label""")
 def mixed_information(spark, sf_dir):
-    return rounded(estimates.estimate(sample(spark, sf_dir), ["label"], {"mixed": (knn.mixed_information, [["x1"], ["side"]])}).select("label", "mixed"), "mixed")
+    d = sample(spark, sf_dir)
+    whole = estimates.entropies(d, ["label"], "vec_id", {"h": ["x1"]}).select("label", "h")
+    both = whole.join(estimates.given_groups(d, ["label"], "vec_id", {"g": ["x1"]}, "side"), "label")
+    return rounded(both.select("label", F.abs(F.col("h") - F.col("g")).alias("mixed")), "mixed")
 
 
 @query()
 def corrected_information(spark, sf_dir):
-    f = lambda x, y: knn.mutual_information(x, y, alpha=0.25)
-    return estimates.estimate(sample(spark, sf_dir), ["label"], {"mi": (knn.mutual_information, [["x1"], ["x2"]]), "mi_corrected": (f, [["x1"], ["x2"]])})
+    d = sample(spark, sf_dir)
+    both = estimates.information(d, ["label"], "vec_id", ["x1"], ["x2"]).join(estimates.corrections(d, ["label"], "vec_id", ["x1", "x2"], 0.25), "label")
+    return both.select("label", "mi", (F.col("mi") + F.col("lnc")).alias("mi_corrected"))
 
 
 @query()
 def shuffle_test(spark, sf_dir):
-    return rolling.shuffle_test(sample(spark, sf_dir), ["x1"], ["x2"], ns=50, keys=["label"])
+    return estimates.shuffle_test(sample(spark, sf_dir), ["label"], "vec_id", ["x1"], ["x2"], ns=50)
 
 
 @query()
 def te_array_function(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("g").orderBy("idx").rowsBetween(-HALF, HALF - 1)
-    d = wide(spark, sf_dir).withColumn("g", F.lit(0)).select("idx", F.collect_list(F.coalesce("click", F.lit(float("nan")))).over(w).alias("x"), F.collect_list(F.coalesce("view", F.lit(float("nan")))).over(w).alias("y"))
+    w = wide(spark, sf_dir).select("idx", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("click", "view")])
+    # Each row goes to the windows that hold it.
+    spread = w.select(F.explode(F.sequence(F.col("idx") - HALF + 1, F.col("idx") + HALF)).alias("c"), F.struct("idx", "click", "view").alias("r"))
+    arrays = spread.groupBy("c").agg(F.array_sort(F.collect_list("r")).alias("r")).join(w.select(F.col("idx").alias("c")), "c", "left_semi")
+    d = arrays.select(F.col("c").alias("idx"), F.transform("r", lambda r: r["click"]).alias("x"), F.transform("r", lambda r: r["view"]).alias("y"))
     return d.select("idx", estimates.te_bits(F.col("x"), F.col("y")).alias("te_bits"), estimates.ksg_entropy("y").alias("h_bits"))
 
 
 @query(f"""WITH {S1}, c AS (SELECT series, idx, value - avg(value) OVER (PARTITION BY series) AS c, count(*) OVER (PARTITION BY series) AS n FROM (SELECT series, idx, coalesce(value, 0) AS value FROM s1)),
-a AS (SELECT a.series, b.idx - a.idx AS lag, a.n, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series = b.series AND b.idx BETWEEN a.idx AND a.idx + 200 GROUP BY ALL)
+a AS (SELECT a.series, b.idx - a.idx AS lag, a.n, sum(a.c * b.c) AS s FROM c a JOIN c b ON a.series = b.series AND b.idx >= a.idx GROUP BY ALL)
 SELECT series, greatest(2, least(coalesce(min(lag) FILTER (lag > 0 AND s / z < exp(-1)), CAST(floor(any_value(n) / 10) AS BIGINT)), CAST(floor(any_value(n) / 3) AS BIGINT))) AS block FROM a JOIN (SELECT series, s AS z FROM a WHERE lag = 0) USING (series) GROUP BY series""")
 def block_length(spark, sf_dir):
     return stats.block_length(binned(spark, sf_dir, 1).withColumn("value", F.coalesce("value", F.lit(0.0))), ["series"])
@@ -107,14 +109,14 @@ def before_after(spark, sf_dir):
     return rounded(stats.before_after(_stage2(spark, sf_dir), ["entity"], at), "mean_before", "mean_after", "peak_before", "peak_after")
 
 
-_SWEEP = " UNION ALL ".join(f"SELECT window_idx, te_bits, {h} AS history FROM ({_te_oracle([(_name(['click'], [1], 'view'), ['click'], 'view')], [1], h)})" for h in (1, 2))
+_SWEEP = " UNION ALL ".join(f"SELECT window_idx, te_bits, {h} AS history FROM ({_te_oracle([(_name(['click'], [1], 'view'), ['click'], 'view')], [1], h)})" for h in (1, 2, 3, 4))
 
 
 @query(f"""WITH w AS ({_SWEEP}), f AS (SELECT w.*, o.te_bits AS first FROM w JOIN w o ON o.window_idx = w.window_idx AND o.history = 1),
 r AS (SELECT *, rank() OVER (PARTITION BY history ORDER BY te_bits) + (count(*) OVER (PARTITION BY history, te_bits) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY history ORDER BY first) + (count(*) OVER (PARTITION BY history, first) - 1) / 2e0 AS rb, te_bits >= quantile_cont(te_bits, 0.9) OVER (PARTITION BY history) AS ta, first >= quantile_cont(first, 0.9) OVER (PARTITION BY history) AS tb FROM f)
 SELECT history, round(avg(te_bits), 4) AS mean, round(quantile_cont(te_bits, 0.5), 4) AS median, round(stddev_pop(te_bits), 4) AS std, round(max(te_bits), 4) AS max, round(corr(ra, rb), 4) AS rho, round(count_if(ta AND tb) / count_if(ta OR tb), 4) AS jaccard, round(avg(te_bits) / avg(first), 4) AS ratio, CAST(history + 2 AS BIGINT) AS joint_dim, CAST(3 * power(2, history + 2) AS BIGINT) AS n_min, 3 * power(2, history + 2) > {2 * HALF} AS undersampled FROM r GROUP BY history""")
 def history_sensitivity(spark, sf_dir):
-    te = rolling.rolling_te(wide(spark, sf_dir), [catalog.Entity("view", (("click", 1),), h) for h in (1, 2)], 2 * HALF).withColumn("te_bits", F.round("te_bits", 6))
+    te = rolling.rolling_te(wide(spark, sf_dir), [catalog.Entity("view", (("click", 1),), h) for h in (1, 2, 3, 4)], 2 * HALF).withColumn("te_bits", F.round("te_bits", 6))
     s = stats.history_sensitivity(te, 2 * HALF)
     return s.select("history", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std", "max", "rho", "jaccard", "ratio")], "joint_dim", "n_min", "undersampled")
 

@@ -100,11 +100,11 @@ def melt_long(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN coalesce(nullif(event_id % 4, 3), 2) IN (0, 1) THEN round(value, 6) END AS value,
-  CASE WHEN value > 0 THEN round(value / (value + 10e0) * 100, 6) END AS pct FROM events WHERE ts < TIMESTAMP '2024-01-15'""")
+  CASE WHEN value > 0 THEN round(value / (value + 10e0) * 100, 6) END AS pct FROM events""")
 def masked_projection(spark, sf_dir):
     from ..sources.series import quality_masked
 
-    e = load(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
+    e = load(spark, sf_dir, "events")
     flag = F.nullif(F.col("event_id") % 4, F.lit(3))
     return e.select("event_id", quality_masked(F.round("value", 6), flag).alias("value"), F.when(F.col("value") > 0, F.round(stats.percent_of(F.col("value"), F.col("value") + 10), 6)).alias("pct"))
 
@@ -123,13 +123,13 @@ def outer_level(spark, sf_dir):
     return a.join(b, "us", "full").select("us", F.round(F.greatest("va", "vb"), 6).alias("level"), F.col("has_b").isNull().alias("only_a"))
 
 
-@query("""SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS large FROM customer
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
+@query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
 def semi_anti(spark, sf_dir):
     o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").select("c_custkey")
-    rest = c.join(o.where("o_orderstatus = 'P'"), c.c_custkey == o.o_custkey, "left_anti")
-    large = o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("large", F.lit(True))
-    return rest.join(large, "c_custkey", "left").select("c_custkey", F.coalesce("large", F.lit(False)).alias("large"))
+    large = o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    pending = o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(large, "c_custkey", "left_semi").join(pending, "c_custkey", "left_anti")
 
 
 # Resampling and alignment ----------------------------------------------------------------------------------------------
@@ -417,9 +417,13 @@ def rolling_jte(spark, sf_dir):
     return rounded(te.drop("history"), "te_raw", "te_bits")
 
 
-@query(" UNION ALL ".join(f"SELECT *, {h} AS history FROM ({_te_oracle([(_name(['click'], [1], 'view'), ['click'], 'view')], [1], h)})" for h in (0, 1, 2, 3)))
+#: Seven pairs, as many as the published sweep has.
+SWEPT = PAIRS[:7]
+
+
+@query(" UNION ALL ".join(f"SELECT *, {h} AS history FROM ({_te_oracle([(_name([a], [1], b), [a], b) for a, b in SWEPT], [1], h)})" for h in (0, 1, 2, 3, 4)))
 def history_sweep(spark, sf_dir):
-    te = _te(spark, sf_dir, [catalog.Entity("view", (("click", 1),), h) for h in (0, 1, 2, 3)], {})
+    te = _te(spark, sf_dir, [catalog.Entity(b, ((a, 1),), h) for h in (0, 1, 2, 3, 4) for a, b in SWEPT], {})
     return rounded(te, "te_raw", "te_bits")
 
 

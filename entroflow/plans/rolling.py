@@ -150,21 +150,32 @@ def significance(te: DataFrame, replicates: DataFrame, keys: Sequence[str] = ("t
     return s.withColumnRenamed("observed", "te_bits").withColumns({"sig95": F.col("te_bits") > F.col("surr_p95"), "sig99": F.col("te_bits") > F.col("surr_p99")})
 
 
-def family_level(sig: DataFrame) -> DataFrame:
-    """Per target and window, the largest 95 % threshold over its entities."""
-    return sig.groupBy("target", "window_idx", "us").agg(F.max("surr_p95").alias("level"))
-
-
-def shuffle_test(samples: DataFrame, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and confidence bounds of the information between permuted x and y, by key; a key's samples are a bounded group."""
+def stage2(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int = 2000, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The fixed-entity job: target, entity, window_idx, us, te_bits, error, h_target_bits, pct_h, and the surrogate columns of significance.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[list(x)].to_numpy(float), g[list(y)].to_numpy(float)
-        c = g[list(z)].to_numpy(float) if z else None
-        rng = np.random.default_rng(seed)
-        v = np.sort([knn.mutual_information(a[rng.permutation(len(a))], b, c) for _ in range(ns)])
-        low, high = v[int((1 - ci) / 2 * ns)], v[int((1 + ci) / 2 * ns)]
-        return pd.DataFrame([(*(g[k].iloc[0] for k in keys), v.mean(), low, high)], columns=[*keys, "mean", "low", "high"])
-
-    kinds = "".join(f"{c} {samples.schema[c].dataType.simpleString()}, " for c in keys)
-    return samples.groupBy(*keys).applyInPandas(run, f"{kinds}mean double, low double, high double")
+    A window that can't be estimated has null te_bits and its status as error. Without surrogates their columns are
+    absent; surr_p95_pct is their threshold in per cent of the target's entropy.
+    """
+    te = rolling_te(grid, entities, window_points, k, vector_bases=vector_bases)
+    h = rolling_entropy(grid, list(dict.fromkeys(e.target for e in entities)), window_points, k).withColumnRenamed("h_bits", "h_target_bits").drop("us")
+    ok = F.col("status") == "ok"
+    share = lambda c: F.when(F.col("h_target_bits") > 0, F.col(c) / F.col("h_target_bits") * 100)
+    rows = te.select("target", "entity", "window_idx", "us", F.when(ok, F.col("te_bits")).alias("te_bits"), F.when(~ok, F.col("status")).alias("error"))
+    rows = rows.join(h, ["target", "window_idx"], "left").withColumn("pct_h", share("te_bits"))
+    if not n_surrogates:
+        return rows
+    tested = significance(te.where(ok), surrogate_te(grid, entities, window_points, n_surrogates, kind, k, seed, vector_bases)).drop("us", "te_bits")
+    return rows.join(tested, ["target", "entity", "window_idx"], "left").withColumn("surr_p95_pct", share("surr_p95"))
+
+
+def exported(sig: DataFrame, entity: str = "entity") -> DataFrame:
+    """sig with `relationship`: its inputs in name order, and the target."""
+    return sig.withColumn("relationship", F.concat(F.array_join(F.array_sort(F.split(entity, r"\+")), "+"), F.lit(" -> "), F.col("target")))
+
+
+def family_level(sig: DataFrame, shown: int | None = None) -> DataFrame:
+    """Per target and window, the largest 95 % threshold over its entities; of a target with fewer than `shown` entities in all, none."""
+    if shown is not None:
+        there = sig.groupBy("target").agg(F.countDistinct("entity").alias("_n")).where(F.col("_n") >= shown).select("target")
+        sig = sig.join(F.broadcast(there), "target", "left_semi")
+    return sig.groupBy("target", "window_idx", "us").agg(F.max("surr_p95").alias("level"))

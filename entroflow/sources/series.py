@@ -77,6 +77,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+def write_layers(df: DataFrame, path: str, by: str = "target") -> None:
+    """Long layers (by, entity, idx, value, baseline, excess) as Parquet, a folder for each value of `by`."""
+    df.write.partitionBy(by).parquet(path)
+
+
+def load_series(spark: SparkSession, path: str, columns: Sequence[str] | None = None, before: str | None = None, time_col: str | None = None) -> DataFrame:
+    """One artifact (Parquet, else CSV): some of its columns, up to a cutoff that is excluded."""
+    df = missing_as_null(spark.read.parquet(path)) if path.rstrip("/").endswith(".parquet") else load_csv(spark, path, time_col)
+    name = detect_time_column(df, time_col)
+    if before is not None:
+        df = df.where(F.col(name) < F.lit(before).cast(df.schema[name].dataType))
+    if columns:
+        require_columns(df, columns)
+        df = df.select(name, *[c for c in columns if c != name])
+    return df
+
+
 def markdown(rows: list[dict], columns: Sequence[str]) -> str:
     """A Markdown table of a few collected rows."""
     head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from entroflow.functions import knn
 from entroflow.operators import align, normalize, stats
-from entroflow.plans import attribution, catalog, rolling
+from entroflow.plans import attribution, catalog, estimates, rolling
 from entroflow.sources import series
 from entroflow.streaming import resample
 
@@ -98,9 +99,65 @@ def test_synergy_labels(spark):
     assert r.label == "SYNERGISTIC" and r.synergy == pytest.approx(0.5)
 
 
+def samples(spark, n=150, keys=2):
+    rng = np.random.default_rng(8)
+    rows = [(g, i, *(float(v) for v in rng.normal(size=3)), i % 2) for g in range(keys) for i in range(n)]
+    rows = [(g, i, a, 0.7 * a + b, c + 0.3 * a, s) for g, i, a, b, c, s in rows]
+    return spark.createDataFrame([*rows, (0, 9999, None, 1.0, 1.0, 0)], "g int, i long, x double, y double, z double, side int")
+
+
+@pytest.mark.parametrize("block", [2000, 40])
+def test_estimators_by_blocks_are_the_array_kernels(spark, monkeypatch, block):
+    monkeypatch.setattr(estimates, "ROWS", block)
+    d = samples(spark)
+    want = {}
+    for g, part in d.dropna().toPandas().groupby("g"):
+        x, y, z, side = (part[c].to_numpy() for c in ("x", "y", "z", "side"))
+        both = np.column_stack([x, y])
+        want[g] = [knn.entropy(both), knn.mutual_information(x, y), knn.mutual_information(x, y, z), knn.mutual_information(x, y, alpha=0.25), knn.kl_divergence(both[side == 0], both[side == 1]), knn.mixed_information(x, side)]
+    key = (["g"], "i")
+    e = {r.g: (r.h, r.a, r.n) for r in estimates.entropies(d, *key, {"h": ["x", "y"], "a": ["x"]}).collect()}
+    mi = {r.g: r.mi for r in estimates.information(d, *key, ["x"], ["y"]).collect()}
+    cmi = {r.g: r.mi for r in estimates.information(d, *key, ["x"], ["y"], ["z"]).collect()}
+    lnc = {r.g: r.lnc for r in estimates.corrections(d, *key, ["x", "y"], 0.25).collect()}
+    kl = {r.g: r.kl for r in estimates.divergence(d.dropna(), *key, ["x", "y"], "side").collect()}
+    given = {r.g: r.a for r in estimates.given_groups(d.dropna(), *key, {"a": ["x"]}, "side").collect()}
+    for g in want:
+        assert [e[g][0], mi[g], cmi[g], mi[g] + lnc[g], kl[g], abs(e[g][1] - given[g])] == pytest.approx(want[g], abs=1e-9)
+    assert e[0][2] == 150 and estimates.entropies(d.where("false"), *key, {"h": ["x"]}).count() == 0
+
+
 def test_shuffle_test(spark):
-    r = rolling.shuffle_test(grid(spark, 80), ["x"], ["y"], ns=20).first()
-    assert r.low <= r.mean <= r.high and abs(r["mean"]) < 0.2
+    r = estimates.shuffle_test(samples(spark, 80, 1), ["g"], "i", ["x"], ["y"], ns=20).first()
+    assert r.low <= r["mean"] <= r.high and abs(r["mean"]) < 0.2
+
+
+def test_stage2_names_windows_that_fail(spark):
+    g = grid(spark, 80).withColumn("y", F.when(F.col("idx") >= 20, F.col("y")))
+    s = rolling.stage2(g, [catalog.Entity("y", (("x", 1),))], 20, 3)
+    rows = {r.window_idx: r for r in s.collect()}
+    assert rows[0].error == "short" and rows[0].te_bits is None and rows[0].surr_p95 is None
+    last = rows[max(rows)]
+    assert last.error is None and last.te_bits is not None and last.n_valid == 3 and last.surr_p95_pct is not None
+
+
+def test_layers_and_artifacts(spark, tmp_path):
+    t = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0, 2.0), ("b", "2024-01-02 00:00:00", None, 3.0)], "target string, at string, v double, w double").withColumn("at", F.to_timestamp("at"))
+    series.write_layers(t, f"file://{tmp_path}/layers.parquet")
+    back = series.load_series(spark, f"file://{tmp_path}/layers.parquet", ["v", "target"], before="2024-01-02")
+    assert [tuple(r)[1:] for r in back.collect()] == [(1.0, "a")]
+
+
+def test_family_level_is_withheld(spark):
+    s = spark.createDataFrame([("t", "a", 0, 0, 1.0), ("t", "b", 0, 0, 2.0), ("u", "a", 0, 0, 3.0)], "target string, entity string, window_idx long, us long, surr_p95 double")
+    assert [(r.target, r.level) for r in rolling.family_level(s, 2).collect()] == [("t", 2.0)] and rolling.family_level(s).count() == 2
+
+
+def test_selection_rules(spark):
+    t = spark.createDataFrame([(f"e{i}", float(i), float(-i)) for i in range(6)], "entity string, mean double, cv double")
+    assert sorted(map(tuple, attribution.panels(t, 2).collect())) == [("e0", "episodic"), ("e1", "episodic"), ("e4", "persistent"), ("e5", "persistent")]
+    one = spark.createDataFrame([("s", 0, 5.0)], "k string, idx long, value double")
+    assert [r.value for r in align.to_length(one, 3, ["k"]).orderBy("i").collect()] == [5.0] * 3
 
 
 def test_entities():

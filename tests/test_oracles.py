@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import entroflow.plans.more_queries  # noqa: F401
+import entroflow.plans.result_queries  # noqa: F401
 from entroflow.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
