@@ -48,15 +48,17 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Meanwhile Arrow batches hold at most so many rows, which bounds what the JVM and a worker hold of whole texts."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, rows)
+def arrow_rows(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Meanwhile Arrow batches hold at most so many rows (and bytes), which bounds what the JVM and a worker hold of whole texts."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(size)} if size else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 _CACHE: dict = {}

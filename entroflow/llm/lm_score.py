@@ -48,8 +48,8 @@ PART_KEYS = 1_000_000
 CHUNK_CHARS, COUNT_CHARS = 1_000_000, 4_000_000
 #: Rows of an Arrow batch of documents.
 DOCS_A_BATCH = 2000
-#: Rows of an Arrow batch where rows are chunks.
-CHUNKS_A_BATCH = 4
+#: Rows and bytes of an Arrow batch where rows are chunks or questions.
+QUESTIONS_A_BATCH, BYTES_A_BATCH = 500, 8 << 20
 HEAD = 2_000_000
 
 #: Stand-ins for the end and the start of a text; no word is empty or holds a blank.
@@ -321,17 +321,21 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFra
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, field = None, None
         for b in batches:
-            chunks, where, levels = [], [], []
-            for s, chunk, data in zip(*(column.to_pylist() for column in b.columns)):
-                if chunk < 0:
-                    now, field = s, np.frombuffer(data, np.uint8)
-                    continue
-                keys = unpacked_key(data, s, segments)
-                found = probe(field, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(field) * 8)) if s == now else np.zeros(len(keys))
-                chunks.append(chunk)
-                where.append(s)
-                levels.append(found.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(where, pa.int32()), pa.array(levels, pa.binary())], ["chunk", "segment", "levels"])
+            where, chunk = b.column(0).to_numpy(), b.column(1).to_numpy()
+            data, levels = b.column(2).to_pylist(), [b""] * b.num_rows
+            edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi and chunk[lo] < 0:
+                    now, field = where[lo], np.frombuffer(data[lo], np.uint8)
+                    lo += 1
+                if lo < hi:
+                    # All questions of the batch to one segment are answered at once.
+                    keys = unpacked_key(b"".join(data[lo:hi]), int(where[lo]), segments)
+                    found = probe(field, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(field) * 8)) if where[lo] == now else np.zeros(len(keys))
+                    raw, ends = found.astype(np.uint8).tobytes(), np.cumsum([0, *(len(d) // 4 for d in data[lo:hi])])
+                    levels[lo:hi] = [raw[x:y] for x, y in zip(ends, ends[1:])]
+            asked_ = pa.array(chunk >= 0)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(levels, pa.binary())], ["chunk", "segment", "levels"]).filter(asked_)
 
     questions = chunks.select("chunk", "texts").mapInArrow(ask, "segment int, chunk long, data binary")
     # A segment's bits come before its questions.
@@ -404,7 +408,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
     with arrow_rows(spark, DOCS_A_BATCH):
         chunks = None if broadcast else chunked(rows)
-    with nullcontext() if broadcast else arrow_rows(spark, CHUNKS_A_BATCH), freed_shuffles(spark):
+    with nullcontext() if broadcast else arrow_rows(spark, QUESTIONS_A_BATCH, BYTES_A_BATCH), freed_shuffles(spark):
         if broadcast:
             scored = rows.mapInArrow(run, schema)
         else:
