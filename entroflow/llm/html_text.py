@@ -45,7 +45,7 @@ NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: What a word of a name says that no labelled page has: boilerplate goes by few names, text by any.
-UNSEEN = 1.5
+UNSEEN = 5.0
 #: Shares of a page's words outside links that an element holds, as evidence.
 SHARES = (0.02, 0.1, 0.3, 0.6)
 
