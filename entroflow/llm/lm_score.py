@@ -8,9 +8,10 @@ filter's segment; a partition adds up its n-grams, sizes its segments by their e
 many segments as keep each bounded, and they are a table in the shared folder. What is shuffled names an n-gram by its segment and 32 bits of its hash in it: with PART_KEYS
 n-grams a segment, one in 4,000 shares its name with another, far fewer than a filter finds by mistake.
 
-A filter of at most MOST_BYTES is broadcast. A larger one stays a table: chunks of documents ask for their distinct
-n-grams by segment, a partition answers the questions to its segments one after another, and the levels return to their
-chunks. Scores are the same either way.
+The filter grows with the corpus and so stays a table: chunks of documents ask for their distinct n-grams by segment, a
+partition answers the questions to its segments one after another by probing, and the levels return to their chunks.
+What is broadcast is a bounded part of it: the probed levels of the most frequent n-grams, at most HEAD_KEYS of them,
+which most tokens consist of. Only the other n-grams of a chunk are asked for. Scores are the same with or without it.
 
 A token's probability is t * count(v, w) / count(v) + (1 - t) * P(w), P(w) = (count(w) + 1) / (N + V + 1), with the trust
 t = TRUST * count(v) / (count(v) + MU) and counts read from the filter; v is the token before w, or the start of the text.
@@ -22,7 +23,7 @@ with the tasks, and the others are joined by word.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,8 @@ from .common import WordHashes, arrow_rows, materialize, mix, table, worker_cach
 
 BASE = 1.5
 TRUST, MU = 0.3, 10.0
-#: The largest filter that is broadcast.
-MOST_BYTES = 1 << 26
+#: N-grams whose levels travel with the tasks, at most.
+HEAD_KEYS = 12_000_000
 BITS_AN_ENTRY = 10
 #: Segments of the filter, at least.
 SEGMENTS = 1024
@@ -193,16 +194,10 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int, column: int = 0) -> It
             at = end
 
 
-def count_unigrams(docs: DataFrame) -> DataFrame:
-    """Exact counts of the tokens of `text`: token (its 64-bit hash) and count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, COUNT_CHARS):
-            tokens, _ = token_hashes(b.column(0).to_pylist())
-            u, c = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["token", "count"])
-
-    return docs.select("text").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
+def most_tokens(docs: DataFrame) -> int:
+    """A bound on the number of tokens of `text`: words are apart by a blank, and each text has an end."""
+    chars = F.length(F.coalesce("text", F.lit("")))
+    return int(docs.agg(F.coalesce(F.sum(F.floor((chars + 1) / 2) + 1), F.lit(0))).first()[0])
 
 
 @contextmanager
@@ -222,67 +217,117 @@ def segments_for(n_tokens: int) -> int:
     return max(SEGMENTS, 1 << (max(n_tokens - 1, 0) // PART_KEYS).bit_length())
 
 
-def filter_table(docs: DataFrame, n_tokens: int) -> DataFrame:
-    """Rows (segment, bits) of the filter of docs: count unigrams (contexts and starts included) and bigrams and set their levels' bits.
+FILTER_SCHEMA = "segment int, bits binary, tokens array<long>, counts array<long>, head_keys binary, head_levels binary"
+
+
+def filter_table(docs: DataFrame, n_tokens: int, head_keys: int = HEAD_KEYS) -> DataFrame:
+    """The filter of docs, which have at most n_tokens tokens, and their exact unigram counts, a row a segment.
 
-    A task ships its partial counts packed, one row a segment; a segment is added up as a whole, and its size is
-    BITS_AN_ENTRY for each of its entries. A segment without entries has no row.
+    Unigrams (contexts and starts included) and bigrams are counted and their levels' bits set. A task ships its
+    partial counts packed, one row a segment; a segment is added up as a whole, and its size is BITS_AN_ENTRY for each
+    of its entries. A segment without entries has no row. Columns: segment, bits; tokens and counts (the segment's
+    tokens by 64-bit hash); head_keys and head_levels, what probing gives for the n-grams that are counted
+    3 * n_tokens / head_keys times or more. A token counts in three n-grams at most, so these are head_keys at most.
     """
     segments = segments_for(n_tokens)
+    frequent = 3 * n_tokens / head_keys
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, COUNT_CHARS):
             tokens, sizes = token_hashes(b.column(0).to_pylist())
-            before = contexts(tokens, sizes)
-            starts = np.full(len(sizes), WordHashes().__missing__(START), np.int64)
-            keys, n = np.unique(short_keys(np.concatenate([unigram(tokens), unigram(starts), bigram(before, tokens)]), segments), return_counts=True)
+            if not len(tokens):
+                continue
+            pairs, n_pairs = np.unique(short_keys(bigram(contexts(tokens, sizes), tokens), segments), return_counts=True)
+            tokens, times = np.unique(tokens, return_counts=True)
+            order = np.argsort(unigram(tokens))
+            tokens, times = tokens[order], times[order].astype("<u4")
+            singles = unigram(tokens)
+            starts = unigram(np.array([WordHashes().__missing__(START)]))
+            keys = np.concatenate([short_keys(np.concatenate([singles, starts]), segments), pairs])
+            n = np.concatenate([times, [len(sizes)], n_pairs]).astype("<u4")
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
             # Keys are sorted, and so are their segments.
-            name = segment(keys, segments)
+            name, low = segment(keys, segments), packed_key(keys, segments)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
-            n = np.minimum(n, (1 << 32) - 1).astype("<u4")
-            low = packed_key(keys, segments)
-            packed = [(name[lo], low[lo:hi].tobytes(), n[lo:hi].tobytes()) for lo, hi in zip(cut, cut[1:]) if hi > lo]
-            where, k, c = zip(*packed) if packed else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(where, np.int32)), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["segment", "keys", "counts"])
+            name = name[cut[:-1]]
+            ends = [np.searchsorted(segment(singles, segments), name, side) for side in ("left", "right")]
+            packed = [(low[lo:hi], n[lo:hi], tokens[x:y], times[x:y]) for lo, hi, x, y in zip(cut, cut[1:], *ends)]
+            fields = [pa.array([f.tobytes() for f in column], pa.binary()) for column in zip(*packed)]
+            yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), *fields], ["segment", "keys", "n", "tokens", "times"])
+
+    def added_up(names: list[bytes], counts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        k, inverse = np.unique(np.frombuffer(b"".join(names), kind), return_inverse=True)
+        return k, np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4"), len(k)).astype(np.int64)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts = None, [], []
+        now, parts = None, ([], [], [], [])
 
         def done() -> pa.RecordBatch:
-            k, inverse = np.unique(unpacked_key(b"".join(keys), now, segments), return_inverse=True)
-            t = level_of(np.bincount(inverse, np.frombuffer(b"".join(counts), "<u4")))
+            low, n = added_up(parts[0], parts[1], "<u4")
+            k, t = unpacked_key(low.tobytes(), now, segments), level_of(n)
             entries = int(t.sum())
             flags = np.zeros(-(-entries * BITS_AN_ENTRY // 8) * 8, bool)
             for where in positions(np.repeat(k, t), np.arange(entries) - np.repeat(np.cumsum(t) - t, t) + 1, len(flags)):
                 flags[where] = True
-            keys.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+            field = np.packbits(flags, bitorder="little")
+            head = k[n >= frequent]
+            levels = probe(field, head, np.zeros(len(head), np.int64), np.full(len(head), len(flags)))
+            tokens, counts = added_up(parts[2], parts[3], "<i8")
+            for p in parts:
+                p.clear()
+            values = [now, field.tobytes(), tokens, counts, head.tobytes(), levels.astype(np.uint8).tobytes()]
+            types = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], ["segment", "bits", "tokens", "counts", "head_keys", "head_levels"])
 
         for b in batches:
-            for s, k, c in zip(*(column.to_pylist() for column in b.columns)):
+            for s, *row in zip(*(column.to_pylist() for column in b.columns)):
                 if s != now:
-                    if keys:
+                    if parts[0]:
                         yield done()
                     now = s
-                keys.append(k)
-                counts.append(c)
-        if keys:
+                for p, value in zip(parts, row):
+                    p.append(value)
+        if parts[0]:
             yield done()
 
-    counted = docs.select("text").mapInArrow(partial, "segment int, keys binary, counts binary")
+    counted = docs.select("text").mapInArrow(partial, "segment int, keys binary, n binary, tokens binary, times binary")
     dealt = counted.repartition("segment").sortWithinPartitions("segment")
     with freed_shuffles(docs.sparkSession):
-        return materialize(dealt.mapInArrow(bits, "segment int, bits binary"), "lm-filter")
+        return materialize(dealt.mapInArrow(bits, FILTER_SCHEMA), "lm-filter")
+
 
+def unigram_counts(fields: DataFrame) -> DataFrame:
+    """Exact counts of tokens from the filter's table: token (its 64-bit hash) and count."""
+    return fields.select(F.explode(F.arrays_zip("tokens", "counts")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.counts").alias("count"))
 
-def collected(fields: DataFrame, n_tokens: int) -> LogFrequencyFilter:
-    return LogFrequencyFilter.of({r.segment: r.bits for r in fields.collect()}, segments_for(n_tokens))
+
+@dataclass
+class Head:
+    """The levels of the most frequent n-grams, by short key in order."""
+
+    keys: np.ndarray
+    found: np.ndarray
+
+    @staticmethod
+    def of(fields: DataFrame) -> Head:
+        rows = fields.where(F.length("head_keys") > 0).select("head_keys", "head_levels").collect()
+        keys = np.frombuffer(b"".join(r.head_keys for r in rows), np.uint64)
+        order = np.argsort(keys)
+        return Head(keys[order], np.frombuffer(b"".join(r.head_levels for r in rows), np.uint8)[order])
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each short key, 0 if it isn't among these."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint8)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.found[at], np.uint8(0))
 
 
 def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
     """The filter of docs in one piece."""
-    return collected(filter_table(docs, n_tokens), n_tokens)
+    fields = filter_table(docs, n_tokens).select("segment", "bits").collect()
+    return LogFrequencyFilter.of({r.segment: r.bits for r in fields}, segments_for(n_tokens))
 
 
 def asked(tokens: np.ndarray, sizes: np.ndarray, segments: int) -> np.ndarray:
@@ -305,13 +350,19 @@ def chunked(rows: DataFrame) -> DataFrame:
     return materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks").select("chunk", "doc_ids", "held", "texts")
 
 
-def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFrame:
-    """By chunk the levels of its distinct n-grams as an array of (segment, levels) in order of the segments, a byte an n-gram."""
+def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int, head: Callable[[], Head]) -> DataFrame:
+    """By chunk the levels of its distinct n-grams outside the head as an array of (segment, levels) in order of the segments, a byte an n-gram.
+
+    A chunk without such n-grams has no row.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, texts in zip(b.column(0).to_pylist(), b.column(1)):
                 keys = asked(*token_hashes(texts.as_py()), segments)
+                keys = keys[head().levels(keys) == 0]
+                if not len(keys):
+                    continue
                 name, low = segment(keys, segments), packed_key(keys, segments)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(name)]])
                 yield pa.RecordBatch.from_arrays(
@@ -344,30 +395,27 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int) -> DataFra
     return answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("segment", "levels"))).alias("answers"))
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD, head_keys: int = HEAD_KEYS) -> DataFrame:
     """Learn from the rows of (doc_id, text) that aren't held out and score every row.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text is its end
     token alone. Rows map one to one, so repeated rows are scored, and learned from, as often as they occur; a null
-    doc_id isn't held out. Other columns are ignored. Without training rows all counts are zero. A filter of more than
-    most_bytes is probed by segment instead of being broadcast.
+    doc_id isn't held out. Other columns are ignored. Without training rows all counts are zero. At most `head` words'
+    counts and head_keys n-grams' levels are broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     training = rows.where("NOT held_out")
-    with freed_shuffles(spark), arrow_rows(spark, DOCS_A_BATCH):
-        counts = materialize(count_unigrams(training), "lm-unigrams")
+    bound = most_tokens(training)
+    segments = segments_for(bound)
+    with arrow_rows(spark, DOCS_A_BATCH):
+        fields = filter_table(training, bound, head_keys)
+    counts = unigram_counts(fields)
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = int(total.n), int(total.v)
     denominator = n + v + 1
-    frequent = counts.where(F.col("count") * head >= n).toArrow()
-    frequent = frequent.sort_by("token")
-    with arrow_rows(spark, DOCS_A_BATCH):
-        fields = filter_table(training, n)
-    segments = segments_for(n)
-    broadcast = fields.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0] <= most_bytes
-    model = collected(fields, n) if broadcast else None
-    shared: Broadcast = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["count"].to_numpy(), model))
+    frequent = counts.where(F.col("count") * head >= n).toArrow().sort_by("token")
+    shared: Broadcast = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["count"].to_numpy(), Head.of(fields)))
 
     def scores(doc_ids: pa.Array, held: pa.Array, tokens: np.ndarray, sizes: np.ndarray, counts_of: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
         head_token, head_count, _ = shared.value
@@ -393,27 +441,21 @@ def score_documents(docs: DataFrame, head: int = HEAD, most_bytes: int = MOST_BY
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value[2]
-        for b in slices(batches, CHUNK_CHARS, 2):
-            yield scores(b.column(0), b.column(1), *token_hashes(b.column(2).to_pylist()), lm.counts)
-
-    def run_answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_ids, held, texts, answers in zip(*b.columns):
                 tokens, sizes = token_hashes(texts.as_py())
                 keys = asked(tokens, sizes, segments)
-                means = MEANS[np.frombuffer(b"".join(a["levels"] for a in answers.as_py()), np.uint8)]
+                levels = shared.value[2].levels(keys)
+                levels[levels == 0] = np.frombuffer(b"".join(a["levels"] for a in answers.as_py() or ()), np.uint8)
+                means = MEANS[levels]
                 yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, short_keys(k, segments))])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
     with arrow_rows(spark, DOCS_A_BATCH):
-        chunks = None if broadcast else chunked(rows)
-    with nullcontext() if broadcast else arrow_rows(spark, QUESTIONS_A_BATCH, BYTES_A_BATCH), freed_shuffles(spark):
-        if broadcast:
-            scored = rows.mapInArrow(run, schema)
-        else:
-            answered = chunks.join(dealt_levels(chunks, fields, segments), "chunk")
-            scored = answered.select("doc_ids", "held", "texts", "answers").mapInArrow(run_answered, schema)
+        chunks = chunked(rows)
+    with arrow_rows(spark, QUESTIONS_A_BATCH, BYTES_A_BATCH), freed_shuffles(spark):
+        answered = chunks.join(dealt_levels(chunks, fields, segments, lambda: shared.value[2]), "chunk", "left")
+        scored = answered.select("doc_ids", "held", "texts", "answers").mapInArrow(run, schema)
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").count().withColumnRenamed("count", "times")
     rest = (

@@ -112,12 +112,49 @@ def test_filter_fits_distinct_text(spark):
     assert (f.levels(lm.mix(np.arange(20_000, dtype=np.uint64))) > 0).mean() < 0.02
 
 
-def test_dealt_filter_gives_the_broadcast_ones_scores(spark, sf_dir, monkeypatch):
+def test_head_gives_the_filters_scores(spark, sf_dir, monkeypatch):
+    """From no n-gram in the head to all of them, the scores are the same."""
     monkeypatch.setattr(lm, "CHUNK_CHARS", 3000)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(300).collect()] + [(None, None), (-1, ""), (-2, "unheard of words"), (-2, "unheard of words"), (-3, "word " * 3000)]
     df = spark.createDataFrame([(i, t, 0, 0.0) for i, t in rows], SCHEMA)
     for d in (df, df.where("doc_id = 0"), df.where("false")):
-        one, other = (sorted(map(tuple, lm.score_documents(d, most_bytes=m).collect()), key=str) for m in (1 << 26, -1))
-        # Spark adds up the rare words of a base score in any order; the rest is the same to the bit.
-        assert [r[:5] + r[6:] for r in one] == [r[:5] + r[6:] for r in other] and len(one) == d.count()
-        assert [r[5] for r in one] == pytest.approx([r[5] for r in other], rel=1e-12)
+        one, *others = (sorted(map(tuple, lm.score_documents(d, head_keys=k).collect()), key=str) for k in (1, 50_000, 1 << 40))
+        for other in others:
+            # Spark adds up the rare words of a base score in any order; the rest is the same to the bit.
+            assert [r[:5] + r[6:] for r in one] == [r[:5] + r[6:] for r in other] and len(one) == d.count()
+            assert [r[5] for r in one] == pytest.approx([r[5] for r in other], rel=1e-12)
+
+
+def test_head_is_bounded(spark):
+    docs = spark.createDataFrame([(f"a b c w{i % 40} a b",) for i in range(400)], "text string")
+    n = lm.most_tokens(docs)
+    assert n >= 400 * 7
+    for most in (1, 3, 10, 1000):
+        assert len(lm.Head.of(lm.filter_table(docs, n, most)).keys) <= most
+
+
+def test_score_agrees_with_counted_levels(spark):
+    """The score from a plain count of n-grams and their levels; a filter finds some n-grams at too high a level."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.4, 50))) for i in range(300)]
+    tokens = {i: [*words(t), None] for i, t in docs}
+    learned = [ws for i, ws in tokens.items() if crc(i) % 7 != 2]
+    c = collections.Counter(w for ws in learned for w in ws) + collections.Counter({"": len(learned)})
+    pairs = collections.Counter(p for ws in learned for p in zip(["", *ws], ws))
+    n = sum(map(len, learned))
+    v = len(c) - 1
+
+    def mean(x):
+        return lm.MEANS[lm.level_of(np.array([x]))[0]] if x else 0.0
+
+    def score(ws):
+        out = 0.0
+        for before, w in zip(["", *ws], ws):
+            t = lm.TRUST * mean(c[before]) / (mean(c[before]) + lm.MU)
+            out += math.log10(t * min(mean(pairs[before, w]) / max(mean(c[before]), 1), 1) + (1 - t) * min((mean(c[w]) + 1) / (n + v + 1), 1))
+        return out
+
+    df = spark.createDataFrame([(i, t, 0, 0.0) for i, t in docs], SCHEMA)
+    off = np.array([r.score - score(tokens[r.doc_id]) for r in lm.score_documents(df).collect()])
+    assert np.median(np.abs(off)) < 0.2 and np.abs(off).max() < 1.5
+    print("off", off.min(), np.median(np.abs(off)), off.max())
