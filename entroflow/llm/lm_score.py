@@ -330,24 +330,27 @@ def build_filter(docs: DataFrame, n_tokens: int) -> LogFrequencyFilter:
     return LogFrequencyFilter.of({r.segment: r.bits for r in fields}, segments_for(n_tokens))
 
 
-def asked(tokens: np.ndarray, sizes: np.ndarray, segments: int) -> np.ndarray:
-    """The distinct n-grams (short keys), in order, whose levels the scores of documents take."""
-    return np.unique(short_keys(np.concatenate([unigram(np.array([WordHashes().__missing__(START)])), unigram(tokens), bigram(contexts(tokens, sizes), tokens)]), segments))
+def ngrams(tokens: np.ndarray, sizes: np.ndarray, segments: int) -> np.ndarray:
+    """The n-grams (short keys) whose levels the scores of documents take: the start, each token, each token after the one before it."""
+    return short_keys(np.concatenate([unigram(np.array([WordHashes().__missing__(START)])), unigram(tokens), bigram(contexts(tokens, sizes), tokens)]), segments)
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, held_out, text) packed as (chunk, doc_ids, held, texts), a bounded number and size in each."""
+    """Rows (doc_id, held_out, text) packed as (chunk, docs), a bounded number and size in each; docs is a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(b: pa.RecordBatch) -> pa.RecordBatch:
-            ends = pa.array([0, b.num_rows], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in b.columns], ["doc_ids", "held", "texts"])
-
         for b in slices(batches, CHUNK_CHARS, 2):
-            yield pack(b)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["docs"])
+
+    packed = rows.select("doc_id", "held_out", "text").mapInArrow(run, "docs binary")
+    return materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks").select("chunk", "docs")
+
 
-    packed = rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_ids array<long>, held array<boolean>, texts array<string>")
-    return materialize(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks").select("chunk", "doc_ids", "held", "texts")
+def unpacked(docs: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(docs.as_buffer()).read_next_batch()
 
 
 def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int, head: Callable[[], Head]) -> DataFrame:
@@ -358,8 +361,8 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int, head: Call
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, texts in zip(b.column(0).to_pylist(), b.column(1)):
-                keys = asked(*token_hashes(texts.as_py()), segments)
+            for chunk, docs in zip(b.column(0).to_pylist(), b.column(1)):
+                keys = np.unique(ngrams(*token_hashes(unpacked(docs).column(2).to_pylist()), segments))
                 keys = keys[head().levels(keys) == 0]
                 if not len(keys):
                     continue
@@ -388,7 +391,7 @@ def dealt_levels(chunks: DataFrame, fields: DataFrame, segments: int, head: Call
             asked_ = pa.array(chunk >= 0)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(levels, pa.binary())], ["chunk", "segment", "levels"]).filter(asked_)
 
-    questions = chunks.select("chunk", "texts").mapInArrow(ask, "segment int, chunk long, data binary")
+    questions = chunks.mapInArrow(ask, "segment int, chunk long, data binary")
     # A segment's bits come before its questions.
     both = questions.unionByName(fields.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")))
     answers = both.repartition("segment").sortWithinPartitions("segment", "chunk").mapInArrow(answer, "chunk long, segment int, levels binary")
@@ -417,11 +420,10 @@ def score_documents(docs: DataFrame, head: int = HEAD, head_keys: int = HEAD_KEY
     frequent = counts.where(F.col("count") * head >= n).toArrow().sort_by("token")
     shared: Broadcast = spark.sparkContext.broadcast((frequent["token"].to_numpy(), frequent["count"].to_numpy(), Head.of(fields)))
 
-    def scores(doc_ids: pa.Array, held: pa.Array, tokens: np.ndarray, sizes: np.ndarray, counts_of: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    def scores(doc_ids: pa.Array, held: pa.Array, tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         head_token, head_count, _ = shared.value
-        start = counts_of(unigram(np.array([WordHashes().__missing__(START)])))
         begin = np.cumsum(sizes) - sizes
-        here, pair = counts_of(unigram(tokens)), counts_of(bigram(contexts(tokens, sizes), tokens))
+        start, here, pair = counts[0], counts[1 : len(tokens) + 1], counts[len(tokens) + 1 :]
         ahead = preceding(here, sizes, start)
         trust = TRUST * ahead / (ahead + MU)
         p = trust * np.minimum(pair / np.maximum(ahead, 1), 1) + (1 - trust) * np.minimum((here + 1) / denominator, 1)
@@ -442,20 +444,20 @@ def score_documents(docs: DataFrame, head: int = HEAD, head_keys: int = HEAD_KEY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_ids, held, texts, answers in zip(*b.columns):
-                tokens, sizes = token_hashes(texts.as_py())
-                keys = asked(tokens, sizes, segments)
+            for packed, answers in zip(*b.columns):
+                doc_ids, held, texts = unpacked(packed).columns
+                tokens, sizes = token_hashes(texts.to_pylist())
+                keys, where = np.unique(ngrams(tokens, sizes, segments), return_inverse=True)
                 levels = shared.value[2].levels(keys)
                 levels[levels == 0] = np.frombuffer(b"".join(a["levels"] for a in answers.as_py() or ()), np.uint8)
-                means = MEANS[levels]
-                yield scores(doc_ids.values, held.values, tokens, sizes, lambda k: means[np.searchsorted(keys, short_keys(k, segments))])
+                yield scores(doc_ids, held, tokens, sizes, MEANS[levels][where])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<long>"
     with arrow_rows(spark, DOCS_A_BATCH):
         chunks = chunked(rows)
     with arrow_rows(spark, QUESTIONS_A_BATCH, BYTES_A_BATCH), freed_shuffles(spark):
         answered = chunks.join(dealt_levels(chunks, fields, segments, lambda: shared.value[2]), "chunk", "left")
-        scored = answered.select("doc_ids", "held", "texts", "answers").mapInArrow(run, schema)
+        scored = answered.select("docs", "answers").mapInArrow(run, schema)
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("token")).groupBy("row", "token").count().withColumnRenamed("count", "times")
     rest = (
