@@ -1,10 +1,10 @@
 """Phrase collocation mining by growth of contiguous patterns (PrefixSpan for runs of words).
 
-Words are counted, and those with at least `least` occurrences stay: no phrase with a rarer word can be frequent. Each
-occurrence of such a word is projected: a pointer row holds it and the up to four words after it, as 64-bit numbers of
-(lang, word), up to the end of the piece or the first rare word. A task gets all pointer rows of its prefixes, sorts
-them, and from then on a pattern's projected database is a range of rows: it extends each pattern to the right, depth
-first, as long as the range weighs enough.
+Words are counted, then pairs of neighbours, and those with at least `least` occurrences stay: no phrase with a rarer word
+or pair can be frequent. Each occurrence of a frequent pair is projected: a pointer row holds its words and the up to
+three after them, as 64-bit numbers of (lang, word), up to the end of the piece or the first rare pair. A task gets all
+pointer rows of its prefixes, sorts them, and from then on a pattern's projected database is a range of rows: it extends
+each pattern to the right, depth first, as long as the range weighs enough.
 
 A prefix with more than ROWS pointer rows isn't left to one task: it is counted by a grouped sum and its extensions by
 one word are prefixes of their own, and so on to the full length, so a task holds a bounded number of rows whatever
@@ -31,8 +31,8 @@ from .common import arrow_rows, materialize, mix, small_batches, table
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Pointer rows of a prefix that one task takes, and of a task's prefixes on average.
 ROWS = 250_000
-#: Words that a task counts, windows that it sums and names that it remembers before it sends them on or starts afresh.
-COUNTED, SUMMED, NAMED = 200_000, 400_000, 300_000
+#: Words that a task counts, pairs and pointer rows that it sums and names that it remembers before it sends them on or starts afresh.
+COUNTED, PAIRED, SUMMED, NAMED = 200_000, 2_000_000, 400_000, 300_000
 #: Partial results of the ranking in each language, so that no task ranks all phrases of one.
 PARTS = 64
 
@@ -89,12 +89,65 @@ def word_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return counts.where((F.col("f") >= least) | F.col("word").isNull()).mapInArrow(name, "lang string, word string, f long, id long")
 
 
-def _runs(ids: np.ndarray, longest: int) -> np.ndarray:
-    """A row for each word that another follows, with the words after it up to a 0."""
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair of neighbouring words; their own numbers are hashes already."""
+    return (first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.view(np.uint64)).view(np.int64)
+
+
+def _named(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[np.ndarray]:
+    """The texts' words as numbers, in order; 0 stands for words that aren't in the bitmap and between pieces."""
+    known: dict[str, dict[bytes, int]] = {}
+    for b in small_batches(batches):
+        for lang, raw in _by_lang(b).items():
+            tokens = raw.translate(_TO_STOP).replace(b".", b" . ").split()
+            memo = known.setdefault(lang, {})
+            here = set(tokens)
+            new = list(here.difference(memo, (b".",)))
+            ids = np.array([name_of(w, _seed(lang)) for w in new], np.int64)
+            if sum(map(len, known.values())) + len(new) > NAMED:
+                # What this batch doesn't hold is forgotten.
+                memo = {w: memo[w] for w in here.intersection(memo)}
+                known.clear()
+                known[lang] = memo
+            memo.update(zip(new, np.where(hits(frequent, ids), ids, 0).tolist()))
+            memo[b"."] = 0
+            yield np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
+
+
+def frequent_pairs(docs: DataFrame, words, least: int = LEAST) -> DataFrame:
+    """h: numbers of pairs of neighbouring frequent words (a bitmap of their ids) with at least `least` occurrences, and of few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                h, n = np.unique(np.concatenate(waiting), return_counts=True)
+                waiting.clear()
+                for at in range(0, len(n), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([longs(h[part]), longs(n[part])], ["h", "n"])
+
+        for ids in _named(batches, words.value):
+            both = (ids[:-1] != 0) & (ids[1:] != 0)
+            waiting.append(pair_hash(ids[:-1][both], ids[1:][both]))
+            if sum(map(len, waiting)) > PAIRED:
+                yield from out()
+        yield from out()
+
+    return docs.select("lang", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+
+
+def _runs(ids: np.ndarray, pairs: np.ndarray, longest: int) -> np.ndarray:
+    """A row for each word that makes a frequent pair with the next, with the words after it as long as each makes one with its neighbour."""
+    linked = (ids[:-1] != 0) & (ids[1:] != 0)
+    linked[linked] = hits(pairs, pair_hash(ids[:-1][linked], ids[1:][linked]))
+    linked = np.concatenate([linked, np.zeros(longest, bool)])
     padded = np.concatenate([ids, np.zeros(longest, np.int64)])
-    at = np.flatnonzero((padded[: len(ids)] != 0) & (padded[1 : len(ids) + 1] != 0))
-    rows = padded[at[:, None] + np.arange(longest)]
-    return rows * np.logical_and.accumulate(rows != 0, axis=1)
+    at = np.flatnonzero(linked)[:, None] + np.arange(longest)
+    alive = np.ones(at.shape, bool)
+    alive[:, 1:] = np.logical_and.accumulate(linked[at[:, :-1]], axis=1)
+    return padded[at] * alive
 
 
 def prefix_hash(rows: np.ndarray) -> np.ndarray:
@@ -121,12 +174,10 @@ def _schema(longest: int) -> str:
     return ", ".join(f"{w} long" for w in _names(longest)) + ", n long"
 
 
-def pointers(docs: DataFrame, frequent, longest: int = LONGEST) -> DataFrame:
-    """w1..., n: occurrences of frequent words (a bitmap of their ids) with the frequent words after them, as far as `longest`; 0 ends a row."""
+def pointers(docs: DataFrame, words, pairs, longest: int = LONGEST) -> DataFrame:
+    """w1..., n: occurrences of frequent words with the words after them, as far as `longest` and pairs are frequent (bitmaps of both); 0 ends a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = frequent.value
-        known: dict[str, dict[bytes, int]] = {}
         waiting: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -137,20 +188,8 @@ def pointers(docs: DataFrame, frequent, longest: int = LONGEST) -> DataFrame:
                     part = slice(at, at + 50_000)
                     yield pa.RecordBatch.from_arrays([*(longs(c) for c in rows[part].T), longs(n[part])], [*_names(longest), "n"])
 
-        for b in small_batches(batches):
-            for lang, raw in _by_lang(b).items():
-                tokens = raw.translate(_TO_STOP).replace(b".", b" . ").split()
-                memo = known.setdefault(lang, {})
-                new = list(set(tokens).difference(memo, (b".",)))
-                ids = np.array([name_of(w, _seed(lang)) for w in new], np.int64)
-                if sum(map(len, known.values())) + len(new) > NAMED:
-                    # What this batch doesn't hold is forgotten.
-                    memo = {w: memo[w] for w in set(tokens).intersection(memo)}
-                    known.clear()
-                    known[lang] = memo
-                memo.update(zip(new, np.where(hits(words, ids), ids, 0).tolist()))
-                memo[b"."] = 0
-                waiting.append(_runs(np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens)), longest))
+        for ids in _named(batches, words.value):
+            waiting.append(_runs(ids, pairs.value, longest))
             if sum(map(len, waiting)) > SUMMED:
                 yield from out()
         yield from out()
@@ -313,7 +352,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     with arrow_rows(docs.sparkSession, 500):
         words = materialize(word_counts(docs, least), "op11-words")
         singles = words.where("id IS NOT NULL")
-        windows = materialize(pointers(docs, bitmap_of(singles, "id"), longest), "op11-pointers")
+        frequent = bitmap_of(singles, "id")
+        pairs = materialize(frequent_pairs(docs, frequent, least), "op11-pairs")
+        windows = materialize(pointers(docs, frequent, bitmap_of(pairs, "h"), longest), "op11-pointers")
     phrases = materialize(frequent_phrases(windows, singles, least, longest, most), "op11-phrases")
     return ranked(scored(phrases, words, least), top)
 
