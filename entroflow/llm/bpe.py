@@ -92,8 +92,6 @@ class ForcedBoundaryCodec:
 
     def _learn(self, fragments: set[bytes]) -> None:
         """Encode fragments that aren't in the memo, most of them in one call, with a byte between them that no token joins to another."""
-        if len(self.memo) + len(fragments) > MEMO_ENTRIES:
-            self.memo.clear()
         joined, alone = [], []
         for f in fragments:
             (alone if f[:1] in (b"'", b"\0") or b"\0" in f or f.decode()[-1:].isspace() else joined).append(f)
@@ -117,13 +115,13 @@ class ForcedBoundaryCodec:
         edges = np.flatnonzero(mark[offsets[0] :]) + offsets[0]
         at = edges.tolist()
         fragments = [raw[a:b] for a, b in zip(at, at[1:])]
-        missing = set(fragments).difference(self.memo)
+        memo, seen = self.memo, set(fragments)
+        missing = seen.difference(memo)
+        if len(memo) + len(missing) > MEMO_ENTRIES:
+            # What this batch needs stays, however much it is.
+            self.memo = memo = {f: memo[f] for f in seen.intersection(memo)}
         if missing:
             self._learn(missing)
-            missing = set(fragments).difference(self.memo)
-            if missing:  # the memo was cleared meanwhile
-                self._learn(missing)
-        memo = self.memo
         firsts = np.searchsorted(edges, offsets).tolist()
         for row in range(len(offsets) - 1):
             if special and any(s in raw[offsets[row] : offsets[row + 1]] for s in special):

@@ -34,6 +34,15 @@ def test_same_ids_as_the_library(codec, monkeypatch):
     assert [codec.decode(i) for i in got] == [codec.tokenizer.decode(np.frombuffer(i, "<u4").tolist(), skip_special_tokens=False) for i in want]
 
 
+def test_batches_beyond_the_memo(codec, monkeypatch):
+    """Fragments just learned stay for their batch, whatever its size."""
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 300)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(n)) for n in (200, 250, 1000, 40, 290, 1)]
+    for part in (texts[:1], texts[1:2], texts[:3], texts[3:], texts):
+        assert list(codec.encode_column(pa.array(part, pa.string()))) == library(codec.tokenizer, part)
+
+
 def test_cuts_join_no_token(codec):
     data = np.frombuffer("one two, three".encode(), np.uint8)
     raw = data.tobytes()
