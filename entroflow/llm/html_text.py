@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -41,6 +42,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*>|</?[a-zA-Z][^<>]*\Z",
     re.DOTALL,
 )
+TAIL = re.compile(r"<!--|<!\[CDATA\[|</?[a-zA-Z][^<>]*\Z")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PARTS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -72,6 +74,11 @@ class Event:
     at: int
 
 
+def endless(token: str) -> bool:
+    """Whether a token is a comment or a CDATA section without its end."""
+    return any(token.startswith(begin) and not (len(token) >= len(begin + end) and token.endswith(end)) for begin, end in (("<!--", "-->"), ("<![CDATA[", "]]>")))
+
+
 def names_of(rest: str) -> list[str]:
     return [CAMEL.sub("-", t).lower() for m in NAMES.findall(rest) for t in "".join(m).split()] if rest else []
 
@@ -88,11 +95,25 @@ def parse(page: str) -> tuple[list[Event], list[Element]]:
         if not elements[owner].link:
             elements[owner].words += len(run.split())
 
-    at = 0
+    def close(i: int) -> None:
+        """Close the elements from place i of the stack on."""
+        for e in stack[i:]:
+            opened[elements[e].name] -= 1
+        del stack[i:]
+        while blocks and blocks[-1] >= i:
+            blocks.pop()
+
+    # How many elements of a name are open, and the places in the stack of those that are blocks.
+    opened: Counter = Counter()
+    blocks: list[int] = []
+    # Behind the last > there is no tag; only what is open there to the end is dropped.
+    at, last = 0, page.rfind(">") + 1
     while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
-            text(at, len(page))
+        m = TOKEN.search(page, at, last) if at < last else None
+        if not m or (m.end() == last and endless(m.group())):
+            m = m or TAIL.search(page, max(at, last))
+            if not m or m.start() > at:
+                text(at, m.start() if m else len(page))
             break
         if m.start() > at:
             text(at, m.start())
@@ -101,34 +122,34 @@ def parse(page: str) -> tuple[list[Event], list[Element]]:
         if not name:
             continue
         if m["end"] or m["end2"]:
-            if any(elements[i].name == name for i in stack):
-                while elements[stack[-1]].name != name:
-                    stack.pop()
-                events.append(Event("/" + name, "", stack.pop(), m.start()))
+            if opened[name]:
+                i = len(stack) - 1
+                while elements[stack[i]].name != name:
+                    i -= 1
+                events.append(Event("/" + name, "", stack[i], m.start()))
+                close(i)
             elif name in BLOCKS or name == "br":
                 events.append(Event("/" + name, "", stack[-1], m.start()))
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
             if not (m["rest"] or "").rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
                 at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
         if name in CLOSES_P or name == "p":
             # An open paragraph, with what is open inside it, ends where a block begins; so does an open item at the next one.
             for own in ("p", *([name] if name in ("li", "option", "dt", "dd", "tr", "td", "th") else [])):
-                for i in range(len(stack) - 1, 0, -1):
-                    open_name = elements[stack[i]].name
-                    if open_name == own:
-                        del stack[i:]
-                        break
-                    if open_name in BLOCKS:
-                        break
+                if blocks and elements[stack[blocks[-1]]].name == own:
+                    close(blocks[-1])
         if name in VOID:
             events.append(Event(name, "", stack[-1], m.start()))
             continue
         up = elements[stack[-1]]
         elements.append(Element(name, stack[-1], names_of(m["rest"] or ""), inside=up.inside or up.name in ARTICLES, link=up.link or name == "a"))
         stack.append(len(elements) - 1)
+        opened[name] += 1
+        if name in BLOCKS:
+            blocks.append(len(stack) - 1)
         events.append(Event(name, "", stack[-1], m.start()))
     for e in reversed(elements[1:]):
         up = elements[e.parent]

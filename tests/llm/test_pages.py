@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 import struct
 
 import duckdb
@@ -123,6 +124,25 @@ def test_layouts(layout, between):
     assert html_text.main_text(layout.format(FIRST, LAST)) == FIRST + between + LAST
 
 
+@pytest.mark.parametrize("page", ["<span>{}</b>", "<p><body><span>{}<div></div>", "<svg/>{}", "<a {}", "<!{}", "<b{}<i", "<script/>{}</script>", "<p><i>{}</p>", "<li>{}<ul>", "<a '{}<a \"", "<a '>{}<a \"'>"])
+def test_odd_markup_in_linear_time(page):
+    first, second = page.split("{}")
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_text.parse(first * n + second * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+OPEN_ENDS = [("a <!-- b > c", "a"), ("a <!-->", "a"), ("x > y <b", "x > y"), ("<p>a</p>b <a <i", "a\n\nb <a"), ("a<![CDATA[ b > c", "a"), ("<p>a <b>c</p>d", "a c\n\nd"), ("1 < 2 > 1", "1 < 2 > 1"), ("<b>a > b", "a > b")]
+
+
+@pytest.mark.parametrize("page,text", OPEN_ENDS)
+def test_open_ends(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_weights_have_their_signs():
     w = html_text.weights()
     assert w["word"] >= 1 and all(v < 0 for k, v in w.items() if not k.endswith("word"))
