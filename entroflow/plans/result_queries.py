@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import align, normalize, stats
 from . import attribution, catalog, estimates, knn_sql, rolling
 from .more_queries import _ROWS1, _ROWS3, _h, sample
 from .queries import (
-    FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
+    FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
 )
 
 _CLICK = (_name(["click"], [1], "view"), ["click"], "view")
@@ -69,6 +71,70 @@ def family_level_withheld(spark, sf_dir):
     return rounded(rolling.family_level(s, 3).drop("us"), "level")
 
 
+# Surrogates by their invariants ----------------------------------------------------------------------------------------
+
+#: Replicates of each window; a vector of two series beside a single one.
+_DRAWN, _BASES, _VECTORS = 3, ["click", "wind"], {"wind": ["view", "signup"]}
+_COMPONENTS = "SELECT 'click' AS base, 'click' AS col UNION ALL SELECT 'wind', 'view' UNION ALL SELECT 'wind', 'signup'"
+_WINDOWS = f"""{Z6}, comp AS ({_COMPONENTS}),
+win AS (SELECT base, c.idx - {HALF} AS window_idx, col, y.idx - c.idx + {HALF} AS at, y.z FROM (SELECT DISTINCT idx FROM z6) c JOIN z6 y ON y.idx >= c.idx - {HALF} AND y.idx < c.idx + {HALF} JOIN comp ON col = y.series WHERE c.idx >= {HALF} AND c.idx <= (SELECT max(idx) FROM z6) - {HALF})"""
+
+
+def _surrogates(spark, sf_dir, kind: str):
+    return rolling.surrogate_series(wide(spark, sf_dir), _BASES, 2 * HALF, _DRAWN, kind, vector_bases=_VECTORS)
+
+
+def _whole_windows(s):
+    """Surrogates of windows without a gap."""
+    gaps = s.groupBy("base", "window_idx").agg(F.count_if(F.col("value").isNull()).alias("_gaps")).where("_gaps = 0").drop("_gaps")
+    return s.join(gaps, ["base", "window_idx"], "left_semi")
+
+
+@query(f"""WITH {_WINDOWS}, o AS (SELECT base, window_idx, col, row_number() OVER (PARTITION BY base, window_idx, col ORDER BY z) AS place, z FROM win WHERE z IS NOT NULL),
+whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z))
+SELECT kind, base, window_idx, replicate, col AS "column", place, round(z, 6) + 0e0 AS value FROM o CROSS JOIN (SELECT unnest(['shuffle', 'block', 'iaaft']) AS kind) CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate)
+WHERE (kind = 'block' AND base = 'click') OR (kind = 'iaaft' AND (base, window_idx) IN (SELECT (base, window_idx) FROM whole) AND base = 'click') OR (kind = 'shuffle' AND (base, window_idx) IN (SELECT (base, window_idx) FROM whole))""")
+def surrogate_values(spark, sf_dir):
+    """What permuting surrogates keep: the values of each window, in order of size; iaaft and whole rows of vectors too."""
+    from pyspark.sql import Window
+
+    drawn = _whole_windows(_surrogates(spark, sf_dir, "shuffle")).withColumn("kind", F.lit("shuffle"))
+    drawn = drawn.unionByName(_surrogates(spark, sf_dir, "block").where("base = 'click' AND value IS NOT NULL").withColumn("kind", F.lit("block")))
+    drawn = drawn.unionByName(_whole_windows(_surrogates(spark, sf_dir, "iaaft")).where("base = 'click'").withColumn("kind", F.lit("iaaft")))
+    place = F.row_number().over(Window.partitionBy("kind", "base", "window_idx", "replicate", "column").orderBy("value")).cast("long")
+    return rounded(drawn.select("kind", "base", "window_idx", "replicate", "column", place.alias("place"), "value"), "value")
+
+
+@query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
+pairs AS (SELECT a.base, a.window_idx, a.at, a.z AS x, b.z AS y FROM win a JOIN win b USING (base, window_idx, at) WHERE a.col = 'view' AND b.col = 'signup' AND (a.base, a.window_idx) IN (SELECT (base, window_idx) FROM whole))
+SELECT base, window_idx, replicate, count(*) AS n, round(sum(x * y), 6) + 0e0 AS together, round(sum(x), 6) + 0e0 AS sum_view, round(sum(y), 6) + 0e0 AS sum_signup FROM pairs CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate) GROUP BY ALL""")
+def surrogate_vector_rows(spark, sf_dir):
+    """A vector's components are permuted together, so that the sum of their products stays."""
+    s = _whole_windows(_surrogates(spark, sf_dir, "shuffle")).where("base = 'wind'")
+    both = s.groupBy("base", "window_idx", "replicate", "at").agg(F.max(F.when(F.col("column") == "view", F.col("value"))).alias("x"), F.max(F.when(F.col("column") == "signup", F.col("value"))).alias("y"))
+    sums = both.groupBy("base", "window_idx", "replicate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("together"), F.sum("x").alias("sum_view"), F.sum("y").alias("sum_signup"))
+    return rounded(sums, "together", "sum_view", "sum_signup")
+
+
+_WAVE = f"2 * pi() * f * at / {2 * HALF}"
+
+
+@query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
+s AS (SELECT base, window_idx, col, f, sum(z * cos({_WAVE})) AS re, sum(z * sin({_WAVE})) AS im FROM win CROSS JOIN (SELECT unnest(range({HALF})) AS f) WHERE (base, window_idx) IN (SELECT (base, window_idx) FROM whole) GROUP BY ALL)
+SELECT a.base, a.window_idx, replicate, a.f, round(a.re * a.re + a.im * a.im, 4) + 0e0 AS power, round(a.re * b.re + a.im * b.im, 4) + 0e0 AS shared FROM s a JOIN s b ON a.base = b.base AND a.window_idx = b.window_idx AND a.f = b.f AND a.col = CASE a.base WHEN 'click' THEN 'click' ELSE 'view' END AND b.col = CASE b.base WHEN 'click' THEN 'click' ELSE 'signup' END CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate)""")
+def surrogate_spectrum(spark, sf_dir):
+    """What random phases keep, by direct sums at each frequency: the power, and between a vector's components the shared spectrum, as their phases turn together."""
+    s = _whole_windows(_surrogates(spark, sf_dir, "phase")).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1)).cast("array<bigint>")))
+    wave = F.lit(2 * math.pi) * F.col("f") * F.col("at") / (2 * HALF)
+    parts = s.groupBy("base", "window_idx", "replicate", "f", "column").agg(F.sum(F.col("value") * F.cos(wave)).alias("re"), F.sum(F.col("value") * F.sin(wave)).alias("im"))
+    first = F.col("column").isin("click", "view")
+    second = F.col("column").isin("click", "signup")
+    at = lambda which, c: F.max(F.when(which, F.col(c)))
+    both = parts.groupBy("base", "window_idx", "replicate", "f").agg(at(first, "re").alias("ar"), at(first, "im").alias("ai"), at(second, "re").alias("br"), at(second, "im").alias("bi"))
+    out = both.select("base", "window_idx", "replicate", "f", F.expr("ar * ar + ai * ai").alias("power"), F.expr("ar * br + ai * bi").alias("shared"))
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("power", "shared")})
+
+
 # Estimators of several variables ------------------------------------------------------------------------------------------
 
 

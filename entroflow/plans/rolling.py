@@ -1,15 +1,16 @@
 """Rolling transfer entropy, joint transfer entropy and entropy over a uniform grid.
 
 Rows of a wide grid table (idx, us, variables) are dealt to overlapping blocks of window centres by arithmetic on idx:
-no sort of the whole series, no frame per row. A block with its halo is a bounded group that one task turns into windows
-with array kernels; entities are dealt in chunks, so work spreads over (block, chunk). Windows hold the rows
-[centre - half, centre + half); window_idx counts from the first full one.
+no sort of the whole series, no frame per row. A block with its halo, a chunk of entities and, for surrogates, a round of
+replicates are a unit: a bounded group that array kernels turn into results. Units are dealt by their number of
+evaluations over a stated number of partitions. Windows hold the rows [centre - half, centre + half); window_idx
+counts from the first full one.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,19 +19,34 @@ from pyspark.sql import functions as F
 
 from ..functions import knn, surrogates
 from ..sources.series import require_columns
+from . import dealing
 from .catalog import Entity, component_columns
 
-BLOCK, CHUNK = 64, 8
+BLOCK, CHUNK, ROUND = 32, 4, 50
 
 
-def _blocks(grid: DataFrame, names: Sequence[str], half: int, keys: Sequence[str], chunks: int) -> DataFrame:
-    """Rows with the block and chunk they serve, and the first and last idx of their series."""
+def _dealt(grid: DataFrame, names: Sequence[str], half: int, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, entities: int = 1, replicates: int = 1) -> DataFrame:
+    """run on every unit (block of a series, _chunk of entities, _round of replicates): its rows by idx, with the first and last idx of their series."""
     require_columns(grid, [*keys, "idx", "us", *names])
     ends = grid.groupBy(*keys).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
+    size = ends.select(F.greatest(F.col("_last") - F.col("_first") - 2 * half + 1, F.lit(0)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.ceil(F.col("n") / BLOCK) + 1).alias("blocks")).first()
+    windows, blocks = size["n"] or 0, size["blocks"] or 0
+    chunks, rounds = -(-entities // CHUNK), -(-replicates // ROUND)
+    work = windows * entities * replicates
+    parts = dealing.partitions(grid.sparkSession, work, blocks * chunks * rounds)
+
     rows = grid.select(*keys, "idx", "us", *[F.col(c).cast("double") for c in dict.fromkeys(names)])
-    rows = rows.join(ends, list(keys)) if keys else rows.join(F.broadcast(ends))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+    rows = rows.join(ends.withColumnsRenamed({c: f"_of_{c}" for c in keys}), on).drop(*[f"_of_{c}" for c in keys]) if keys else rows.join(F.broadcast(ends))
     lo, hi = F.floor((F.col("idx") - half + 1) / BLOCK), F.floor((F.col("idx") + half) / BLOCK)
-    return rows.withColumn("_block", F.explode(F.sequence(lo, hi))).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.withColumn("_block", F.explode(F.sequence(lo, hi))).withColumn("_chunk", whole(chunks)).withColumn("_round", whole(rounds))
+    first, last = F.col("_first") + half, F.col("_last") - half
+    begin = F.greatest(F.col("_block") * BLOCK, first)
+    own = F.least((F.col("_block") + 1) * BLOCK - 1, last) - begin + 1
+    in_chunk = F.least(F.lit(CHUNK), entities - F.col("_chunk") * CHUNK)
+    before = (begin - first) * entities * replicates + own * (F.col("_chunk") * CHUNK * replicates + in_chunk * F.col("_round") * ROUND)
+    return dealing.by_unit(rows.where(own > 0), [*keys, "_block", "_chunk", "_round"], "idx", before, float(work), parts, run, schema, keys)
 
 
 def _windows(g: pd.DataFrame, half: int):
@@ -63,10 +79,8 @@ def rolling_te(grid: DataFrame, entities: Sequence[Entity], window_points: int,
     """
     own, columns, names = _setup(entities, vector_bases)
     half = window_points // 2
-    chunks = -(-len(own) // CHUNK)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx", ignore_index=True)
         out = []
         for e in own[int(g["_chunk"].iloc[0]) * CHUNK :][:CHUNK]:
             xs, y, taus = _arrays(g, e, columns)
@@ -77,7 +91,7 @@ def rolling_te(grid: DataFrame, entities: Sequence[Entity], window_points: int,
 
     kinds = "".join(f"{c} {grid.schema[c].dataType.simpleString()}, " for c in keys)
     schema = f"{kinds}target string, entity string, history int, window_idx long, us long, te_raw double, te_bits double, status string"
-    return _blocks(grid, names, half, keys, chunks).groupBy(*keys, "_block", "_chunk").applyInPandas(run, schema)
+    return _dealt(grid, names, half, keys, run, schema, len(own))
 
 
 def rolling_entropy(grid: DataFrame, targets: Sequence[str], window_points: int, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
@@ -85,12 +99,11 @@ def rolling_entropy(grid: DataFrame, targets: Sequence[str], window_points: int,
     half = window_points // 2
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx", ignore_index=True)
         out = [(*(g[c].iloc[0] for c in keys), t, w, us, knn.window_entropy(v[rows], k)) for t in targets for v in [g[t].to_numpy(float)] for _, us, rows, w in _windows(g, half)]
         return pd.DataFrame(out, columns=[*keys, "target", "window_idx", "us", "h_bits"])
 
     kinds = "".join(f"{c} {grid.schema[c].dataType.simpleString()}, " for c in keys)
-    return _blocks(grid, targets, half, keys, 1).groupBy(*keys, "_block", "_chunk").applyInPandas(run, f"{kinds}target string, window_idx long, us long, h_bits double")
+    return _dealt(grid, targets, half, keys, run, f"{kinds}target string, window_idx long, us long, h_bits double")
 
 
 def synergy(te: DataFrame, keys: Sequence[str] = ("target", "history")) -> DataFrame:
@@ -111,31 +124,55 @@ def synergy_stats(s: DataFrame, keys: Sequence[str] = ("target", "entity")) -> D
     )
 
 
-def surrogate_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None, per_task: int = 50) -> DataFrame:
+def surrogate_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Transfer entropy on surrogate sources: target, entity, window_idx, us, replicate, te_bits (0 if negative).
 
-    Each source has its own surrogate. A replicate's generator is seeded by (seed, entity, window, replicate), so a
-    result doesn't depend on how the work is dealt.
+    Each source has its own surrogate; a vector source's components share theirs. A replicate's generator is seeded by
+    (seed, entity, window, replicate), so a result doesn't depend on how the work is dealt.
     """
     own, columns, names = _setup(entities, vector_bases)
     half = window_points // 2
-    rounds = -(-n_surrogates // per_task)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx", ignore_index=True)
-        first = int(g["_round"].iloc[0]) * per_task
+        first = int(g["_round"].iloc[0]) * ROUND
+        drawn = range(first, min(first + ROUND, n_surrogates))
         out = []
         for e in own[int(g["_chunk"].iloc[0]) * CHUNK :][:CHUNK]:
             xs, y, taus = _arrays(g, e, columns)
+            mark = zlib.crc32(f"{e.target}<{e.name}".encode())
             for _, us, rows, w in _windows(g, half):
-                for r in range(first, min(first + per_task, n_surrogates)):
-                    rng = np.random.default_rng([seed, zlib.crc32(f"{e.target}<{e.name}".encode()), w, r])
-                    fake = [surrogates.surrogate(x[rows], kind, rng) for x in xs]
-                    out.append((e.target, e.name, w, us, r, max(knn.transfer_entropy(fake, y[rows], taus, e.history, k)[0], 0.0)))
-        return pd.DataFrame(out, columns=["target", "entity", "window_idx", "us", "replicate", "te_bits"])
-
-    rows = _blocks(grid, names, half, (), -(-len(own) // CHUNK)).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return rows.groupBy("_block", "_chunk", "_round").applyInPandas(run, "target string, entity string, window_idx long, us long, replicate int, te_bits double")
+                rngs = [np.random.default_rng([seed, mark, w, r]) for r in drawn]
+                fake = [surrogates.replicates(x[rows], kind, rngs) for x in xs]
+                te = np.maximum(knn.transfer_entropies(fake, y[rows], taus, e.history, k), 0.0)
+                out.append(pd.DataFrame({"target": e.target, "entity": e.name, "window_idx": w, "us": us, "replicate": np.arange(first, first + len(te), dtype=np.int32), "te_bits": te}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["target", "entity", "window_idx", "us", "replicate", "te_bits"])
+
+    return _dealt(grid, names, half, (), run, "target string, entity string, window_idx long, us long, replicate int, te_bits double", len(own), n_surrogates)
+
+
+def surrogate_series(grid: DataFrame, bases: Sequence[str], window_points: int, n_surrogates: int, kind: str = "iaaft", seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The surrogates themselves: base, window_idx, replicate, at (place in the window), column, value (null in a gap).
+
+    A base's components, if it is a vector, are drawn together; generators are seeded by (seed, base, window, replicate).
+    """
+    columns = component_columns(bases, vector_bases)
+    half = window_points // 2
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first = int(g["_round"].iloc[0]) * ROUND
+        drawn = range(first, min(first + ROUND, n_surrogates))
+        out = []
+        for b in list(columns)[int(g["_chunk"].iloc[0]) * CHUNK :][:CHUNK]:
+            own = g[columns[b]].to_numpy(float)
+            for _, _, rows, w in _windows(g, half):
+                fake = surrogates.replicates(own[rows], kind, [np.random.default_rng([seed, zlib.crc32(b.encode()), w, r]) for r in drawn])
+                r, at, c = (i.ravel() for i in np.indices(fake.shape))
+                value = pd.Series(fake.ravel()).astype(object).where(~np.isnan(fake.ravel()), None)
+                out.append(pd.DataFrame({"base": b, "window_idx": w, "replicate": r + first, "at": at, "column": np.array(columns[b], object)[c], "value": value}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["base", "window_idx", "replicate", "at", "column", "value"])
+
+    names = list(dict.fromkeys(c for v in columns.values() for c in v))
+    return _dealt(grid, names, half, (), run, "base string, window_idx long, replicate long, at long, column string, value double", len(columns), n_surrogates)
 
 
 def significance(te: DataFrame, replicates: DataFrame, keys: Sequence[str] = ("target", "entity", "window_idx")) -> DataFrame:
