@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.series import numeric_columns, require_columns
+from . import scan
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -108,37 +109,33 @@ def kernel_resample(df: DataFrame, ts: str, value: str, hours: float, kind: str
 
 def runs(df: DataFrame, flag: Column, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """df with run, a number that is the same along consecutive rows of equal flag."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_f", flag).withColumn("_c", F.when(F.lag("_f").over(w).eqNullSafe(F.col("_f")), 0).otherwise(1)).withColumn("run", F.sum("_c").over(w)).drop("_c", "_f")
+    return scan.numbered(df, flag, order, keys).drop("_b")
 
 
 def gaps(df: DataFrame, keys: Sequence[str] = (), order: str = "idx", us: str = "us", value: str = "value") -> DataFrame:
     """Interior runs of missing values: keys, first and last position, n_missing, gap_hours up to the next value."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    r = runs(df, F.col(value).isNull(), order, keys).withColumns({"_before": F.lag(value).over(w), "_next": F.lead(us).over(w), "_after": F.lead(value).over(w)})
-    g = r.where(F.col(value).isNull()).groupBy(*keys, "run").agg(
-        F.min(order).alias("first_idx"), F.max(order).alias("last_idx"), F.count(F.lit(1)).alias("n_missing"), F.min(us).alias("_s"),
-        F.max_by("_next", order).alias("_e"), F.min_by("_before", order).alias("_b"), F.max_by("_after", order).alias("_x"),
-    )
-    return g.where("_b IS NOT NULL AND _x IS NOT NULL").select(*keys, "first_idx", "last_idx", "n_missing", ((F.col("_e") - F.col("_s")) / HOUR).alias("gap_hours"))
+    d = scan.numbered(df, F.col(value).isNull(), order, keys)
+    whole = scan.run_facts(d, keys, order)
+    starts = d.groupBy(*keys, "run").agg(F.min(us).alias("_s"), F.min(F.col(value).isNull()).alias("_missing"))
+    g = scan.same(whole, starts, [*keys, "run"])
+    # Runs of values and of gaps take turns, so a gap ends where the next run begins.
+    after = starts.select(*keys, (F.col("run") - 1).alias("run"), F.col("_s").alias("_e"))
+    inner = scan.same(g.where("_missing AND run > _first_run AND run < _last_run"), after, [*keys, "run"])
+    return inner.select(*keys, F.col("_lo").alias("first_idx"), F.col("_hi").alias("last_idx"), F.col("_rows").alias("n_missing"), ((F.col("_e") - F.col("_s")) / HOUR).alias("gap_hours"))
 
 
 def interpolate(df: DataFrame, max_gap_hours: float | None = 3.0, keys: Sequence[str] = (), order: str = "idx", us: str = "us", value: str = "value") -> DataFrame:
     """df with filled: missing values on the line between their neighbours, in gaps of at most max_gap_hours (None: all interior ones)."""
-    back = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
     there = F.col(value).isNotNull()
-    d = df.withColumns({
-        "_v0": F.last(value, True).over(back), "_i0": F.last(F.when(there, F.col(order)), True).over(back),
-        "_v1": F.first(value, True).over(ahead), "_i1": F.first(F.when(there, F.col(order)), True).over(ahead),
-        "_u0": F.last(F.when(there, F.col(us)), True).over(back), "_u1": F.first(F.when(there, F.col(us)), True).over(ahead),
-    })
+    d = scan.neighbours(df, keys, order, there, us, value)
+    of = lambda side, c: F.col(side)[c]
+    places = of("_ahead", order) - of("_back", order)
     # A gap lasts from its first missing point to the next value.
-    step = (F.col("_u1") - F.col("_u0")) / (F.col("_i1") - F.col("_i0"))
-    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(order) - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
-    short = F.lit(True) if max_gap_hours is None else (F.col("_u1") - F.col("_u0") - step) / HOUR <= max_gap_hours
-    fill = F.when(there, F.col(value)).when(F.col("_v0").isNotNull() & F.col("_v1").isNotNull() & short, line)
-    return d.withColumn("filled", fill).drop("_v0", "_v1", "_i0", "_i1", "_u0", "_u1")
+    step = (of("_ahead", us) - of("_back", us)) / places
+    line = of("_back", value) + (of("_ahead", value) - of("_back", value)) * (F.col(order) - of("_back", order)) / places
+    short = F.lit(True) if max_gap_hours is None else (of("_ahead", us) - of("_back", us) - step) / HOUR <= max_gap_hours
+    fill = F.when(there, F.col(value)).when(F.col("_back").isNotNull() & F.col("_ahead").isNotNull() & short, line)
+    return d.withColumn("filled", fill).drop("_back", "_ahead")
 
 
 def align_datasets(datasets: Sequence[tuple[DataFrame, str]], hours: float = 6, circular: Sequence[str] = (), flux: Sequence[str] = (), max_gap_hours: float = 3.0) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+from . import ranks, scan
 from .align import runs
 
 TINY = 1e-12
@@ -61,9 +63,7 @@ def extremes(df: DataFrame, keys: Sequence[str], k: int, value: str = "value", u
 
 def rolling_median(df: DataFrame, keys: Sequence[str], n: int, value: str = "value", order: str = "idx", least: int | None = None) -> DataFrame:
     """df with baseline: the median of n rows around each, from n // 2 before on; null with under `least` values."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n // 2), n - 1 - n // 2)
-    least = max(3, n // 3) if least is None else least
-    return df.withColumn("baseline", F.when(F.count(value).over(w) >= least, half(value).over(w)))
+    return scan.rolling_median(df, keys, n, value, order, max(3, n // 3) if least is None else least)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], n: int, value: str = "value", order: str = "idx") -> DataFrame:
@@ -81,26 +81,25 @@ def excess(df: DataFrame, value: str = "value") -> DataFrame:
 
 def bridged(df: DataFrame, active: Column, keys: Sequence[str], max_gap: int, valid: Column | None = None, order: str = "idx") -> DataFrame:
     """df with active: the flag, and inactive runs of at most max_gap rows between active ones, all of them valid."""
-    d = runs(df.withColumn("active", F.coalesce(active, F.lit(False))).withColumn("_valid", F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))), F.col("active"), order, keys)
-    whole = Window.partitionBy(*keys)
-    run = Window.partitionBy(*keys, "run")
-    inner = (F.col("run") > F.min("run").over(whole)) & (F.col("run") < F.max("run").over(whole))
-    fill = inner & (F.count(F.lit(1)).over(run) <= max_gap) & F.min("_valid").over(run)
-    return d.withColumn("active", F.col("active") | fill).drop("run", "_valid")
+    d = df.withColumn("active", F.coalesce(active, F.lit(False))).withColumn("_valid", F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
+    d = scan.with_run_facts(scan.numbered(d, F.col("active"), order, keys), keys, order, "_valid")
+    fill = (F.col("run") > F.col("_first_run")) & (F.col("run") < F.col("_last_run")) & (F.col("_rows") <= max_gap) & F.col("_whole")
+    return d.withColumn("active", F.col("active") | fill).select(*df.columns, *(["active"] if "active" not in df.columns else []))
 
 
 def long_runs(df: DataFrame, keys: Sequence[str], least: int, order: str = "idx") -> DataFrame:
     """df with active only in runs of at least `least` rows, and the run's number."""
-    d = runs(df, F.col("active"), order, keys)
-    return d.withColumn("active", F.col("active") & (F.count(F.lit(1)).over(Window.partitionBy(*keys, "run")) >= least))
+    d = scan.with_run_facts(scan.numbered(df, F.col("active"), order, keys), keys, order)
+    return d.withColumn("active", F.col("active") & (F.col("_rows") >= least)).select(*df.columns, "run")
 
 
 def episode_rows(df: DataFrame, keys: Sequence[str], k: float = 1.0, least: int = 2, max_gap: int = 0, floor: float | None = None, valid: Column | None = None, value: str = "value", order: str = "idx") -> DataFrame:
     """df with active: whether a row lies in an episode, a run above max(median + k * 1.4826 * MAD, floor)."""
     d = df.withColumn("_ok", F.col(value).isNotNull() & (F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))))
-    part = Window.partitionBy(*keys)
-    d = d.withColumn("_med", half(F.when(F.col("_ok"), F.col(value))).over(part))
-    d = d.withColumn("_mad", half(F.when(F.col("_ok"), F.abs(F.col(value) - F.col("_med")))).over(part))
+    d = materialize(d, "episodes")
+    good = d.where("_ok")
+    d = scan.same(d, ranks.quantiles(good, keys, value, {"_med": 0.5}), keys, "left")
+    d = scan.same(d, ranks.quantiles(d.where("_ok").withColumn("_off", F.abs(F.col(value) - F.col("_med"))), keys, "_off", {"_mad": 0.5}), keys, "left")
     cut = F.col("_med") + F.lit(k * 1.4826) * F.col("_mad")
     if floor is not None:
         cut = F.greatest(cut, F.lit(float(floor)))
@@ -123,8 +122,8 @@ def episode_alignment(df: DataFrame, keys: Sequence[str], value: str = "value")
 
 def category_fractions(df: DataFrame, keys: Sequence[str], category: str, names: Sequence[str], order: str = "idx") -> DataFrame:
     """Share of rows in each category and the number of changes between consecutive rows."""
-    known = df.where(F.col(category).isNotNull()).withColumn("_p", F.lag(category).over(Window.partitionBy(*keys).orderBy(order)))
-    return known.groupBy(*keys).agg(*[F.avg((F.col(category) == n).cast("double")).alias(f"frac_{n}") for n in names], F.count_if(F.col(category) != F.col("_p")).alias("n_flips"))
+    known = runs(df.where(F.col(category).isNotNull()), F.col(category), order, keys)
+    return known.groupBy(*keys).agg(*[F.avg((F.col(category) == n).cast("double")).alias(f"frac_{n}") for n in names], (F.max("run") - 1).alias("n_flips"))
 
 
 def agreement(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -137,17 +136,17 @@ def agreement(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFr
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with average ranks for ties."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    for c in (a, b):
-        ties = Window.partitionBy(*keys, c)
-        both = both.withColumn(f"_{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-    return both.groupBy(*keys).agg(F.corr(f"_{a}", f"_{b}").alias("rho"))
+    ranked = ranks.with_ranks(ranks.with_ranks(both, keys, a, "_ra"), keys, b, "_rb")
+    return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"))
 
 
 def top_jaccard(df: DataFrame, a: str, b: str, q: float = 0.9, keys: Sequence[str] = ()) -> DataFrame:
     """Overlap of the rows in the top of each: both at least at their own quantile over either."""
-    part = Window.partitionBy(*keys)
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumns({"_a": F.col(a) >= F.percentile(a, F.lit(q)).over(part), "_b": F.col(b) >= F.percentile(b, F.lit(q)).over(part)})
-    return d.groupBy(*keys).agg((F.count_if(F.col("_a") & F.col("_b")) / F.nullif(F.count_if(F.col("_a") | F.col("_b")), F.lit(0))).alias("jaccard"))
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    for c, name in ((a, "_qa"), (b, "_qb")):
+        d = scan.same(d, ranks.of_ranked(ranks.ranked_values(d, keys, c), keys, c, {name: q}), keys)
+    in_a, in_b = F.col(a) >= F.col("_qa"), F.col(b) >= F.col("_qb")
+    return d.groupBy(*keys).agg((F.count_if(in_a & in_b) / F.nullif(F.count_if(in_a | in_b), F.lit(0))).alias("jaccard"))
 
 
 def step_means(df: DataFrame, keys: Sequence[str], boundary_us: int, days: float = 30, value: str = "value", us: str = "us") -> DataFrame:

@@ -1,7 +1,12 @@
 """Nearest-neighbour estimators by key, for keys of any size, and the estimators as column functions.
 
-The rows of a key are dealt into blocks of about ROWS; a unit compares the rows of one block with those of another, so a task
-holds two blocks. What rows find in the blocks, their nearest distances or numbers of neighbours, is merged by row.
+The rows of a key are cut into blocks of about ROWS by a k-d tree that is built on a sample of them and only decides how
+much work there is. A block's rows are compared with each other first; then a row asks those blocks whose box comes
+closer than what it has found, or than the distance that it counts within. A box that lies within that distance as
+a whole is counted without a comparison. What rows find is merged by row, so results don't depend on the tree.
+
+Equal values: a row whose k-th neighbour is equal to it has distance 0, and the entropy of its key is minus infinity, as
+that of any value that holds a share of the rows. jittered() tells equal values apart where they are rounding.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import knn
+from ..sources.scratch import materialize
 
 ROWS = 2000
 LN2 = float(np.log(2))
@@ -32,51 +38,175 @@ def digamma(m: Column) -> Column:
     return s
 
 
-def _compared(df: DataFrame, keys: Sequence[str], row: str, run: Callable[[pd.DataFrame, pd.DataFrame], dict], found: str) -> DataFrame:
-    """keys, row and what run gives for the rows of one block (asking) among those of another (held), for every pair of a key's blocks."""
-    blocks = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_blocks"))
-    dealt = (df.join(blocks, list(keys)) if keys else df.join(F.broadcast(blocks))).withColumn("_block", F.pmod(F.xxhash64(row), F.col("_blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    asks = F.transform(every, lambda o: F.struct(F.col("_block").alias("_i"), o.alias("_j"), F.lit(True).alias("_asks")))
-    held = F.transform(every, lambda o: F.struct(o.alias("_i"), F.col("_block").alias("_j"), F.lit(False).alias("_asks")))
-    units = dealt.withColumn("_u", F.explode(F.concat(asks, held))).select(*df.columns, "_u._i", "_u._j", "_u._asks")
+#: Rows that a key's tree is built on for each of its blocks, and blocks that a tree tells apart at most; more rows are dealt within them by hash.
+SAMPLED, LEAVES = 32, 2048
 
-    def unit(g: pd.DataFrame) -> pd.DataFrame:
-        asking, held = g[g["_asks"]], g[~g["_asks"]]
-        if not len(asking) or not len(held):
-            return pd.DataFrame(columns=names)
-        return pd.DataFrame({**{c: asking[c].to_numpy() for c in (*keys, row)}, **run(asking, held)})
 
-    names = [*keys, row, *(c.split()[0] for c in found.split(", "))]
-    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in (*keys, row))
-    return units.groupBy(*keys, "_i", "_j").applyInPandas(unit, kinds + found)
+def jittered(df: DataFrame, row: str, names: Sequence[str], scale: float = 1e-10) -> DataFrame:
+    """df with an offset in [0, scale) on each of the columns, by row and column, so that equal values differ the same way in every run."""
+    return df.withColumns({c: F.col(c) + F.lit(scale / 2**52) * F.shiftrightunsigned(F.xxhash64(row, F.lit(c)), 12) for c in names})
+
+
+def _point(names: Sequence[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in names])
+
 
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], *more: Column) -> list[Column]:
+    return [a[c].eqNullSafe(b[c]) for c in keys] + list(more)
+
+
+def blocks(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str]) -> DataFrame:
+    """keys, row, x (the point) and block: the leaf of the key's tree, times a part of it if the leaf has more than ROWS rows.
+
+    A key with up to ROWS rows is one block; if all keys are, nothing has to be cut, and one_block() tells. Trees split
+    the widest side of a sample at its middle.
+    """
+    points = df.select(*keys, row, _point(names).alias("x"))
+    most = points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= ROWS:
+        return points.withColumn("block", F.struct(F.lit(0).alias("_leaf"), F.lit(0).cast("long").alias("part")))
+    size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS)
+    size = size.withColumn("_leaves", F.least(F.ceil(F.col("_n") / ROWS), F.lit(LEAVES)))
+    on = list(keys)
+    sized = points.join(size, on, "left") if on else points.join(F.broadcast(size), F.lit(True), "left")
+    sampled = sized.where(F.pmod(F.xxhash64(row), F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_leaves") * SAMPLED)))) == 0).where("_n IS NOT NULL")
+
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(g["x"].tolist(), float)
+        depth = max(1, int(np.ceil(np.log2(max(g["_leaves"].iloc[0], 2)))))
+        side, cut = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+        parts = [np.arange(len(x))]
+        for node in range(2**depth - 1):
+            own = x[parts[node]]
+            if len(own):
+                side[node] = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+                cut[node] = np.median(own[:, side[node]])
+            right = own[:, side[node]] > cut[node] if len(own) else np.zeros(0, bool)
+            parts += [parts[node][~right], parts[node][right]]
+        return pd.DataFrame({**{c: g[c].iloc[:1].to_numpy() for c in keys}, "_side": [side.tolist()], "_cut": [cut.tolist()], "_depth": [depth]})
+
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keys)
+    trees = sampled.groupBy(*keys).applyInPandas(build, f"{kinds}_side array<int>, _cut array<double>, _depth int")
+    placed = sized.join(trees, on, "left") if on else sized.join(F.broadcast(trees), F.lit(True), "left")
+    step = "aggregate(sequence(1, _depth), 0, (v, i) -> 2 * v + 1 + if(x[_side[v]] > _cut[v], 1, 0))"
+    leaf = placed.select(*keys, row, "x", F.coalesce(F.expr(step), F.lit(0)).alias("_leaf"))
+    full = leaf.groupBy(*keys, "_leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("_parts"))
+    whole = leaf.join(full, [*keys, "_leaf"])
+    return materialize(whole.select(*keys, row, "x", F.struct("_leaf", F.pmod(F.xxhash64(row), F.col("_parts")).alias("part")).alias("block")), "blocks")
+
+
+def one_block(cut: DataFrame) -> bool:
+    """Whether each key of what blocks() returned is one block, so that no other has to be asked: the block is a constant then."""
+    return not cut.schema["block"].nullable and not cut.schema["block"].dataType["part"].nullable
+
+
+def boxes(cut: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
+    """keys, block, n, lo, hi: the rows of each block and the corners of the smallest box that holds them."""
+    ends = [[f(F.col("x")[i]) for i in range(dims)] for f in (F.min, F.max)]
+    return cut.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"), *[F.array(*e).alias(name) for name, e in zip(("lo", "hi"), ends)])
+
+
+_NEAREST = "greatest(0D, array_max(zip_with(zip_with(x, lo, (p, l) -> l - p), zip_with(x, hi, (p, h) -> p - h), (a, b) -> greatest(a, b))))"
+_FARTHEST = "array_max(zip_with(zip_with(x, lo, (p, l) -> abs(p - l)), zip_with(x, hi, (p, h) -> abs(p - h)), (a, b) -> greatest(a, b)))"
+
+
+def asked(cut: DataFrame, found: DataFrame, keys: Sequence[str], row: str, dims: int) -> DataFrame:
+    """Rows with the other blocks that they ask: keys, row, x, reach, block, other, n and whole (the other's box lies within reach).
+
+    found: keys, row and reach, a distance. Boxes meet boxes of their key first, by the largest reach of a block.
+    """
+    box = boxes(cut, keys, dims)
+    near = cut.join(found, [*keys, row])
+    most = near.groupBy(*keys, "block").agg(F.max("reach").alias("_most"))
+    mine = box.join(most, [*keys, "block"]).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("block").alias("_block"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_most")
+    apart = " OR ".join(f"lo[{i}] - _hi[{i}] > _most OR _lo[{i}] - hi[{i}] > _most" for i in range(dims))
+    met = box.join(mine, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] + [F.col("block") != F.col("_block"), ~F.expr(apart)])
+    met = met.select(*keys, F.col("_block").alias("block"), F.col("block").alias("other"), "n", "lo", "hi")
+    pairs = near.join(met, [*keys, "block"]).where(F.expr(_NEAREST) <= F.col("reach"))
+    return pairs.select(*keys, row, "x", "reach", "block", "other", "n", (F.expr(_FARTHEST) <= F.col("reach")).alias("whole"))
+
+
+def _units(asking: DataFrame, cut: DataFrame, keys: Sequence[str], row: str, carried: Sequence[str], run: Callable[[pd.DataFrame, pd.DataFrame], dict], found: str) -> DataFrame:
+    """keys, row and what run gives for the asking rows of one block (row, x, carried) among the rows of another, for each pair of blocks that occurs."""
+    if one_block(cut):
+        held = cut.withColumn("other", F.col("block"))
+    else:
+        held = cut.withColumnRenamed("block", "other").join(asking.select(*keys, "block", "other").distinct(), [*keys, "other"])
+    names = [*keys, "block", "other", row, "x"]
+    none = [F.lit(None).cast(asking.schema[c].dataType).alias(c) for c in carried]
+    both = asking.select(*names, *carried, F.lit(True).alias("_asks")).unionByName(held.select(*names, *none, F.lit(False).alias("_asks")))
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for c in names:
-        np.maximum(out, np.abs(a[c].to_numpy(float)[:, None] - b[c].to_numpy(float)[None, :]), out=out)
+    def unit(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["_asks"]], g[~g["_asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*keys, row, *(c.split()[0] for c in found.split(", "))])
+        return pd.DataFrame({**{c: a[c].to_numpy() for c in (*keys, row)}, **run(a, b)})
+
+    kinds = "".join(f"{c} {cut.schema[c].dataType.simpleString()}, " for c in (*keys, row))
+    # Units weigh by their comparisons: a stated number of partitions keeps adaptive execution from merging them.
+    parts = max(2 * cut.sparkSession.sparkContext.defaultParallelism, int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(parts, *keys, "block", "other").groupBy(*keys, "block", "other").applyInPandas(unit, kinds + found)
+
+
+def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    p, q = (np.array(f["x"].tolist(), float).reshape(len(f), -1) for f in (a, b))
+    out = np.abs(p[:, None, 0] - q[None, :, 0])
+    for c in range(1, p.shape[1]):
+        np.maximum(out, np.abs(p[:, None, c] - q[None, :, c]), out=out)
     return out
 
 
+def _nearest(cut: DataFrame, keys: Sequence[str], row: str, dims: int, k: int, take: Callable[[pd.DataFrame, pd.DataFrame], list], kind: str) -> DataFrame:
+    """keys, row and near: the k + 1 first of what take gives for a row (sorted, by distance first) over all blocks that may hold them."""
+    run = lambda a, b: {"near": take(a, b)}
+    own = _units(cut.withColumn("other", F.col("block")), cut, keys, row, [], run, f"near array<{kind}>")
+    if one_block(cut):
+        return own
+    own = materialize(own, "nearest")
+    first = (lambda c: c) if kind == "double" else (lambda c: c["d"])
+    # A row that has too few neighbours in its block has to ask them all.
+    reach = F.coalesce(first(F.get("near", F.lit(k))), F.lit(float("inf"))).alias("reach")
+    far = materialize(asked(cut, own.select(*keys, row, reach), keys, row, dims), "asked")
+    all_ = own.unionByName(_units(far, cut, keys, row, [], run, f"near array<{kind}>"))
+    return all_.groupBy(*keys, row).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+
+
 def kth_distances(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: int = 3) -> DataFrame:
     """keys, row and for each space the Chebyshev distance to the k-th nearest other row of the key; null in a key of at most k rows."""
+    take = lambda a, b: np.sort(np.partition(d := _distances(a, b), min(k, len(b) - 1), axis=1)[:, : k + 1], axis=1).tolist()
+    out = None
+    for s, names in spaces.items():
+        near = _nearest(blocks(df, keys, row, names), keys, row, len(names), k, take, "double").select(*keys, row, F.get("near", F.lit(k)).alias(s))
+        out = near if out is None else _joined(out, near, [*keys, row])
+    return out
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
-        return {s: np.sort(np.partition(d, min(k, len(b) - 1), axis=1)[:, : k + 1], axis=1).tolist() for s, d in ((s, _distances(a, b, c)) for s, c in spaces.items())}
 
-    found = _compared(df, keys, row, run, ", ".join(f"{s} array<double>" for s in spaces))
-    return found.groupBy(*keys, row).agg(*[F.get(F.array_sort(F.flatten(F.collect_list(s))), F.lit(k)).alias(s) for s in spaces])
+def _joined(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join whose null keys are equal."""
+    b = b.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    return a.join(b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]).drop(*[f"_r_{c}" for c in on])
 
 
 def counts_within(df: DataFrame, keys: Sequence[str], row: str, eps: str, spaces: Spaces) -> DataFrame:
     """keys, row and for each space the number of rows of the key, itself included, closer than the row's eps."""
+    run = lambda a, b: {"count": (_distances(a, b) <= a["reach"].to_numpy(float)[:, None]).sum(axis=1)}
+    reach = df.select(*keys, row, (F.col(eps) - F.lit(knn.ROUNDING)).alias("reach"))
+    out = None
+    for s, names in spaces.items():
+        cut = blocks(df, keys, row, names)
+        counts = _units(cut.join(reach, [*keys, row]).withColumn("other", F.col("block")), cut, keys, row, ["reach"], run, "count long")
+        if not one_block(cut):
+            far = materialize(asked(cut, reach, keys, row, len(names)), "asked")
+            counts = counts.unionByName(_units(far.where("NOT whole"), cut, keys, row, ["reach"], run, "count long"))
+            counts = counts.unionByName(far.where("whole").select(*keys, row, F.col("n").alias("count")))
+        counts = counts.groupBy(*keys, row).agg(F.sum("count").alias(s))
+        out = counts if out is None else _joined(out, counts, [*keys, row])
+    return out
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
-        most = a[eps].to_numpy(float)[:, None] - knn.ROUNDING
-        return {s: (_distances(a, b, c) <= most).sum(axis=1) for s, c in spaces.items()}
 
-    return _compared(df, keys, row, run, ", ".join(f"{s} long" for s in spaces)).groupBy(*keys, row).agg(*[F.sum(s).alias(s) for s in spaces])
+def _log(distance: str) -> Column:
+    """The logarithm of a distance; minus infinity at 0."""
+    return F.when(F.col(distance) == 0, F.lit(float("-inf"))).otherwise(F.log(distance))
 
 
 def entropies(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: int = 3) -> DataFrame:
@@ -85,7 +215,7 @@ def entropies(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: i
     e = kth_distances(df.select(*keys, row, *names).dropna(subset=names), keys, row, spaces, k)
     n = F.count(F.lit(1))
     psi = digamma(n.cast("double")) - digamma(F.lit(float(k)))
-    return e.groupBy(*keys).agg(n.alias("n"), *[((psi + len(c) * (F.lit(LN2) + F.avg(F.log(s)))) / LN2).alias(s) for s, c in spaces.items()])
+    return e.groupBy(*keys).agg(n.alias("n"), *[((psi + len(c) * (F.lit(LN2) + F.avg(_log(s)))) / LN2).alias(s) for s, c in spaces.items()])
 
 
 def information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), k: int = 3, name: str = "mi") -> DataFrame:
@@ -103,15 +233,14 @@ def information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str],
 def corrections(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str], alpha: float, k: int = 3) -> DataFrame:
     """keys and lnc: the mean correction, in bits, for local non-uniformity of the joint space `names`."""
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
-        d, own = _distances(a, b, names), b[list(names)].to_numpy(float)
-        itself = a[row].to_numpy()[:, None] == b[row].to_numpy()[None, :]
-        d[itself] = -1.0
+    def take(a: pd.DataFrame, b: pd.DataFrame) -> list:
+        d, own = _distances(a, b), b["x"].tolist()
+        d[a[row].to_numpy()[:, None] == b[row].to_numpy()[None, :]] = -1.0
         near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-        return {"near": [[(float(d[i, j]), own[j].tolist()) for j in js] for i, js in enumerate(near)]}
+        return [[(float(d[i, j]), list(own[j])) for j in js] for i, js in enumerate(near)]
 
-    found = _compared(df.select(*keys, row, *names).dropna(subset=list(names)), keys, row, run, "near array<struct<d: double, x: array<double>>>")
-    nearest = found.groupBy(*keys, row).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).withColumn("near", F.transform("near", lambda p: p["x"]))
+    cut = blocks(df.dropna(subset=list(names)), keys, row, names)
+    nearest = _nearest(cut, keys, row, len(names), k, take, "struct<d: double, x: array<double>>").withColumn("near", F.transform("near", lambda p: p["x"]))
 
     @F.pandas_udf(DoubleType())
     def gain(near: pd.Series) -> pd.Series:
@@ -121,24 +250,39 @@ def corrections(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[st
 
 
 def divergence(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str], side: str, k: int = 3) -> DataFrame:
-    """keys and kl: the divergence in bits of the rows with side 0 from those with side 1."""
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> dict:
-        d, out = _distances(a, b, names), {}
-        for s in (0, 1):
-            own = d[:, (b[side] == s).to_numpy()]
-            out[f"d{s}"] = np.sort(own, axis=1)[:, : k + 1].tolist()
-        return out
-
-    rows = df.select(*keys, row, *names, side).dropna()
-    found = _compared(rows, keys, row, run, "d0 array<double>, d1 array<double>").join(rows.where(F.col(side) == 0).select(*keys, row), [*keys, row])
-    at = lambda c, i: F.get(F.array_sort(F.flatten(F.collect_list(c))), F.lit(i))
-    near = found.groupBy(*keys, row).agg(at("d0", k).alias("own"), at("d1", k - 1).alias("cross"))
+    """keys and kl: the divergence in bits of the rows with side 0 from those with side 1.
+
+    Not a number where both have rows with k equal neighbours, else infinite where one has.
+    """
+    rows = df.select(*keys, row, *names, side).dropna(subset=[*names, side])
+    cut = _joined(blocks(rows, keys, row, names), rows.select(*keys, row, side), [*keys, row])
+    zero, one = cut.where(F.col(side) == 0).drop(side), cut.where(F.col(side) == 1).drop(side)
+
+    def to(held: DataFrame, least: int) -> DataFrame:
+        """keys, row and reach of rows of side 0: the distance to the (least + 1)-th of held."""
+        take = lambda a, b: {"near": np.sort(_distances(a, b), axis=1)[:, : least + 1].tolist()}
+        # Rows ask their own block's box first; if it holds too few of the other side, all of them.
+        own = _units(_present(zero.withColumn("other", F.col("block")), held, keys), held, keys, row, [], take, "near array<double>")
+        if one_block(cut):
+            return own.select(*keys, row, F.get("near", F.lit(least)).alias("d"))
+        own = materialize(own, "nearest")
+        known = zero.select(*keys, row).join(own, [*keys, row], "left")
+        reach = F.coalesce(F.get("near", F.lit(least)), F.lit(float("inf"))).alias("reach")
+        far = materialize(_present(asked(cut, known.select(*keys, row, reach), keys, row, len(names)), held, keys), "asked")
+        all_ = own.unionByName(_units(far, held, keys, row, [], take, "near array<double>"))
+        return all_.groupBy(*keys, row).agg(F.get(F.array_sort(F.flatten(F.collect_list("near"))), F.lit(least)).alias("d"))
+
+    near = to(zero, k).withColumnRenamed("d", "own").join(to(one, k - 1).withColumnRenamed("d", "cross"), [*keys, row])
     n = rows.groupBy(*keys).agg(F.count_if(F.col(side) == 0).alias("n"), F.count_if(F.col(side) == 1).alias("m"))
-    mean = near.groupBy(*keys).agg((F.avg(F.log("cross")) - F.avg(F.log("own"))).alias("gap"))
+    mean = near.groupBy(*keys).agg((F.avg(_log("cross")) - F.avg(_log("own"))).alias("gap"))
     return mean.join(n, list(keys)).select(*keys, ((F.log("m") - F.log(F.col("n") - 1) + len(names) * F.col("gap")) / LN2).alias("kl"))
 
 
+def _present(asking: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Asking rows whose other block has rows in held."""
+    return asking.join(held.select(*keys, F.col("block").alias("other")).distinct(), [*keys, "other"], "left_semi")
+
+
 def given_groups(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, group: str, k: int = 3) -> DataFrame:
     """keys and, for each space, its entropy given the discrete `group`: group entropies by share; a group of at most k rows counts with that of all."""
     names = list(dict.fromkeys(c for s in spaces.values() for c in s))

@@ -306,9 +306,10 @@ def agreement(spark, sf_dir):
 j AS (SELECT a >= quantile_cont(a, 0.9) OVER () AS ta, b >= quantile_cont(b, 0.9) OVER () AS tb FROM pr)
 SELECT (SELECT round(corr(ra, rb), 6) FROM k) AS rho, (SELECT round(count_if(ta AND tb) / count_if(ta OR tb), 6) FROM j) AS jaccard""")
 def rank_agreement(spark, sf_dir):
-    p = pair(spark, sf_dir).withColumn("g", F.lit(0))
-    coarse = p.select("g", F.round(F.col("a") / 50).alias("a"), F.round(F.col("b") / 50).alias("b"))
-    return rounded(stats.spearman(coarse, "a", "b", ["g"]).join(stats.top_jaccard(p, "a", "b", 0.9, ["g"]), "g").drop("g"), "rho", "jaccard")
+    p = pair(spark, sf_dir)
+    coarse = p.select(F.round(F.col("a") / 50).alias("a"), F.round(F.col("b") / 50).alias("b"))
+    # One row each.
+    return rounded(stats.spearman(coarse, "a", "b").join(F.broadcast(stats.top_jaccard(p, "a", "b", 0.9))), "rho", "jaccard")
 
 
 @query(f"WITH {S6}, k AS (SELECT a + 60 * {STEP6} AS c FROM s6_l) SELECT series, round(avg(value) FILTER (us < c), 6) AS before, round(avg(value) FILTER (us >= c), 6) AS after, round(avg(value) FILTER (us < c AND c - us <= 432000000000), 6) AS before_near, round(avg(value) FILTER (us >= c AND us - c <= 432000000000), 6) AS after_near FROM s6 CROSS JOIN k GROUP BY series")
@@ -577,8 +578,7 @@ def synergy_stats(spark, sf_dir):
 def _combo_table(spark, sf_dir):
     f = facts(spark, sf_dir)
     won = attribution.winners(f, ["window_idx"])
-    top = attribution.envelope(f, ["window_idx"]).withColumn("t", F.lit("x"))
-    active = stats.episode_rows(top, ["t"], 1.0, 3, 8, order="window_idx").select("window_idx", "active")
+    active = stats.episode_rows(attribution.envelope(f, ["window_idx"]), [], 1.0, 3, 8, order="window_idx").select("window_idx", "active")
     return attribution.combo_table(f, active, won)
 
 

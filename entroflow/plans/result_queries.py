@@ -77,7 +77,7 @@ def family_level_withheld(spark, sf_dir):
 _DRAWN, _BASES, _VECTORS = 3, ["click", "wind"], {"wind": ["view", "signup"]}
 _COMPONENTS = "SELECT 'click' AS base, 'click' AS col UNION ALL SELECT 'wind', 'view' UNION ALL SELECT 'wind', 'signup'"
 _WINDOWS = f"""{Z6}, comp AS ({_COMPONENTS}),
-win AS (SELECT base, c.idx - {HALF} AS window_idx, col, y.idx - c.idx + {HALF} AS at, y.z FROM (SELECT DISTINCT idx FROM z6) c JOIN z6 y ON y.idx >= c.idx - {HALF} AND y.idx < c.idx + {HALF} JOIN comp ON col = y.series WHERE c.idx >= {HALF} AND c.idx <= (SELECT max(idx) FROM z6) - {HALF})"""
+win AS (SELECT base, c.idx - {HALF} AS window_idx, col, y.idx - c.idx + {HALF} AS pos, y.z FROM (SELECT DISTINCT idx FROM z6) c JOIN z6 y ON y.idx >= c.idx - {HALF} AND y.idx < c.idx + {HALF} JOIN comp ON col = y.series WHERE c.idx >= {HALF} AND c.idx <= (SELECT max(idx) FROM z6) - {HALF})"""
 
 
 def _surrogates(spark, sf_dir, kind: str):
@@ -106,7 +106,7 @@ def surrogate_values(spark, sf_dir):
 
 
 @query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
-pairs AS (SELECT a.base, a.window_idx, a.at, a.z AS x, b.z AS y FROM win a JOIN win b USING (base, window_idx, at) WHERE a.col = 'view' AND b.col = 'signup' AND (a.base, a.window_idx) IN (SELECT (base, window_idx) FROM whole))
+pairs AS (SELECT a.base, a.window_idx, a.pos, a.z AS x, b.z AS y FROM win a JOIN win b USING (base, window_idx, pos) WHERE a.col = 'view' AND b.col = 'signup' AND (a.base, a.window_idx) IN (SELECT (base, window_idx) FROM whole))
 SELECT base, window_idx, replicate, count(*) AS n, round(sum(x * y), 6) + 0e0 AS together, round(sum(x), 6) + 0e0 AS sum_view, round(sum(y), 6) + 0e0 AS sum_signup FROM pairs CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate) GROUP BY ALL""")
 def surrogate_vector_rows(spark, sf_dir):
     """A vector's components are permuted together, so that the sum of their products stays."""
@@ -116,7 +116,7 @@ def surrogate_vector_rows(spark, sf_dir):
     return rounded(sums, "together", "sum_view", "sum_signup")
 
 
-_WAVE = f"2 * pi() * f * at / {2 * HALF}"
+_WAVE = f"2 * pi() * f * pos / {2 * HALF}"
 
 
 @query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entroflow.functions import knn, surrogates
-from entroflow.plans import catalog, dealing, queries, rolling
+from entroflow.plans import catalog, dealing, estimates, queries, rolling
 
 
 def shares(df):
@@ -71,3 +71,46 @@ def test_batched_estimates_are_the_single_ones(history, gap):
         want = [knn.transfer_entropy([f[r] for f in fake], y, [1, 2], history)[0] for r in range(25)]
         assert knn.transfer_entropies(fake, y, [1, 2], history) == pytest.approx(want, abs=1e-12)
     assert (knn.transfer_entropies([f[:, :8] for f in fake], y[:8], [1, 2], history) == 0).all()
+
+
+# Neighbours by tree -----------------------------------------------------------------------------------------------------
+
+
+def cloud(spark, n=4000, seed=3):
+    """Clusters of very different density, a few far points, and repeated rows."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 1, (n // 2, 2)), rng.normal(40, 0.01, (n // 4, 2)), rng.uniform(-100, 100, (n // 4 - 20, 2)), np.repeat(rng.normal(size=(10, 2)), 2, axis=0)])
+    return x, spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(x)], "g int, i long, x double, y double")
+
+
+def test_tree_prunes_and_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(estimates, "ROWS", 100)
+    x, df = cloud(spark)
+    cut = estimates.blocks(df, ["g"], "i", ["x", "y"]).cache()
+    box = {r.block: r for r in estimates.boxes(cut, ["g"], 2).collect()}
+    assert len(box) >= 40 and max(r.n for r in box.values()) <= 300
+    d = np.abs(x[:, None] - x[None]).max(axis=2)
+    want = np.sort(d, axis=1)[:, 3]
+    got = {r.i: r.e for r in estimates.kth_distances(df, ["g"], "i", {"e": ["x", "y"]}).collect()}
+    assert np.array_equal([got[i] for i in range(len(x))], want)
+    reach = df.select("g", "i").join(spark.createDataFrame([(i, float(e)) for i, e in enumerate(want)], "i long, reach double"), "i")
+    far = estimates.asked(cut, reach, ["g"], "i", 2)
+    compared = sum(r["count"] * box[r.other].n for r in far.groupBy("other").count().collect()) + sum(r.n**2 for r in box.values())
+    assert compared < 0.2 * len(x) ** 2
+    counts = {r.i: (r.a, r.b) for r in estimates.counts_within(df.join(reach, ["g", "i"]), ["g"], "i", "reach", {"a": ["x"], "b": ["x", "y"]}).collect()}
+    dx = np.abs(x[:, None, 0] - x[None, :, 0])
+    within = [(np.count_nonzero(m <= (want - knn.ROUNDING)[:, None], axis=1)) for m in (dx, d)]
+    assert [counts[i] for i in range(len(x))] == list(zip(*(w.tolist() for w in within)))
+    cut.unpersist()
+
+
+def test_ties(spark):
+    """Equal values: minus infinity, not a smaller sample; or told apart by a jitter."""
+    rows = [(0, i, float(i % 20)) for i in range(100)] + [(1, i, 0.0 if i < 50 else float(np.random.default_rng(i).normal())) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, i long, x double")
+    assert {r.g: r.h for r in estimates.entropies(df, ["g"], "i", {"h": ["x"]}).collect()} == {0: -np.inf, 1: -np.inf}
+    apart = estimates.jittered(df, "i", ["x"])
+    h = {r.g: r.h for r in estimates.entropies(apart, ["g"], "i", {"h": ["x"]}).collect()}
+    assert all(np.isfinite(v) for v in h.values()) and h[1] < -5
+    moved = apart.withColumnRenamed("x", "moved").join(df, ["g", "i"]).collect()
+    assert all(0 <= r.moved - r.x < 1e-10 for r in moved) and len({r.moved for r in moved if r.g == 0}) == 100
