@@ -67,16 +67,32 @@ def candidates(spark: SparkSession, groups: Mapping[str, tuple[Sequence[str], Se
     return spark.createDataFrame(rows, "grp string, base string, tau int").withColumn("name", F.concat("base", F.lit("__t"), F.col("tau").cast("string")))
 
 
-def combinations(names: DataFrame, largest: int = 3) -> DataFrame:
-    """(entity, bases, n_bases) of all sets of 2 to `largest` candidates (name, base) with distinct bases, in name order."""
-    one = names.select("name", "base").distinct()
-    grown = one.select(F.array("name").alias("names"), F.array("base").alias("bases"))
+def candidates_of(bases: DataFrame, lags: DataFrame, targets: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(target, grp, base, tau, name): each target's candidates from tables of bases (grp, base), lags (grp, tau) and targets.
+
+    A target isn't its own candidate, nor are the bases that `excluded` (target, base) names for it. Repeated rows count once.
+    """
+    every = bases.select("grp", "base").distinct().join(lags.select("grp", "tau").distinct(), "grp")
+    # Targets are few, and each gets all candidates but its own: the size of the result.
+    own = targets.select("target").distinct().join(every, F.col("target") != F.col("base"))
+    if excluded is not None:
+        own = own.join(excluded.select("target", "base"), ["target", "base"], "left_anti")
+    return own.select("target", "grp", "base", "tau", F.concat("base", F.lit("__t"), F.col("tau").cast("string")).alias("name"))
+
+
+def combinations(names: DataFrame, largest: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, entity, bases, n_bases) of all sets of 2 to `largest` candidates (name, base) of a key with distinct bases, in name order."""
+    one = names.select(*keys, "name", "base").distinct()
+    grown = one.select(*keys, F.array("name").alias("names"), F.array("base").alias("bases"))
     out = None
     for _ in range(largest - 1):
         # A catalogue of candidates, not data: the join on order is its size's own product.
-        grown = grown.join(one, (F.element_at("names", -1) < F.col("name")) & ~F.array_contains("bases", F.col("base"))).select(F.array_append("names", F.col("name")).alias("names"), F.array_append("bases", F.col("base")).alias("bases"))
+        more = one.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        grown = grown.join(more, [*same, (F.element_at("names", -1) < F.col("name")) & ~F.array_contains("bases", F.col("base"))])
+        grown = grown.select(*keys, F.array_append("names", F.col("name")).alias("names"), F.array_append("bases", F.col("base")).alias("bases"))
         out = grown if out is None else out.unionByName(grown)
-    return out.select(F.array_join("names", "+").alias("entity"), F.array_sort("bases").alias("bases"), F.size("bases").cast("long").alias("n_bases"))
+    return out.select(*keys, F.array_join("names", "+").alias("entity"), F.array_sort("bases").alias("bases"), F.size("bases").cast("long").alias("n_bases"))
 
 
 def described(df: DataFrame, entity: str = "entity") -> DataFrame:

@@ -522,15 +522,40 @@ def family_level(spark, sf_dir):
 # Combinations and attribution --------------------------------------------------------------------------------------------
 
 
-@query("WITH c AS (SELECT s || '__t' || t AS name, s AS base FROM (VALUES ('click'), ('error'), ('purchase'), ('view')) a(s) CROSS JOIN (VALUES (0), (1), (2)) b(t)), p AS (SELECT a.name || '+' || b.name AS entity, 2 AS n_bases, list_sort([a.base, b.base]) AS bases, b.name AS last FROM c a JOIN c b ON a.name < b.name AND a.base <> b.base), q AS (SELECT entity || '+' || c.name AS entity, 3 AS n_bases, list_sort(list_append(bases, c.base)) AS bases FROM p JOIN c ON last < c.name AND NOT list_contains(bases, c.base)) SELECT entity, CAST(n_bases AS BIGINT) AS n_bases, array_to_string(bases, ';') AS bases FROM p UNION ALL SELECT entity, n_bases, array_to_string(bases, ';') FROM q")
+def event_candidates(spark, sf_dir):
+    """Candidates of each event type from the events: types with short names at lags 0 to 2, others at 0 and 4; a target leaves out the types that begin as it does."""
+    types = load(spark, sf_dir, "events").select(F.col("event_type").alias("base")).distinct().withColumn("grp", F.when(F.length("base") <= 5, "short").otherwise("long"))
+    lags = types.select("grp", F.explode(F.when(F.col("grp") == "short", F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(4)))).alias("tau"))
+    targets = types.select(F.col("base").alias("target"))
+    excluded = targets.join(types, F.substring("target", 1, 1) == F.substring("base", 1, 1)).select("target", "base")
+    return catalog.candidates_of(types, lags, targets, excluded)
+
+
+CANDIDATES = """ty AS (SELECT DISTINCT event_type AS base, CASE WHEN length(event_type) <= 5 THEN 'short' ELSE 'long' END AS grp FROM events),
+ca AS (SELECT t.base AS target, c.grp, c.base, tau, c.base || '__t' || tau AS name FROM ty t JOIN ty c ON left(t.base, 1) <> left(c.base, 1) CROSS JOIN (SELECT unnest([0, 1, 2, 4]) AS tau) WHERE tau IN (0, CASE WHEN c.grp = 'short' THEN 1 ELSE 4 END, CASE WHEN c.grp = 'short' THEN 2 ELSE 4 END)),
+cp AS (SELECT a.target, a.name || '+' || b.name AS entity, 2 AS n_bases, list_sort([a.base, b.base]) AS bases, b.name AS last FROM ca a JOIN ca b ON a.target = b.target AND a.name < b.name AND a.base <> b.base),
+cq AS (SELECT cp.target, entity || '+' || ca.name AS entity, 3 AS n_bases, list_sort(list_append(bases, ca.base)) AS bases FROM cp JOIN ca ON ca.target = cp.target AND last < ca.name AND NOT list_contains(bases, ca.base))"""
+
+
+@query(f"WITH {CANDIDATES} SELECT target, grp, base, CAST(tau AS INTEGER) AS tau, name FROM ca")
+def candidates(spark, sf_dir):
+    return event_candidates(spark, sf_dir)
+
+
+@query(f"WITH {CANDIDATES} SELECT target, entity, CAST(n_bases AS BIGINT) AS n_bases, array_to_string(bases, ';') AS bases FROM cp UNION ALL SELECT target, entity, n_bases, array_to_string(bases, ';') FROM cq")
 def combinations(spark, sf_dir):
-    c = catalog.candidates(spark, {"web": (("click", "error", "purchase", "view", "signup"), (0, 1, 2))}, ["signup"])
-    return catalog.combinations(c).select("entity", "n_bases", F.array_join("bases", ";").alias("bases"))
+    c = catalog.combinations(event_candidates(spark, sf_dir), keys=["target"])
+    return c.select("target", "entity", "n_bases", F.array_join("bases", ";").alias("bases"))
+
+
+_PART = "list_transform(string_split(entity, '+'), lambda p: regexp_extract(p, '^(.*)__t([0-9]+)$', {}))"
 
 
-@query("SELECT * FROM (VALUES ('click__t0', 'single', 1, 'click', '0', 'click (lag 0)'), ('click__t1+view__t12', 'pair', 2, 'click;view', '1;12', 'click (lag 1) + view (lag 12)')) t(entity, kind, n_bases, bases, taus, label)")
+@query(f"""WITH {CANDIDATES}, e AS (SELECT DISTINCT name AS entity FROM ca UNION SELECT entity FROM cp UNION SELECT entity FROM cq), p AS (SELECT entity, {_PART.format(1)} AS b, {_PART.format(2)} AS t FROM e)
+SELECT entity, CASE len(b) WHEN 1 THEN 'single' WHEN 2 THEN 'pair' ELSE 'triple' END AS kind, len(b) AS n_bases, array_to_string(b, ';') AS bases, array_to_string(t, ';') AS taus, array_to_string(list_transform(list_zip(b, t), lambda z: z[1] || ' (lag ' || z[2] || ')'), ' + ') AS label FROM p""")
 def entity_catalog(spark, sf_dir):
-    return catalog.described(spark.createDataFrame([("click__t0",), ("click__t1+view__t12",)], "entity string"))
+    c = event_candidates(spark, sf_dir)
+    return catalog.described(c.select(F.col("name").alias("entity")).unionByName(catalog.combinations(c, keys=["target"]).select("entity")).distinct())
 
 
 def facts(spark, sf_dir):

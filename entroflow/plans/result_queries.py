@@ -322,8 +322,16 @@ def coverage_span(spark, sf_dir):
     return rounded(v.select("series", "span_hours", "n_valid", (F.col("n_valid") / F.col("_n") * 100).alias("pct_of_span")), "pct_of_span")
 
 
-@query("SELECT * FROM (VALUES ('view', 'click__t2', 0, 12), ('view', 'error__t1', 1, 6), ('purchase', 'click__t1+view__t12', 2, 72)) t(target, entity, place, lag_hours)")
+@query(f"""WITH {FACTS}, st AS (SELECT CASE WHEN entity LIKE '%view%' THEN 'purchase' ELSE 'view' END AS target, entity, us, jte_bits AS te_bits, plotted_value * 40 AS pct_h, idx % 3 = 0 AS sig95 FROM facts),
+k AS (SELECT target, entity, min(us) AS peak_us FROM (SELECT *, max(pct_h) FILTER (pct_h <= 100) OVER (PARTITION BY target, entity) AS m FROM st) WHERE pct_h = m GROUP BY ALL),
+g AS (SELECT st.target, st.entity, round(avg(pct_h) FILTER (pct_h <= 100), 6) AS mean_pct, round(max(pct_h) FILTER (pct_h <= 100), 6) AS peak_pct, any_value(peak_us) AS peak_us, count(*) FILTER (pct_h <= 100 AND sig95) AS n_sig, count(*) FILTER (pct_h <= 100) AS n, count(*) FILTER (pct_h > 100) AS n_over FROM st LEFT JOIN k USING (target, entity) GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY mean_pct DESC, entity) AS BIGINT) AS place, 6 AS lag_hours FROM g""")
 def entity_order(spark, sf_dir):
-    """Entities in the order of a figure, with the longest lag in hours of a 6-hour grid."""
-    rows = spark.createDataFrame([("view", "click__t2", 0), ("view", "error__t1", 1), ("purchase", "click__t1+view__t12", 2)], "target string, entity string, place int")
-    return catalog.with_lag_hours(rows, 6)
+    """Statistics of all entities of all targets from one stacked table, in a figure's order, with the longest lag in hours of a 6-hour grid."""
+    from pyspark.sql import Window
+
+    f = facts(spark, sf_dir)
+    st = f.select(F.when(F.col("entity").contains("view"), "purchase").otherwise("view").alias("target"), "entity", "us", "idx", F.col("jte_bits").alias("te_bits"), (F.col("plotted_value") * 40).alias("pct_h"), (F.col("idx") % 3 == 0).alias("sig95"))
+    g = rounded(stats.entity_stats(st, ["target", "entity"]).select("target", "entity", "mean_pct", "peak_pct", "peak_us", "n_sig", "n", "n_over"), "mean_pct", "peak_pct")
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("mean_pct"), "entity")).cast("long")
+    return catalog.with_lag_hours(g.withColumn("place", place), 6)
