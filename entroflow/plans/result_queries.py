@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import align, normalize, stats
-from . import attribution, catalog, estimates, knn_sql, rolling
+from ..sources import scratch
+from . import attribution, catalog, estimates, knn_sql, rolling, store
 from .more_queries import _ROWS1, _ROWS3, _h, sample
 from .queries import (
     FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
@@ -71,6 +72,17 @@ def family_level_withheld(spark, sf_dir):
     return rounded(rolling.family_level(s, 3).drop("us"), "level")
 
 
+@query(_te_oracle([(_name(["click"], [1], "view"), ["click"], "view"), (_name(["error"], [1], "signup"), ["error"], "signup")], [1]))
+def stored_te(spark, sf_dir):
+    """Window results from a store that other data filled before: it holds the first 50 rows' values and others after them."""
+    w = wide(spark, sf_dir)
+    e = [catalog.Entity("view", (("click", 1),)), catalog.Entity("signup", (("error", 1),))]
+    path = scratch.path_for(spark, "te-store")
+    store.rolling_te(w.withColumn("view", F.when(F.col("idx") < 50, F.col("view")).otherwise(F.col("view") * 2)), e, 2 * HALF, path)
+    te = store.rolling_te(w, e, 2 * HALF, path)
+    return rounded(te.select(F.concat_ws("", "entity", F.lit(" > "), "target").alias("entity"), "window_idx", "te_raw", "te_bits"), "te_raw", "te_bits")
+
+
 # Surrogates by their invariants ----------------------------------------------------------------------------------------
 
 #: Replicates of each window; a vector of two series beside a single one.

@@ -25,8 +25,12 @@ from .catalog import Entity, component_columns
 BLOCK, CHUNK, ROUND = 32, 4, 50
 
 
-def _dealt(grid: DataFrame, names: Sequence[str], half: int, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, entities: int = 1, replicates: int = 1) -> DataFrame:
-    """run on every unit (block of a series, _chunk of entities, _round of replicates): its rows by idx, with the first and last idx of their series."""
+def _dealt(grid: DataFrame, names: Sequence[str], half: int, keys: Sequence[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, entities: int = 1, replicates: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """run on every unit (block of a series, _chunk of entities, _round of replicates): its rows by idx, with the first and last idx of their series.
+
+    only (entity_no, centre), for a grid without keys: units without one of these windows are left out, the others' rows
+    have those of their unit as _todo.
+    """
     require_columns(grid, [*keys, "idx", "us", *names])
     ends = grid.groupBy(*keys).agg(F.min("idx").alias("_first"), F.max("idx").alias("_last"))
     size = ends.select(F.greatest(F.col("_last") - F.col("_first") - 2 * half + 1, F.lit(0)).alias("n")).agg(F.sum("n").alias("n"), F.sum(F.ceil(F.col("n") / BLOCK) + 1).alias("blocks")).first()
@@ -41,6 +45,10 @@ def _dealt(grid: DataFrame, names: Sequence[str], half: int, keys: Sequence[str]
     lo, hi = F.floor((F.col("idx") - half + 1) / BLOCK), F.floor((F.col("idx") + half) / BLOCK)
     whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = rows.withColumn("_block", F.explode(F.sequence(lo, hi))).withColumn("_chunk", whole(chunks)).withColumn("_round", whole(rounds))
+    if only is not None:
+        # At most BLOCK x CHUNK windows a unit.
+        unit = only.groupBy(F.floor(F.col("centre") / BLOCK).alias("_block"), F.floor(F.col("entity_no") / CHUNK).cast("int").alias("_chunk"))
+        rows = rows.join(unit.agg(F.collect_list(F.struct("entity_no", "centre")).alias("_todo")), ["_block", "_chunk"])
     first, last = F.col("_first") + half, F.col("_last") - half
     begin = F.greatest(F.col("_block") * BLOCK, first)
     own = F.least((F.col("_block") + 1) * BLOCK - 1, last) - begin + 1
@@ -71,27 +79,32 @@ def _setup(entities: Sequence[Entity], vector_bases) -> tuple[list[Entity], dict
     return own, columns, [*(c for v in columns.values() for c in v), *(e.target for e in own)]
 
 
-def rolling_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, k: int = 3, keys: Sequence[str] = (), vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Transfer entropy of each entity (joint with several sources) in each window.
+def rolling_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, k: int = 3, keys: Sequence[str] = (), vector_bases: Mapping[str, Sequence[str]] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Transfer entropy of each entity (joint with several sources) in each window, or in those of `only` (entity_no, centre).
 
     Returns keys, target, entity, history, window_idx, us, te_raw, te_bits (0 if negative), status. An entity whose target is among
     its sources is left out; keys tell several grids apart.
     """
     own, columns, names = _setup(entities, vector_bases)
     half = window_points // 2
+    limited = only is not None
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for e in own[int(g["_chunk"].iloc[0]) * CHUNK :][:CHUNK]:
+        begin = int(g["_chunk"].iloc[0]) * CHUNK
+        todo = {(t["entity_no"], t["centre"]) for t in g["_todo"].iloc[0]} if limited else None
+        for i, e in enumerate(own[begin : begin + CHUNK], begin):
             xs, y, taus = _arrays(g, e, columns)
-            for _, us, rows, w in _windows(g, half):
+            for c, us, rows, w in _windows(g, half):
+                if todo is not None and (i, c) not in todo:
+                    continue
                 raw, status = knn.transfer_entropy([x[rows] for x in xs], y[rows], taus, e.history, k)
-                out.append((*(g[c].iloc[0] for c in keys), e.target, e.name, e.history, w, us, raw, max(raw, 0.0), status))
+                out.append((*(g[n].iloc[0] for n in keys), e.target, e.name, e.history, w, us, raw, max(raw, 0.0), status))
         return pd.DataFrame(out, columns=[*keys, "target", "entity", "history", "window_idx", "us", "te_raw", "te_bits", "status"])
 
     kinds = "".join(f"{c} {grid.schema[c].dataType.simpleString()}, " for c in keys)
     schema = f"{kinds}target string, entity string, history int, window_idx long, us long, te_raw double, te_bits double, status string"
-    return _dealt(grid, names, half, keys, run, schema, len(own))
+    return _dealt(grid, names, half, keys, run, schema, len(own), only=only)
 
 
 def rolling_entropy(grid: DataFrame, targets: Sequence[str], window_points: int, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
