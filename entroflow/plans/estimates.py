@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -325,3 +325,14 @@ def te_bits(x: Column, y: Column, tau: int = 1, history: int = 1) -> Column:
         return pd.Series([max(knn.transfer_entropy([np.asarray(p, float)], np.asarray(q, float), [tau], history)[0], 0.0) for p, q in zip(a, b)])
 
     return run(x, y)
+
+
+@F.pandas_udf(DoubleType())
+def _te_of_arrays(x: pd.Series, y: pd.Series, tau: pd.Series, history: pd.Series) -> pd.Series:
+    return pd.Series([max(knn.transfer_entropy([np.asarray(p, float)], np.asarray(q, float), [int(t)], int(h))[0], 0.0) for p, q, t, h in zip(x, y, tau, history)], dtype=float)
+
+
+def register(spark: SparkSession) -> None:
+    """Name the estimators for SQL text: te_bits(x, y, tau, history) of two arrays of equal length, ksg_entropy(values); null elements are missing."""
+    spark.udf.register("te_bits", _te_of_arrays)
+    spark.udf.register("ksg_entropy", ksg_entropy)

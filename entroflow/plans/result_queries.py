@@ -72,6 +72,17 @@ def family_level_withheld(spark, sf_dir):
     return rounded(rolling.family_level(s, 3).drop("us"), "level")
 
 
+@query(f"""WITH t AS ({_te_oracle([_CLICK], [1])}), h AS (SELECT window_idx, round(greatest(h_raw, 0), 6) + 0e0 AS h_bits FROM ({_over_z6(knn_sql.entropy_sql(_entropy_rows()))}) WHERE entity = 'view') SELECT window_idx, te_bits, h_bits FROM t JOIN h USING (window_idx)""")
+def te_in_sql(spark, sf_dir):
+    """The estimators by name in SQL text, over the windows as arrays."""
+    estimates.register(spark)
+    wide(spark, sf_dir).createOrReplaceTempView("te_grid")
+    return spark.sql(f"""WITH spread AS (SELECT explode(sequence(idx - {HALF - 1}, idx + {HALF})) AS c, struct(idx, click, view) AS r FROM te_grid),
+a AS (SELECT c, array_sort(collect_list(r)) AS r FROM spread GROUP BY c HAVING count(*) = {2 * HALF})
+SELECT c - {HALF} AS window_idx, round(te_bits(transform(r, x -> x.click), transform(r, x -> x.view), 1, 1), 6) + 0D AS te_bits, round(ksg_entropy(transform(r, x -> x.view)), 6) + 0D AS h_bits
+FROM a WHERE c <= (SELECT max(idx) FROM te_grid) - {HALF}""")
+
+
 @query(_te_oracle([(_name(["click"], [1], "view"), ["click"], "view"), (_name(["error"], [1], "signup"), ["error"], "signup")], [1]))
 def stored_te(spark, sf_dir):
     """Window results from a store that other data filled before: it holds the first 50 rows' values and others after them."""
