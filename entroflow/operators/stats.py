@@ -187,6 +187,7 @@ def history_sensitivity(te: DataFrame, window_points: int, keys: Sequence[str] =
     joint_dim is the number of estimated dimensions, n_min = 3 * 2 ** joint_dim the points it asks for.
     """
     own = [*keys, "history"]
+    te = materialize(te, "sweep")
     s = te.groupBy(*own).agg(F.avg("te_bits").alias("mean"), half("te_bits").alias("median"), F.stddev_pop("te_bits").alias("std"), F.max("te_bits").alias("max"))
     one = te.where("history = 1").select(*keys, order, F.col("te_bits").alias("first"))
     both = te.join(one, [*keys, order])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, stats
 from . import catalog, estimates, knn_sql, rolling
-from .queries import GAPPY, HALF, S1, S6, Z6, _name, _te_oracle, binned, gappy, load, query, rounded, wide, zscored
+from .queries import GAPPY, HALF, S1, S6, SWEPT, Z6, _name, _te_oracle, binned, gappy, load, query, rounded, wide, zscored
 
 
 def sample(spark, sf_dir):
@@ -109,16 +109,17 @@ def before_after(spark, sf_dir):
     return rounded(stats.before_after(_stage2(spark, sf_dir), ["entity"], at), "mean_before", "mean_after", "peak_before", "peak_after")
 
 
-_SWEEP = " UNION ALL ".join(f"SELECT window_idx, te_bits, {h} AS history FROM ({_te_oracle([(_name(['click'], [1], 'view'), ['click'], 'view')], [1], h)})" for h in (1, 2, 3, 4))
+_SWEEP = " UNION ALL ".join(f"SELECT entity, window_idx, te_bits, {h} AS history FROM ({_te_oracle([(_name([a], [1], b), [a], b) for a, b in SWEPT], [1], h)})" for h in (1, 2, 3, 4))
 
 
-@query(f"""WITH w AS ({_SWEEP}), f AS (SELECT w.*, o.te_bits AS first FROM w JOIN w o ON o.window_idx = w.window_idx AND o.history = 1),
-r AS (SELECT *, rank() OVER (PARTITION BY history ORDER BY te_bits) + (count(*) OVER (PARTITION BY history, te_bits) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY history ORDER BY first) + (count(*) OVER (PARTITION BY history, first) - 1) / 2e0 AS rb, te_bits >= quantile_cont(te_bits, 0.9) OVER (PARTITION BY history) AS ta, first >= quantile_cont(first, 0.9) OVER (PARTITION BY history) AS tb FROM f)
-SELECT history, round(avg(te_bits), 4) AS mean, round(quantile_cont(te_bits, 0.5), 4) AS median, round(stddev_pop(te_bits), 4) AS std, round(max(te_bits), 4) AS max, round(corr(ra, rb), 4) AS rho, round(count_if(ta AND tb) / count_if(ta OR tb), 4) AS jaccard, round(avg(te_bits) / avg(first), 4) AS ratio, CAST(history + 2 AS BIGINT) AS joint_dim, CAST(3 * power(2, history + 2) AS BIGINT) AS n_min, 3 * power(2, history + 2) > {2 * HALF} AS undersampled FROM r GROUP BY history""")
+@query(f"""WITH w AS ({_SWEEP}), f AS (SELECT w.*, o.te_bits AS first FROM w JOIN w o ON o.entity = w.entity AND o.window_idx = w.window_idx AND o.history = 1),
+r AS (SELECT *, rank() OVER (PARTITION BY entity, history ORDER BY te_bits) + (count(*) OVER (PARTITION BY entity, history, te_bits) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY entity, history ORDER BY first) + (count(*) OVER (PARTITION BY entity, history, first) - 1) / 2e0 AS rb, te_bits >= quantile_cont(te_bits, 0.9) OVER (PARTITION BY entity, history) AS ta, first >= quantile_cont(first, 0.9) OVER (PARTITION BY entity, history) AS tb FROM f)
+SELECT entity, history, round(avg(te_bits), 4) AS mean, round(quantile_cont(te_bits, 0.5), 4) AS median, round(stddev_pop(te_bits), 4) AS std, round(max(te_bits), 4) AS max, round(corr(ra, rb), 4) AS rho, round(count_if(ta AND tb) / count_if(ta OR tb), 4) AS jaccard, round(avg(te_bits) / avg(first), 4) AS ratio, CAST(history + 2 AS BIGINT) AS joint_dim, CAST(3 * power(2, history + 2) AS BIGINT) AS n_min, 3 * power(2, history + 2) > {2 * HALF} AS undersampled FROM r GROUP BY entity, history""")
 def history_sensitivity(spark, sf_dir):
-    te = rolling.rolling_te(wide(spark, sf_dir), [catalog.Entity("view", (("click", 1),), h) for h in (1, 2, 3, 4)], 2 * HALF).withColumn("te_bits", F.round("te_bits", 6))
-    s = stats.history_sensitivity(te, 2 * HALF)
-    return s.select("history", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std", "max", "rho", "jaccard", "ratio")], "joint_dim", "n_min", "undersampled")
+    te = rolling.rolling_te(wide(spark, sf_dir), [catalog.Entity(b, ((a, 1),), h) for h in (1, 2, 3, 4) for a, b in SWEPT], 2 * HALF)
+    te = te.withColumns({"te_bits": F.round("te_bits", 6), "entity": F.concat_ws("", "entity", F.lit(" > "), "target")})
+    s = stats.history_sensitivity(te, 2 * HALF, ["entity"])
+    return s.select("entity", "history", *[F.round(c, 4).alias(c) for c in ("mean", "median", "std", "max", "rho", "jaccard", "ratio")], "joint_dim", "n_min", "undersampled")
 
 
 @query(f"WITH {Z6}, r AS (SELECT series, z * 0.37e0 / z AS q FROM z6 WHERE z <> 0) SELECT series, round(quantile_cont(q, 0.5), 6) AS factor, round(stddev_pop(q), 6) + 0e0 AS spread FROM r GROUP BY series")
