@@ -103,8 +103,13 @@ _WINDOWS = f"""{Z6}, comp AS ({_COMPONENTS}),
 win AS (SELECT base, c.idx - {HALF} AS window_idx, col, y.idx - c.idx + {HALF} AS pos, y.z FROM (SELECT DISTINCT idx FROM z6) c JOIN z6 y ON y.idx >= c.idx - {HALF} AND y.idx < c.idx + {HALF} JOIN comp ON col = y.series WHERE c.idx >= {HALF} AND c.idx <= (SELECT max(idx) FROM z6) - {HALF})"""
 
 
-def _surrogates(spark, sf_dir, kind: str):
-    return rolling.surrogate_series(wide(spark, sf_dir), _BASES, 2 * HALF, _DRAWN, kind, vector_bases=_VECTORS)
+#: The same with 0 in gaps.
+_FULL = _WINDOWS.replace("AS pos, y.z FROM", "AS pos, coalesce(y.z, 0) AS z FROM")
+
+
+def _surrogates(spark, sf_dir, kind: str, full: bool = False):
+    w = wide(spark, sf_dir)
+    return rolling.surrogate_series(w.fillna(0.0) if full else w, _BASES, 2 * HALF, _DRAWN, kind, vector_bases=_VECTORS)
 
 
 def _whole_windows(s):
@@ -128,12 +133,12 @@ def surrogate_values(spark, sf_dir):
     return rounded(drawn.select("kind", "base", "window_idx", "replicate", "column", place.alias("place"), "value"), "value")
 
 
-@query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
+@query(f"""WITH {_FULL}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
 pairs AS (SELECT a.base, a.window_idx, a.pos, a.z AS x, b.z AS y FROM win a JOIN win b USING (base, window_idx, pos) WHERE a.col = 'view' AND b.col = 'signup' AND (a.base, a.window_idx) IN (SELECT (base, window_idx) FROM whole))
 SELECT base, window_idx, replicate, count(*) AS n, round(sum(x * y), 6) + 0e0 AS together, round(sum(x), 6) + 0e0 AS sum_view, round(sum(y), 6) + 0e0 AS sum_signup FROM pairs CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate) GROUP BY ALL""")
 def surrogate_vector_rows(spark, sf_dir):
     """A vector's components are permuted together, so that the sum of their products stays."""
-    s = _whole_windows(_surrogates(spark, sf_dir, "shuffle")).where("base = 'wind'")
+    s = _surrogates(spark, sf_dir, "shuffle", full=True).where("base = 'wind'")
     both = s.groupBy("base", "window_idx", "replicate", "at").agg(F.max(F.when(F.col("column") == "view", F.col("value"))).alias("x"), F.max(F.when(F.col("column") == "signup", F.col("value"))).alias("y"))
     sums = both.groupBy("base", "window_idx", "replicate").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("together"), F.sum("x").alias("sum_view"), F.sum("y").alias("sum_signup"))
     return rounded(sums, "together", "sum_view", "sum_signup")
@@ -142,12 +147,12 @@ def surrogate_vector_rows(spark, sf_dir):
 _WAVE = f"2 * pi() * f * pos / {2 * HALF}"
 
 
-@query(f"""WITH {_WINDOWS}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
+@query(f"""WITH {_FULL}, whole AS (SELECT base, window_idx FROM win GROUP BY ALL HAVING count(*) = count(z)),
 s AS (SELECT base, window_idx, col, f, sum(z * cos({_WAVE})) AS re, sum(z * sin({_WAVE})) AS im FROM win CROSS JOIN (SELECT unnest(range({HALF})) AS f) WHERE (base, window_idx) IN (SELECT (base, window_idx) FROM whole) GROUP BY ALL)
 SELECT a.base, a.window_idx, replicate, a.f, round(a.re * a.re + a.im * a.im, 4) + 0e0 AS power, round(a.re * b.re + a.im * b.im, 4) + 0e0 AS shared FROM s a JOIN s b ON a.base = b.base AND a.window_idx = b.window_idx AND a.f = b.f AND a.col = CASE a.base WHEN 'click' THEN 'click' ELSE 'view' END AND b.col = CASE b.base WHEN 'click' THEN 'click' ELSE 'signup' END CROSS JOIN (SELECT unnest(range({_DRAWN})) AS replicate)""")
 def surrogate_spectrum(spark, sf_dir):
     """What random phases keep, by direct sums at each frequency: the power, and between a vector's components the shared spectrum, as their phases turn together."""
-    s = _whole_windows(_surrogates(spark, sf_dir, "phase")).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1)).cast("array<bigint>")))
+    s = _surrogates(spark, sf_dir, "phase", full=True).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1)).cast("array<bigint>")))
     wave = F.lit(2 * math.pi) * F.col("f") * F.col("at") / (2 * HALF)
     parts = s.groupBy("base", "window_idx", "replicate", "f", "column").agg(F.sum(F.col("value") * F.cos(wave)).alias("re"), F.sum(F.col("value") * F.sin(wave)).alias("im"))
     first = F.col("column").isin("click", "view")
