@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import stats
+from ..sources.scratch import materialize
 
 CATEGORIES = ("synergistic", "redundant", "obfuscating")
 
@@ -71,6 +71,7 @@ LENSES = {"persistent": "mean", "episodic": "cv", "synergistic": "gain", "masked
 def shortlist(table: DataFrame, top: int = 8) -> DataFrame:
     """The top combinations of each lens among those whose peak is at least the median peak, with their reasons."""
     strong = table.join(F.broadcast(table.agg(stats.half("peak").alias("_floor")))).where(F.col("peak") >= F.col("_floor")).drop("_floor")
+    strong = materialize(strong, "strong")  # one row a combination, read once for each lens
     out = None
     for reason, column in LENSES.items():
         part = strong.where(F.col(column).isNotNull()).orderBy(F.desc(column), "entity").limit(top).select("entity", F.lit(reason).alias("reason"))
@@ -126,30 +127,28 @@ def period_scores(df: DataFrame, periods: DataFrame) -> DataFrame:
 def pick_winners(scores: DataFrame, delta_fraction: float = 0.5, most: int = 3, runner: float = 0.6) -> DataFrame:
     """The period's winners in order of score: over the floor, near the first, base-disjoint, combinations justified by their gain.
 
-    Candidates are cut relationally first (floor, runner share, gain); the few that remain of a period are picked
-    one after another, as each pick bars its bases.
+    Candidates are cut first (floor, runner share, gain). Then a slot is filled in every period at once: the best of what is
+    left wins, and whatever shares a base with it leaves. Each slot is a partial aggregation and a join by period, so a period
+    may have any number of candidates. Rows without a period are left out; equal scores go by entity.
     """
     w = Window.partitionBy("period").orderBy(F.desc("score"), "entity")
-    ranked = scores.withColumn("raw_rank", F.row_number().over(w))
+    ranked = scores.where("period IS NOT NULL").withColumn("raw_rank", F.row_number().over(w))
     # The first winner is the best that passes; nothing under the runner share of it can be picked later.
     passing = ranked.where((F.col("score") >= F.col("floor")) & (F.col("gain").isNull() | (F.col("gain") >= F.lit(delta_fraction) * F.col("floor"))))
+    passing = materialize(passing.select("period", "entity", "bases", "score", "gain", "raw_rank", "floor"), "candidates")
     top = passing.groupBy("period").agg(F.max("score").alias("_top"))
-    near = passing.join(F.broadcast(top), "period").where(F.col("score") >= F.lit(runner) * F.col("_top"))
-    # Of entities with the same bases only the best can win.
-    unique = near.withColumn("_r", F.row_number().over(Window.partitionBy("period", "bases").orderBy("raw_rank"))).where("_r = 1").drop("_r", "_top")
-
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for r in g.sort_values("raw_rank").itertuples():
-            if len(rows) == most:
-                break
-            if not used.intersection(r.bases):
-                used.update(r.bases)
-                rows.append((r.period, len(rows) + 1, r.entity, r.score, r.gain, r.raw_rank, r.floor))
-        return pd.DataFrame(rows, columns=["period", "slot", "entity", "score", "gain", "raw_rank", "floor"])
-
-    kind = scores.schema["period"].dataType.simpleString()
-    return unique.groupBy("period").applyInPandas(pick, f"period {kind}, slot int, entity string, score double, gain double, raw_rank int, floor double")
+    left = passing.join(top, "period").where(F.col("score") >= F.lit(runner) * F.col("_top")).drop("_top")
+    slots = []
+    for slot in range(1, most + 1):
+        best = left.groupBy("period").agg(F.min_by(F.struct("entity", "bases", "score", "gain", "raw_rank", "floor"), "raw_rank").alias("best"))
+        best = materialize(best.select("period", F.lit(slot).alias("slot"), "best.*"), "winners")
+        slots.append(best)
+        taken = best.select("period", F.col("bases").alias("_taken"))
+        left = left.join(taken, "period").where(~F.coalesce(F.arrays_overlap("bases", "_taken"), F.lit(False))).drop("_taken")
+    picked = slots[0]
+    for more in slots[1:]:
+        picked = picked.unionByName(more)
+    return picked.select("period", "slot", "entity", "score", "gain", "raw_rank", "floor")
 
 
 def statements(rows: Iterator) -> list[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import discrete
 from ..operators import align, normalize, stats
+from ..sources import scratch
 from . import attribution, catalog, knn_sql, rolling
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -319,11 +320,15 @@ def step_means(spark, sf_dir):
     return rounded(stats.step_means(s, ["series"], c, 5), "before", "after", "before_near", "after_near")
 
 
-EPISODE_SQL = f"""{S6}, m AS (SELECT series, quantile_cont(value, 0.5) AS med FROM s6 GROUP BY series), d AS (SELECT series, quantile_cont(abs(value - med), 0.5) AS mad FROM s6 JOIN m USING (series) GROUP BY series),
-a0 AS (SELECT series, idx, value, coalesce(value > med + 1.4826e0 * mad, false) AS on0 FROM s6 JOIN m USING (series) JOIN d USING (series)),
+def _episode_sql(source: str, gap: int, least: int) -> str:
+    return f"""m AS (SELECT series, quantile_cont(value, 0.5) AS med FROM {source} GROUP BY series), d AS (SELECT series, quantile_cont(abs(value - med), 0.5) AS mad FROM {source} JOIN m USING (series) GROUP BY series),
+a0 AS (SELECT series, idx, value, coalesce(value > med + 1.4826e0 * mad, false) AS on0 FROM {source} JOIN m USING (series) JOIN d USING (series)),
 a1 AS (SELECT *, idx - row_number() OVER (PARTITION BY series, on0 ORDER BY idx) AS g0 FROM a0), a2 AS (SELECT *, count(*) OVER (PARTITION BY series, on0, g0) AS len, min(idx) OVER (PARTITION BY series, on0, g0) AS lo, max(idx) OVER (PARTITION BY series, on0, g0) AS hi, max(idx) OVER (PARTITION BY series) AS top FROM a1),
-a3 AS (SELECT series, idx, value, on0 OR (len <= 2 AND lo > 0 AND hi < top) AS on1 FROM a2), a4 AS (SELECT *, idx - row_number() OVER (PARTITION BY series, on1 ORDER BY idx) AS g1 FROM a3),
-ep AS (SELECT series, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_windows, max(value) AS peak_value, arg_max(idx, value) AS peak_idx FROM a4 WHERE on1 GROUP BY series, g1 HAVING count(*) >= 3)"""
+a3 AS (SELECT series, idx, value, on0 OR (len <= {gap} AND lo > 0 AND hi < top) AS on1 FROM a2), a4 AS (SELECT *, idx - row_number() OVER (PARTITION BY series, on1 ORDER BY idx) AS g1 FROM a3),
+ep AS (SELECT series, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n_windows, max(value) AS peak_value, arg_max(idx, value) AS peak_idx FROM a4 WHERE on1 GROUP BY series, g1 HAVING count(*) >= {least})"""
+
+
+EPISODE_SQL = f"{S6}, {_episode_sql('s6', 2, 3)}"
 
 
 @query(f"WITH {EPISODE_SQL} SELECT series, first_idx, last_idx, n_windows, round(peak_value, 6) AS peak_value, peak_idx FROM ep")
@@ -601,18 +606,33 @@ def synergy_stats(spark, sf_dir):
 
 
 def _combo_table(spark, sf_dir):
-    f = facts(spark, sf_dir)
+    f = scratch.materialize(facts(spark, sf_dir), "facts")
     won = attribution.winners(f, ["window_idx"])
     active = stats.episode_rows(attribution.envelope(f, ["window_idx"]), [], 1.0, 3, 8, order="window_idx").select("window_idx", "active")
     return attribution.combo_table(f, active, won)
 
 
-@query()
+#: cs: a row a combination, unrounded.
+COMBOS = f"""{FACTS}, env AS (SELECT 'all' AS series, idx, max(plotted_value) AS value FROM facts GROUP BY idx), {_episode_sql('env', 8, 3)},
+act AS (SELECT idx, EXISTS (SELECT 1 FROM ep WHERE env.idx BETWEEN first_idx AND last_idx) AS active FROM env),
+rk AS (SELECT entity, idx, plotted_value AS value, greatest(plotted_value, 0) AS c, row_number() OVER (PARTITION BY entity ORDER BY greatest(plotted_value, 0)) AS i FROM facts),
+ss AS (SELECT entity, count(*) AS n, sum(value) AS total, avg(value) AS mean, max(value) AS peak, min(idx) FILTER (value = (SELECT max(value) FROM rk q WHERE q.entity = rk.entity)) AS peak_at, stddev_pop(value) AS std, stddev_pop(value) / avg(value) AS cv, 2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1) / count(*) AS gini FROM rk GROUP BY entity),
+cf AS (SELECT entity, avg((category = 'synergistic')::DOUBLE) AS frac_synergistic, avg((category = 'redundant')::DOUBLE) AS frac_redundant, avg((category = 'obfuscating')::DOUBLE) AS frac_obfuscating, CAST(count_if(category <> p) AS BIGINT) AS n_flips, avg(jte_bits - max_te) AS gain,
+  avg(plotted_value) FILTER (active) / avg(plotted_value) FILTER (NOT active) AS alignment FROM (SELECT *, lag(category) OVER (PARTITION BY entity ORDER BY idx) AS p FROM facts JOIN act USING (idx)) GROUP BY entity),
+ws AS (SELECT entity, count(*) AS wins, count(*) / (SELECT count(DISTINCT idx) FROM won) AS win_share FROM won GROUP BY entity),
+cs AS (SELECT ss.*, cf.* EXCLUDE (entity), coalesce(wins, 0) AS wins, coalesce(win_share, 0) AS win_share FROM ss JOIN cf USING (entity) LEFT JOIN ws USING (entity))"""
+_COMBO_VALUES = ("total", "mean", "peak", "std", "cv", "gini", "frac_synergistic", "frac_redundant", "frac_obfuscating", "win_share", "gain", "alignment")
+
+
+@query(f"WITH {COMBOS} SELECT entity, n, peak_at, n_flips, wins, {r6(*_COMBO_VALUES)} FROM cs")
 def combo_stats(spark, sf_dir):
-    return _combo_table(spark, sf_dir)
+    return rounded(_combo_table(spark, sf_dir), *_COMBO_VALUES)
 
 
-@query()
+_LENS = " UNION ALL ".join(f"(SELECT entity, '{reason}' AS reason FROM st WHERE {column} IS NOT NULL ORDER BY {column} DESC, entity LIMIT 3)" for reason, column in attribution.LENSES.items())
+
+
+@query(f"WITH {COMBOS}, st AS (SELECT * FROM cs WHERE peak >= (SELECT quantile_cont(peak, 0.5) FROM cs)) SELECT entity, string_agg(reason, ',' ORDER BY reason) AS reasons FROM ({_LENS}) GROUP BY entity")
 def shortlist(spark, sf_dir):
     return attribution.shortlist(_combo_table(spark, sf_dir), 3)
 
@@ -657,8 +677,32 @@ def period_scores(spark, sf_dir):
     return rounded(attribution.period_scores(_by_idx(_layers(spark, sf_dir)), _periods(spark)).select("period", "entity", "score", "floor"), "score", "floor")
 
 
-@query()
-def pick_winners(spark, sf_dir):
-    d = _by_idx(_layers(spark, sf_dir))
+def _scores(spark, sf_dir):
+    """Scores of the pairs and of their first series alone, at half their value."""
+    d = scratch.materialize(_by_idx(_layers(spark, sf_dir)), "layers")
     single = F.regexp_extract("entity", r"^([^+]*)", 1)
-    return attribution.pick_winners(attribution.period_scores(d.unionByName(d.withColumns({"entity": single, "value": F.col("value") * 0.5})), _periods(spark)))
+    return attribution.period_scores(d.unionByName(d.withColumns({"entity": single, "value": F.col("value") * 0.5})), _periods(spark))
+
+
+#: sc: period, entity, bases, score, floor, gain over the best proper subset of the bases.
+SCORES = f"""{LAYERS}, yb AS (SELECT period, entity, idx, value FROM yp UNION ALL SELECT period, regexp_extract(entity, '^([^+]*)', 1), idx, value * 0.5e0 FROM yp),
+s0 AS (SELECT period, entity, list_sort({_PART.format(1)}) AS bases, avg(value) AS score FROM yb GROUP BY ALL), fl AS (SELECT period, avg(floor_pct) AS floor FROM (SELECT DISTINCT period, idx, floor_pct FROM yp) GROUP BY period),
+sb AS (SELECT a.period, a.entity, max(b.score) AS best FROM s0 a JOIN s0 b ON a.period = b.period AND len(b.bases) < len(a.bases) AND list_has_all(a.bases, b.bases) GROUP BY ALL),
+sc AS (SELECT period, s0.entity, bases, score, floor, CASE WHEN len(bases) > 1 THEN score - coalesce(best, '-inf'::DOUBLE) END AS gain FROM s0 JOIN fl USING (period) LEFT JOIN sb USING (period, entity))"""
+
+
+@query(f"WITH {SCORES} SELECT period, entity, array_to_string(bases, ';') AS bases, {r6('score', 'floor', 'gain')} FROM sc")
+def subset_gain(spark, sf_dir):
+    return rounded(_scores(spark, sf_dir).select("period", "entity", F.array_join("bases", ";").alias("bases"), "score", "floor", "gain"), "score", "floor", "gain")
+
+
+def _slot_sql(slot: int) -> str:
+    before = " ".join(f"AND NOT EXISTS (SELECT 1 FROM w{i} WHERE w{i}.period = nr.period AND list_has_any(w{i}.bases, nr.bases))" for i in range(1, slot))
+    return f"w{slot} AS (SELECT {slot} AS slot, * FROM nr WHERE true {before} QUALIFY row_number() OVER (PARTITION BY period ORDER BY raw_rank) = 1)"
+
+
+@query(f"""WITH {SCORES}, rr AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY score DESC, entity) AS raw_rank FROM sc),
+pa AS (SELECT * FROM rr WHERE score >= floor AND (gain IS NULL OR gain >= 0.5e0 * floor)), nr AS (SELECT * FROM pa WHERE score >= 0.6e0 * (SELECT max(score) FROM pa q WHERE q.period = pa.period)), {', '.join(map(_slot_sql, (1, 2, 3)))}
+SELECT period, CAST(slot AS INTEGER) AS slot, entity, {r6('score', 'gain')}, CAST(raw_rank AS INTEGER) AS raw_rank, {r6('floor')} FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)""")
+def pick_winners(spark, sf_dir):
+    return rounded(attribution.pick_winners(_scores(spark, sf_dir)), "score", "gain", "floor")
