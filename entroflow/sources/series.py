@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Sequence
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import logs
+
 
 def missing_as_null(df: DataFrame) -> DataFrame:
     """NaN becomes null in floating-point columns: aggregates then skip it."""
@@ -59,15 +62,25 @@ def between_dates(df: DataFrame, start: str, end: str, pattern: str = r"(\d{8})"
     return df.where((date >= start) & (date <= end))
 
 
-def read_flux_log(spark: SparkSession, path: str, shift_hours: int = 7, fill: float = -999.0) -> DataFrame:
-    """Lines "date time .. value qc" (fields 1, 2, 6, 7) as (ts, value, qc), shifted to UTC; the fill value becomes null."""
-    part = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(
-        F.try_to_timestamp(F.concat_ws(" ", part[0], part[1])).alias("ts"), F.try_element_at(part, F.lit(6)).try_cast("double").alias("value"), F.try_element_at(part, F.lit(7)).try_cast("int").alias("qc")
+def flux_rows(lines: DataFrame, shift_hours: int = 7, fill: float = -999.0, line: str = "value") -> DataFrame:
+    """Lines "date time .. value qc" (fields 1, 2, 6, 7) as (ts, value, qc), shifted to UTC; the fill value becomes null, lines without a time are left out."""
+    part = F.split(F.trim(line), r"\s+")
+    rows = lines.select(
+        F.try_to_timestamp(F.concat_ws(" ", part[0], F.try_element_at(part, F.lit(2)))).alias("ts"), F.try_element_at(part, F.lit(6)).try_cast("double").alias("value"), F.try_element_at(part, F.lit(7)).try_cast("int").alias("qc")
     )
     return rows.where("ts IS NOT NULL").withColumns({"ts": F.col("ts") + F.expr(f"INTERVAL {shift_hours} HOURS"), "value": F.nullif(F.col("value"), F.lit(fill))})
 
 
+def read_flux_log(spark: SparkSession, path: str, shift_hours: int = 7, fill: float = -999.0) -> DataFrame:
+    """flux_rows of plain text files."""
+    return flux_rows(spark.read.text(path), shift_hours, fill)
+
+
+def read_flux_zips(spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, shift_hours: int = 7, fill: float = -999.0) -> DataFrame:
+    """flux_rows of a folder of zipped logs; of dated files only those from start to end are opened."""
+    return flux_rows(logs.read_logs(spark, path, start, end), shift_hours, fill, "line")
+
+
 def quality_masked(value: Column, qc: Column, good: Sequence[int] = (0, 1), default: int = 2) -> Column:
     """value where its flag is good, a missing flag counting as default."""
     return F.when(F.coalesce(qc, F.lit(default)).isin(*good), value)
