@@ -22,12 +22,14 @@ def running_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, spread = state.get if state.exists else (0, 0.0, 0.0)
         for b in batches:
-            for v in b[value].dropna():
-                n += 1
-                step = v - mean
-                mean += step / n
-                spread += step * (v - mean)
-        state.update((n, mean, spread))
+            v = b[value].dropna().to_numpy(float)
+            if len(v):
+                # Two sets of values merge by their counts, means and sums of squared deviations.
+                step, both = v.mean() - mean, n + len(v)
+                spread += ((v - v.mean()) ** 2).sum() + step**2 * n * len(v) / both
+                mean += step * len(v) / both
+                n = both
+        state.update((n, float(mean), float(spread)))
         yield pd.DataFrame({key: [name[0]], "n": [n], "mean": [mean], "std": [(spread / n) ** 0.5 if n else 0.0]})
 
     kind = stream.schema[key].dataType.simpleString()

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import entroflow.plans.exchange_queries  # noqa: F401
 import entroflow.plans.log_queries  # noqa: F401
 import entroflow.plans.more_queries  # noqa: F401
 import entroflow.plans.result_queries  # noqa: F401
