@@ -68,7 +68,7 @@ def beta_calibration(df: DataFrame, target: str, inputs: Sequence[str], k: int =
     mad, iqr = off.abs().median(), data.quantile(0.75) - data.quantile(0.25)
     if ((mad <= NEARLY_ZERO) & (iqr == 0)).any():
         raise ValueError("a series is constant")
-    data = (MAD_FACTOR * off / mad).where(mad > NEARLY_ZERO, off / (iqr / IQR_FACTOR), axis=1)
+    data = off * (MAD_FACTOR / mad).where(mad > NEARLY_ZERO, IQR_FACTOR / iqr)
     h = knn.entropy(data[target].to_numpy(), k, base)
     info = max(0.0, knn.mutual_information(data[list(inputs)].to_numpy(), data[target].to_numpy(), k=k, base=base))
     if not info > 0:
