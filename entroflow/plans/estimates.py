@@ -11,6 +11,7 @@ that of any value that holds a share of the rows. jittered() tells equal values
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import knn
+from ..operators import normalize, ranks
 from ..sources.scratch import materialize
 
 ROWS = 2000
@@ -230,6 +232,37 @@ def information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str],
     return c.groupBy(*keys).agg(((digamma(F.lit(float(k))) + other - mean("_x") - mean("_y")) / LN2).alias(name))
 
 
+def calibration(df: DataFrame, row: str, target: str, inputs: Sequence[str], k: int = 3, base: float = 2.0) -> dict:
+    """Scale base ** (joint information - target entropy) of the z-scored columns of a wide table of any size, `row` telling its rows apart.
+
+    Only complete rows count, for the z-scores too. Under 5 k of them, a constant column, and an undefined or non-positive
+    information are errors. All that reaches the driver is a few numbers a column.
+    """
+    names = [target, *inputs]
+    rows = materialize(df.select(row, *names).dropna().withColumn("_all", F.lit(0)), "calibration")
+    n = rows.count()
+    if n < 5 * k:
+        raise ValueError(f"calibration takes at least {5 * k} complete rows, not {n}")
+    scored = {}
+    for c in names:
+        q = ranks.quantiles(rows, ["_all"], c, {"med": 0.5, "q1": 0.25, "q3": 0.75}).first()
+        off = F.col(c) - F.lit(q["med"])
+        mad = ranks.quantiles(rows.withColumn("_off", F.abs(off)), ["_all"], "_off", {"mad": 0.5}).first()["mad"]
+        if mad > normalize.NEARLY_ZERO:
+            scored[c] = off * F.lit(normalize.MAD_FACTOR / mad)
+        elif q["q3"] > q["q1"]:
+            scored[c] = off * F.lit(normalize.IQR_FACTOR / (q["q3"] - q["q1"]))
+        else:
+            raise ValueError(f"series {c} is constant")
+    z = rows.withColumns(scored)
+    unit = LN2 / math.log(base)
+    h = entropies(z, ["_all"], row, {"h": [target]}, k).first()["h"] * unit
+    info = information(z, ["_all"], row, list(inputs), [target], k=k).first()["mi"] * unit
+    if not info > 0:
+        raise ValueError("the inputs tell nothing about the target")
+    return {"target": target, "inputs": list(inputs), "jmi_bits": info, "entropy_bits": h, "scale": base ** (info - h), "k": k}
+
+
 def corrections(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str], alpha: float, k: int = 3) -> DataFrame:
     """keys and lnc: the mean correction, in bits, for local non-uniformity of the joint space `names`."""
 

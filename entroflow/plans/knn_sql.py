@@ -78,3 +78,19 @@ found AS (SELECT r.entity, r.window_idx, (pn.v - pk.v + {dims} * {LN2} + {dims}
 SELECT w.entity, w.window_idx, coalesce(f.h_raw, 0e0) AS h_raw
 FROM (SELECT DISTINCT entity, window_idx FROM raw_rows) w LEFT JOIN found f ON w.entity = f.entity AND w.window_idx = f.window_idx
 """
+
+
+def information_sql(rows: str, dims: int = 1, k: int = 3) -> str:
+    """entity, mi: the information in bits between x1 .. xd and y over an entity's complete rows."""
+    xs = [f"x{i + 1}" for i in range(dims)]
+    there = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, "y"])
+    return f"""
+WITH full_rows AS (SELECT entity, y, {', '.join(xs)}, row_number() OVER (PARTITION BY entity ORDER BY idx) AS rn, count(*) OVER (PARTITION BY entity) AS n FROM ({rows}) WHERE {there}),
+pairs AS (SELECT a.entity, a.rn, a.n, {_gap(xs)} AS dx, abs(a.y - b.y) AS dy FROM full_rows a JOIN full_rows b ON a.entity = b.entity),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity, rn ORDER BY greatest(dx, dy)) AS pos FROM pairs),
+eps AS (SELECT entity, rn, greatest(dx, dy) AS e FROM ranked WHERE pos = {k + 1}),
+counts AS (SELECT p.entity, p.rn, max(p.n) AS n, sum(CASE WHEN dx <= e - 1e-15 THEN 1 ELSE 0 END) AS nx, sum(CASE WHEN dy <= e - 1e-15 THEN 1 ELSE 0 END) AS ny
+           FROM pairs p JOIN eps USING (entity, rn) GROUP BY p.entity, p.rn),{_digamma('full_rows')}
+SELECT c.entity, (pk.v + max(pn.v) - avg(px.v) - avg(py.v)) / {LN2} AS mi
+FROM counts c JOIN psi px ON px.m = c.nx JOIN psi py ON py.m = c.ny JOIN psi pn ON pn.m = c.n JOIN psi pk ON pk.m = {k} GROUP BY c.entity, pk.v
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import align, normalize, stats
 from ..sources import scratch
 from . import attribution, catalog, estimates, knn_sql, rolling, store
-from .more_queries import _ROWS1, _ROWS3, _h, sample
+from .more_queries import _ROWS1, _ROWS3, _V, _h, sample
 from .queries import (
     FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
 )
@@ -177,11 +177,17 @@ def knn_conditional_correlation(spark, sf_dir):
     return rounded(e.select("label", F.expr("a + b - c - d").alias("ctc")), "ctc")
 
 
-@query()
+def _mi(x: str, y: str) -> str:
+    parts = ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(x.split()))
+    return f"WITH {_V}, " + knn_sql.information_sql(f"SELECT CAST(label AS VARCHAR) AS entity, vec_id AS idx, {parts}, {y} AS y FROM v", len(x.split())).strip().removeprefix("WITH ")
+
+
+@query(f"""WITH a AS ({_mi('x1', 'x3')}), b AS ({_mi('x2', 'x3')}), c AS ({_mi('x1 x2', 'x3')})
+SELECT CAST(a.entity AS INTEGER) AS label, round(a.mi + b.mi - c.mi, 6) + 0e0 AS corex FROM a JOIN b USING (entity) JOIN c USING (entity)""")
 def knn_explained_correlation(spark, sf_dir):
     d, own = sample(spark, sf_dir), (["label"], "vec_id")
     one, two, both = (estimates.information(d, *own, x, ["x3"], name=n) for n, x in (("a", ["x1"]), ("b", ["x2"]), ("c", ["x1", "x2"])))
-    return one.join(two, "label").join(both, "label").select("label", F.expr("a + b - c").alias("corex"))
+    return rounded(one.join(two, "label").join(both, "label").select("label", F.expr("a + b - c").alias("corex")), "corex")
 
 
 def _grouped(x: str) -> str:
@@ -202,12 +208,18 @@ def mixed_family(spark, sf_dir):
     return rounded(g.selectExpr("label", "a AS h_given", "a + b - c AS ctc_given", "abs(wa - a) + abs(wb - b) - abs(wc - c) AS corex_with"), "h_given", "ctc_given", "corex_with")
 
 
-@query()
+_CALIBRATION = f"""{Z6}, cw AS (SELECT idx, max(z) FILTER (series = 'view') AS y, max(z) FILTER (series = 'click') AS x1, max(z) FILTER (series = 'error') AS x2 FROM z6 GROUP BY idx),
+cc AS (SELECT * FROM cw WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL), cm AS (SELECT quantile_cont(y, 0.5) AS my, quantile_cont(x1, 0.5) AS m1, quantile_cont(x2, 0.5) AS m2 FROM cc),
+cd AS (SELECT quantile_cont(abs(y - my), 0.5) AS dy, quantile_cont(abs(x1 - m1), 0.5) AS d1, quantile_cont(abs(x2 - m2), 0.5) AS d2 FROM cc, cm),
+cz AS (SELECT idx, 0.6745e0 * (y - my) / dy AS y, 0.6745e0 * (x1 - m1) / d1 AS x1, 0.6745e0 * (x2 - m2) / d2 AS x2 FROM cc, cm, cd)"""
+
+
+@query(f"""WITH {_CALIBRATION}, i AS ({knn_sql.information_sql("SELECT 'all' AS entity, idx, x1, x2, y FROM cz", 2)}), h AS ({knn_sql.entropy_sql("SELECT 'all' AS entity, 0 AS window_idx, idx, y AS x1 FROM cz")}), s AS (SELECT pow(2e0, mi - h_raw) AS scale FROM i, h)
+SELECT series, idx, round(z * scale, 6) + 0e0 AS z, round(scale, 6) AS scale FROM z6, s""")
 def beta_normalised(spark, sf_dir):
     """Every variable's robust score under one scale, calibrated on the wide table."""
-    w = wide(spark, sf_dir)
-    scale = normalize.beta_calibration(w, "view", ["click", "error"])["scale"]
-    return normalize.robust_zscore(binned(spark, sf_dir), "value", ["series"], scale).select("series", "idx", "z", F.lit(scale).alias("scale"))
+    scale = estimates.calibration(wide(spark, sf_dir), "idx", "view", ["click", "error"])["scale"]
+    return rounded(normalize.robust_zscore(binned(spark, sf_dir), "value", ["series"], scale).select("series", "idx", "z", F.lit(scale).alias("scale")), "z", "scale")
 
 
 @query(f"WITH {S6}, m AS (SELECT series, quantile_cont(value, 0.5) AS med FROM s6 GROUP BY series), a AS (SELECT series, med, quantile_cont(abs(value - med), 0.5) AS mad FROM s6 JOIN m USING (series) GROUP BY ALL) SELECT series, idx, round(0.6745e0 * (value - med) / mad, 6) + 0e0 AS z FROM s6 JOIN a USING (series)")
