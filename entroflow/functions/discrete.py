@@ -65,3 +65,9 @@ def explained_correlation(df: DataFrame, xs: Sequence[str], y: Sequence[str], ba
     tc = [*((1, [c]) for c in xs), (-1, xs)]
     ctc = [t for c in xs for t in ((-1, [c, *y]), (1, y))]
     return _combine(df, [*tc, *ctc, (1, [*xs, *y]), (-1, y)], "corex", base)
+
+
+def entropy_by(df: DataFrame, keys: Sequence[str], x: Sequence[str], name: str = "h") -> DataFrame:
+    """keys and the entropy in bits of the columns x together, by key."""
+    n = df.groupBy(*keys, *x).agg(F.count(F.lit(1)).alias("_n"))
+    return n.groupBy(*keys).agg((F.log2(F.sum("_n")) - F.sum(F.col("_n") * F.log2("_n")) / F.sum("_n")).alias(name))

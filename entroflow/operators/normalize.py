@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import knn
+from . import ranks
+from .scan import same
 
 MAD_FACTOR, IQR_FACTOR, NEARLY_ZERO = 0.6745, 1.349, 1e-8
 
 
 def robust_scale(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """By key: _n, _median, _mad, _iqr of the non-null values. Two aggregations; the second meets one row a key."""
-    first = df.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.percentile(value, F.lit(0.5)).alias("_median"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("_iqr")
-    )
-    joined = df.join(first, list(keys)) if keys else df.join(F.broadcast(first))
-    mad = joined.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("_median")), F.lit(0.5)).alias("_mad"))
-    return first.join(mad, list(keys)) if keys else first.join(F.broadcast(mad))
+    """By key: _n, _median, _mad, _iqr of the non-null values, by exact quantiles of keys of any size."""
+    rows, keys = df.select(*keys, F.col(value).alias("_v")), list(keys)
+    held = ranks.small(rows, keys)
+    middle = ranks.quantiles(rows, keys, "_v", {"_median": 0.5, "_q1": 0.25, "_q3": 0.75}, held)
+    off = same(rows, middle, keys).select(*keys, F.abs(F.col("_v") - F.col("_median")).alias("_off"))
+    scale = same(middle, ranks.quantiles(off, keys, "_off", {"_mad": 0.5}, held), keys)
+    n = rows.groupBy(*keys).agg(F.count("_v").alias("_n"))
+    return same(n, scale, keys).select(*keys, "_n", "_median", "_mad", (F.col("_q3") - F.col("_q1")).alias("_iqr"))
 
 
 def zscore_of(value: Column, scale: float = 1.0) -> Column:
@@ -38,18 +41,18 @@ def robust_zscore(df: DataFrame, value: str = "value", keys: Sequence[str] = (),
     s = robust_scale(df, value, keys)
     if strict and not s.where((F.col("_mad") <= NEARLY_ZERO) & (F.col("_iqr") == 0)).isEmpty():
         raise ValueError("a series is constant")
-    joined = df.join(s, list(keys)) if keys else df.join(F.broadcast(s))
-    return joined.withColumn("z", zscore_of(F.col(value), scale)).drop("_n", "_median", "_mad", "_iqr")
+    return same(df, s, keys).withColumn("z", zscore_of(F.col(value), scale)).drop("_n", "_median", "_mad", "_iqr")
 
 
 def circular_components(df: DataFrame, degrees: str = "value", keys: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
     """df with sin and cos of degrees, less their medians, over the median absolute deviation of both together."""
     parts = df.withColumns({"_s": F.sin(F.radians(degrees)), "_c": F.cos(F.radians(degrees))})
-    middle = parts.groupBy(*keys).agg(F.percentile("_s", F.lit(0.5)).alias("_ms"), F.percentile("_c", F.lit(0.5)).alias("_mc"))
-    both = parts.join(middle, list(keys)) if keys else parts.join(F.broadcast(middle))
-    off = both.withColumns({"_s": F.col("_s") - F.col("_ms"), "_c": F.col("_c") - F.col("_mc")})
-    pooled = off.select(*keys, F.explode(F.array("_s", "_c")).alias("_x")).groupBy(*keys).agg(F.percentile(F.abs("_x"), F.lit(0.5)).alias("_mad"))
-    joined = off.join(pooled, list(keys)) if keys else off.join(F.broadcast(pooled))
+    held = ranks.small(parts, keys)
+    for c, name in (("_s", "_ms"), ("_c", "_mc")):
+        parts = same(parts, ranks.quantiles(parts.select(*keys, c), keys, c, {name: 0.5}, held), keys)
+    off = parts.withColumns({"_s": F.col("_s") - F.col("_ms"), "_c": F.col("_c") - F.col("_mc")})
+    both = off.select(*keys, F.explode(F.array(F.abs("_s"), F.abs("_c"))).alias("_x"))
+    joined = same(off, ranks.quantiles(both, keys, "_x", {"_mad": 0.5}, held), keys)
     factor = F.lit(scale * MAD_FACTOR) / F.col("_mad")
     return joined.withColumns({"sin": F.col("_s") * factor, "cos": F.col("_c") * factor}).drop("_s", "_c", "_ms", "_mc", "_mad")
 

@@ -60,12 +60,27 @@ def of_ranked(v: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str,
     return found.select(*keys, *[line(name, p).alias(name) for name, p in probs.items()])
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def small(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every key has at most HELD rows."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= HELD
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], held: bool | None = None) -> DataFrame:
     """keys and the named quantiles of their values; null where a key has none.
 
-    Keys of up to HELD rows are worked out in one aggregation, any other by ranges of values: the same quantiles.
+    Keys of up to HELD rows are worked out in one aggregation, any other by ranges of values: the same quantiles. held: the
+    answer of small(df, keys), where it is known.
     """
     every = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if (every.agg(F.max("_n")).first()[0] or 0) <= HELD:
+    if small(df, keys) if held is None else held:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()])
     return same(every.drop("_n"), of_ranked(ranked_values(df, keys, value), keys, value, probs), keys, "left") if keys else of_ranked(ranked_values(df, keys, value), keys, value, probs)
+
+
+def rank_sums(df: DataFrame, keys: Sequence[str], value: str, name: str, held: bool | None = None) -> DataFrame:
+    """keys and the sum of their values, each times its place from 1 on in ascending order; nulls are left out, equal values share their places' sum."""
+    if small(df, keys) if held is None else held:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)).cast("long")
+        return df.where(F.col(value).isNotNull()).withColumn("_place", place).groupBy(*keys).agg(F.sum(F.col("_place") * F.col(value)).alias(name))
+    n = F.col("n").cast("double")
+    return ranked_values(df, keys, value).groupBy(*keys).agg(F.sum(F.col(value) * (n * F.col("ahead") + n * (n + 1) / 2)).alias(name))

@@ -23,21 +23,22 @@ def half(x: Column | str) -> Column:
 
 def series_stats(df: DataFrame, keys: Sequence[str], value: str = "value", order: str = "us") -> DataFrame:
     """n, total, mean, peak, peak_at (its first place), std (population), cv, gini, by key."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_c", F.greatest(F.col(value), F.lit(0.0))).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_c")).cast("long"))
-    s = ranked.groupBy(*keys).agg(
+    there = df.where(F.col(value).isNotNull()).withColumn("_c", F.greatest(F.col(value), F.lit(0.0)))
+    s = there.groupBy(*keys).agg(
         F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("peak"),
-        F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("peak_at"), F.stddev_pop(value).alias("std"), F.sum("_c").alias("_sum"), F.sum(F.col("_r") * F.col("_c")).alias("_weighted"),
+        F.max_by(order, F.struct(F.col(value), -F.col(order))).alias("peak_at"), F.stddev_pop(value).alias("std"), F.sum("_c").alias("_sum"),
     )
+    s = scan.same(s, ranks.rank_sums(there.select(*keys, "_c"), keys, "_c", "_weighted"), keys, "left")
     cv = F.when((F.col("n") >= 2) & (F.abs("mean") >= TINY), F.col("std") / F.col("mean"))
     gini = F.when(F.col("_sum") > 0, 2 * F.col("_weighted") / (F.col("n") * F.col("_sum")) - (F.col("n") + 1) / F.col("n"))
     return s.withColumns({"cv": cv, "gini": gini}).drop("_sum", "_weighted")
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr")
-    )
+    """min, max, mean, std (sample), median, q1, q3 and iqr, by key; quantiles are exact for keys of any size."""
+    q = ranks.quantiles(df.select(*keys, value), keys, value, {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    s = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    return scan.same(s, q, keys).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def coverage(df: DataFrame, keys: Sequence[str], value: str = "value", order: str = "idx", us: str = "us") -> DataFrame:

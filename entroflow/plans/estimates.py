@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import knn
+from ..functions import discrete, knn
 from ..operators import normalize, ranks
 from ..sources.scratch import materialize
 
@@ -224,7 +225,8 @@ def information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str],
     """keys and I(x; y), or I(x; y | z), in bits."""
     names = [*x, *y, *z]
     rows = df.select(*keys, row, *dict.fromkeys(names)).dropna(subset=names)
-    eps = kth_distances(rows, keys, row, {"_eps": names}, k)
+    # Each space's count reads the distances: they are searched once.
+    eps = materialize(kth_distances(rows, keys, row, {"_eps": names}, k), "distances")
     spaces = {"_x": [*x, *z], "_y": [*y, *z]} | ({"_z": list(z)} if z else {})
     c = counts_within(rows.join(eps, [*keys, row]), keys, row, "_eps", spaces)
     mean = lambda s: F.avg(digamma(F.col(s).cast("double")))
@@ -316,30 +318,71 @@ def _present(asking: DataFrame, held: DataFrame, keys: Sequence[str]) -> DataFra
     return asking.join(held.select(*keys, F.col("block").alias("other")).distinct(), [*keys, "other"], "left_semi")
 
 
-def given_groups(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, group: str, k: int = 3) -> DataFrame:
-    """keys and, for each space, its entropy given the discrete `group`: group entropies by share; a group of at most k rows counts with that of all."""
+def given_groups(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, group: str, k: int = 3, whole: DataFrame | None = None) -> DataFrame:
+    """keys and, for each space, its entropy given the discrete `group`: group entropies by share; a group of at most k rows counts with that of all.
+
+    whole: the entropies of all rows of a key, where they are known.
+    """
     names = list(dict.fromkeys(c for s in spaces.values() for c in s))
     rows = df.dropna(subset=[*names, group])
-    whole = entropies(rows, keys, row, spaces, k).select(*keys, F.col("n").alias("_n"), *[F.col(s).alias(f"_{s}") for s in spaces])
+    whole = whole or entropies(rows, keys, row, spaces, k)
+    whole = whole.select(*keys, F.col("n").alias("_n"), *[F.col(s).alias(f"_{s}") for s in spaces])
     parts = entropies(rows, [*keys, group], row, spaces, k).join(whole, list(keys))
     share = F.col("n") / F.col("_n")
     return parts.groupBy(*keys).agg(*[F.sum(share * F.coalesce(s, f"_{s}")).alias(s) for s in spaces])
 
 
-def shuffle_test(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, k: int = 3) -> DataFrame:
-    """keys, mean, low, high of the information between permuted x and y (given z) over ns replicates.
+def mixed_information(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], groups: Sequence[str], k: int = 3, name: str = "mi", whole: DataFrame | None = None) -> DataFrame:
+    """keys and the information in bits between continuous x and the discrete columns `groups` together; rows with a null don't count.
 
-    A replicate permutes x within its key by the order of a hash, so results don't depend on how rows are dealt.
+    whole: keys, n and x, the entropy of x, where it is known.
     """
-    from pyspark.sql import Window
+    rows = df.select(*keys, row, *x, *groups).dropna(subset=[*x, *groups]).withColumn("_group", F.to_json(F.struct(*groups)))
+    whole = whole or materialize(entropies(rows, keys, row, {"x": x}, k), "whole")
+    given = given_groups(rows, keys, row, {"x": x}, "_group", k, whole).withColumnRenamed("x", "_given")
+    return whole.join(given, list(keys)).select(*keys, F.abs(F.col("x") - F.col("_given")).alias(name))
+
+
+#: The published entropy of x given groups hands its base, 2, to the estimator as the neighbour count.
+PUBLISHED_K = 2
 
+
+def mixed_correlations(df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], groups: Sequence[str], k: int = 3) -> DataFrame:
+    """keys and, in bits, h_given (of continuous x given the discrete columns `groups` together), ctc and corex.
+
+    ctc is the sum of h_given over single columns less that of all, corex the columns' total correlation less ctc, as published:
+    h_given is an entropy with PUBLISHED_K neighbours less an information with k. Rows with a null don't count.
+    """
+    rows = materialize(df.select(*keys, row, *x, *groups).dropna(subset=[*x, *groups]), "mixed")
+    whole = materialize(entropies(rows, keys, row, {"x": x}, k), "whole")
+    table = entropies(rows, keys, row, {"_h": x}, PUBLISHED_K).select(*keys, "_h").join(mixed_information(rows, keys, row, x, groups, k, "_m", whole), list(keys))
+    for i, g in enumerate(groups):
+        table = table.join(mixed_information(rows, keys, row, x, [g], k, f"_m{i}", whole), list(keys)).join(discrete.entropy_by(rows, keys, [g], f"_d{i}"), list(keys))
+    table = table.join(discrete.entropy_by(rows, keys, groups, "_d"), list(keys))
+    total = lambda f: reduce(lambda p, q: p + q, [f(i) for i in range(len(groups))])
+    table = table.withColumn("h_given", F.col("_h") - F.col("_m")).withColumn("ctc", total(lambda i: F.col("_h") - F.col(f"_m{i}")) - F.col("h_given"))
+    return table.select(*keys, "h_given", "ctc", (total(lambda i: F.col(f"_d{i}")) - F.col("_d") - F.col("ctc")).alias("corex"))
+
+
+Measure = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def shuffle_test(
+    df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, k: int = 3, measure: Measure | None = None
+) -> DataFrame:
+    """keys, mean, low, high over ns replicates of a measure of permuted x, y and z.
+
+    measure: of rows (keys, row, x, y, z) and keys, gives keys and mi; by default the information between x and y, given z.
+    A replicate permutes x within its key by the order of a digest, so results don't depend on how rows are dealt.
+    """
     names = [*x, *y, *z]
     rows = df.select(*keys, row, *names).dropna(subset=names).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
     own = [*keys, "_rep"]
     place = lambda *by: F.row_number().over(Window.partitionBy(*own).orderBy(*by)).alias("_at")
-    drawn = rows.select(*own, *x, place(F.xxhash64(row, "_rep"), F.col(row)))
+    drawn = rows.select(*own, *x, place(F.md5(F.concat_ws(":", F.col(row).cast("string"), F.col("_rep").cast("string"))), F.col(row)))
     fixed = rows.select(*own, row, *y, *z, place(F.col(row)))
-    v = information(fixed.join(drawn, [*own, "_at"]), own, row, x, y, z, k)
+    paired = materialize(fixed.join(drawn, [*own, "_at"]).drop("_at"), "shuffled")
+    v = measure(paired, own) if measure else information(paired, own, row, x, y, z, k)
     sorted_ = F.array_sort(F.collect_list("mi"))
     return v.groupBy(*keys).agg(F.avg("mi").alias("mean"), F.get(sorted_, F.lit(int((1 - ci) / 2 * ns))).alias("low"), F.get(sorted_, F.lit(int((1 + ci) / 2 * ns))).alias("high"))
 

@@ -49,16 +49,68 @@ def mixed_information(spark, sf_dir):
     return rounded(both.select("label", F.abs(F.col("h") - F.col("g")).alias("mixed")), "mixed")
 
 
-@query()
+def _mi(x: str, y: str) -> str:
+    parts = ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(x.split()))
+    return f"WITH {_V}, " + knn_sql.information_sql(f"SELECT CAST(label AS VARCHAR) AS entity, vec_id AS idx, {parts}, {y} AS y FROM v", len(x.split())).strip().removeprefix("WITH ")
+
+
+# In two dimensions the principal axes of a neighbourhood are turned by half the angle of (2 uw, uu - ww).
+@query(f"""WITH {_V}, i AS ({_mi('x1', 'x2')}),
+n AS (SELECT a.label, a.vec_id, b.x1 - a.x1 AS u, b.x2 - a.x2 AS w, row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY greatest(abs(b.x1 - a.x1), abs(b.x2 - a.x2))) AS pos FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+m AS (SELECT *, atan2(2 * sum(u * w) OVER r, sum(u * u) OVER r - sum(w * w) OVER r) / 2 AS t FROM n WHERE pos <= 3 WINDOW r AS (PARTITION BY label, vec_id)),
+c AS (SELECT label, ln(max(abs(u * cos(t) + w * sin(t)))) + ln(max(abs(w * cos(t) - u * sin(t)))) AS turned, ln(max(abs(u))) + ln(max(abs(w))) AS straight FROM m GROUP BY label, vec_id)
+SELECT label, round(mi, 6) + 0e0 AS mi, round(mi + avg(CASE WHEN turned < straight + ln(0.25e0) THEN straight - turned ELSE 0e0 END) / ln(2e0), 6) + 0e0 AS mi_corrected FROM c JOIN i ON i.entity = CAST(label AS VARCHAR) GROUP BY label, mi""")
 def corrected_information(spark, sf_dir):
     d = sample(spark, sf_dir)
     both = estimates.information(d, ["label"], "vec_id", ["x1"], ["x2"]).join(estimates.corrections(d, ["label"], "vec_id", ["x1", "x2"], 0.25), "label")
-    return both.select("label", "mi", (F.col("mi") + F.col("lnc")).alias("mi_corrected"))
+    return rounded(both.select("label", "mi", (F.col("mi") + F.col("lnc")).alias("mi_corrected")), "mi", "mi_corrected")
 
 
-@query()
+#: Replicates of the permutation tests, the estimator's default.
+SHUFFLES = 200
+_DRAWN = f"""{_V}, rr AS (SELECT *, UNNEST(range({SHUFFLES})) AS rep FROM v),
+dr AS (SELECT label, rep, x1, row_number() OVER (PARTITION BY label, rep ORDER BY md5(vec_id || ':' || rep), vec_id) AS pos FROM rr),
+fx AS (SELECT label, rep, vec_id, x2, side, row_number() OVER (PARTITION BY label, rep ORDER BY vec_id) AS pos FROM rr),
+pa AS (SELECT fx.label, fx.label || ':' || fx.rep AS entity, vec_id AS idx, x1, x2 AS y, side FROM fx JOIN dr USING (label, rep, pos))"""
+_BOUNDS = f"round(avg(mi), 6) + 0e0 AS mean, round(list_sort(list(mi))[{int(0.025 * SHUFFLES) + 1}], 6) + 0e0 AS low, round(list_sort(list(mi))[{int(0.975 * SHUFFLES) + 1}], 6) + 0e0 AS high"
+
+
+@query(f"""WITH {_DRAWN}, i AS ({knn_sql.information_sql('SELECT entity, idx, x1, y FROM pa')})
+SELECT label, {_BOUNDS} FROM i JOIN (SELECT DISTINCT label, entity FROM pa) USING (entity) GROUP BY label""")
 def shuffle_test(spark, sf_dir):
-    return estimates.shuffle_test(sample(spark, sf_dir), ["label"], "vec_id", ["x1"], ["x2"], ns=50)
+    return rounded(estimates.shuffle_test(sample(spark, sf_dir), ["label"], "vec_id", ["x1"], ["x2"], ns=SHUFFLES), "mean", "low", "high")
+
+
+@query(f"""WITH {_DRAWN}, a AS ({_h(_ROWS1.format('x1'), 1)}), g AS ({knn_sql.entropy_sql("SELECT entity || ':' || side AS entity, 0 AS window_idx, idx, x1 FROM pa", 1, 3, 4)}),
+i AS (SELECT pg.label, pg.entity, abs(any_value(a.h_raw) - sum(n / t * CASE WHEN n > 3 THEN g.h_raw ELSE a.h_raw END)) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY entity) AS t FROM (SELECT label, entity, side, count(*) AS n FROM pa GROUP BY ALL)) pg JOIN a ON a.entity = CAST(pg.label AS VARCHAR) JOIN g ON g.entity = pg.entity || ':' || pg.side GROUP BY pg.label, pg.entity)
+SELECT label, {_BOUNDS} FROM i GROUP BY label""")
+def shuffle_test_mixed(spark, sf_dir):
+    """The permutation test of another measure: the information between x1 and the discrete side."""
+    measure = lambda d, keys: estimates.mixed_information(d, keys, "vec_id", ["x1"], ["side"])
+    return rounded(estimates.shuffle_test(sample(spark, sf_dir), ["label"], "vec_id", ["x1"], ["side"], ns=SHUFFLES, measure=measure), "mean", "low", "high")
+
+
+def _given(side: str) -> str:
+    """A table (label, m): the information between (x1, x2) and a discrete expression of vec_id; needs w3."""
+    g = _h(f"SELECT label || ':' || ({side}) AS entity, 0 AS window_idx, vec_id AS idx, x1, x2 FROM v", 2)
+    n = f"SELECT label, s, n, sum(n) OVER (PARTITION BY label) AS t FROM (SELECT label, {side} AS s, count(*) AS n FROM embeddings GROUP BY ALL)"
+    return f"SELECT l.label, abs(any_value(w3.h_raw) - sum(n / t * CASE WHEN n > 3 THEN g.h_raw ELSE w3.h_raw END)) AS m FROM ({n}) l JOIN ({g}) g ON g.entity = l.label || ':' || l.s JOIN w3 ON w3.entity = CAST(l.label AS VARCHAR) GROUP BY l.label"
+
+
+def _bits(x: str) -> str:
+    return f"SELECT label, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS d FROM (SELECT label, {x} AS s, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY label"
+
+
+_ROWS12 = "SELECT CAST(label AS VARCHAR) AS entity, 0 AS window_idx, vec_id AS idx, x1, x2 FROM v"
+
+
+@query(f"""WITH w2 AS ({_h(_ROWS12, 2, 2)}), w3 AS ({_h(_ROWS12, 2)}), a AS ({_given('vec_id % 2')}), b AS ({_given('vec_id // 2 % 2')}), c AS ({_given('vec_id % 4')}), da AS ({_bits('vec_id % 2')}), db AS ({_bits('vec_id // 2 % 2')}), dc AS ({_bits('vec_id % 4')}),
+r AS (SELECT label, w2.h_raw - c.m AS h_given, w2.h_raw - a.m - b.m + c.m AS ctc, da.d + db.d - dc.d AS tc FROM a JOIN b USING (label) JOIN c USING (label) JOIN da USING (label) JOIN db USING (label) JOIN dc USING (label) JOIN w2 ON w2.entity = CAST(label AS VARCHAR))
+SELECT label, round(h_given, 6) + 0e0 AS h_given, round(ctc, 6) + 0e0 AS ctc, round(tc - ctc, 6) + 0e0 AS corex FROM r""")
+def mixed_correlations(spark, sf_dir):
+    """Continuous (x1, x2) and two discrete columns: the published entropy, conditional total correlation and explained correlation."""
+    d = sample(spark, sf_dir).withColumn("half", F.expr("vec_id div 2 % 2"))
+    return rounded(estimates.mixed_correlations(d, ["label"], "vec_id", ["x1", "x2"], ["side", "half"]), "h_given", "ctc", "corex")
 
 
 @query()

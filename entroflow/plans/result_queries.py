@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import align, normalize, stats
 from ..sources import scratch
 from . import attribution, catalog, estimates, knn_sql, rolling, store
-from .more_queries import _ROWS1, _ROWS3, _V, _h, sample
+from .more_queries import _ROWS1, _ROWS3, _V, _h, _mi, sample
 from .queries import (
     FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
 )
@@ -177,11 +177,6 @@ def knn_conditional_correlation(spark, sf_dir):
     return rounded(e.select("label", F.expr("a + b - c - d").alias("ctc")), "ctc")
 
 
-def _mi(x: str, y: str) -> str:
-    parts = ", ".join(f"{c} AS x{i + 1}" for i, c in enumerate(x.split()))
-    return f"WITH {_V}, " + knn_sql.information_sql(f"SELECT CAST(label AS VARCHAR) AS entity, vec_id AS idx, {parts}, {y} AS y FROM v", len(x.split())).strip().removeprefix("WITH ")
-
-
 @query(f"""WITH a AS ({_mi('x1', 'x3')}), b AS ({_mi('x2', 'x3')}), c AS ({_mi('x1 x2', 'x3')})
 SELECT CAST(a.entity AS INTEGER) AS label, round(a.mi + b.mi - c.mi, 6) + 0e0 AS corex FROM a JOIN b USING (entity) JOIN c USING (entity)""")
 def knn_explained_correlation(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Sources, alignment, plans and streams on small made tables."""
 
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -132,6 +133,36 @@ def test_shuffle_test(spark):
     assert r.low <= r["mean"] <= r.high and abs(r["mean"]) < 0.2
 
 
+def test_shuffle_test_of_another_measure(spark):
+    d = samples(spark, 60, 1).dropna()
+    seen = []
+
+    def mean_product(rows, keys):
+        seen.append(rows.columns)
+        return rows.groupBy(*keys).agg(F.avg(F.col("x") * F.col("side")).alias("mi"))
+
+    r = estimates.shuffle_test(d, ["g"], "i", ["x"], ["side"], ns=40, measure=mean_product).first()
+    rows = d.toPandas().sort_values("i")
+    x, side, i = (rows[c].to_numpy() for c in ("x", "side", "i"))
+    drawn = [(x[sorted(range(len(i)), key=lambda j: (hashlib.md5(f"{i[j]}:{rep}".encode()).hexdigest(), i[j]))] * side).mean() for rep in range(40)]
+    assert seen and (r["mean"], r.low, r.high) == pytest.approx((np.mean(drawn), sorted(drawn)[1], sorted(drawn)[39]))
+
+
+def test_mixed_correlations_are_the_published_ones(spark):
+    d = samples(spark, 90, 2).withColumn("part", F.expr("cast(i % 3 as int)")).withColumn("rare", F.expr("if(i < 2, 1, 0)"))
+    for groups in (["side", "part"], ["side", "rare"]):
+        got = {r.g: (r.h_given, r.ctc, r.corex) for r in estimates.mixed_correlations(d, ["g"], "i", ["x", "y"], groups).collect()}
+        for g, rows in d.dropna(subset=["x"]).toPandas().groupby("g"):
+            x = rows[["x", "y"]].to_numpy()
+            code = [rows[c].to_numpy() for c in groups]
+            both = code[0] * 10 + code[1]
+            given = [knn.mixed_conditional_entropy(x, c) for c in (*code, both)]
+            bits = [-sum(p * np.log2(p) for p in np.unique(c, return_counts=True)[1] / len(c)) for c in (*code, both)]
+            ctc = given[0] + given[1] - given[2]
+            assert got[g] == pytest.approx((given[2], ctc, bits[0] + bits[1] - bits[2] - ctc), abs=1e-9)
+    assert estimates.mixed_correlations(d.where("false"), ["g"], "i", ["x"], ["side", "part"]).count() == 0
+
+
 def test_stage2_names_windows_that_fail(spark):
     g = grid(spark, 80).withColumn("y", F.when(F.col("idx") >= 20, F.col("y")))
     s = rolling.stage2(g, [catalog.Entity("y", (("x", 1),))], 20, 3)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entroflow.operators import align, ranks, scan, stats
+from entroflow.operators import align, normalize, ranks, scan, stats
 
 
 @pytest.fixture(autouse=True)
@@ -121,3 +121,32 @@ def test_spearman_and_top(spark):
     assert stats.spearman(df, "a", "b").first().rho == pytest.approx(np.corrcoef(order(a), order(a + b))[0, 1])
     top = [x >= np.quantile(x, 0.9) for x in (a, a + b)]
     assert stats.top_jaccard(df, "a", "b").first().jaccard == pytest.approx((top[0] & top[1]).sum() / (top[0] | top[1]).sum())
+
+
+def test_scale_and_inequality_of_a_hot_key(spark):
+    rng = np.random.default_rng(6)
+    data = {"hot": [*rng.normal(size=400), *[0.25] * 200], "b": [*rng.integers(-2, 5, 60)], "flat": [3.0] * 12, "one": [2.0], "none": [None], None: [1.0, 4.0, 9.0]}
+    rows = [(k, i, None if x is None else float(x)) for k, v in data.items() for i, x in enumerate(v)] + [("b", 60, None)]
+    df = spark.createDataFrame(rows, "k string, us long, value double").repartition(4)
+    scale = {r.k: r for r in normalize.robust_scale(df, "value", ["k"]).collect()}
+    stat = {r.k: r for r in stats.series_stats(df, ["k"]).collect()}
+    text = {r.k: r for r in stats.describe(df, ["k"]).collect()}
+    z = normalize.robust_zscore(df, "value", ["k"]).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in z} == {k: len(v) + (k == "b") for k, v in data.items()}
+    assert scale["none"]._n == 0 and scale["none"]._median is None and "none" not in stat
+    for k, v in data.items():
+        if k == "none":
+            continue
+        x = np.array(v, float)
+        q1, half, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        assert [scale[k]._n, scale[k]._median, scale[k]._mad, scale[k]._iqr] == pytest.approx([len(x), half, np.median(np.abs(x - half)), q3 - q1])
+        assert [text[k].q1, text[k].median, text[k].q3, text[k].iqr] == pytest.approx([q1, half, q3, q3 - q1])
+        c, n = np.sort(np.maximum(x, 0)), len(x)
+        assert stat[k].gini == pytest.approx(2 * (np.arange(1, n + 1) * c).sum() / (n * c.sum()) - (n + 1) / n)
+    turned = normalize.circular_components(df.where("value IS NOT NULL AND k IN ('hot', 'b')").withColumn("value", F.col("value") * 40), "value", ["k"]).collect()
+    for k in ("hot", "b"):
+        angle = np.radians(np.array(data[k], float) * 40)
+        off = np.stack([np.sin(angle) - np.median(np.sin(angle)), np.cos(angle) - np.median(np.cos(angle))])
+        want = off * 0.6745 / np.median(np.abs(off))
+        got = np.array([(r["sin"], r["cos"]) for r in sorted((r for r in turned if r.k == k), key=lambda r: r.us)]).T
+        assert got == pytest.approx(want)
