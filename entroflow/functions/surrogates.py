@@ -6,11 +6,32 @@ generator handed in, so a replicate depends on its seed alone and not on where,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
 
 
+class DigestOrder:
+    """Stands in for a generator where only permutations are drawn: places by the order of MD5 digests of "name:draw:place".
+
+    SQL in any engine draws the same ones, so a test against surrogates can be repeated elsewhere.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.drawn = name, 0
+
+    def permutation(self, places: int | np.ndarray) -> np.ndarray:
+        at = np.arange(places) if isinstance(places, int) else places
+        order = sorted(at.tolist(), key=lambda p: hashlib.md5(f"{self.name}:{self.drawn}:{p}".encode()).digest())
+        self.drawn += 1
+        return np.array(order, int)
+
+
+#: Kinds of surrogates that permutations alone make.
+PERMUTING = ("shuffle", "block")
+
+
 def filled(x: np.ndarray, how: str = "line") -> np.ndarray | None:
     """x without gaps, by linear interpolation in row order or by the mean; None with under two values."""
     gap = np.isnan(x)

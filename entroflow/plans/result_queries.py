@@ -11,7 +11,7 @@ from ..sources import scratch
 from . import attribution, catalog, estimates, knn_sql, rolling, store
 from .more_queries import _ROWS1, _ROWS3, _V, _h, _mi, sample
 from .queries import (
-    FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, binned, facts, load, query, r6, rounded, wide,
+    FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, _window_rows, binned, facts, load, query, r6, rounded, wide,
 )
 
 _CLICK = (_name(["click"], [1], "view"), ["click"], "view")
@@ -163,6 +163,41 @@ def surrogate_spectrum(spark, sf_dir):
     return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("power", "shared")})
 
 
+# Tests against permutations that SQL draws as well ------------------------------------------------------------------------
+
+_PERMUTED = 40
+_TESTED = [(("click",), (1,), "view"), (("error",), (1,), "signup"), (("click", "view"), (1, 2), "purchase"), (("signup", "error"), (1, 0), "view")]
+
+
+def _replicates_sql(sources, taus, target) -> str:
+    """entity, window_idx, te_bits of each replicate of one entity whose sources are permuted by digests."""
+    n = range(len(sources))
+    rows = _window_rows([(_name(sources, taus, target), list(sources), target)])
+    own = "PARTITION BY entity, window_idx, rep"
+    there = ", ".join(f"""p{i} AS (SELECT entity, window_idx, rep, idx, row_number() OVER ({own} ORDER BY idx) AS place FROM wr WHERE x{i + 1} IS NOT NULL),
+d{i} AS (SELECT entity, window_idx, rep, x{i + 1} AS v{i}, row_number() OVER ({own} ORDER BY md5('0:' || entity || ':' || window_idx || ':' || rep || ':{i}:' || (idx - window_idx))) AS place FROM wr WHERE x{i + 1} IS NOT NULL),
+s{i} AS (SELECT entity, window_idx, rep, idx, v{i} FROM p{i} JOIN d{i} USING (entity, window_idx, rep, place))""" for i in n)
+    fake = f"SELECT entity || '#' || rep AS entity, window_idx, idx, {', '.join(f'v{i} AS x{i + 1}' for i in n)}, y FROM wr {' '.join(f'LEFT JOIN s{i} USING (entity, window_idx, rep, idx)' for i in n)}"
+    te = knn_sql.te_sql("SELECT * FROM fake", taus)
+    return f"SELECT split_part(entity, '#', 1) AS entity, window_idx, round(greatest(te_raw, 0), 6) + 0e0 AS te_bits FROM (WITH {Z6}, wr AS (SELECT *, unnest(range({_PERMUTED})) AS rep FROM ({rows})), {there}, fake AS ({fake}) SELECT * FROM ({te}))"
+
+
+_OBSERVED = " UNION ALL ".join(f"SELECT entity, window_idx, te_bits AS observed FROM ({_te_oracle([(_name(s, t, y), list(s), y)], list(t))})" for s, t, y in _TESTED)
+_FAKED = " UNION ALL ".join(_replicates_sql(s, t, y) for s, t, y in _TESTED)
+
+
+@query(f"""WITH ob AS ({_OBSERVED}), rp AS ({_FAKED})
+SELECT entity, window_idx, observed AS te_bits, count(*) AS n_valid, round(avg(te_bits), 6) + 0e0 AS surr_mean, round(stddev_pop(te_bits), 6) + 0e0 AS surr_std, round(quantile_cont(te_bits, 0.95), 6) + 0e0 AS surr_p95, round(quantile_cont(te_bits, 0.99), 6) + 0e0 AS surr_p99,
+round(quantile_cont(te_bits, 0.025), 6) + 0e0 AS lower_ci, round(quantile_cont(te_bits, 0.975), 6) + 0e0 AS upper_ci, round(avg((te_bits >= observed)::DOUBLE), 6) AS p_value, observed > quantile_cont(te_bits, 0.95) AS sig95, observed > quantile_cont(te_bits, 0.99) AS sig99
+FROM rp JOIN ob USING (entity, window_idx) GROUP BY entity, window_idx, observed""")
+def permutation_significance(spark, sf_dir):
+    """Single and joint sources against permuted ones, window by window: the whole test, from the draws to the flags."""
+    w, e = wide(spark, sf_dir), [catalog.Entity(y, tuple(zip(s, t))) for s, t, y in _TESTED]
+    te, drawn = (d.withColumn("te_bits", F.round("te_bits", 6) + 0.0) for d in (rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, _PERMUTED, "shuffle", digests=True)))
+    s = rolling.significance(te, drawn).withColumn("entity", F.concat_ws(" > ", "entity", "target")).drop("target", "us")
+    return rounded(s, "te_bits", "surr_mean", "surr_std", "surr_p95", "surr_p99", "lower_ci", "upper_ci", "p_value")
+
+
 # Estimators of several variables ------------------------------------------------------------------------------------------
 
 

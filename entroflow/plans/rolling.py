@@ -137,12 +137,15 @@ def synergy_stats(s: DataFrame, keys: Sequence[str] = ("target", "entity")) -> D
     )
 
 
-def surrogate_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def surrogate_te(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None, digests: bool = False) -> DataFrame:
     """Transfer entropy on surrogate sources: target, entity, window_idx, us, replicate, te_bits (0 if negative).
 
     Each source has its own surrogate; a vector source's components share theirs. A replicate's generator is seeded by
-    (seed, entity, window, replicate), so a result doesn't depend on how the work is dealt.
+    (seed, entity, window, replicate), so a result doesn't depend on how the work is dealt. digests: permutations follow digests
+    of "seed:entity > target:window:replicate" (surrogates.DigestOrder), for kinds that only permute.
     """
+    if digests and kind not in surrogates.PERMUTING:
+        raise ValueError(f"digests give permutations, which {kind!r} isn't made by")
     own, columns, names = _setup(entities, vector_bases)
     half = window_points // 2
 
@@ -154,7 +157,7 @@ def surrogate_te(grid: DataFrame, entities: Sequence[Entity], window_points: int
             xs, y, taus = _arrays(g, e, columns)
             mark = zlib.crc32(f"{e.target}<{e.name}".encode())
             for _, us, rows, w in _windows(g, half):
-                rngs = [np.random.default_rng([seed, mark, w, r]) for r in drawn]
+                rngs = [surrogates.DigestOrder(f"{seed}:{e.name} > {e.target}:{w}:{r}") if digests else np.random.default_rng([seed, mark, w, r]) for r in drawn]
                 fake = [surrogates.replicates(x[rows], kind, rngs) for x in xs]
                 te = np.maximum(knn.transfer_entropies(fake, y[rows], taus, e.history, k), 0.0)
                 out.append(pd.DataFrame({"target": e.target, "entity": e.name, "window_idx": w, "us": us, "replicate": np.arange(first, first + len(te), dtype=np.int32), "te_bits": te}))
@@ -200,7 +203,7 @@ def significance(te: DataFrame, replicates: DataFrame, keys: Sequence[str] = ("t
     return s.withColumnRenamed("observed", "te_bits").withColumns({"sig95": F.col("te_bits") > F.col("surr_p95"), "sig99": F.col("te_bits") > F.col("surr_p99")})
 
 
-def stage2(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int = 2000, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def stage2(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int = 2000, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None, digests: bool = False) -> DataFrame:
     """The fixed-entity job: target, entity, window_idx, us, te_bits, error, h_target_bits, pct_h, and the surrogate columns of significance.
 
     A window that can't be estimated has null te_bits and its status as error. Without surrogates their columns are
@@ -214,7 +217,7 @@ def stage2(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_su
     rows = rows.join(h, ["target", "window_idx"], "left").withColumn("pct_h", share("te_bits"))
     if not n_surrogates:
         return rows
-    tested = significance(te.where(ok), surrogate_te(grid, entities, window_points, n_surrogates, kind, k, seed, vector_bases)).drop("us", "te_bits")
+    tested = significance(te.where(ok), surrogate_te(grid, entities, window_points, n_surrogates, kind, k, seed, vector_bases, digests)).drop("us", "te_bits")
     return rows.join(tested, ["target", "entity", "window_idx"], "left").withColumn("surr_p95_pct", share("surr_p95"))
 
 

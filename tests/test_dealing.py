@@ -1,5 +1,7 @@
 """Compute-heavy groups use all cores, and what they give doesn't depend on how they are dealt."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,21 @@ def test_ties(spark):
     assert all(np.isfinite(v) for v in h.values()) and h[1] < -5
     moved = apart.withColumnRenamed("x", "moved").join(df, ["g", "i"]).collect()
     assert all(0 <= r.moved - r.x < 1e-10 for r in moved) and len({r.moved for r in moved if r.g == 0}) == 100
+
+
+def test_permutations_by_digest(spark):
+    order = surrogates.DigestOrder("a:0")
+    first, second = order.permutation(30), order.permutation(np.arange(5, 20))
+    assert sorted(first) == list(range(30)) and sorted(second) == list(range(5, 20))
+    assert list(first) == sorted(range(30), key=lambda p: hashlib.md5(f"a:0:0:{p}".encode()).hexdigest())
+    assert list(second) == sorted(range(5, 20), key=lambda p: hashlib.md5(f"a:0:1:{p}".encode()).hexdigest())
+    x = np.random.default_rng(0).normal(size=(40, 1))
+    x[[3, 17]] = np.nan
+    alone = surrogates.replicates(x, "shuffle", [surrogates.DigestOrder("w:2")])
+    both = surrogates.replicates(x, "shuffle", [surrogates.DigestOrder("w:1"), surrogates.DigestOrder("w:2")])
+    assert np.array_equal(alone[0], both[1], equal_nan=True) and np.isnan(both[:, [3, 17]]).all() and not np.array_equal(both[0], both[1], equal_nan=True)
+    blocks = surrogates.replicates(x, "block", [surrogates.DigestOrder("w:3")])
+    assert np.array_equal(np.sort(blocks[0, :, 0]), np.sort(x[:, 0]), equal_nan=True)
+    grid = spark.createDataFrame([(i, i, float(i % 7), float(i % 5)) for i in range(30)], "idx long, us long, x double, y double")
+    with pytest.raises(ValueError):
+        rolling.surrogate_te(grid, [catalog.Entity("y", (("x", 1),))], 20, 2, "iaaft", digests=True)
