@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from entroflow.llm import language, quality
@@ -129,3 +130,81 @@ def test_weights_rank_pairs():
     y = (x[:, 0] - 2 * x[:, 1] > 0).astype(int)
     r = quality.fit(x, y)
     assert r.weights[0] > 0 > r.weights[1] and ((r.score(x) >= quality.CUT) == y).mean() > 0.97
+
+
+def plain_features(text):
+    """The quality features by loops over characters and words."""
+    text = (text or "").encode()
+    words, word = [], b""
+    for b in text + b" ":
+        if chr(b) in " \t\n\r\x0b\x0c":
+            words, word = words + [word] if word else words, b""
+        else:
+            word += bytes([b])
+    if not words:
+        return [0.0] * 8
+    upper = letters = digits = symbols = seen = 0
+    for b in text:
+        c = chr(b)
+        upper += "A" <= c <= "Z"
+        letters += "A" <= c <= "Z" or "a" <= c <= "z"
+        digits += "0" <= c <= "9"
+        seen += b > 32
+        symbols += 32 < b < 127 and not c.isalnum() and c not in ".,;:'\"-()?"
+    n, lines = len(words), text.split(b"\n")
+    repeats = sum(words[i] == words[i - 1] for i in range(1, n))
+    return [
+        upper / max(letters, 1), (symbols / seen) ** 0.5, (digits / seen) ** 0.5, (repeats / n) ** 0.5, np.log(1 + len(set(words))) / np.log(1 + n),
+        min(seen / n / 10, 2.0), 1 - len(set(lines)) / len(lines), np.log(1 + n) / 10,
+    ]
+
+
+def plain_ranking(x, y, steps=4000, ridge=1e-3):
+    """Weights and threshold by accelerated gradient descent over every pair, the threshold by trying every middle between two worths."""
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    top = np.linalg.eigvalsh(d.T @ d / len(d))[-1] / 4 + ridge
+    slow = (np.sqrt(top / ridge) - 1) / (np.sqrt(top / ridge) + 1)
+    w = ahead = np.zeros(x.shape[1])
+    for _ in range(steps):
+        new = ahead + (d.T @ (1 / (1 + np.exp(d @ ahead))) / len(d) - ridge * ahead) / top
+        w, ahead = new, new + slow * (new - w)
+    worth = z @ w
+    s = np.unique(worth)
+    wrong = lambda t: (worth[y == 1] < t).mean() + (worth[y == 0] >= t).mean()
+    return z, w, min(wrong(t) for t in (s[1:] + s[:-1]) / 2), wrong
+
+
+def test_ranking_is_that_of_all_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, len(quality.FEATURES)))
+    y = (x[:, 0] - 2 * x[:, 1] + 0.5 * x[:, 4] + rng.normal(size=160) > 0.3).astype(int)
+    z, w, least, wrong = plain_ranking(x, y)
+    r = quality.fit(x, y, pairs=400_000)
+    assert np.abs(r.weights - w).max() < 0.03 * np.abs(w).max()
+    assert np.corrcoef(z @ r.weights, z @ w)[0, 1] > 0.9999
+    # The threshold is as good as the best there is, on worths of its own.
+    worth = z @ r.weights
+    own = lambda t: (worth[y == 1] < t).mean() + (worth[y == 0] >= t).mean()
+    s = np.unique(worth)
+    assert own(r.threshold) <= min(own(t) for t in (s[1:] + s[:-1]) / 2) + 0.02 and least == pytest.approx(own(r.threshold), abs=0.05)
+
+
+def test_quality_query_against_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    label = {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        if r.doc_id is not None and r.quality in (0, 1) and crc(r.doc_id) % 4 != 2:
+            label[r.doc_id] = min(r.quality, label.get(r.doc_id, 1))
+    own = {(i, t): plain_features(t) for i, t in docs}
+    for (i, t), f in own.items():
+        assert quality.features(t) == pytest.approx(f, abs=1e-12)
+    train = [(own[i, t], label[i]) for i, t in docs if i in label]
+    x, y = np.array([f for f, _ in train]), np.array([q for _, q in train])
+    _, w, _, _ = plain_ranking(x, y)
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    worth = {k: (np.array(f) - x.mean(axis=0)) / scale @ w for k, f in own.items()}
+    got = {r.doc_id: r.score for r in quality.op10_quality(spark, sf_dir).collect()}
+    assert len(got) == len({i for i, _ in docs})
+    a, b = np.array([worth[k] for k in own]), np.array([np.log(got[i] / (1 - got[i])) for i, _ in own])
+    assert np.corrcoef(a, b)[0, 1] > 0.99
