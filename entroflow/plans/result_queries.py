@@ -198,6 +198,30 @@ def permutation_significance(spark, sf_dir):
     return rounded(s, "te_bits", "surr_mean", "surr_std", "surr_p95", "surr_p99", "lower_ci", "upper_ci", "p_value")
 
 
+_ALL_DIGITS = [f.replace("round(greatest(te_raw, 0), 6) + 0e0 AS te_bits", "greatest(te_raw, 0e0) AS te_bits") for f in (_OBSERVED.replace("te_bits AS observed", "te_bits"), _FAKED)]
+
+
+@query(f"""WITH ob AS ({_ALL_DIGITS[0]}), rp AS ({_ALL_DIGITS[1]}), h AS (SELECT entity AS target, window_idx, greatest(h_raw, 0) AS h FROM ({_over_z6(knn_sql.entropy_sql(_entropy_rows()))})),
+s AS (SELECT entity, window_idx, count(*) AS n_valid, avg(te_bits) AS mean, quantile_cont(te_bits, 0.95) AS p95 FROM rp GROUP BY ALL)
+SELECT target, split_part(entity, ' > ', 1) AS entity, window_idx, round(te_bits, 6) + 0e0 AS te_bits, round(h, 6) + 0e0 AS h_target_bits, round(CASE WHEN h > 0 THEN te_bits / h * 100 END, 4) + 0e0 AS pct_h, n_valid, round(mean, 6) + 0e0 AS surr_mean, round(p95, 6) + 0e0 AS surr_p95, round(CASE WHEN h > 0 THEN p95 / h * 100 END, 4) + 0e0 AS surr_p95_pct
+FROM ob JOIN s USING (entity, window_idx) JOIN h ON target = split_part(entity, ' > ', 2) AND h.window_idx = ob.window_idx""")
+def stage2_permuted(spark, sf_dir):
+    """The fixed-entity job with its surrogates, single and joint sources."""
+    e = [catalog.Entity(y, tuple(zip(s, t))) for s, t, y in _TESTED]
+    s = rounded(rolling.stage2(wide(spark, sf_dir), e, 2 * HALF, _PERMUTED, "shuffle", digests=True), "te_bits", "h_target_bits", "surr_mean", "surr_p95")
+    four = [(F.round(c, 4) + 0.0).alias(c) for c in ("pct_h", "surr_p95_pct")]
+    return s.select("target", "entity", "window_idx", "te_bits", "h_target_bits", four[0], "n_valid", "surr_mean", "surr_p95", four[1])
+
+
+@query(f"""WITH rp AS ({_FAKED}), s AS (SELECT split_part(entity, ' > ', 2) AS target, entity, window_idx, quantile_cont(te_bits, 0.95) AS p95 FROM rp GROUP BY ALL)
+SELECT target, window_idx, round(max(p95), 6) + 0e0 AS level FROM s WHERE target IN (SELECT target FROM s GROUP BY target HAVING count(DISTINCT entity) >= 2) GROUP BY ALL""")
+def permuted_family_level(spark, sf_dir):
+    """The level that a target's entities share, withheld where fewer than two were tested."""
+    w, e = wide(spark, sf_dir), [catalog.Entity(y, tuple(zip(s, t))) for s, t, y in _TESTED]
+    te, drawn = (d.withColumn("te_bits", F.round("te_bits", 6) + 0.0) for d in (rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, _PERMUTED, "shuffle", digests=True)))
+    return rounded(rolling.family_level(rolling.significance(te, drawn), 2).select("target", "window_idx", "level"), "level")
+
+
 # Estimators of several variables ------------------------------------------------------------------------------------------
 
 
