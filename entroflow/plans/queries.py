@@ -41,6 +41,16 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
 
 
+def rounded_as_sql(df: DataFrame, *columns: str) -> DataFrame:
+    """Six places as SQL rounds doubles: by the millions, where `rounded` goes by a double's shortest digits; ties can differ."""
+    up = lambda c: F.floor(F.abs(c) * 1e6) + F.when(F.abs(c) * 1e6 - F.floor(F.abs(c) * 1e6) >= 0.5, 1.0).otherwise(0.0)
+    return df.withColumns({c: F.signum(c) * up(F.col(c)) / 1e6 + F.lit(0.0) for c in columns})
+
+
+#: Means of rounded values often end in a 5 behind the last place kept; sums of decimals tell such ties in any order of rows.
+EXACT = "decimal(28,14)"
+
+
 def r6(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) + 0e0 AS {c.split('.')[-1]}" for c in columns)
 

@@ -11,7 +11,7 @@ from ..sources import scratch
 from . import attribution, catalog, estimates, knn_sql, rolling, store
 from .more_queries import _ROWS1, _ROWS3, _V, _h, _mi, sample
 from .queries import (
-    FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, _window_rows, binned, facts, load, query, r6, rounded, wide,
+    EXACT, FACTS, HALF, JOINT, LAYERS, REPLICATES, S6, STEP1, Z6, _by_idx, _entropy_rows, _layers, _name, _over_z6, _periods, _te_oracle, _window_rows, binned, facts, load, query, r6, rounded, rounded_as_sql, wide,
 )
 
 _CLICK = (_name(["click"], [1], "view"), ["click"], "view")
@@ -193,9 +193,9 @@ FROM rp JOIN ob USING (entity, window_idx) GROUP BY entity, window_idx, observed
 def permutation_significance(spark, sf_dir):
     """Single and joint sources against permuted ones, window by window: the whole test, from the draws to the flags."""
     w, e = wide(spark, sf_dir), [catalog.Entity(y, tuple(zip(s, t))) for s, t, y in _TESTED]
-    te, drawn = (d.withColumn("te_bits", F.round("te_bits", 6) + 0.0) for d in (rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, _PERMUTED, "shuffle", digests=True)))
+    te, drawn = (d.withColumn("te_bits", F.round("te_bits", 6).cast(EXACT)) for d in (rolling.rolling_te(w, e, 2 * HALF), rolling.surrogate_te(w, e, 2 * HALF, _PERMUTED, "shuffle", digests=True)))
     s = rolling.significance(te, drawn).withColumn("entity", F.concat_ws(" > ", "entity", "target")).drop("target", "us")
-    return rounded(s, "te_bits", "surr_mean", "surr_std", "surr_p95", "surr_p99", "lower_ci", "upper_ci", "p_value")
+    return rounded(rounded_as_sql(s, "surr_p95", "surr_p99", "lower_ci", "upper_ci"), "te_bits", "surr_mean", "surr_std", "p_value")
 
 
 _ALL_DIGITS = [f.replace("round(greatest(te_raw, 0), 6) + 0e0 AS te_bits", "greatest(te_raw, 0e0) AS te_bits") for f in (_OBSERVED.replace("te_bits AS observed", "te_bits"), _FAKED)]

@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import knn, surrogates
@@ -192,15 +192,25 @@ def surrogate_series(grid: DataFrame, bases: Sequence[str], window_points: int,
 
 
 def significance(te: DataFrame, replicates: DataFrame, keys: Sequence[str] = ("target", "entity", "window_idx")) -> DataFrame:
-    """te with the distribution of its replicates: mean, std (population), thresholds, p value and flags."""
-    q = lambda p: F.percentile("te_bits", F.lit(p))
+    """te with the distribution of its replicates: mean, std (population), thresholds, p value and flags.
+
+    Quantiles lie between sorted values as low + (high - low) x part, as SQL has them to the last digit. The mean of decimal te_bits is exact.
+    """
     observed = te.select(*keys, "us", F.col("te_bits").alias("observed"))
     joined = replicates.select(*keys, "te_bits").join(observed, list(keys))
     s = joined.groupBy(*keys, "us", "observed").agg(
-        F.count("te_bits").alias("n_valid"), F.avg("te_bits").alias("surr_mean"), F.stddev_pop("te_bits").alias("surr_std"), q(0.95).alias("surr_p95"), q(0.99).alias("surr_p99"),
-        q(0.025).alias("lower_ci"), q(0.975).alias("upper_ci"), F.avg((F.col("te_bits") >= F.col("observed")).cast("double")).alias("p_value"),
+        F.count("te_bits").alias("n_valid"), F.avg("te_bits").alias("surr_mean"), F.stddev_pop("te_bits").alias("surr_std"),
+        F.avg((F.col("te_bits") >= F.col("observed")).cast("double")).alias("p_value"), F.array_sort(F.collect_list(F.col("te_bits").cast("double"))).alias("_v"),
     )
-    return s.withColumnRenamed("observed", "te_bits").withColumns({"sig95": F.col("te_bits") > F.col("surr_p95"), "sig99": F.col("te_bits") > F.col("surr_p99")})
+
+    def q(p: float) -> Column:
+        place = (F.size("_v") - 1) * F.lit(p)
+        low, high = (F.get("_v", f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    s = s.withColumns({"surr_p95": q(0.95), "surr_p99": q(0.99), "lower_ci": q(0.025), "upper_ci": q(0.975)})
+    s = s.select(*keys, "us", F.col("observed").alias("te_bits"), "n_valid", "surr_mean", "surr_std", "surr_p95", "surr_p99", "lower_ci", "upper_ci", "p_value")
+    return s.withColumns({"sig95": F.col("te_bits") > F.col("surr_p95"), "sig99": F.col("te_bits") > F.col("surr_p99")})
 
 
 def stage2(grid: DataFrame, entities: Sequence[Entity], window_points: int, n_surrogates: int = 2000, kind: str = "iaaft", k: int = 3, seed: int = 0, vector_bases: Mapping[str, Sequence[str]] | None = None, digests: bool = False) -> DataFrame:
