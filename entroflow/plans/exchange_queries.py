@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import packed, rolling, tables
 from . import result_queries  # noqa: F401  joint_synergy
-from .queries import HALF, JOINT, ORACLES, QUERIES, S6, STEP6, binned, query, rounded, wide
+from .queries import EXACT, HALF, JOINT, ORACLES, QUERIES, S6, STEP6, binned, query, rounded, wide
 
 _VALUES = ("jte_bits", "sum_te", "synergy")
 _TIMES = f"(SELECT epoch_us(min(ts)) - epoch_us(min(ts)) % {STEP6} FROM events) + (window_idx + {HALF}) * {STEP6}"
@@ -18,7 +18,7 @@ def _packed(spark, sf_dir):
     centres = wide(spark, sf_dir).select((F.col("idx") - HALF).alias("window_idx"), "us")
     joint = QUERIES["joint_synergy"](spark, sf_dir).join(centres, "window_idx")
     names = spark.createDataFrame([(t, list(s), {"tau": [1, 2]}, 1) for s, t in JOINT], "target string, input_vars array<string>, lags map<string, array<int>>, history_length int")
-    stats = rolling.synergy_stats(joint, ["target"]).select("target", F.struct("mean_jte", "mean_synergy").alias("synergy_stats"))
+    stats = rolling.synergy_stats(joint.withColumns({c: F.col(c).cast(EXACT) for c in _VALUES}), ["target"]).select("target", F.struct("mean_jte", "mean_synergy").alias("synergy_stats"))
     about = names.join(stats, "target").withColumn("window_hours", F.lit(2 * HALF * 6))
     return packed.pack(joint, ["target"], _VALUES, about, part=32).withColumn("packed", F.to_json("packed"))
 

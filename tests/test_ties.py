@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from entroflow.plans import queries, rolling
+from entroflow.plans import exchange_queries, queries, rolling
 
 
 def _tested(spark, values):
@@ -23,3 +23,14 @@ def test_quantiles_as_sql_has_them(spark):
     """DuckDB's round(quantile_cont(v, 0.975), 6) of these 40 values is 0.081793."""
     s = _tested(spark, [0.089847] + [0.081587] * 39)
     assert queries.rounded_as_sql(s, "upper_ci").first().upper_ci == 0.081793
+
+
+def test_packed_means_are_exact(spark, sf_dir, monkeypatch):
+    """80 values of four places whose mean ends in 5 behind the sixth: in doubles it came out lower in any order."""
+    values = [0.7365] * 78 + [0.7738] * 2
+    rows = [("view", i, v, v, v) for i, v in enumerate(values)]
+    joint = spark.createDataFrame(rows, "target string, window_idx long, jte_bits double, sum_te double, synergy double")
+    monkeypatch.setitem(queries.QUERIES, "joint_synergy", lambda spark, sf_dir: joint)
+    monkeypatch.setattr(exchange_queries, "wide", lambda spark, sf_dir: spark.range(200).select(F.col("id").alias("idx"), F.lit(0).cast("long").alias("us")))
+    got = exchange_queries.packed_results(spark, sf_dir).select("mean_jte", "mean_synergy").distinct().collect()
+    assert [tuple(r) for r in got] == [(0.737433, 0.737433)]
