@@ -40,17 +40,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+def scratch_table(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read back, and its path."""
     path = scratch_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    return scratch_table(df, label, **options)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch tables that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
-    """Meanwhile Arrow batches hold at most so many rows (and bytes), which bounds what the JVM and a worker hold of whole texts."""
-    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(size)} if size else {})
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Meanwhile the session has these settings."""
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -61,6 +72,18 @@ def arrow_rows(spark: SparkSession, rows: int, size: int | None = None) -> Itera
             spark.conf.set(k, v)
 
 
+#: A job's shuffle files go when it ends, and don't add up over the jobs of an operator.
+NO_OLD_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Meanwhile Arrow batches hold at most so many rows (and bytes), which bounds what the JVM and a worker hold of whole texts."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(size)} if size else {})
+    with configured(spark, settings):
+        yield
+
+
 _CACHE: dict = {}
 
 

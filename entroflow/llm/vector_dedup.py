@@ -19,6 +19,9 @@ each vector that asked, and a spanning forest of the links it found: fewer rows
 and the same components as all the links have.
 
 Audit: a bounded set of vectors (AUDIT of them, by hash) is compared with all rows by brute force.
+
+Disk: vectors keep the type that the table has (floats stay floats, arithmetic is double); beside the shards that they belong
+to no table holds them, links travel apart from them, and tables and shuffles that nothing reads any more are removed.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import NO_OLD_SHUFFLES, configured, discard, materialize, scratch_table, table
 from .graph import components
 
 COSINE = 0.98
@@ -155,7 +158,7 @@ class FlatGraph:
         return pool[score >= cosine]
 
 
-PLACED = "node long, label long, embedding array<double>, copies long, shard string, home boolean"
+PLACED = ["node", "label", "embedding", "copies", "shard", "home"]
 
 
 def divided(placed: DataFrame, sizes: DataFrame, sample: int, shard: int) -> DataFrame:
@@ -177,23 +180,26 @@ def divided(placed: DataFrame, sizes: DataFrame, sample: int, shard: int) -> Dat
     def deal(rows: pa.Table, found: pa.Table) -> pa.Table:
         # A shard whose sample is empty stays whole.
         if not rows.num_rows or not found.num_rows:
-            return rows.select([c.split()[0] for c in PLACED.split(", ")])
+            return rows.select(PLACED)
         c = np.array(found["centres"][0].as_py(), float)
         chord = np.sqrt(np.maximum(2 - 2 * unit_rows(rows["embedding"].combine_chunks()) @ c.T, 0))
         row, at = np.nonzero(chord <= chord.min(axis=1, keepdims=True) + OVERLAP)
         name = rows["shard"][0].as_py()
-        out = rows.take(pa.array(row)).select([c.split()[0] for c in PLACED.split(", ")])
+        out = rows.take(pa.array(row)).select(PLACED)
         home = out["home"].to_numpy() & (at == chord.argmin(axis=1)[row])
         return out.set_column(4, "shard", pa.array([f"{name}.{i}" for i in at], pa.string())).set_column(5, "home", pa.array(home))
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("n")
-    return dealt.groupBy(*key, "part").cogroup(spread.groupBy(*key, "part")).applyInArrow(deal, PLACED)
+    return dealt.groupBy(*key, "part").cogroup(spread.groupBy(*key, "part")).applyInArrow(deal, ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in PLACED))
+
 
+def members(classes: DataFrame, shard: int | None = None, sample: int = SAMPLE, path: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """Classes (node, label, embedding, copies) with their shard and whether it is their home, a row for each shard they belong to.
 
-def members(classes: DataFrame, shard: int | None = None, sample: int = SAMPLE) -> DataFrame:
-    """Classes (node, label, embedding, copies) with their shard and whether it is their home, a row for each shard they belong to."""
-    shard = shard or SHARD
-    placed = materialize(classes.withColumns({"shard": F.size("embedding").cast("string"), "home": F.lit(True)}), "vectors-members")
+    path: that of classes, if they are a table that may go; paths: takes the paths of the tables that the result reads.
+    """
+    shard, spark, kept = shard or SHARD, classes.sparkSession, [] if paths is None else paths
+    placed = classes.withColumns({"shard": F.size("embedding").cast("string"), "home": F.lit(True)}).select(PLACED)
     done, before = None, None
     while True:
         sizes = placed.groupBy("label", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -207,19 +213,27 @@ def members(classes: DataFrame, shard: int | None = None, sample: int = SAMPLE)
         sizes = materialize(sizes.select("label", "shard", "n", divisible.alias("divide")), "vectors-sizes")
         large = sizes.where("divide").select("label", "shard", "n")
         if large.isEmpty():
+            kept += [path] if path else []
             return placed if done is None else done.unionByName(placed)
-        rest = placed.join(sizes.where("NOT divide").select("label", "shard"), ["label", "shard"]).select(placed.columns)
+        rest, at = scratch_table(placed.join(sizes.where("NOT divide").select("label", "shard"), ["label", "shard"]).select(PLACED), "vectors-members")
+        kept.append(at)
         done = rest if done is None else done.unionByName(rest)
-        placed, before = materialize(divided(placed, large, sample, shard), "vectors-members"), large
+        dealt, at = scratch_table(divided(placed, large, sample, shard), "vectors-members")
+        discard(spark, *([path] if path else []))
+        placed, path, before = dealt, at, large
+
+
+def blocked(placed: DataFrame) -> DataFrame:
+    """placed with the number of blocks of its shard and its own."""
+    sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
 
 
-BUILT = "node long, label long, embedding array<double>, copies long, shard string, home boolean, block int, medoid boolean, links array<long>"
+BUILT = "node long, label long, shard string, blocks int, block int, medoid boolean, links array<long>"
 
 
 def built(placed: DataFrame) -> DataFrame:
-    """placed with each vector's block, whether it is a medoid, and its neighbours (nodes) within the block."""
-    sizes = placed.groupBy("label", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, ["label", "shard"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")).drop("blocks")
+    """Each vector's block in each of its shards, whether it is a medoid there, and its neighbours (nodes) within the block."""
 
     def run(group: pa.Table) -> pa.Table:
         g = group.sort_by("node")
@@ -228,9 +242,9 @@ def built(placed: DataFrame) -> DataFrame:
         medoid = np.zeros(len(nodes), bool)
         medoid[medoids] = True
         named = pa.array([nodes[sorted(s)] for s in links], pa.list_(pa.int64()))
-        return g.select([c.split()[0] for c in BUILT.split(", ")[:7]]).append_column("medoid", pa.array(medoid)).append_column("links", named)
+        return g.select([c.split()[0] for c in BUILT.split(", ")[:5]]).append_column("medoid", pa.array(medoid)).append_column("links", named)
 
-    return materialize(dealt.groupBy("label", "shard", "block").applyInArrow(run, BUILT), "vectors-graph")
+    return blocked(placed).groupBy("label", "shard", "block").applyInArrow(run, BUILT)
 
 
 def united(graph: DataFrame) -> DataFrame:
@@ -266,34 +280,41 @@ def unit_links(nodes: np.ndarray, x: np.ndarray, copies: np.ndarray, links: list
     return asking, n, np.array(forest, np.int64).reshape(-1, 2)
 
 
-def searched(graph: DataFrame, cosine: float) -> DataFrame:
+def searched(placed: DataFrame, graph: DataFrame, cosine: float) -> DataFrame:
     """Rows (node, n) for each search of a vector in a block, and rows (a, b) of the links' forests."""
-    blocks = graph.groupBy("label", "shard").agg((F.max("block") + 1).alias("blocks"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    unit = ["label", "shard", "i", "j"]
     # A block's vectors ask in every block of their home shard, their own among them; a block is held for the askers of every block.
     asks = F.transform(every, lambda o: F.struct(F.col("block").alias("i"), o.alias("j"), F.col("home").alias("asks"), (o == F.col("block")).alias("holds")))
     holds = F.transform(F.filter(every, lambda o: o != F.col("block")), lambda o: F.struct(o.alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("holds")))
-    roles = graph.join(blocks, ["label", "shard"]).withColumn("u", F.explode(F.concat(asks, holds))).where("u.asks OR u.holds")
-    roles = roles.select("label", "shard", "u.i", "u.j", "node", "embedding", "copies", "u.asks", "u.holds", "medoid", F.when(F.col("u.holds"), F.col("links")).otherwise(F.array().cast("array<bigint>")).alias("links"))
+    roles = blocked(placed).withColumn("u", F.explode(F.concat(asks, holds))).where("u.asks OR u.holds")
+    roles = roles.select("label", "shard", "u.i", "u.j", "node", "embedding", "copies", "u.asks", "u.holds")
+    # The links of a block's vectors go to each unit that holds it.
+    held = graph.withColumn("i", F.explode(every)).select("label", "shard", "i", F.col("block").alias("j"), "node", "medoid", "links")
 
-    def run(group: pa.Table) -> pa.Table:
-        g = group.sort_by("node")
+    def run(group: pa.Table, known: pa.Table) -> pa.Table:
+        g, known = group.sort_by("node"), known.sort_by("node")
         nodes, asks, holds = (g[c].to_numpy() for c in ("node", "asks", "holds"))
         node = n = np.zeros(0, np.int64)
         forest = np.zeros((0, 2), np.int64)
         if asks.any() and holds.any():
-            at, n, forest = unit_links(nodes, unit_rows(g["embedding"].combine_chunks()), g["copies"].to_numpy(), g["links"].to_pylist(), g["medoid"].to_numpy(), asks, holds, cosine)
-            node = nodes[at]
+            at = np.searchsorted(nodes, known["node"].to_numpy())
+            medoid, links = np.zeros(len(nodes), bool), [[]] * len(nodes)
+            medoid[at] = known["medoid"].to_numpy()
+            for i, own in zip(at.tolist(), known["links"].to_pylist()):
+                links[i] = own
+            rows, n, forest = unit_links(nodes, unit_rows(g["embedding"].combine_chunks()), g["copies"].to_numpy(), links, medoid, asks, holds, cosine)
+            node = nodes[rows]
         empty, blank = pa.nulls(len(forest), pa.int64()), pa.nulls(len(node), pa.int64())
         return pa.table({"node": pa.concat_arrays([pa.array(node), empty]), "n": pa.concat_arrays([pa.array(n), empty]), "a": pa.concat_arrays([blank, pa.array(forest[:, 0])]), "b": pa.concat_arrays([blank, pa.array(forest[:, 1])])})
 
-    return roles.groupBy("label", "shard", "i", "j").applyInArrow(run, "node long, n long, a long, b long")
+    return roles.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(run, "node long, n long, a long, b long")
 
 
 def audit(classes: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> tuple[int, int, int]:
     """Brute force on a bounded set of queries: links that classes count, links that there are, and links that join two components.
 
-    classes: vec_id, label, embedding, copies, n, component. The queries are the `queries` classes of smallest hash, in a
+    classes: node, label, embedding, copies, n, component. The queries are the `queries` classes of smallest hash, in a
     closure; every class is compared with them once.
     """
     asked = classes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "label", "embedding", "component", "copies", "n").collect()
@@ -330,22 +351,40 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, queries: int = AUDI
     columns are ignored; an empty table gives an empty result. A recall under LEAST_RECALL in the audit, of `queries`
     vectors, is an error.
     """
+    with configured(vectors.sparkSession, NO_OLD_SHUFFLES):
+        return _near(vectors, cosine, queries)
+
+
+def _near(vectors: DataFrame, cosine: float, queries: int) -> DataFrame:
+    spark = vectors.sparkSession
     keyed = vectors.select("vec_id", "label", "embedding")
-    rows = keyed.where(usable()).select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = keyed.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = keyed.where(usable()).select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
+    # Classes are told apart by their vectors; rows find theirs by a digest of it (0 and -0 are equal), which is short.
+    digest = F.unhex(F.md5(F.concat_ws(",", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1])).cast("array<string>")))).alias("digest")
     classes = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "vec_id", "label", "embedding", "copies"), "vectors-classes")
-    graph = built(members(classes.drop("vec_id")))
-    found = materialize(searched(united(graph), cosine), "vectors-links")
+    classes, path = scratch_table(classes.select(F.monotonically_increasing_id().alias("node"), "vec_id", "label", "embedding", "copies"), "vectors-classes")
+    names = materialize(classes.select("node", "vec_id", "label", "copies", digest), "vectors-names")
+    paths: list[str] = []
+    placed = members(classes.drop("vec_id"), path=path, paths=paths)
+    graph, built_path = scratch_table(built(placed), "vectors-graph", compression="zstd")
+    graph, path = scratch_table(united(graph), "vectors-graph", compression="zstd")
+    discard(spark, built_path)
+    found = materialize(searched(placed, graph, cosine), "vectors-links")
+    discard(spark, path)
     degree = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
-    named = classes.select("node", "vec_id").join(components(found.where("a IS NOT NULL").select("a", "b")).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = names.select("node", "vec_id").join(components(found.where("a IS NOT NULL").select("a", "b")).toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("vec_id").alias("component"))
     labels = named.join(lowest, "root").select("node", "component")
-    by_class = classes.join(degree, "node", "left").join(labels, "node").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+    by_class = names.join(degree, "node", "left").join(labels, "node").withColumn("n", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     by_class = materialize(by_class, "vectors-by-class")
-    counted, there, torn = audit(by_class, cosine, queries) if queries else (0, 0, 0)
+    vectors_of = placed.where("home").select("node", "label", "embedding", "copies").join(by_class.select("node", "n", "component"), "node")
+    counted, there, torn = audit(vectors_of, cosine, queries) if queries else (0, 0, 0)
+    discard(spark, *paths)
     if counted < LEAST_RECALL * there:
         raise RuntimeError(f"the audit found {counted} of {there} links; {torn} links join two components")
-    linked = rows.join(by_class.select("label", "embedding", "n", "component"), ["label", "embedding"]).select("vec_id", "n", "component")
+    linked = rows.select("vec_id", "label", digest).join(by_class.select("label", "digest", "n", "component"), ["label", "digest"]).select("vec_id", "n", "component")
     alone = keyed.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     out = linked.unionByName(alone).select("vec_id", F.col("n").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -116,3 +118,13 @@ def test_pruning_keeps_the_nearest(degree):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     kept = v.robust_prune(x, 0, np.arange(1, 80), degree)
     assert kept[0] == 1 + int(np.argmax(x[1:] @ x[0])) and len(kept) <= degree
+
+
+def test_no_copies_of_vectors_stay(spark, monkeypatch):
+    """Tables that hold vectors or links are removed once nothing reads them; they took several times the input."""
+    monkeypatch.setattr(v, "SHARD", 100)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    out = v.near_vectors(spark.createDataFrame(cloud(900, dims=64), "vec_id long, embedding array<float>, label int"))
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before if p.is_file()) < 900 * 64 * 4 / 2
+    assert out.count() == 900 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
