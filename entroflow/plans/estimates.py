@@ -1,7 +1,7 @@
 """Nearest-neighbour estimators by key, for keys of any size, and the estimators as column functions.
 
 The rows of a key are cut into blocks of about ROWS by a k-d tree that is built on a sample of them and only decides how
-much work there is. A block's rows are compared with each other first; then a row asks those blocks whose box comes
+much work there is. A block's rows search each other first (functions.near: small leaves, not all pairs); then a row asks those blocks whose box comes
 closer than what it has found, or than the distance that it counts within. A box that lies within that distance as
 a whole is counted without a comparison. What rows find is merged by row, so results don't depend on the tree.
 
@@ -11,21 +11,23 @@ that of any value that holds a share of the rows. jittered() tells equal values
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions import discrete, knn
+from ..functions import discrete, knn, near
 from ..operators import normalize, ranks
 from ..sources.scratch import materialize
 
-ROWS = 2000
+ROWS = 50_000
 LN2 = float(np.log(2))
 Spaces = Mapping[str, Sequence[str]]
 
@@ -151,12 +153,8 @@ def _units(asking: DataFrame, cut: DataFrame, keys: Sequence[str], row: str, car
     return both.repartition(parts, *keys, "block", "other").groupBy(*keys, "block", "other").applyInPandas(unit, kinds + found)
 
 
-def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    p, q = (np.array(f["x"].tolist(), float).reshape(len(f), -1) for f in (a, b))
-    out = np.abs(p[:, None, 0] - q[None, :, 0])
-    for c in range(1, p.shape[1]):
-        np.maximum(out, np.abs(p[:, None, c] - q[None, :, c]), out=out)
-    return out
+def _points(f: pd.DataFrame) -> np.ndarray:
+    return np.array(f["x"].tolist(), float).reshape(len(f), -1)
 
 
 def _nearest(cut: DataFrame, keys: Sequence[str], row: str, dims: int, k: int, take: Callable[[pd.DataFrame, pd.DataFrame], list], kind: str) -> DataFrame:
@@ -176,11 +174,11 @@ def _nearest(cut: DataFrame, keys: Sequence[str], row: str, dims: int, k: int, t
 
 def kth_distances(df: DataFrame, keys: Sequence[str], row: str, spaces: Spaces, k: int = 3) -> DataFrame:
     """keys, row and for each space the Chebyshev distance to the k-th nearest other row of the key; null in a key of at most k rows."""
-    take = lambda a, b: np.sort(np.partition(d := _distances(a, b), min(k, len(b) - 1), axis=1)[:, : k + 1], axis=1).tolist()
+    take = lambda a, b: near.nearest(_points(a), _points(b), k + 1)[0].tolist()
     out = None
     for s, names in spaces.items():
-        near = _nearest(blocks(df, keys, row, names), keys, row, len(names), k, take, "double").select(*keys, row, F.get("near", F.lit(k)).alias(s))
-        out = near if out is None else _joined(out, near, [*keys, row])
+        kth = _nearest(blocks(df, keys, row, names), keys, row, len(names), k, take, "double").select(*keys, row, F.get("near", F.lit(k)).alias(s))
+        out = kth if out is None else _joined(out, kth, [*keys, row])
     return out
 
 
@@ -192,7 +190,7 @@ def _joined(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def counts_within(df: DataFrame, keys: Sequence[str], row: str, eps: str, spaces: Spaces) -> DataFrame:
     """keys, row and for each space the number of rows of the key, itself included, closer than the row's eps."""
-    run = lambda a, b: {"count": (_distances(a, b) <= a["reach"].to_numpy(float)[:, None]).sum(axis=1)}
+    run = lambda a, b: {"count": near.within(_points(a), _points(b), a["reach"].to_numpy(float))}
     reach = df.select(*keys, row, (F.col(eps) - F.lit(knn.ROUNDING)).alias("reach"))
     out = None
     for s, names in spaces.items():
@@ -269,10 +267,16 @@ def corrections(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[st
     """keys and lnc: the mean correction, in bits, for local non-uniformity of the joint space `names`."""
 
     def take(a: pd.DataFrame, b: pd.DataFrame) -> list:
-        d, own = _distances(a, b), b["x"].tolist()
-        d[a[row].to_numpy()[:, None] == b[row].to_numpy()[None, :]] = -1.0
-        near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-        return [[(float(d[i, j]), list(own[j])) for j in js] for i, js in enumerate(near)]
+        p, q, own = _points(a), _points(b), a[row].to_numpy()
+        # A few more than are kept, so that of equally distant ones the same come first wherever they lie.
+        d, at = near.nearest(p, q, k + 5)
+        itself = b[row].to_numpy()[at] == own[:, None]
+        d[itself] = np.inf
+        order = np.lexsort((*[q[at, c] for c in range(q.shape[1] - 1, -1, -1)], d), axis=1)[:, : k + 1]
+        d, at = np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+        mine = np.isin(own, b[row].to_numpy())
+        others = [[(v, w) for v, w in zip(*r) if v < np.inf] for r in zip(d.tolist(), q[at].tolist())]
+        return [([(-1.0, s)] if m else []) + o[: k + 1 - m] for m, s, o in zip(mine.tolist(), p.tolist(), others)]
 
     cut = blocks(df.dropna(subset=list(names)), keys, row, names)
     nearest = _nearest(cut, keys, row, len(names), k, take, "struct<d: double, x: array<double>>").withColumn("near", F.transform("near", lambda p: p["x"]))
@@ -295,7 +299,7 @@ def divergence(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str
 
     def to(held: DataFrame, least: int) -> DataFrame:
         """keys, row and reach of rows of side 0: the distance to the (least + 1)-th of held."""
-        take = lambda a, b: {"near": np.sort(_distances(a, b), axis=1)[:, : least + 1].tolist()}
+        take = lambda a, b: {"near": near.nearest(_points(a), _points(b), least + 1)[0].tolist()}
         # Rows ask their own block's box first; if it holds too few of the other side, all of them.
         own = _units(_present(zero.withColumn("other", F.col("block")), held, keys), held, keys, row, [], take, "near array<double>")
         if one_block(cut):
@@ -307,9 +311,9 @@ def divergence(df: DataFrame, keys: Sequence[str], row: str, names: Sequence[str
         all_ = own.unionByName(_units(far, held, keys, row, [], take, "near array<double>"))
         return all_.groupBy(*keys, row).agg(F.get(F.array_sort(F.flatten(F.collect_list("near"))), F.lit(least)).alias("d"))
 
-    near = to(zero, k).withColumnRenamed("d", "own").join(to(one, k - 1).withColumnRenamed("d", "cross"), [*keys, row])
+    both = to(zero, k).withColumnRenamed("d", "own").join(to(one, k - 1).withColumnRenamed("d", "cross"), [*keys, row])
     n = rows.groupBy(*keys).agg(F.count_if(F.col(side) == 0).alias("n"), F.count_if(F.col(side) == 1).alias("m"))
-    mean = near.groupBy(*keys).agg((F.avg(_log("cross")) - F.avg(_log("own"))).alias("gap"))
+    mean = both.groupBy(*keys).agg((F.avg(_log("cross")) - F.avg(_log("own"))).alias("gap"))
     return mean.join(n, list(keys)).select(*keys, ((F.log("m") - F.log(F.col("n") - 1) + len(names) * F.col("gap")) / LN2).alias("kl"))
 
 
@@ -368,23 +372,71 @@ Measure = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def shuffle_test(
-    df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, k: int = 3, measure: Measure | None = None
+    df: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str] = (), ns: int = 200, ci: float = 0.95, k: int = 3, measure: Measure | None = None, alone: Callable | None = None
 ) -> DataFrame:
     """keys, mean, low, high over ns replicates of a measure of permuted x, y and z.
 
     measure: of rows (keys, row, x, y, z) and keys, gives keys and mi; by default the information between x and y, given z.
+    alone: the same measure of arrays (x, y, z). Keys of up to HELD rows go to the tasks once for DRAWN replicates, which are
+    drawn and measured there; other keys' rows are dealt by blocks, replicate by replicate, as all are if a measure has no `alone`.
     A replicate permutes x within its key by the order of a digest, so results don't depend on how rows are dealt.
     """
     names = [*x, *y, *z]
-    rows = df.select(*keys, row, *names).dropna(subset=names).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
+    rows = df.select(*keys, row, *names).dropna(subset=[*keys, *names])
+    if measure is None:
+        alone = lambda a, b, c: near.information(a, b, c, k)
+    if alone is None:
+        v = _spread_replicates(rows, keys, row, x, y, z, ns, k, measure)
+    else:
+        size = rows.groupBy(*keys).agg((F.count(F.lit(1)) > HELD).alias("_large"))
+        if not size.where("_large").isEmpty():
+            on = lambda large: rows.join(size.where(F.col("_large") == large).drop("_large"), list(keys), "left_semi") if keys else rows.limit(0) if not large else rows
+            v = _held_replicates(on(False), keys, row, x, y, z, ns, alone).unionByName(_spread_replicates(on(True), keys, row, x, y, z, ns, k, measure).select(*keys, "mi"))
+        else:
+            v = _held_replicates(rows, keys, row, x, y, z, ns, alone)
+    sorted_ = F.array_sort(F.collect_list("mi"))
+    return v.groupBy(*keys).agg(F.avg("mi").alias("mean"), F.get(sorted_, F.lit(int((1 - ci) / 2 * ns))).alias("low"), F.get(sorted_, F.lit(int((1 + ci) / 2 * ns))).alias("high"))
+
+
+#: Rows of a key up to which a task draws its replicates, and replicates of a task's group.
+HELD, DRAWN = 200_000, 10
+
+
+def _held_replicates(rows: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str], ns: int, alone: Callable) -> DataFrame:
+    """keys and mi of each replicate, a group for each key and DRAWN replicates."""
+
+    def numbers(g: pd.DataFrame, names: Sequence[str]) -> np.ndarray:
+        # A column that isn't of numbers only tells groups apart.
+        parts = [g[c].to_numpy(float) if pd.api.types.is_numeric_dtype(g[c]) else pd.factorize(g[c])[0].astype(float) for c in names]
+        return np.column_stack(parts) if parts else np.zeros((len(g), 0))
+
+    def run(group: pa.Table) -> pa.Table:
+        g = group.to_pandas().sort_values(row, kind="stable", na_position="first")
+        own, other, given = numbers(g, x), numbers(g, y), numbers(g, z)
+        first, heads = int(g["_chunk"].iloc[0]) * DRAWN, [h.encode() for h in g["_head"]]
+        found = []
+        for rep in range(first, min(first + DRAWN, ns)):
+            tail = str(rep).encode()
+            digests = np.frombuffer(b"".join([hashlib.md5(h + tail).digest() for h in heads]), ">u8").reshape(-1, 2)
+            found.append(alone(own[np.lexsort((digests[:, 1], digests[:, 0]))], other, given))
+        return pa.table({**{c: pa.chunked_array([group[c].combine_chunks().take(pa.array([0] * len(found)))]) for c in keys}, "mi": pa.array(found, pa.float64())})
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-ns // DRAWN) - 1)))
+    dealt = rows.withColumn("_head", F.coalesce(F.concat(F.col(row).cast("string"), F.lit(":")), F.lit(""))).withColumn("_chunk", chunks)
+    parts = max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    return dealt.repartition(parts, *keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(run, f"{kinds}mi double")
+
+
+def _spread_replicates(rows: DataFrame, keys: Sequence[str], row: str, x: Sequence[str], y: Sequence[str], z: Sequence[str], ns: int, k: int, measure: Measure | None) -> DataFrame:
+    """keys, _rep and mi of each replicate, for keys of any size: every replicate's rows are a key of their own."""
+    rows = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(ns - 1))))
     own = [*keys, "_rep"]
     place = lambda *by: F.row_number().over(Window.partitionBy(*own).orderBy(*by)).alias("_at")
     drawn = rows.select(*own, *x, place(F.md5(F.concat_ws(":", F.col(row).cast("string"), F.col("_rep").cast("string"))), F.col(row)))
     fixed = rows.select(*own, row, *y, *z, place(F.col(row)))
     paired = materialize(fixed.join(drawn, [*own, "_at"]).drop("_at"), "shuffled")
-    v = measure(paired, own) if measure else information(paired, own, row, x, y, z, k)
-    sorted_ = F.array_sort(F.collect_list("mi"))
-    return v.groupBy(*keys).agg(F.avg("mi").alias("mean"), F.get(sorted_, F.lit(int((1 - ci) / 2 * ns))).alias("low"), F.get(sorted_, F.lit(int((1 + ci) / 2 * ns))).alias("high"))
+    return measure(paired, own) if measure else information(paired, own, row, x, y, z, k)
 
 
 @F.pandas_udf(DoubleType())
