@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 MEMO_ENTRIES = 500_000
 #: The same for hashes of words, which are quick to compute again.
 HASH_ENTRIES = 150_000
+#: Bytes of a word beyond which its hash isn't kept: texts without spaces have words of any length.
+HASH_BYTES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,10 +105,12 @@ class WordHashes(dict):
     """Memo from a word's bytes to its 64-bit hash as a signed integer."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= HASH_ENTRIES:
-            self.clear()
         h = xxhash.xxh64_intdigest(word)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
+        h = h - (1 << 64) if h >> 63 else h
+        if len(word) <= HASH_BYTES:
+            if len(self) >= HASH_ENTRIES:
+                self.clear()
+            self[word] = h
         return h
 
 

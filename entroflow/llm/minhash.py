@@ -38,8 +38,10 @@ BLOCK = 512
 LARGE, SMALL = 16, 64
 #: Agreement of the 72 minimum hashes below which a pair isn't verified: 5.3 standard errors under the threshold of 0.8.
 LIKELY = 0.55
-#: Rows of an Arrow batch of whole texts or sets.
-ARROW_ROWS = 500
+#: Rows of an Arrow batch of whole texts or sets, and its bytes: a batch goes on until it holds them, so by one row more at most.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
+#: Shingles that are hashed at once; only a single text with more takes more.
+PIECE = 1 << 17
 
 _rng = np.random.default_rng(20)
 XOR = _rng.integers(0, 1 << 63, 2 * GROUPS * SUB, np.uint64) * np.uint64(2)
@@ -68,12 +70,19 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 
 def minimum_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of minimum hashes (upper 32 bits) for each non-empty set."""
-    flat = np.concatenate(sets)
-    begin = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    """A row of minimum hashes (upper 32 bits) for each non-empty set, about PIECE shingles at a time."""
     out = np.empty((len(sets), len(XOR)), np.uint32)
-    for i, (x, t) in enumerate(zip(XOR, TIMES)):
-        out[:, i] = np.minimum.reduceat(((flat ^ x) * t) >> np.uint64(32), begin).astype(np.uint32)
+    lo = 0
+    while lo < len(sets):
+        hi, size = lo + 1, len(sets[lo])
+        while hi < len(sets) and size + len(sets[hi]) <= PIECE:
+            size += len(sets[hi])
+            hi += 1
+        flat = np.concatenate(sets[lo:hi])
+        begin = np.cumsum([0, *(len(s) for s in sets[lo : hi - 1])])
+        for i, (x, t) in enumerate(zip(XOR, TIMES)):
+            out[lo:hi, i] = np.minimum.reduceat(((flat ^ x) * t) >> np.uint64(32), begin).astype(np.uint32)
+        lo = hi
     return out
 
 
@@ -317,7 +326,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     kept. Rows with a null doc_id link with nothing (component null, kept true). Other columns are ignored; an empty
     table gives an empty result.
     """
-    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+    with arrow_rows(docs.sparkSession, ARROW_ROWS, ARROW_BYTES):
         signed = materialize(signatures(docs, width), "minhash-signatures")
         classes = materialize(
             signed.where("same IS NOT NULL AND doc_id IS NOT NULL")

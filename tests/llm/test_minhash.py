@@ -1,9 +1,13 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from entroflow.llm import minhash
+from entroflow.llm import common, minhash
 from entroflow.llm.graph import components
 
 from .brute import near_components, shingles
@@ -75,3 +79,36 @@ def test_components(spark):
     want = {i: 0 for i in range(1, 41)} | {100: 50, 75: 50} | {200 + i: 200 for i in range(1, 30)}
     assert got == want
     assert components(df.where(F.lit(False))).count() == 0
+
+
+def test_long_words_are_not_kept(spark):
+    memo = common.WordHashes()
+    long = [b"%06d" % i * 1000 for i in range(500)]
+    assert [memo[w] for w in long] == [common.WordHashes()[w] for w in long]
+    assert memo[b"short"] == memo[b"short"]
+    assert sum(map(len, memo)) < 1000
+    check(spark, [(i, "".join(chr(0x4E00 + (i // 2 * 7 + j * 13) % 5000) for j in range(3000)) + f" tail of {i // 2}") for i in range(20)])
+
+
+def test_minimum_hashes_take_memory_by_the_piece():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (1, 200_000, 3, *[20_000] * 150, 2, 1)]
+    tracemalloc.start()
+    got = minhash.minimum_hashes(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    for i in (0, 1, 2, 3, 70, 152, 153, 154):
+        assert (got[i] == [((((sets[i] ^ x) * t) >> np.uint64(32)).min()) for x, t in zip(minhash.XOR, minhash.TIMES)]).all()
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pc.sum(pc.binary_length(b.column(1))).as_py()], pa.int64())], ["n"])
+
+    docs = spark.range(300, numPartitions=1).select("id", F.expr("repeat('ab ', 40000)").alias("text"))
+    with common.arrow_rows(spark, minhash.ARROW_ROWS, getattr(minhash, "ARROW_BYTES", None)):
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 300 * 120_000
+    assert max(got) <= (4 << 20) + 120_000
