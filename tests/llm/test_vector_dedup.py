@@ -128,3 +128,26 @@ def test_no_copies_of_vectors_stay(spark, monkeypatch):
     out = v.near_vectors(spark.createDataFrame(cloud(300, dims=64, noise=0.005), "vec_id long, embedding array<float>, label int"))
     assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before if p.is_file()) < 300 * 64 * 4
     assert out.count() == 300 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_overlap_follows_neighbours(spark, monkeypatch):
+    """A vector lies in its home and its neighbours' homes; with a margin around borders it lay in nearly all shards, and copies outgrew the input."""
+    monkeypatch.setattr(v, "SHARD", 200)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x[2900:] = x[:100] + 0.15 * rng.normal(size=(100, 64))
+    df = spark.createDataFrame([(i, 0, e.tolist(), 1) for i, e in enumerate(x)], "node long, label long, embedding array<double>, copies long")
+    rows = v.members(df).select("node", "shard", "home").collect()
+    home = {r.node: r.shard for r in rows if r.home}
+    assert sorted(home) == list(range(3000)) and len(set(home.values())) >= 15 and len(rows) <= 3400
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(i, 2900 + i) for i in range(100) if x[i] @ x[2900 + i] >= 0.98]
+    held = {(r.node, r.shard) for r in rows}
+    assert len(pairs) > 50 and any(home[a] != home[b] for a, b in pairs)
+    assert all((a, home[b]) in held and (b, home[a]) in held for a, b in pairs)
+
+
+def test_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(v, "ROUND", 2000)
+    monkeypatch.setattr(v, "SHARD", 100)
+    check(spark, cloud(500, seed=7))
